@@ -162,9 +162,13 @@ class Plan:
     def _phase_pieces(self, phase, rows, queue, a, b, start):
         r0 = np.array([phase.round_of(q, t) for q, t in zip(queue.tolist(), a.tolist())], dtype=np.int64)
         r1 = np.array([phase.round_of(q, t - 1) for q, t in zip(queue.tolist(), b.tolist())], dtype=np.int64)
-        count = r1 - r0 + 1
+        # a queue of less than a token a round is idle in most: its rounds are found token by token
+        count = np.minimum(r1 - r0 + 1, b - a)
         of = np.repeat(np.arange(len(rows)), count)
         rounds = r0[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        ends = np.cumsum(count)
+        for i in np.flatnonzero(r1 - r0 + 1 > b - a).tolist():
+            rounds[ends[i] - count[i] : ends[i]] = [phase.round_of(int(queue[i]), t) for t in range(int(a[i]), int(b[i]))]
         uniq, where = np.unique(rounds, return_inverse=True)
         now, later = phase.served(uniq), phase.served(uniq + 1)
         earlier = np.cumsum(later - now, axis=1) - (later - now)

@@ -162,7 +162,7 @@ def _address_features(text, toks, words, i, at, j) -> tuple[str, ...]:
     ends = words[j - 1]
     right = text[toks[j - 1][1] : toks[j - 1][1] + 1]
     return (
-        "bias", f"spelled={spelled}", f"dots={min(dots, 3)}", f"bracketed={spelled and at > 0 and words[at - 1] in '([{'}", f"tld={2 <= len(ends) <= 6 and ends.isalpha()}", f"dot_word={any(w.lower() == 'dot' for w in words[at + 1 : j])}",
+        "bias", f"after_dot={min(next((k for k, w in enumerate(reversed(words[at + 1 : j])) if w == '.' or w.lower() == 'dot'), 9), 9)}", f"local={min(at - i, 5)}", f"spelled={spelled}", f"dots={min(dots, 3)}", f"bracketed={spelled and at > 0 and words[at - 1] in '([{'}", f"tld={2 <= len(ends) <= 6 and ends.isalpha()}", f"dot_word={any(w.lower() == 'dot' for w in words[at + 1 : j])}",
         f"alternate={all((w == '.' or w.lower() == 'dot') == bool(k % 2) for k, w in enumerate(words[at + 1 : j]))}", f"cut={right.isalnum() or right in '.-@' and right != ''}", f"cue={cue if (cue := _left_word(text, toks[i][0])) in _CUES else ''}",
     )
 

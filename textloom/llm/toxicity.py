@@ -30,8 +30,8 @@ TRAIN_ROWS = 6_000
 THRESHOLD = 0.5
 #: Beginnings of words that are features too, by length.
 BEGINNINGS = (4, 5)
-#: A feature in fewer learning documents says nothing.
-LEAST_DOCS = 4
+#: A feature counts if the log odds of its documents are so many standard errors from 0.
+LEAST_Z = 2.8
 PENALTY = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -109,15 +109,23 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
+def _z(index: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By feature, the log odds ratio of documents with it, in standard errors."""
+    yes = np.bincount(index, weights=y[of], minlength=SLOTS)
+    no = np.bincount(index, minlength=SLOTS) - yes
+    n_yes, n_no = y.sum(), len(y) - y.sum()
+    odds = np.log((yes + 0.5) / (n_yes - yes + 0.5)) - np.log((no + 0.5) / (n_no - no + 0.5))
+    return odds / np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5) + 1 / (n_yes - yes + 0.5) + 1 / (n_no - no + 0.5))
+
+
 def learn(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], epochs: int = 120, decay: float = 2e-4, penalty: float = PENALTY) -> Model:
-    """Full-batch logistic regression with the pair penalty. Features too rare in the sample keep weight 0."""
+    """Full-batch logistic regression with the pair penalty. Features that tell nothing in the sample keep weight 0."""
     use = ~held if 0 < held.sum() < len(labels) else np.ones(len(labels), dtype=bool)
     index, of = _flat([r for r, u in zip(rows, use) if u])
     y = labels[use].astype(np.float64)
-    counts = np.bincount(index, minlength=SLOTS)
     terms = slots_of({t for g in IDENTITY_TERMS for t in g})
-    # one weight for each frequent feature and for each term
-    live = np.union1d(np.flatnonzero(counts >= LEAST_DOCS), terms)
+    # one weight for each telling feature and for each term
+    live = np.union1d(np.flatnonzero(np.abs(_z(index, of, y)) >= LEAST_Z), terms)
     place = np.full(SLOTS, -1)
     place[live] = np.arange(len(live))
     keep = place[index] >= 0

@@ -38,6 +38,11 @@ def _key(words: Column, at: Column, k: int) -> Column:
     return F.xxhash64(F.lit(k), *(F.get(words, at + F.lit(i)) for i in range(k)))
 
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """A key of what a row holds: equal in every scan of the rows, and equal rows are decided alike."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text.cast("string")))
+
+
 def _sized(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
@@ -78,7 +83,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(F.col("doc_id"), F.col("text")).alias("uid"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     return _decided(worded, worded.select("uid", "doc_id", F.col("n_words").cast("long")), benchmark, window, shingle, max_broadcast_rows)
 
 
@@ -101,11 +106,11 @@ def _decided(worded: DataFrame, base: DataFrame, benchmark: DataFrame, window: i
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    held = docs.select(F.monotonically_increasing_id().alias("uid"), row.alias("row"))
+    held = docs.select(_row_key(F.col("doc_id"), F.col("text")).alias("uid"), row.alias("row"))
     worded = held.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), words_of(F.col("row.text")).alias("words")).withColumn("n_words", F.size("words"))
     args = {"window": WINDOW, "shingle": SHINGLE, "max_broadcast_rows": MAX_BROADCAST_ROWS} | settings
     found = materialize(hits(worded, benchmark, **args).select("uid").distinct(), "hit-documents")
     # only documents with a hit need judging, by their own words
-    judged = worded.join(found, "uid", "left_semi")
+    judged = worded.join(found, "uid", "left_semi").dropDuplicates(["uid"])
     bad = _decided(judged, judged.select("uid", F.col("uid").alias("doc_id"), F.col("n_words").cast("long")), benchmark, **args).filter("contaminated").select(F.col("doc_id").alias("uid"))
     return held.join(bad, "uid", "left_anti").select("row.*")

@@ -16,7 +16,8 @@ Components need a connected subset of the links, not all pairs of a group:
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. Null and wordless texts have the fingerprint zero,
 which links like any other. Repeated rows each get their row. An empty table gives none. Ties in a bit
-(exactly half) are 0. Other columns are ignored, or kept by ``drop_near_duplicates``.
+(exactly half) are 0. Other columns are ignored, or kept by ``drop_near_duplicates``, which goes by doc_id:
+rows without one stay, and exact repeats of a row stay or go together.
 """
 
 from __future__ import annotations

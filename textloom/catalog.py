@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from importlib import import_module
+
+from textloom.queries import ORACLES, QUERIES
+
+FAMILIES = ("text",)
 FLAGSHIP = "drift_status"
+
+for _family in FAMILIES:
+    import_module(f"textloom.queries.{_family}")
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -64,6 +64,33 @@ def test_components_of_planted_fingerprints(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_long_runs_are_cut_without_losing_links(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(4)
+    segment = rng.getrandbits(21)
+    fps = set()
+    for _ in range(150):
+        x = rng.getrandbits(43) << 21
+        for _ in range(3):
+            fps.add(x | segment)
+            x ^= sum(1 << b for b in rng.sample(range(21, 64), rng.randint(1, 5)))
+    fps = np.array(sorted(fps), dtype=np.uint64)
+    monkeypatch.setattr(simhash, "LONG_RUN", 10)
+    root = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in simhash.run_links(0, fps):
+        root[find(int(a))] = find(int(b))
+    want = brute_components([int(f) for f in fps])
+    pairs = {(w, find(int(f))) for w, f in zip(want, fps)}
+    assert len(pairs) == len(set(want)) == len({p[1] for p in pairs})
+
+
 def test_a_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}

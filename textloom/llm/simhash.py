@@ -5,14 +5,12 @@ bit in one of them. Each fingerprint is indexed under every one-wildcard variant
 all), and variants are joined by equality; the whole fingerprints are then compared. Copies of one
 fingerprint are one entry, whatever their number.
 
-Components need a connected subset of the links, not all pairs of a group:
-
-1. Every entry is compared with the smallest and the largest fingerprint under each of its variants.
-   Dense groups fall together here, by one comparison per entry and variant.
-2. Where a variant still holds fingerprints of different components, entries outside its largest
-   component are compared with all entries of other components there. To keep variants small whatever
-   the corpus, an entry is then also keyed by one of five blocks of the 43 or 42 remaining bits: of these
-   at most four differ, so one block is equal. All links between components are found, none is sampled.
+Components need a connected subset of the links, not all pairs of a group. Variants are dealt over the
+cluster once and sorted, and every variant's fingerprints are read as one run. Within a run, fingerprints
+are compared until they fall into groups, and only a spanning set of links leaves the task. A linked pair
+shares a run, so groups of all runs together are exactly the components. A dense group falls together at
+once, whatever its size; a long run of strangers is first cut by one of five blocks of the 43 or 42 other
+bits, one of which is equal in any linked pair. Nothing is sampled or capped.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. Null and wordless texts have the fingerprint zero,
 which links like any other. Repeated rows each get their row. An empty table gives none. Ties in a bit
@@ -37,6 +35,8 @@ MAX_BITS = 4
 SEED = 42
 #: (lowest bit, width) of each segment
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Runs up to this length are compared many at a time, longer ones each by itself; beyond LONG_RUN they are cut first.
+SHORT_RUN, LONG_RUN = 32, 8192
 #: A very long text's hashes are counted in blocks of so many.
 HASHES_AT_ONCE = 1 << 16
 
@@ -93,54 +93,94 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _blocks(fp: Column, bit: Column) -> Column:
-    """Of the bits outside the segment of ``bit``, five blocks, each told apart by its number."""
-    out = None
-    for low, width in SEGMENTS:
-        rest = [b for b in range(64) if not low <= b < low + width]
-        masks = [sum(1 << b for b in rest[i * len(rest) // 5 : (i + 1) * len(rest) // 5]) for i in range(5)]
-        keys = F.array(*(F.xxhash64(fp.bitwiseAND(_signed(m)), F.lit(i)) for i, m in enumerate(masks)))
-        out = keys if out is None else F.when((bit >= low) & (bit < low + width), keys).otherwise(out)
+def _other_blocks(bit: int) -> list[int]:
+    """Masks of five blocks of the bits outside the segment of ``bit``."""
+    low, width = next((lo, w) for lo, w in SEGMENTS if lo <= bit < lo + w)
+    rest = [b for b in range(64) if not low <= b < low + width]
+    cuts = [i * len(rest) // (MAX_BITS + 1) for i in range(MAX_BITS + 2)]
+    return [sum(1 << b for b in rest[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+
+def spanning_links(fps: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join distinct fingerprints into the groups that they form, one fewer than each group has."""
+    out, left = [], fps
+    while len(left):
+        waiting, left = [left[0]], left[1:]
+        while waiting and len(left):
+            one = waiting.pop()
+            near = np.bitwise_count(left ^ one) <= MAX_BITS
+            if near.any():
+                found, left = left[near], left[~near]
+                out += [(one, x) for x in found]
+                waiting += list(found)
+    return out
+
+
+def run_links(key: int, fps: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links of one variant's fingerprints."""
+    if len(fps) <= LONG_RUN:
+        return spanning_links(fps)
+    out = []
+    for mask in _other_blocks(key & 63):
+        order = np.argsort(fps & np.uint64(mask), kind="stable")
+        block = (fps & np.uint64(mask))[order]
+        for part in np.split(fps[order], np.flatnonzero(block[1:] != block[:-1]) + 1):
+            if len(part) > 1:
+                out += spanning_links(part)
     return out
 
 
-def _close(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
+def _short_run_links(starts: np.ndarray, sizes: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links of many short runs at once: places at the same distance are compared together."""
+    run_of = np.repeat(np.arange(len(sizes)), sizes)
+    flat = fps if sizes.sum() == len(fps) else np.concatenate([fps[a : a + n] for a, n in zip(starts, sizes)])
+    linked = np.zeros(len(sizes), dtype=bool)
+    for step in range(1, int(sizes.max(initial=1))):
+        near = (run_of[step:] == run_of[:-step]) & (np.bitwise_count(flat[step:] ^ flat[:-step]) <= MAX_BITS)
+        linked[run_of[step:][near]] = True
+    at = np.cumsum(sizes) - sizes
+    return [x for r in np.flatnonzero(linked) for x in spanning_links(flat[at[r] : at[r] + sizes[r]])]
 
 
-def links_to_hubs(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) of each fingerprint to the smallest and largest under each of its variants."""
+def links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) that connect distinct fingerprints (fp) into their components."""
     keyed = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo != hi")
-    near = keyed.join(hubs, "key")
-    ends = F.array_distinct(F.filter(F.array("lo", "hi"), lambda h: (h != F.col("fp")) & _close(h, F.col("fp"))))
-    return near.filter(F.size(ends) > 0).select(F.col("fp").alias("a"), F.explode(ends).alias("b")).distinct()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_keys, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+
+        def complete(keys: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+            sizes = np.diff(np.append(starts, len(keys)))
+            short = sizes <= SHORT_RUN
+            out = []
+            pick = short & (sizes > 1)
+            if pick.any():
+                rows = np.repeat(pick, sizes)
+                out += _short_run_links(starts[pick], sizes[pick], own[rows] if not rows.all() else own)
+            for i in np.flatnonzero(~short):
+                out += run_links(int(keys[starts[i]]), own[starts[i] : starts[i] + sizes[i]])
+            both = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.concatenate((held_keys, batch.column("key").to_numpy()))
+            own = np.concatenate((held, batch.column("fp").to_numpy().view(np.uint64)))
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last run may go on
+            if whole:
+                yield complete(keys[:whole], own[:whole])
+            held_keys, held = keys[whole:], own[whole:]
+        if len(held_keys):
+            yield complete(held_keys, held)
 
-def links_between(labelled: DataFrame) -> DataFrame:
-    """All links (a, b) between fingerprints (fp) of different components (root)."""
-    keyed = labelled.select("fp", "root", F.explode(_variants(F.col("fp"))).alias("key"))
-    counts = keyed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "n").alias("main")).filter("roots > 1").select("key", "main")
-    there = keyed.join(mixed, "key")
-    there = there.select("fp", "root", "main", F.explode(F.transform(_blocks(F.col("fp"), F.col("key").bitwiseAND(63)), lambda b: F.xxhash64(F.col("key"), b))).alias("k"))
-    some = there.filter(F.col("root") != F.col("main")).select("k", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    rest = there.select("k", F.col("fp").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("is_main"))
-    met = some.join(rest, (some.k == rest.k) & (F.col("ra") != F.col("rb")) & (F.col("is_main") | (F.col("ra") < F.col("rb"))) & _close(F.col("a"), F.col("b")))
-    return met.select("a", "b").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicate_components(fps: DataFrame) -> DataFrame:
     """(fp, root): for every distinct fingerprint the smallest one that it reaches."""
     distinct = materialize(fps.select("fp").distinct(), "fingerprints")
-    first = materialize(components(links_to_hubs(distinct)), "hub-components")
-    labelled = materialize(distinct.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "hub-labels")
-    more = materialize(links_between(labelled), "links-between")
-    # between components, one edge per pair of roots is enough
-    ends = labelled.select("fp", "root")
-    across = more.join(ends.select(F.col("fp").alias("a"), F.col("root").alias("ra")), "a").join(ends.select(F.col("fp").alias("b"), F.col("root").alias("rb")), "b")
-    merged = components(across.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    return labelled.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:

@@ -105,7 +105,7 @@ def extract_blocks(docs: DataFrame) -> DataFrame:
     numbered = kinds.withColumn("block_no", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(w)).filter("kind <> 'blank'")
     ordered = numbered.groupBy("doc_id", "block_no").agg(F.min_by("kind", "line_no").alias("kind"), F.min("line_no").alias("first"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     texts = F.transform("ls", lambda x: x["line"])
-    joined = F.when(F.col("kind").isin("code", "table"), F.array_join(texts, "\n")).otherwise(F.array_join(F.transform(texts, F.trim), " "))
+    joined = F.when(F.col("kind").isin("code", "table"), F.array_join(texts, "\n")).otherwise(F.array_join(F.transform(texts, lambda x: F.trim(x)), " "))
     bare = F.when(F.col("kind") == "heading", F.regexp_replace(joined, r"^#{1,6}\s+", "")).when(F.col("kind") == "bullet", F.regexp_replace(joined, r"^[-*]\s+", "")).when(F.col("kind") == "ordered", F.regexp_replace(joined, r"^\d+[.)]\s+", "")).otherwise(joined)
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(joined, r"^#+", 0)))
     return ordered.select("doc_id", "block_no", "kind", level.alias("level"), "first", bare.alias("text"))

@@ -56,8 +56,8 @@ def index_as_of(requests: DataFrame, snapshots: DataFrame, ttl: str, live: Colum
     Younger than ``ttl``: fresh. Else the live index where there is one, else the old one with a warning.
     The request's rows meet only snapshots of their own fingerprint and are reduced by ``max_by``.
     """
-    s = snapshots.select("fingerprint", F.col("fetched_at").alias("at"), "snapshot_id")
-    j = requests.join(s, (requests.fingerprint == s.fingerprint) & (s["at"] <= requests.ts), "left").drop(s.fingerprint)
+    s = snapshots.select(F.col("fingerprint").alias("of"), F.col("fetched_at").alias("at"), "snapshot_id")
+    j = requests.join(s, (F.col("fingerprint") == F.col("of")) & (F.col("at") <= F.col("ts")), "left").drop("of")
     newest = j.groupBy(*requests.columns).agg(F.max("at").alias("fetched_at"), F.max_by("snapshot_id", "at").alias("snapshot_id"))
     fresh = F.col("ts") < F.col("fetched_at") + F.expr(f"INTERVAL {ttl}")
     return newest.withColumn("state", F.when(F.coalesce(fresh, F.lit(False)), "fresh").when(live, "live").when(F.col("snapshot_id").isNotNull(), "stale").otherwise("none"))

@@ -95,7 +95,7 @@ def insertion_order(l1: DataFrame, r1: DataFrame) -> DataFrame:
 
 def table_identity(rows: DataFrame, parts: list[str]) -> DataFrame:
     """A table's identity: its key columns' values in row order as one hash."""
-    one = F.transform(F.array_sort(F.collect_list(F.struct("row_key", *parts))), lambda r: F.concat_ws("|", *(r[p].cast("string") for p in parts)))
+    one = F.transform(F.array_sort(F.collect_list(F.struct("row_key", *(p for p in parts if p != "row_key")))), lambda r: F.concat_ws("|", *(r[p].cast("string") for p in parts)))
     return rows.groupBy("table_key").agg(F.sha2(F.array_join(one, ";"), 256).alias("identity"), F.count(F.lit(1)).alias("rows"))
 
 

@@ -82,7 +82,7 @@ def receipts(four: DataFrame) -> DataFrame:
 
 CTES["receipts"] = "receipts AS (SELECT doc_id, CAST(doc_id % 5 + 1 AS INTEGER) AS version, sha256(l0) AS draft_hash, sha256(r0) AS remote_hash, CASE WHEN doc_id % 11 = 3 THEN 'other' ELSE 'plain' END AS dialect FROM four WHERE doc_id % 5 <> 0)"
 
-_BASE = "SELECT l_orderkey AS table_key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS row_key, CAST(l_quantity AS DOUBLE) AS c1, CAST(l_extendedprice AS DOUBLE) AS c2, CAST(l_shipmode AS VARCHAR(20)) AS c3 FROM lineitem"
+_BASE = "SELECT l_orderkey AS table_key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS row_key, CAST(l_quantity AS DOUBLE) AS c1, CAST(l_extendedprice AS DOUBLE) AS c2, CAST(l_returnflag AS VARCHAR(20)) AS c3 FROM lineitem"
 _CHANGED = (
     "SELECT table_key, row_key, CASE WHEN table_key % {m1} = 1 AND row_key = 1 THEN c1 + 1 ELSE c1 END AS c1, c2, CASE WHEN table_key % {m2} = 2 AND row_key = 2 THEN 'X' ELSE c3 END AS c3 FROM tbl_base WHERE NOT (table_key % 10 = {gone} AND row_key = 1) "
     "UNION ALL SELECT DISTINCT table_key, 1000, CAST(0 AS DOUBLE), CAST({new} AS DOUBLE), 'new' FROM tbl_base WHERE table_key % 10 = {added}"

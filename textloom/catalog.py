@@ -6,7 +6,7 @@ from importlib import import_module
 
 from textloom.queries import ORACLES, QUERIES
 
-FAMILIES = ("text", "lines", "extract", "compare", "tables", "status", "links", "trees")
+FAMILIES = ("text", "lines", "extract", "compare", "tables", "status", "links", "trees", "jobs")
 FLAGSHIP = "drift_status"
 
 for _family in FAMILIES:

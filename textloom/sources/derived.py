@@ -136,7 +136,26 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, **frames)
 
 
-_NEEDS = {"lines": ["rich"], "four": ["rich", "lines"], "receipts": ["rich", "lines", "four"], "tbl_cur": ["tbl_base"], "tbl_remote": ["tbl_base"], "link_index": ["page_links"]}
+_NODES = (
+    "SELECT conv_id AS doc_id, turn * 10 AS pos, role AS section, CASE WHEN turn % 3 = 0 THEN 'code' ELSE 'text' END AS kind, conv_id * 7 + turn AS k, "
+    "role || ':' || CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS VARCHAR(9)) AS locator, substring(text, 1, 40 + CAST(turn % 2 AS INT)) AS value FROM conversations"
+)
+_SIDE = (
+    "SELECT doc_id, pos, section, kind, locator, CASE WHEN k % {u} = 1 THEN value || ' {s}' ELSE value END AS value FROM n0 WHERE k % {d} <> 3 "
+    "UNION ALL SELECT doc_id, pos + 5, section, kind, 'new:' || CAST(pos AS VARCHAR(9)), 'added ' || CAST(k % 4 AS VARCHAR(9)) FROM n0 WHERE k % {a} = 4"
+)
+_L1, _R1 = _SIDE.format(u=5, d=11, a=13, s="L"), _SIDE.format(u=6, d=17, a=19, s="R")
+CTES |= {"n0": f"n0 AS ({_NODES})", "n_l1": f"n_l1 AS ({_L1})", "n_r1": f"n_r1 AS ({_R1})"}
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, local, remote) nodes of conversations as documents: doc_id, pos, section, kind, locator, value."""
+    base = spark.sql(_NODES.replace("FROM conversations", "FROM {c}"), c=table(spark, sf_dir, "conversations"))
+    sides = (spark.sql(q.replace("FROM n0", "FROM {b}"), b=base) for q in (_L1, _R1))
+    return base.drop("k"), *sides
+
+
+_NEEDS = {"lines": ["rich"], "four": ["rich", "lines"], "receipts": ["rich", "lines", "four"], "tbl_cur": ["tbl_base"], "tbl_remote": ["tbl_base"], "link_index": ["page_links"], "n_l1": ["n0"], "n_r1": ["n0"]}
 
 
 def with_ctes(*names: str) -> str:

@@ -45,7 +45,7 @@ def canonical_line(line: Column) -> Column:
     is_separator = F.contains(trimmed, F.lit("|")) & F.forall(cells, lambda x: x.rlike("^:?-+:?$"))
     kept = F.transform(cells, lambda x: F.concat(F.when(F.startswith(x, F.lit(":")), ":").otherwise(""), F.lit("---"), F.when(F.endswith(x, F.lit(":")), ":").otherwise("")))
     separator = F.concat(F.regexp_extract(line, r"^\s*", 0), F.lit("| "), F.array_join(kept, " | "), F.lit(" |"))
-    return F.when(is_separator, separator).otherwise(F.replace(body, F.lit(" "), F.lit(" ")))
+    return F.when(is_separator, separator).otherwise(F.replace(body, F.lit("\u00a0"), F.lit(" ")))
 
 
 def collapse_includes(c: Column, primary: str, secondary: str) -> Column:

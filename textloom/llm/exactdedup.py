@@ -68,7 +68,8 @@ def exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     alone = digests.filter(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     suspects = digests.filter("suspect").select("doc_id", "uid", "text_sha256")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"))
-    groups = suspects.groupBy("text_sha256").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # written first, so that the join below reads two plain exchanges, of which a hot group's can be split
+    groups = materialize(suspects.groupBy("text_sha256").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size")), "duplicate-groups")
     decided = suspects.join(groups, "text_sha256").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256")
     return alone.unionByName(decided)
 

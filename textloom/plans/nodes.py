@@ -254,3 +254,67 @@ def render_blocks(nodes: DataFrame) -> DataFrame:
     """Nodes back to text, in order: code fenced, anything else as its value."""
     shown = F.when(F.col("kind") == "code", F.concat(F.lit("```\n"), F.col("value"), F.lit("\n```"))).otherwise(F.col("value"))
     return nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "locator", shown.alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def callout_plan(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> DataFrame:
+    """Callouts (doc_id, locator, ctype, title, value) of four versions to ops: create, adopt, delete, title, children, or blocked with a reason.
+
+    A callout never changes its type in place; what the remote changed is never deleted.
+    """
+    parts = [df.select(*KEY, F.struct("ctype", "title", "value").alias(n)) for df, n in ((l0, "l0"), (l1, "l1"), (r0, "r0"), (r1, "r1"))]
+    j = reduce(lambda a, b: a.join(b, KEY, "full_outer"), parts)
+    has = {n: F.col(n).isNotNull() for n in ("l0", "l1", "r0", "r1")}
+    added, removed, both = ~has["l0"] & has["l1"], has["l0"] & ~has["l1"], has["l0"] & has["l1"]
+    untouched = F.col("r0").eqNullSafe(F.col("r1"))
+    op = (
+        F.when(added & ~has["r1"], "create").when(added & (F.col("r1") == F.col("l1")), "adopt").when(added, "blocked:taken")
+        .when(removed & has["r1"] & untouched, "delete").when(removed & has["r1"], "blocked:changed-remotely")
+        .when(both & (F.col("l0.ctype") != F.col("l1.ctype")), "blocked:type-change")
+        .when(both & (F.col("l0") != F.col("l1")) & ~has["r1"], "blocked:missing-remotely")
+        .when(both & (F.col("l0.title") != F.col("l1.title")), "title").when(both & (F.col("l0.value") != F.col("l1.value")), "children")
+    )
+    return j.select(*KEY, op.alias("op")).filter("op IS NOT NULL")
+
+
+def callout_children(l0: DataFrame, l1: DataFrame, r1: DataFrame) -> DataFrame:
+    """Child edits (doc_id, locator, ordinal, op, value) that bring the remote's children to the merged ones.
+
+    Children (doc_id, locator, ordinal, value) meet by ordinal: a local change goes to an unchanged remote child; both changed is a conflict.
+    """
+    on = [*KEY, "ordinal"]
+    b, l, r = (df.select(*on, F.col("value").alias(n)) for df, n in ((l0, "b"), (l1, "l"), (r1, "r")))  # noqa: E741
+    j = b.join(l, on, "full_outer").join(r, on, "full_outer")
+    local, remote = ~F.col("b").eqNullSafe(F.col("l")), ~F.col("b").eqNullSafe(F.col("r"))
+    op = F.when(local & remote & ~F.col("l").eqNullSafe(F.col("r")), "conflict").when(local & ~remote, F.when(F.col("b").isNull(), "create").when(F.col("l").isNull(), "delete").otherwise("update"))
+    return j.select(*on, op.alias("op"), F.coalesce("l", F.lit("")).alias("value")).filter("op IS NOT NULL")
+
+
+def local_nodes(blocks: DataFrame) -> DataFrame:
+    """Blocks with the node's kind: frontmatter, code, table, asset (a lone image), token (a lone component tag) or text."""
+    text = F.col("text")
+    kind = (
+        F.when(F.col("kind").isin("code", "table"), F.col("kind")).when((F.col("first") == 0) & F.startswith("text", F.lit("--- ")), "frontmatter")
+        .when(text.rlike(r"^!\[[^\]]*\]\([^)\s]+\)$"), "asset").when(text.rlike(r"^</?[A-Z][A-Za-z]*>$"), "token").otherwise("text")
+    )
+    return blocks.select("doc_id", "block_no", kind.alias("kind"), F.col("kind").alias("block_type"), "first", "text")
+
+
+def remote_nodes(blocks: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Nodes from landed blocks (block_id, parent_id, payload, pos): kind by the block's type, opaque where unknown, ordinal among its kind below one parent."""
+    kind = F.lit("opaque")
+    for prefix, name in kinds.items():
+        kind = F.when(F.startswith("block_id", F.lit(prefix)), name).otherwise(kind)
+    w = Window.partitionBy("parent_id", "kind").orderBy("pos", "block_id")
+    return blocks.withColumn("kind", kind).select("block_id", "parent_id", "kind", (F.row_number().over(w) - 1).alias("ordinal"), F.sha2(F.concat_ws("|", "kind", "payload"), 256).alias("hash"))
+
+
+def code_plan_untracked(local: DataFrame, remote: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
+    """Without a base: paired code of equal content is satisfied, of unequal content an update; the rest of a document with leftovers on both sides is ambiguous, else create or delete."""
+    l = local.select("doc_id", F.col(id_col).alias("base_id"), F.col("value").alias("lv"))  # noqa: E741
+    r = remote.select("doc_id", F.col(id_col).alias("current_id"), F.col("value").alias("rv"))
+    paired = pairs.join(l, ["doc_id", "base_id"]).join(r, ["doc_id", "current_id"]).select("doc_id", F.col("base_id").alias("at"), F.when(F.col("lv") == F.col("rv"), "satisfied").otherwise("update").alias("op"))
+    lone_l = l.join(pairs.select("doc_id", "base_id"), ["doc_id", "base_id"], "left_anti").select("doc_id", F.col("base_id").alias("at"), F.lit("create").alias("op"))
+    lone_r = r.join(pairs.select("doc_id", "current_id"), ["doc_id", "current_id"], "left_anti").select("doc_id", F.col("current_id").alias("at"), F.lit("delete").alias("op"))
+    both = lone_l.select("doc_id").intersect(lone_r.select("doc_id")).withColumn("both", F.lit(True))
+    lone = lone_l.unionByName(lone_r).join(both, "doc_id", "left").select("doc_id", "at", F.when(F.col("both"), "ambiguous").otherwise(F.col("op")).alias("op"))
+    return paired.unionByName(lone)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.operators import lines as L
 from textloom.plans import nodes as P
 from textloom.queries import query
+from textloom.queries.lines import _KINDS
 from textloom.runtime import table
 from textloom.sources import derived as D
 
@@ -188,3 +190,49 @@ def code_plan(spark, sf):
     j = kinds.join(base, ["doc_id", "locator"]).join(local, ["doc_id", "locator"]).join(remote, ["doc_id", "locator"])
     content, conflict = merge_field(F.col("b"), F.col("l"), F.col("b"), F.col("r"))
     return j.select("doc_id", "locator", content.alias("content"), conflict.alias("conflict"))
+
+
+_C = f"""{_N}, c0 AS (SELECT doc_id, locator, kind AS ctype, section AS title, value FROM n0), c1 AS (SELECT doc_id, locator, CASE WHEN pos % 70 = 10 THEN 'other' ELSE kind END AS ctype, CASE WHEN pos % 40 = 20 THEN 'renamed' ELSE section END AS title, value FROM n_l1), cr AS (SELECT doc_id, locator, kind AS ctype, section AS title, value FROM n_r1),
+    ck AS (SELECT doc_id, locator FROM c0 UNION SELECT doc_id, locator FROM c1 UNION SELECT doc_id, locator FROM cr), cj AS (SELECT k.doc_id, k.locator, a.value AS v0, a.ctype AS t0, a.title AS h0, b.value AS v1, b.ctype AS t1, b.title AS h1, r.value AS vr, r.ctype AS tr, r.title AS hr FROM ck k
+    LEFT JOIN c0 a ON a.doc_id = k.doc_id AND a.locator = k.locator LEFT JOIN c1 b ON b.doc_id = k.doc_id AND b.locator = k.locator LEFT JOIN cr r ON r.doc_id = k.doc_id AND r.locator = k.locator)"""
+
+
+@query(f"""{_C}, o AS (SELECT doc_id, locator, CASE WHEN v0 IS NULL AND v1 IS NOT NULL THEN CASE WHEN vr IS NULL THEN 'create' WHEN vr = v1 AND tr = t1 AND hr = h1 THEN 'adopt' ELSE 'blocked:taken' END
+    WHEN v0 IS NOT NULL AND v1 IS NULL THEN CASE WHEN vr IS NOT NULL THEN CASE WHEN vr = v0 AND tr = t0 AND hr = h0 THEN 'delete' ELSE 'blocked:changed-remotely' END END
+    WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN CASE WHEN t0 <> t1 THEN 'blocked:type-change' WHEN (v0 <> v1 OR h0 <> h1) AND vr IS NULL THEN 'blocked:missing-remotely' WHEN h0 <> h1 THEN 'title' WHEN v0 <> v1 THEN 'children' END END AS op FROM cj) SELECT * FROM o WHERE op IS NOT NULL""")
+def callout_plan(spark, sf):
+    base, local, remote = (df.select("doc_id", "locator", "pos", F.col("kind").alias("ctype"), F.col("section").alias("title"), "value") for df in D.nodes(spark, sf))
+    local = local.withColumn("ctype", F.when(F.col("pos") % 70 == 10, "other").otherwise(F.col("ctype"))).withColumn("title", F.when(F.col("pos") % 40 == 20, "renamed").otherwise(F.col("title")))
+    return P.callout_plan(base, local, base, remote)
+
+
+def _words(df):
+    return df.select("doc_id", "locator", F.posexplode(F.split("value", " ")).alias("ordinal", "value"))
+
+
+_W = "SELECT doc_id, locator, unnest(range(len(a))) AS ordinal, unnest(a) AS value FROM (SELECT doc_id, locator, string_split(value, ' ') AS a FROM {t})"
+
+
+@query(f"{_N}, b AS ({_W.format(t='n0')}), l AS ({_W.format(t='n_l1')}), r AS ({_W.format(t='n_r1')}), k AS (SELECT doc_id, locator, ordinal FROM b UNION SELECT doc_id, locator, ordinal FROM l UNION SELECT doc_id, locator, ordinal FROM r), j AS (SELECT k.*, b.value AS b, l.value AS l, r.value AS r FROM k LEFT JOIN b USING (doc_id, locator, ordinal) LEFT JOIN l USING (doc_id, locator, ordinal) LEFT JOIN r USING (doc_id, locator, ordinal)), o AS (SELECT doc_id, locator, ordinal, CASE WHEN b IS DISTINCT FROM l AND b IS DISTINCT FROM r AND l IS DISTINCT FROM r THEN 'conflict' WHEN b IS DISTINCT FROM l AND b IS NOT DISTINCT FROM r THEN CASE WHEN b IS NULL THEN 'create' WHEN l IS NULL THEN 'delete' ELSE 'update' END END AS op, coalesce(l, '') AS value FROM j) SELECT * FROM o WHERE op IS NOT NULL")
+def callout_children(spark, sf):
+    base, local, remote = D.nodes(spark, sf)
+    return P.callout_children(_words(base), _words(local), _words(remote))
+
+
+@query(_KINDS + " SELECT doc_id, block_no, kind AS block_type, first, sha256(text) AS text_hash, CASE WHEN kind IN ('code', 'table') THEN kind WHEN first = 0 AND starts_with(text, '--- ') THEN 'frontmatter' WHEN regexp_matches(text, '^!\\[[^\\]]*\\]\\([^)\\s]+\\)$') THEN 'asset' WHEN regexp_matches(text, '^</?[A-Z][A-Za-z]*>$') THEN 'token' ELSE 'text' END AS kind FROM blocks")
+def local_nodes(spark, sf):
+    return P.local_nodes(L.extract_blocks(D.rich(spark, sf))).withColumn("text_hash", F.sha2("text", 256)).drop("text")
+
+
+@query(f"{D.with_ctes('tree')}, k AS (SELECT *, CASE substr(block_id, 1, 1) WHEN 'n' THEN 'heading' WHEN 'c' THEN 'table' WHEN 'o' THEN 'text' ELSE 'opaque' END AS kind FROM tree) SELECT block_id, parent_id, kind, row_number() OVER (PARTITION BY parent_id, kind ORDER BY pos, block_id) - 1 AS ordinal, sha256(kind || '|' || payload) AS hash FROM k")
+def remote_nodes(spark, sf):
+    return P.remote_nodes(D.tree(spark, sf), {"n": "heading", "c": "table", "o": "text"})
+
+
+@query(f"""{_N}, u AS (SELECT a.doc_id, a.pos AS b, c.pos AS c FROM n_l1 a JOIN n_r1 c ON a.doc_id = c.doc_id AND a.locator = c.locator WHERE a.kind = 'code' AND c.kind = 'code'), s AS (SELECT u.doc_id, b AS "at", CASE WHEN a.value = c.value THEN 'satisfied' ELSE 'update' END AS op FROM u JOIN n_l1 a ON a.doc_id = u.doc_id AND a.pos = u.b JOIN n_r1 c ON c.doc_id = u.doc_id AND c.pos = u.c),
+    ll AS (SELECT doc_id, pos FROM n_l1 WHERE kind = 'code' AND (doc_id, pos) NOT IN (SELECT (doc_id, b) FROM u)), lr AS (SELECT doc_id, pos FROM n_r1 WHERE kind = 'code' AND (doc_id, pos) NOT IN (SELECT (doc_id, c) FROM u)), two AS (SELECT doc_id FROM ll INTERSECT SELECT doc_id FROM lr)
+    SELECT * FROM s UNION ALL SELECT doc_id, pos, CASE WHEN doc_id IN (SELECT doc_id FROM two) THEN 'ambiguous' ELSE 'create' END FROM ll UNION ALL SELECT doc_id, pos, CASE WHEN doc_id IN (SELECT doc_id FROM two) THEN 'ambiguous' ELSE 'delete' END FROM lr""")
+def code_plan_untracked(spark, sf):
+    _, local, remote = (df.filter("kind = 'code'") for df in D.nodes(spark, sf))
+    pairs = P.align(local, remote, ["doc_id"], [("locator", ["locator"], False)], "pos")
+    return P.code_plan_untracked(local, remote, pairs, "pos")

@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from textloom.llm.labelled import Adam, fold, sample, sigmoid, temperature
 from textloom.runtime import materialize
 
-SLOTS = 1 << 18
+SLOTS = 1 << 22
 TRAIN_ROWS = 6_000
 THRESHOLD = 0.5
 #: Beginnings of words that are features too, by length.
 BEGINNINGS = (4, 5)
 #: A feature counts if the log odds of its documents are so many standard errors from 0.
 LEAST_Z = 2.8
+#: From here a feature is strong, and starts with a share of its log odds: a word and its beginnings add up.
+STRONG_Z, STRONG_ODDS, PRIOR_SHARE = 3.5, 4.0, 0.6
 PENALTY = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -97,25 +99,25 @@ def counterfactuals(text: str, rng: np.random.Generator, most: int = 4) -> list[
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    weights: dict[int, float]
     bias: float
     heat: float = 1.0
 
     def logit(self, slots: np.ndarray) -> float:
-        return float(self.weights[slots].sum()) + self.bias
+        return sum(self.weights.get(s, 0.0) for s in slots.tolist()) + self.bias
 
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
-def _z(index: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """By feature, the log odds ratio of documents with it, in standard errors."""
-    yes = np.bincount(index, weights=y[of], minlength=SLOTS)
-    no = np.bincount(index, minlength=SLOTS) - yes
+def _odds(index: np.ndarray, of: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By feature, the log odds ratio of documents with it, and the same in standard errors."""
+    yes = np.bincount(index, weights=y[of])
+    no = np.bincount(index) - yes
     n_yes, n_no = y.sum(), len(y) - y.sum()
     odds = np.log((yes + 0.5) / (n_yes - yes + 0.5)) - np.log((no + 0.5) / (n_no - no + 0.5))
-    return odds / np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5) + 1 / (n_yes - yes + 0.5) + 1 / (n_no - no + 0.5))
+    return odds, odds / np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5) + 1 / (n_yes - yes + 0.5) + 1 / (n_no - no + 0.5))
 
 
 def learn(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], epochs: int = 120, decay: float = 2e-4, penalty: float = PENALTY) -> Model:
@@ -125,30 +127,38 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pairs: l
     y = labels[use].astype(np.float64)
     terms = slots_of({t for g in IDENTITY_TERMS for t in g})
     # one weight for each telling feature and for each term
-    live = np.union1d(np.flatnonzero(np.abs(_z(index, of, y)) >= LEAST_Z), terms)
-    place = np.full(SLOTS, -1)
-    place[live] = np.arange(len(live))
-    keep = place[index] >= 0
-    index, of = place[index[keep]], of[keep]
+    seen, number = np.unique(index, return_inverse=True)
+    odds, z = _odds(number, of, y)
+    telling = np.abs(z) >= LEAST_Z
+    live = np.union1d(seen[telling], terms)
+    # weights start, and are drawn to, what each strong feature says by itself: one insult is enough
+    strong = (z >= STRONG_Z) & (odds >= STRONG_ODDS) & ~np.isin(seen, terms)
+    prior = np.zeros(len(live))
+    prior[np.searchsorted(live, seen[strong])] = odds[strong] * PRIOR_SHARE
+
+    def place(slots: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(live, slots), len(live) - 1)
+        return np.where(live[at] == slots, at, -1)
+
+    index = place(index)
+    index, of = index[index >= 0], of[index >= 0]
     a, ra = _flat([p[0] for p in pairs])
     b, rb = _flat([p[1] for p in pairs])
-    diff = np.concatenate((place[a], place[b])), np.concatenate((ra, rb)), np.concatenate((np.ones(len(a)), -np.ones(len(b))))
+    diff = np.concatenate((place(a), place(b))), np.concatenate((ra, rb)), np.concatenate((np.ones(len(a)), -np.ones(len(b))))
     diff = tuple(x[diff[0] >= 0] for x in diff)
-    w, bias = np.zeros(len(live)), np.zeros(1)
+    w, bias = prior.copy(), np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
     adam = Adam([w, bias], rate=0.05)
     share = max(y.mean(), 1e-3)
     weight = np.where(y == 1, min(0.5 / share, 4.0), 1.0)
     for _ in range(epochs):
         p = sigmoid(np.bincount(of, weights=w[index], minlength=len(y)) + bias[0])
         off = weight * (p - y) / len(y)
-        grad = np.bincount(index, weights=off[of], minlength=len(live)) + decay * w
+        grad = np.bincount(index, weights=off[of], minlength=len(live)) + decay * (w - prior)
         if len(pairs):
             change = np.bincount(diff[1], weights=diff[2] * w[diff[0]], minlength=len(pairs))
             grad += 2 * penalty / len(pairs) * np.bincount(diff[0], weights=diff[2] * change[diff[1]], minlength=len(live))
         adam.update([grad, np.array([off.sum()])])
-    full = np.zeros(SLOTS, dtype=np.float32)
-    full[live] = w
-    model = Model(full, float(bias[0]))
+    model = Model({int(s): float(x) for s, x in zip(live, w) if x}, float(bias[0]))
     if 0 < held.sum() < len(labels):
         model.heat = temperature(np.array([model.logit(r) for r, h in zip(rows, held) if h]), labels[held].astype(np.float64))
     return model
@@ -190,7 +200,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
             if word not in telling:
                 if len(telling) > 400_000:
                     telling.clear()
-                telling[word] = bool(model.weights[list(_SLOTS.__missing__(word))].any())
+                telling[word] = any(s in model.weights for s in _SLOTS[word])
             return telling[word]
 
         for batch in batches:

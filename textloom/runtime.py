@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, one machine).
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
@@ -27,5 +28,10 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint while it has at most ``max_rows`` rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.runtime import materialize
+from textloom.runtime import materialize, sized_broadcast
 
 WINDOW = 13
 SHINGLE = 4
@@ -43,10 +43,6 @@ def _row_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text.cast("string")))
 
 
-def _sized(df: DataFrame, max_rows: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def windows_of(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     """item_id, window (its words), k (words a shingle), at, key: every shingle of every window."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
@@ -69,12 +65,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     wins = materialize(windows_of(benchmark, window, shingle), "benchmark-windows")
     keys = wins.select("key", "k").distinct()
     lengths = sorted(r["k"] for r in keys.select("k").distinct().collect()) or [shingle]
-    wanted = _sized(keys.select("key").distinct(), max_broadcast_rows)
+    wanted = sized_broadcast(keys.select("key").distinct(), max_broadcast_rows)
     rarity = _document_shingles(docs, lengths).join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     ranked = wins.join(rarity, "key", "left").groupBy("item_id", "window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("at"), F.col("key"))).alias("rarest"))
     # a window whose rarest shingle is nowhere can't occur; one shared by many items is looked for once
     prefix = ranked.filter("rarest.n > 0").groupBy("window", F.col("rarest.key").alias("key"), F.col("rarest.at").alias("shift")).agg(F.collect_set("item_id").alias("items"))
-    prefix = _sized(materialize(prefix, "prefixes"), max_broadcast_rows)
+    prefix = sized_broadcast(materialize(prefix, "prefixes"), max_broadcast_rows)
     start = F.col("at") - F.col("shift")
     found = _document_shingles(docs, lengths).join(prefix, "key").filter((start >= 0) & (start + F.size("window") <= F.col("n_words")))
     found = found.filter(F.expr("slice(words, at - shift + 1, size(window)) = window"))
@@ -111,6 +107,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> Data
     args = {"window": WINDOW, "shingle": SHINGLE, "max_broadcast_rows": MAX_BROADCAST_ROWS} | settings
     found = materialize(hits(worded, benchmark, **args).select("uid").distinct(), "hit-documents")
     # only documents with a hit need judging, by their own words
-    judged = worded.join(found, "uid", "left_semi").dropDuplicates(["uid"])
+    limit = args["max_broadcast_rows"]
+    judged = worded.join(sized_broadcast(found, limit), "uid", "left_semi").dropDuplicates(["uid"])
     bad = _decided(judged, judged.select("uid", F.col("uid").alias("doc_id"), F.col("n_words").cast("long")), benchmark, **args).filter("contaminated").select(F.col("doc_id").alias("uid"))
-    return held.join(bad, "uid", "left_anti").select("row.*")
+    return held.join(sized_broadcast(materialize(bad, "contaminated"), limit), "uid", "left_anti").select("row.*")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.runtime import materialize
+from textloom.runtime import materialize, sized_broadcast
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -37,6 +37,8 @@ SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Runs up to this length are compared many at a time, longer ones each by itself; beyond LONG_RUN they are cut first.
 SHORT_RUN, LONG_RUN = 32, 8192
+#: Ids to drop that may be broadcast (8 bytes each); more are joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 #: A very long text's hashes are counted in blocks of so many.
 HASHES_AT_ONCE = 1 << 16
 
@@ -201,4 +203,6 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id, with all columns."""
     fps = materialize(fingerprints(docs, k), "doc-fingerprints")
     gone = _with_components(fps).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = materialize(gone.distinct(), "near-copies")
+    # texts stay where they are while the ids to drop can be sent to them
+    return docs.join(sized_broadcast(gone, MAX_BROADCAST_IDS), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.runtime import sized_broadcast
+
 #: An index of at most so many slugs may be broadcast; a larger one is joined by shuffle.
 MAX_BROADCAST_SLUGS = 200_000
 
@@ -27,10 +29,8 @@ def resolve_links(links: DataFrame, index: DataFrame, aliases: DataFrame, public
     public site or stays unresolved. The index is one row per slug before it is joined.
     """
     cand = index_candidates(index).select("slug", "n_urls", "url")
-    small = cand.count() <= MAX_BROADCAST_SLUGS
-    hint = F.broadcast if small else (lambda df: df)
-    direct = hint(cand.select("slug", F.col("n_urls").alias("n1"), F.col("url").alias("u1")))
-    via = hint(aliases.join(cand, aliases.target == cand.slug).select(F.col("alias").alias("slug"), F.col("n_urls").alias("n2"), F.col("url").alias("u2")))
+    direct = sized_broadcast(cand.select("slug", F.col("n_urls").alias("n1"), F.col("url").alias("u1")), MAX_BROADCAST_SLUGS)
+    via = sized_broadcast(aliases.join(cand, aliases.target == cand.slug).select(F.col("alias").alias("slug"), F.col("n_urls").alias("n2"), F.col("url").alias("u2")), MAX_BROADCAST_SLUGS)
     j = links.join(direct, "slug", "left").join(via, "slug", "left")
     n, u = F.coalesce("n1", "n2"), F.when(F.col("n1").isNotNull(), F.col("u1")).otherwise(F.col("u2"))
     fallback = F.lit(None).cast("string") if public_base is None else F.concat(F.lit(public_base), F.col("slug"))

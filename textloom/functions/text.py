@@ -16,8 +16,11 @@ def trim_ws(c: Column) -> Column:
 def canonical_markdown(c: Column) -> Column:
     """LF line ends, no blanks at line ends, at most one empty line in a row, trimmed."""
     c = F.regexp_replace(c, r"\r\n", "\n")
-    c = F.regexp_replace(c, r"(?md)[ \t]+$", "")
-    return trim_ws(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    c = F.regexp_replace(c, r"[ \t]++(?=\n|\z)", "")
+    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
+    # most texts need no trimming, and the pattern looks at every blank in a text to find that out
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), trim_ws(c)).otherwise(c)
 
 
 def content_hash(c: Column) -> Column:

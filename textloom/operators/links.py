@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.runtime import sized_broadcast
@@ -54,11 +54,14 @@ def index_as_of(requests: DataFrame, snapshots: DataFrame, ttl: str, live: Colum
     """Per request the newest snapshot of its fingerprint not after it, and whether it may be used.
 
     Younger than ``ttl``: fresh. Else the live index where there is one, else the old one with a warning.
-    The request's rows meet only snapshots of their own fingerprint and are reduced by ``max_by``.
+    Both sides stand in one order of time per fingerprint and the last snapshot is carried along: no pairs are made.
     """
-    s = snapshots.select(F.col("fingerprint").alias("of"), F.col("fetched_at").alias("at"), "snapshot_id")
-    j = requests.join(s, (F.col("fingerprint") == F.col("of")) & (F.col("at") <= F.col("ts")), "left").drop("of")
-    newest = j.groupBy(*requests.columns).agg(F.max("at").alias("fetched_at"), F.max_by("snapshot_id", "at").alias("snapshot_id"))
+    asked = requests.select("fingerprint", F.col("ts").alias("t"), F.lit(1).alias("turn"), F.struct(*requests.columns).alias("r"), F.lit(None).cast("struct<fetched_at:timestamp,snapshot_id:string>").alias("s"))
+    kept = F.struct(F.col("fetched_at").cast("timestamp").alias("fetched_at"), F.col("snapshot_id").cast("string").alias("snapshot_id"))
+    seen = snapshots.select("fingerprint", F.col("fetched_at").alias("t"), F.lit(0).alias("turn"), kept.alias("s"))
+    w = Window.partitionBy("fingerprint").orderBy("t", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    carried = asked.unionByName(seen, allowMissingColumns=True).withColumn("s", F.last("s", ignorenulls=True).over(w)).filter("turn = 1")
+    newest = carried.select("r.*", "s.fetched_at", "s.snapshot_id")
     fresh = F.col("ts") < F.col("fetched_at") + F.expr(f"INTERVAL {ttl}")
     return newest.withColumn("state", F.when(F.coalesce(fresh, F.lit(False)), "fresh").when(live, "live").when(F.col("snapshot_id").isNotNull(), "stale").otherwise("none"))
 

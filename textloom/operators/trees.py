@@ -6,6 +6,8 @@ written before the next; ``max_depth`` bounds a corrupt table's walk.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,10 @@ def preorder(blocks: DataFrame) -> DataFrame:
     """block_id, depth, n: pre-order number over all trees, by a range sort and counts per range, not by one task."""
     walked = levels(blocks).select("block_id", "depth", "path")
     parts = materialize(walked.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()).withColumn("in_part", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "preorder")
-    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    # one number per partition of the sort: as many as there are tasks
+    counts = sorted((r["part"], r["n"]) for r in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts = list(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0)))
+    before = blocks.sparkSession.createDataFrame(starts, "part int, before long")
     return parts.join(F.broadcast(before), "part").select("block_id", "depth", (F.col("before") + F.col("in_part")).alias("n"))
 
 

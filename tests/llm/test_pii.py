@@ -1,7 +1,9 @@
 import hashlib
 import re
+import warnings
 from collections import Counter
 
+import pytest
 from textloom.llm import pii
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -78,3 +80,31 @@ def test_added_spans_leave_base_spans_alone():
 
 def test_empty(no_docs):
     assert pii.personal_data(no_docs).count() == 0
+
+
+def test_the_field_learns_from_rare_spans_of_every_kind(spark):
+    much = " with much else to be said about it and more than that" * 2
+    logs = [f"line {100 + i} took {1000 + i} ms at 2019{i:04d}" for i in range(900)]
+    # ten emails first, then the other kinds; two texts are long, and one begins with them
+    rare = [much.join([*(f"write to u{i}{k}@mail.example.com" for k in range(10)), f"call +1 ({200 + i}) 555-{1000 + i}", "card 4111 1111 1111 1111", f"host 10.0.{i}.7", ""]) for i in range(30)]
+    rare += ["and so on " * 6000 + "call +44 (743) 555-1234", "dense +1 (200) 555-1000 or +1 (201) 555-1001 or a@b.example.com"]
+    df = spark.createDataFrame(list(enumerate(logs + rare)), "doc_id long, text string").repartition(3)
+    sample = pii.sampled(df)
+    assert {kind: len(found) for kind, found in sample.items()} == {"email": 31, "ip": 30, "card": 30, "phone": 32}
+    assert any("743" in text for found in sample["phone"] for _, text, _ in found)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        field = pii.fit(df)
+    assert {kind for kind, _ in field.weights} == set(pii.KINDS)
+    text = "Reach jane.doe at example dot org or (743) 555-3824 now"
+    assert {(k, text[a:b]) for k, a, b in pii.added_spans(text, [], field)} == {("email", "jane.doe at example dot org"), ("phone", "(743) 555-3824")}
+
+
+def test_the_sample_is_shared_among_kinds():
+    assert pii._shares([1000, 3, 0, 1000], 300) == [148, 3, 0, 149] and pii._shares([5, 1, 0, 2], 300) == [5, 1, 0, 2]
+
+
+def test_a_kind_without_examples_is_reported(spark):
+    df = spark.createDataFrame([(1, "mail a@b.example.com"), (2, "at 10.0.0.7 in 2019")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="card, phone"):
+        pii.fit(df)

@@ -7,8 +7,10 @@ whole candidate segments (digits, groups, separators, checksum, words around) ar
 or address signs, and dynamic programming over segments of at most ``MAX_TOKENS`` tokens chooses
 boundaries and kinds jointly. Segments that touch a base span are not added.
 
-The field learns by likelihood on at most ``TRAIN_DOCS`` documents that hold base spans, which are also
-rewritten into the forms the patterns miss; it needs no labels. The sample is fixed by a hash of the id.
+The field learns by likelihood on at most ``TRAIN_DOCS`` documents that hold base spans, shared out evenly
+among the kinds; of each at most ``TRAIN_SPANS`` spans of its kind, drawn over the whole text. The spans are
+also rewritten into the forms the patterns miss; it needs no labels. The sample is fixed by a hash of the
+text. A kind without a base span anywhere can't be learnt, which is reported as a warning.
 
 Offsets are code points, ends exclusive. Null texts are empty. Repeated rows each get their row; an empty
 table gives none. Other columns are ignored.
@@ -17,7 +19,11 @@ table gives none. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import heapq
+import json
 import re
+import warnings
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.runtime import materialize
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
 TRAIN_DOCS = 300
-#: Longer documents aren't learnt from (they are searched like any other).
-TRAIN_CHARS = 50_000
+#: Spans of a kind that one document of the sample gives, drawn by a hash of their place.
+TRAIN_SPANS = 8
 #: Characters around a trigger that the field looks at.
 AROUND = 48
 Span = tuple[str, int, int]
+#: A kind, the text around one of its spans, and the base spans in it, that span first.
+Context = tuple[str, str, list[Span]]
 
 #: The base patterns.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -225,34 +235,53 @@ def rewritten(kind: str, value: str, rng: np.random.Generator) -> str | None:
     return None
 
 
-def _examples(text: str, rng: np.random.Generator) -> list[tuple[str, list[Span]]]:
-    """Short texts with their true spans: as found, rewritten, and with the entity spoilt."""
+def contexts(text: str, base: list[Span], kind: str, most: int = TRAIN_SPANS) -> list[Context]:
+    """Spans of the kind from anywhere in the text, with what lies around them. No base span is cut at an edge."""
     out = []
-    for kind, a, b in base_spans(text)[:8]:
-        lo, hi = max(0, a - AROUND), min(len(text), b + AROUND)
-        left, value, right = text[lo:a], text[a:b], text[b:hi]
-        if base_spans(left) or base_spans(right):
-            continue
-        out.append((left + value + right, [(kind, len(left), len(left) + len(value))]))
-        if other := rewritten(kind, value, rng):
-            out.append((left + other + right, [(kind, len(left), len(left) + len(other))]))
-        if kind == "card":  # a number that fails its checksum is no card
-            spoilt = value[:-1] + str((int(value[-1]) + 1 + int(rng.integers(8))) % 10)
-            if not luhn(_digits(spoilt)):
-                out.append((left + spoilt + right, []))
-        if kind == "ip":
-            out.append((left + "999." + value.partition(".")[2] + right, []))
-            out.append((left + f"version {int(rng.integers(9))}.{int(rng.integers(20))}.{int(rng.integers(99))} of 20{int(rng.integers(10, 30))}-01-{int(rng.integers(10, 28))}" + right, []))
-        out.append((left + "".join(map(str, rng.integers(0, 10, int(rng.integers(5, 12))))) + right, []))
+    for _, a, b in heapq.nsmallest(most, (s for s in base if s[0] == kind), key=lambda s: (zlib.crc32(f"{s[1]}:{s[2]}".encode()), s)):
+        near = [s for s in base if a - AROUND < s[2] <= a or b <= s[1] < b + AROUND]
+        lo = max([0, a - AROUND, *(s[2] for s in near if s[1] < a - AROUND)])
+        hi = min([len(text), b + AROUND, *(s[1] for s in near if s[2] > b + AROUND)])
+        inside = [(kind, a, b), *(s for s in near if lo <= s[1] and s[2] <= hi)]
+        out.append((kind, text[lo:hi], [(k, x - lo, y - lo) for k, x, y in inside]))
+    return out
+
+
+def _examples(context: Context, rng: np.random.Generator) -> list[tuple[str, list[Span]]]:
+    """Short texts with their true spans: as found, rewritten, and with the entity spoilt."""
+    kind, text, [(_, a, b), *others] = context
+    left, value, right = text[:a], text[a:b], text[b:]
+
+    def put(middle: str, entity: bool = False) -> tuple[str, list[Span]]:
+        grown = len(middle) - len(value)
+        spans = [(k, x, y) if y <= a else (k, x + grown, y + grown) for k, x, y in others]
+        return left + middle + right, spans + [(kind, a, b + grown)] * entity
+
+    out = [put(value, True)]
+    if other := rewritten(kind, value, rng):
+        out.append(put(other, True))
+    if kind == "card":  # a number that fails its checksum is no card
+        spoilt = value[:-1] + str((int(value[-1]) + 1 + int(rng.integers(8))) % 10)
+        if not luhn(_digits(spoilt)):
+            out.append(put(spoilt))
+    if kind == "ip":
+        out.append(put("999." + value.partition(".")[2]))
+        out.append(put(f"version {int(rng.integers(9))}.{int(rng.integers(20))}.{int(rng.integers(99))} of 20{int(rng.integers(10, 30))}-01-{int(rng.integers(10, 28))}"))
+    out.append(put("".join(map(str, rng.integers(0, 10, int(rng.integers(5, 12)))))))
     return out
 
 
 def learn(texts: list[str], epochs: int = 12, rate: float = 0.3, decay: float = 1e-3) -> Field:
-    """Likelihood ascent over the examples of the texts."""
+    """The field of the base spans of the texts."""
+    return learn_contexts([c for text in texts for base in [base_spans(text)] for kind in KINDS for c in contexts(text, base, kind)], epochs, rate, decay)
+
+
+def learn_contexts(found: list[Context], epochs: int = 12, rate: float = 0.3, decay: float = 1e-3) -> Field:
+    """Likelihood ascent over the examples of the spans."""
     rng = np.random.default_rng(5)
     data = []
-    for text in texts:
-        for sample, spans in _examples(text, rng):
+    for context in found:
+        for sample, spans in _examples(context, rng):
             toks = tokens_of(sample, 0, len(sample))
             segments = candidates(sample, toks)
             truth = {(k, a, b) for k, a, b in spans}
@@ -292,12 +321,52 @@ def spans_text(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
-def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Field:
+def _shares(sizes: list[int], most: int) -> list[int]:
+    """An even part of ``most`` for each; what small ones leave goes to the others."""
+    out, left = [0] * len(sizes), most
+    for n, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        out[i] = min(sizes[i], left // (len(sizes) - n))
+        left -= out[i]
+    return out
+
+
+def sampled(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> dict[str, list[list[Context]]]:
+    """By kind, the contexts of each document of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the task's documents of least hash, by kind: (-hash, contexts)
+        least: dict[str, list[tuple[int, str]]] = {kind: [] for kind in KINDS}
+        held: dict[str, set[int]] = {kind: set() for kind in KINDS}
+        for batch in batches:
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+                base = base_spans(text)
+                for kind in {k for k, _, _ in base}:
+                    heap = least[kind]
+                    if h in held[kind] or (len(heap) == max_docs and -h <= heap[0][0]):
+                        continue
+                    item = (-h, json.dumps(contexts(text, base, kind)))
+                    held[kind].add(h)
+                    if len(heap) < max_docs:
+                        heapq.heappush(heap, item)
+                    else:
+                        held[kind].discard(-heapq.heapreplace(heap, item)[0])
+        rows = [(kind, -h, found) for kind in KINDS for h, found in least[kind]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["kind", "h", "found"])
+
     text = F.col("text").cast("string")
     # by a hash of the text, so that the sample doesn't depend on ids or on the order of rows
-    some = docs.filter(text.rlike("@|[0-9]{3}") & (F.length(text) <= TRAIN_CHARS)).select(F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = some.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(max_docs)
-    return learn([r["text"] for r in rows.toLocalIterator()])
+    some = docs.filter(text.rlike("@|[0-9]")).select(F.xxhash64(text).alias("h"), text.alias("text"))
+    # copies in several tasks are one document
+    rows = materialize(some.mapInArrow(run, "kind string, h long, found string"), "pii-sample").groupBy("kind", "h").agg(F.min("found").alias("found"))
+    by_kind = [[r["found"] for r in rows.filter(F.col("kind") == kind).orderBy("h").limit(max_docs).collect()] for kind in KINDS]
+    return {kind: [[(k, t, [tuple(s) for s in spans]) for k, t, spans in json.loads(x)] for x in found[:n]] for kind, found, n in zip(KINDS, by_kind, _shares([len(x) for x in by_kind], max_docs))}
+
+
+def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Field:
+    sample = sampled(docs, max_docs)
+    if absent := [kind for kind, found in sample.items() if not found]:
+        warnings.warn(f"no document holds a base span of kind {', '.join(absent)}: the field adds no such span", stacklevel=2)
+    return learn_contexts([c for found in sample.values() for x in found for c in x])
 
 
 def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:

@@ -1,51 +1,105 @@
 """Line merges of many documents. Most are decided by hashes; only documents changed on both sides meet Python.
 
 Alignment needs a longest common subsequence, which SQL has no form for. It runs per document after the
-common prefix is cut off; the table of its lengths has at most ``MAX_CELLS`` cells, and a larger pair is
-reported as ``oversize`` instead of being merged.
+common prefix, a common suffix of lines found nowhere else, and lines of one side only are left out. Of the
+table of its lengths at most ``MAX_CELLS`` cells and a few rows are held at once; a larger one is computed in
+strips, once to find their edges and again from the top, so that pairs of any size are merged.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of the table of lengths in memory at once, and the strips that a larger one is cut into.
 MAX_CELLS = 25_000_000
+STRIPS = 16
 Hunk = tuple[int, int, list[str]]
 
 
-def hunks(base: list[str], new: list[str]) -> list[Hunk] | None:
-    """Changes from base to new as (start, stop, lines); on equal ways an insertion comes first. None if oversize."""
+def _closed_suffix(a: list[str], b: list[str]) -> int:
+    """Length of the longest common suffix whose lines occur nowhere else: it aligns with itself in every way."""
+    total, seen, open_lines, closed = (Counter(a), Counter(b)), Counter(), 0, 0
+    for n in range(1, min(len(a), len(b)) + 1):
+        line = a[-n]
+        if line != b[-n]:
+            break
+        seen[line] += 1
+        whole = total[0][line] == total[1][line] == seen[line]
+        open_lines += (seen[line] == 1) - whole
+        if not open_lines:
+            closed = n
+    return closed
+
+
+def _above(line: int, y: np.ndarray, below: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The row over ``below``: a cell takes the better of a match, the cell below and, running from the right, its neighbour."""
+    best = np.maximum(below[:-1], (line == y) * (below[1:] + 1))
+    out[:-1] = np.maximum.accumulate(best[::-1])[::-1]
+    return out
+
+
+def _length_rows(x: np.ndarray, y: np.ndarray, lo: int, hi: int, below: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows lo to hi - 1 of the table of common lengths from the top; ``below`` is row hi."""
+    n, width = hi - lo, len(y) + 1
+    if n == 1 or n * width <= MAX_CELLS:
+        rows = np.zeros((n, width), dtype=np.int32)
+        for i in range(n - 1, -1, -1):
+            below = _above(x[lo + i], y, below, rows[i])
+        yield from rows
+        return
+    edges = [lo + n * k // min(n, STRIPS) for k in range(min(n, STRIPS) + 1)]
+    kept, inner = [below], set(edges[1:-1])
+    for i in range(hi - 1, edges[1] - 1, -1):
+        below = _above(x[i], y, below, np.zeros(width, dtype=np.int32))
+        if i in inner:
+            kept.append(below)
+    for top, bottom in zip(edges, edges[1:]):
+        yield from _length_rows(x, y, top, bottom, kept.pop())
+
+
+def hunks(base: list[str], new: list[str]) -> list[Hunk]:
+    """Changes from base to new as (start, stop, lines); on equal ways an insertion comes first."""
     skip = 0
     while skip < min(len(base), len(new)) and base[skip] == new[skip]:
         skip += 1
     a, b = base[skip:], new[skip:]
-    if len(a) * len(b) > MAX_CELLS:
-        return None
-    ids: dict[str, int] = {}
-    x = np.array([ids.setdefault(s, len(ids)) for s in a], dtype=np.int64)
-    y = np.array([ids.setdefault(s, len(ids)) for s in b], dtype=np.int64)
-    longest = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        # within a row, a cell takes the better of a match, the cell below and, running from the right, its neighbour
-        best = np.maximum(longest[i + 1, :-1], (x[i] == y) * (longest[i + 1, 1:] + 1)) if len(b) else longest[i, :0]
-        longest[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    if same := _closed_suffix(a, b):
+        a, b = a[:-same], b[:-same]
+    # a line that one side lacks leaves the lengths as they are: it has no row or column of its own
+    ids = {s: k for k, s in enumerate(set(a) & set(b))}
+    x, y = (np.array([ids[s] for s in side if s in ids], dtype=np.int64) for side in (a, b))
+    column = np.concatenate(([0], np.cumsum([s in ids for s in b]))).astype(np.int64).tolist()
+    none = np.zeros(len(y) + 1, dtype=np.int32)
+    rows = chain(_length_rows(x, y, 0, len(x), none) if len(x) else (), repeat(none))
+    row = next(rows)
+    later = next(rows) if a and a[0] in ids else row
     out, i, j = [], 0, 0
+
+    def down() -> None:
+        nonlocal i, row, later
+        i, row = i + 1, later
+        if i < len(a) and a[i] in ids:
+            later = next(rows)
+
     while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and x[i] == y[j]:
-            i, j = i + 1, j + 1
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            down()
+            j += 1
             continue
         start, lines = i, []
-        while (i < len(a) or j < len(b)) and not (i < len(a) and j < len(b) and x[i] == y[j]):
-            if j < len(b) and (i == len(a) or longest[i, j + 1] >= longest[i + 1, j]):
+        while (i < len(a) or j < len(b)) and not (i < len(a) and j < len(b) and a[i] == b[j]):
+            if j < len(b) and (i == len(a) or row[column[j + 1]] >= later[column[j]]):
                 lines.append(b[j])
                 j += 1
             else:
-                i += 1
+                down()
         out.append((skip + start, skip + i, lines))
     return out
 
@@ -62,11 +116,9 @@ def _conflict(local: list[str], base: list[str], remote: list[str]) -> list[str]
     return ["<<<<<<< local", *local, "||||||| base", *base, "=======", *remote, ">>>>>>> remote"]
 
 
-def three_way(base: list[str], local: list[str], remote: list[str]) -> tuple[list[str] | None, int]:
+def three_way(base: list[str], local: list[str], remote: list[str]) -> tuple[list[str], int]:
     """Merged lines and number of conflicts. Changes that touch are one region; equal results are taken once."""
     left, right = hunks(base, local), hunks(base, remote)
-    if left is None or right is None:
-        return None, 0
     out, at, conflicts, i, j = [], 0, 0, 0, 0
     while i < len(left) or j < len(right):
         start = min(h[0] for h in (left[i : i + 1] + right[j : j + 1]))
@@ -98,11 +150,9 @@ def three_way(base: list[str], local: list[str], remote: list[str]) -> tuple[lis
     return out + base[at:], conflicts
 
 
-def two_way(local: list[str], remote: list[str]) -> tuple[list[str] | None, int]:
+def two_way(local: list[str], remote: list[str]) -> tuple[list[str], int]:
     """Without a base every differing region is a conflict."""
     changes = hunks(local, remote)
-    if changes is None:
-        return None, 0
     out, at = [], 0
     for start, stop, lines in changes:
         out += [*local[at:start], "<<<<<<< local", *local[start:stop], "=======", *lines, ">>>>>>> remote"]
@@ -119,8 +169,7 @@ def _by_python(df: DataFrame, decide) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 lines, conflicts = decide(r)
-                state = "oversize" if lines is None else "conflict" if conflicts else "merged"
-                rows.append({"doc_id": r["doc_id"], "merged": None if lines is None else "\n".join(lines), "state": state, "conflicts": conflicts})
+                rows.append({"doc_id": r["doc_id"], "merged": "\n".join(lines), "state": "conflict" if conflicts else "merged", "conflicts": conflicts})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("merged", pa.string()), ("state", pa.string()), ("conflicts", pa.int32())]))
 
     return df.mapInArrow(run, _MERGED)
@@ -146,16 +195,14 @@ def merge_two_way(docs: DataFrame) -> DataFrame:
 
 
 def line_changes(docs: DataFrame) -> DataFrame:
-    """(doc_id, hunk, start, stop, lines) from ``base`` to ``next``; unequal documents only, oversize ones as one whole hunk."""
+    """(doc_id, hunk, start, stop, lines) from ``base`` to ``next``; unequal documents only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("hunk", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("lines", pa.list_(pa.string()))])
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                base, new = r["base"].split("\n"), r["next"].split("\n")
-                found = hunks(base, new)
-                for n, (a, b, lines) in enumerate([(0, len(base), new)] if found is None else found):
+                for n, (a, b, lines) in enumerate(hunks(r["base"].split("\n"), r["next"].split("\n"))):
                     rows.append({"doc_id": r["doc_id"], "hunk": n, "start": a, "stop": b, "lines": lines})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

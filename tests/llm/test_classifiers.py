@@ -74,3 +74,15 @@ def test_the_penalty_keeps_mentions_neutral():
     plain, fair = (toxicity.learn(rows, np.array(labels), held, pairs, penalty=p) for p in (0.0, toxicity.PENALTY))
     assert change(fair) < 0.3 * change(plain)
     assert fair.logit(toxicity.slots_of({"idiots"})) > 0 > fair.logit(toxicity.slots_of({"muslims"}))
+
+
+def test_pairs_come_from_the_whole_text():
+    pairs = lambda text, i=0: toxicity.counterfactuals(text, np.random.default_rng(i))
+    late = "Ok then. " * 200 + "The women came home."
+    (pair,) = pairs(late)
+    assert np.array_equal(pair[0], toxicity.slots_of({"the", "women", "came", "home"}))
+    many = "The men went out to work. " * 50 + "The jews came home early. " * 50
+    early, end = (toxicity.slots_of({w}) for w in ("men", "jews"))
+    firsts = [a for i in range(20) for a, _ in pairs(many, i)]
+    assert len(firsts) == 20 * toxicity.TRAIN_PAIRS
+    assert all(any(np.isin(t, a).all() for a in firsts) for t in (early, end))

@@ -3,7 +3,8 @@
 A logistic model over hashed words and word beginnings of a document. It learns on at most ``TRAIN_ROWS``
 labelled documents outside the held-out fold. From labelled sentences come pairs that differ in an
 identity term only: a term is swapped for another of its group, and in sentences without one a word gives
-way to a term. The loss adds the squared change of the score over each pair, so a mere mention of a group
+way to a term; a document gives at most ``TRAIN_PAIRS``, drawn over its whole text, and those with terms
+come first. The loss adds the squared change of the score over each pair, so a mere mention of a group
 moves no score, and terms that stand beside insults in the sample don't become insults.
 
 Null and empty texts are scored with no words. Repeated rows each get their row; an empty table gives
@@ -27,6 +28,8 @@ from textloom.runtime import materialize
 
 SLOTS = 1 << 22
 TRAIN_ROWS = 6_000
+#: Pairs that one document of the sample gives.
+TRAIN_PAIRS = 4
 THRESHOLD = 0.5
 #: Beginnings of words that are features too, by length.
 BEGINNINGS = (4, 5)
@@ -76,24 +79,26 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def counterfactuals(text: str, rng: np.random.Generator, most: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Feature pairs of sentences that differ in an identity term only."""
-    out = []
-    for sentence in re.split(r"(?<=[.!?])\s+|\n", text)[:64]:
+def counterfactuals(text: str, rng: np.random.Generator, most: int = TRAIN_PAIRS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Feature pairs of sentences, from anywhere in the text, that differ in an identity term only."""
+    named, others = [], []
+    for sentence in re.split(r"(?<=[.!?])\s+|\n", text):
         words = _WORD.findall(sentence.lower())
-        named = [i for i, w in enumerate(words) if w in SWAPS]
-        if named:
-            i = int(rng.choice(named))
-            other = str(rng.choice(SWAPS[words[i]]))
+        if any(w in SWAPS for w in words):
+            named.append(words)
         elif len(words) >= 4 and rng.random() < 0.2:
-            i, other = int(rng.integers(len(words))), str(rng.choice(sorted(SWAPS)))
-            words[i] = str(rng.choice(SWAPS[other]))
+            others.append(words)
+    drawn = [named[k] for k in rng.permutation(len(named))[:most]]
+    drawn += [others[k] for k in rng.permutation(len(others))[: most - len(drawn)]]
+    out = []
+    for words in drawn:
+        if places := [i for i, w in enumerate(words) if w in SWAPS]:
+            i = int(rng.choice(places))
+            other = str(rng.choice(SWAPS[words[i]]))
         else:
-            continue
-        swapped = [*words[:i], other, *words[i + 1 :]]
-        out.append((slots_of(set(words)), slots_of(set(swapped))))
-        if len(out) == most:
-            break
+            i, other = int(rng.integers(len(words))), str(rng.choice(sorted(SWAPS)))
+            words = [*words[:i], str(rng.choice(SWAPS[other])), *words[i + 1 :]]
+        out.append((slots_of(set(words)), slots_of({*words[:i], other, *words[i + 1 :]})))
     return out
 
 

@@ -84,3 +84,19 @@ def test_large_counts_stay_exact():
 
 def test_empty(no_docs):
     assert packing.pack(no_docs, PATH).count() == 0
+
+
+def test_many_sources_keep_shares_and_targets(spark):
+    rows = [(s * 4 + k, "one two three four " * 40, f"s{s}") for s in range(12) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    by = defaultdict(Counter)
+    for r in packing.pack(df, PATH, window=240, max_queues=2).collect():
+        by[r.sequence_id if r.sequence_length == 240 else -1][r.source] += r.length
+    assert len(by) > 20 and sum(sum(c.values()) for c in by.values()) == 48 * 161
+    for s, counts in by.items():  # each window holds each of twelve equal sources
+        assert s < 0 or all(abs(counts[f"s{k}"] - 20) <= 4 for k in range(12)), counts
+    first = Counter()
+    for r in packing.pack(df, PATH, window=200, targets={"s3": 0.75, "s7": 0.25}, max_queues=2).collect():
+        if r.sequence_id == 0:
+            first[r.source] += r.length
+    assert set(first) == {"s3", "s7"} and abs(first["s3"] - 150) <= 2

@@ -13,6 +13,10 @@ never shuffle; only token counts per (partition, source) do.
 Shares default to each source's part of all tokens, so that all queues end together. With other targets
 queues run dry one after another; each such phase is a packing of its own volume.
 
+Beyond ``max_queues`` sources, those without a target share queues, chosen by hash. A shared queue is
+itself such a stream of its sources at their parts of its tokens, so each source keeps its share of a
+sequence; a source with a target always has a queue of its own.
+
 Null texts are empty and consist of the end id. Null sources are one queue. Repeated rows are packed as
 often as they occur. An empty table gives no sequences. Other columns, whatever their names, are ignored.
 """
@@ -20,6 +24,7 @@ often as they occur. An empty table gives no sequences. Other columns, whatever
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -34,7 +39,7 @@ from textloom.runtime import materialize
 
 WINDOW = 4096
 END_ID = 2
-#: More sources than this share queues by hash, which bounds the mixture table on the driver.
+#: More sources than this share queues by hash, which bounds the table of a round.
 MAX_QUEUES = 1024
 #: Rows of (partition, source) counts that may be broadcast; beyond it they are joined by shuffle.
 MAX_BROADCAST_ROWS = 500_000
@@ -93,7 +98,8 @@ class RoundRobin:
 
     BLOCK = 1 << 12
 
-    def __init__(self, serves: list[int], window: int, at: int):
+    def __init__(self, serves: list[int], window: int, at: int, keep: int = 4096):
+        self.keep = keep
         self.serves, self.total, self.window, self.at = serves, sum(serves), window, at
         self.whole = np.array([window * n // self.total for n in serves], dtype=np.int64)
         self.part = np.array([window * n % self.total for n in serves], dtype=np.int64)
@@ -106,7 +112,7 @@ class RoundRobin:
         starts, which = np.unique(block, return_inverse=True)
         for b in starts.tolist():
             if b not in self.blocks:
-                if len(self.blocks) > 4096:
+                if len(self.blocks) > self.keep:
                     self.blocks.clear()
                 exact = [b * self.BLOCK * self.window * n for n in self.serves]
                 self.blocks[b] = np.array([x // self.total for x in exact], dtype=np.int64), np.array([x % self.total for x in exact], dtype=np.int64)
@@ -119,6 +125,43 @@ class RoundRobin:
         """The round that serves this token of the queue: the last one before which at most ``token`` were served."""
         return ((token + 1) * self.total - 1) // (self.window * self.serves[queue])
 
+    def lay(self, rows, queue, a, b, start):
+        """The stream's intervals that hold tokens a to b of the rows' queues: row, start in the row, length, place."""
+        r0 = np.array([self.round_of(q, t) for q, t in zip(queue.tolist(), a.tolist())], dtype=np.int64)
+        r1 = np.array([self.round_of(q, t - 1) for q, t in zip(queue.tolist(), b.tolist())], dtype=np.int64)
+        # a queue of less than a token a round is idle in most: its rounds are found token by token
+        count = np.minimum(r1 - r0 + 1, b - a)
+        of = np.repeat(np.arange(len(rows)), count)
+        rounds = r0[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        ends = np.cumsum(count)
+        for i in np.flatnonzero(r1 - r0 + 1 > b - a).tolist():
+            rounds[ends[i] - count[i] : ends[i]] = [self.round_of(int(queue[i]), t) for t in range(int(a[i]), int(b[i]))]
+        uniq, where = np.unique(rounds, return_inverse=True)
+        now, later = self.served(uniq), self.served(uniq + 1)
+        earlier = np.cumsum(later - now, axis=1) - (later - now)
+        q = queue[of]
+        lo, hi = np.maximum(a[of], now[where, q]), np.minimum(b[of], later[where, q])
+        g = self.at + now.sum(axis=1)[where] + earlier[where, q] + lo - now[where, q]
+        keep = hi > lo
+        of, lo, hi, g = of[keep], lo[keep], hi[keep], g[keep]
+        return rows[of], start[of] + lo - a[of], hi - lo, g
+
+
+class Shared:
+    """A queue of several sources: their tokens at their parts of the queue, as many in a round as a window holds of it."""
+
+    CELLS = 1 << 20
+
+    def __init__(self, totals: dict[str, int], quantum: int):
+        self.members = {source: i for i, source in enumerate(sorted(totals))}
+        self.stream = RoundRobin([totals[s] for s in self.members], quantum, 0, keep=4)
+
+    def places(self, row: int, source: str, first: int, n: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """A row's intervals of the queue, as many at once as bounded memory allows."""
+        step, one = max(1, self.CELLS // len(self.members)), lambda x: np.array([x], dtype=np.int64)
+        for at in range(0, n, step):
+            yield self.stream.lay(one(row), one(self.members[source]), one(first + at), one(first + min(n, at + step)), one(at))
+
 
 def _tail_lengths(n: int) -> list[int]:
     """Powers of two that sum to n, largest first."""
@@ -154,31 +197,11 @@ class Plan:
             a, b = np.maximum(first, lo), np.minimum(first + n, hi)
             rows = np.flatnonzero(a < b)
             if rows.size:
-                out.append(self._phase_pieces(phase, rows, queue[rows], a[rows] - lo[rows], b[rows] - lo[rows], a[rows] - first[rows]))
+                out.append(self._cut(*phase.lay(rows, queue[rows], a[rows] - lo[rows], b[rows] - lo[rows], a[rows] - first[rows])))
         if not out:
             return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def _phase_pieces(self, phase, rows, queue, a, b, start):
-        r0 = np.array([phase.round_of(q, t) for q, t in zip(queue.tolist(), a.tolist())], dtype=np.int64)
-        r1 = np.array([phase.round_of(q, t - 1) for q, t in zip(queue.tolist(), b.tolist())], dtype=np.int64)
-        # a queue of less than a token a round is idle in most: its rounds are found token by token
-        count = np.minimum(r1 - r0 + 1, b - a)
-        of = np.repeat(np.arange(len(rows)), count)
-        rounds = r0[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        ends = np.cumsum(count)
-        for i in np.flatnonzero(r1 - r0 + 1 > b - a).tolist():
-            rounds[ends[i] - count[i] : ends[i]] = [phase.round_of(int(queue[i]), t) for t in range(int(a[i]), int(b[i]))]
-        uniq, where = np.unique(rounds, return_inverse=True)
-        now, later = phase.served(uniq), phase.served(uniq + 1)
-        earlier = np.cumsum(later - now, axis=1) - (later - now)
-        q = queue[of]
-        lo, hi = np.maximum(a[of], now[where, q]), np.minimum(b[of], later[where, q])
-        g = phase.at + now.sum(axis=1)[where] + earlier[where, q] + lo - now[where, q]
-        keep = hi > lo
-        of, lo, hi, g = of[keep], lo[keep], hi[keep], g[keep]
-        return self._cut(rows[of], start[of] + lo - a[of], hi - lo, g)
-
     def _cut(self, row, start, length, g):
         """Cut stream intervals where a sequence ends."""
         edges_full = np.maximum(0, np.minimum(g + length - 1, self.full) // self.window - np.minimum(g, self.full) // self.window)
@@ -199,11 +222,19 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None
     tokens = materialize(tokenized(docs, tokenizer_path, end_id), "tokens")
     counts = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     many = counts.select("source").distinct().count() > max_queues
-    queue = F.concat(F.lit("queue-"), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")) if many else F.col("source")
-    order = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
+    queue = F.col("source")
+    if many:  # a source with a target keeps its queue
+        own = sorted(q for q, share in (targets or {}).items() if share)
+        queue = F.when(F.col("source").isin(own), F.concat(F.lit("source-"), "source")).otherwise(F.concat(F.lit("queue-"), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")))
+        targets = None if targets is None else {f"source-{q}": share for q, share in targets.items()}
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialize(counts.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))), "token-counts")
-    mixture = sorted((r["queue"], r["n"]) for r in counts.groupBy("queue").agg(F.sum("n").alias("n")).collect())
+    by_queue: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in counts.groupBy("queue", "source").agg(F.sum("n").alias("n")).collect():
+        by_queue[r["queue"]][r["source"]] = r["n"]
+    mixture = sorted((q, sum(by_source.values())) for q, by_source in by_queue.items())
     plan = Plan([q for q, _ in mixture], [n for _, n in mixture], targets, window)
+    shared = {q: Shared(by_queue[q], -(-window * n // plan.total)) for q, n in mixture if len(by_queue[q]) > 1}
     small = counts.count() <= MAX_BROADCAST_ROWS
     based = counts.select("source", "part", "queue", "base")
     placed = tokens.join(F.broadcast(based) if small else based, ["source", "part"])
@@ -211,13 +242,29 @@ def pack(docs: DataFrame, tokenizer_path: str, targets: dict[str, float] | None
     dtype = memo(tokenizer_path).dtype
     step = max(1, 2_000_000 // (32 * max(1, len(mixture))))
 
+    def placed_pieces(some: pa.RecordBatch, queues: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        first = some.column("first").to_numpy()
+        if not shared:
+            return plan.pieces(queues, first, n)
+        alone = np.array([q not in shared for q in some.column("queue").to_pylist()], dtype=bool)
+        rows = np.flatnonzero(alone)
+        row, *rest = plan.pieces(queues[rows], first[rows], n[rows])
+        out = [(rows[row], *rest)]
+        for i in np.flatnonzero(~alone).tolist():
+            for of, start, length, g in shared[some.column("queue")[i].as_py()].places(i, some.column("source")[i].as_py(), int(first[i]), int(n[i])):
+                for k in range(0, len(of), 32 * step):
+                    at = slice(k, k + 32 * step)
+                    piece, begin, *rest = plan.pieces(queues[of[at]], g[at], length[at])
+                    out.append((of[at][piece], start[at][piece] + begin, *rest))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
                 queues = np.array([plan.queues[q] for q in some.column("queue").to_pylist()], dtype=np.int64)
                 n = some.column("n").to_numpy()
-                row, start, length, seq, offset, seq_length = plan.pieces(queues, some.column("first").to_numpy(), n)
+                row, start, length, seq, offset, seq_length = placed_pieces(some, queues, n)
                 ids = [np.frombuffer(x.as_buffer(), dtype=dtype).astype("<u4").tobytes() for x in some.column("ids")]
                 crc = [zlib.crc32(memoryview(ids[r])[4 * a : 4 * (a + k)]) for r, a, k in zip(row.tolist(), start.tolist(), length.tolist())]
                 take = pa.array(row)

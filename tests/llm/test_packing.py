@@ -1,3 +1,5 @@
+import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -5,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from textloom.llm import packing
+from textloom.llm.wordids import WordMemo
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -100,3 +103,37 @@ def test_many_sources_keep_shares_and_targets(spark):
         if r.sequence_id == 0:
             first[r.source] += r.length
     assert set(first) == {"s3", "s7"} and abs(first["s3"] - 150) <= 2
+
+
+SIGNS = [*"abzIİıßſKÅéñΣς.,'’-_ \n\t0١²日한ǅŉŐ", "\u0307", "e\u0301", "İ.", "İ,", "Σ.", "'s", "'ll", "<|endoftext|>", "\u2003", "\x85", "\x1c", "\u200b", "ﬁ", "\u0345", "👍", "\U0001e900", "x" * 70]
+
+
+def test_ids_are_the_librarys():
+    rng, memo = random.Random(7), WordMemo(PATH)
+    texts = ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    got = [x for k in range(0, len(texts), 500) for x in memo.encode_all(texts[k : k + 500])]
+    want = memo.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert memo.by_words
+    assert [np.frombuffer(x, memo.dtype).tolist() for x in got] == [x.ids for x in want]
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    memo = WordMemo(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["two  spaces\n and a line", "", "İ. end"]
+    assert not memo.by_words
+    assert [np.frombuffer(x, memo.dtype).tolist() for x in memo.encode_all(texts)] == [x.ids for x in memo.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_long_document_of_one_of_many_sources_takes_little_memory():
+    plan = packing.Plan([f"s{i}" for i in range(1000)], [2_000_000] * 1000, None, 4096)
+    tracemalloc.start()
+    _, start, length, *_ = plan.pieces(np.array([5]), np.array([1000]), np.array([200_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert length.sum() == 200_000 and sorted(start.tolist())[0] == 0 and peak < 100 << 20
+
+
+def test_three_thousand_sources(spark):
+    df = spark.createDataFrame([(i, "one two three " * 20, f"s{i}") for i in range(3000)], "doc_id long, text string, source string")
+    rows = packing.pack(df, PATH).collect()
+    assert sum(r.length for r in rows) == 3000 * 61 and {r.source for r in rows if r.sequence_id == 0} == {f"s{i}" for i in range(3000)}

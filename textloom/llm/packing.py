@@ -58,7 +58,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 sources = some.column("source").to_pylist()
-                ids = [words.encode(text or "") + end for text in some.column("text").to_pylist()]
+                ids = [x + end for x in words.encode_all([text or "" for text in some.column("text").to_pylist()])]
                 counts = [len(x) // words.dtype.itemsize for x in ids]
                 before = []
                 for source, n in zip(sources, counts):
@@ -97,6 +97,8 @@ class RoundRobin:
     """Where the tokens of one phase lie in the stream of servings."""
 
     BLOCK = 1 << 12
+    #: Cells (rounds by queues) of a table of servings held at once.
+    CELLS = 1 << 20
 
     def __init__(self, serves: list[int], window: int, at: int, keep: int = 4096):
         self.keep = keep
@@ -137,11 +139,16 @@ class RoundRobin:
         for i in np.flatnonzero(r1 - r0 + 1 > b - a).tolist():
             rounds[ends[i] - count[i] : ends[i]] = [self.round_of(int(queue[i]), t) for t in range(int(a[i]), int(b[i]))]
         uniq, where = np.unique(rounds, return_inverse=True)
-        now, later = self.served(uniq), self.served(uniq + 1)
-        earlier = np.cumsum(later - now, axis=1) - (later - now)
-        q = queue[of]
-        lo, hi = np.maximum(a[of], now[where, q]), np.minimum(b[of], later[where, q])
-        g = self.at + now.sum(axis=1)[where] + earlier[where, q] + lo - now[where, q]
+        q, lo, hi, g = queue[of], a[of], b[of], np.zeros(len(of), dtype=np.int64)
+        order, step = np.argsort(where, kind="stable"), max(1, self.CELLS // len(self.serves))
+        for first in range(0, len(uniq), step):
+            some = uniq[first : first + step]
+            at = order[slice(*np.searchsorted(where[order], (first, first + len(some))))]
+            now, later = self.served(some), self.served(some + 1)
+            earlier = np.cumsum(later - now, axis=1) - (later - now)
+            row, own = where[at] - first, q[at]
+            lo[at], hi[at] = np.maximum(lo[at], now[row, own]), np.minimum(hi[at], later[row, own])
+            g[at] = self.at + now.sum(axis=1)[row] + earlier[row, own] + lo[at] - now[row, own]
         keep = hi > lo
         of, lo, hi, g = of[keep], lo[keep], hi[keep], g[keep]
         return rows[of], start[of] + lo - a[of], hi - lo, g
@@ -150,7 +157,7 @@ class RoundRobin:
 class Shared:
     """A queue of several sources: their tokens at their parts of the queue, as many in a round as a window holds of it."""
 
-    CELLS = 1 << 20
+    CELLS = RoundRobin.CELLS
 
     def __init__(self, totals: dict[str, int], quantum: int):
         self.members = {source: i for i, source in enumerate(sorted(totals))}

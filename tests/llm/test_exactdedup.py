@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from textloom.llm import exactdedup
 
 
@@ -10,7 +11,7 @@ def digest(t):
     return hashlib.sha256(re.sub("[\x20\x09-\x0d]+", " ", t or "").encode()).hexdigest()
 
 
-@pytest.mark.parametrize("bits", [exactdedup.MAX_BITS, 1])
+@pytest.mark.parametrize("bits", [exactdedup.MAX_BROADCAST_BITS, 1])
 def test_decisions(docs, texts, bits):
     groups = defaultdict(list)
     for i, t in texts:
@@ -26,8 +27,9 @@ def test_decisions(docs, texts, bits):
     assert Counter(tuple(r) for r in exactdedup.exact_duplicates(docs, bits).collect()) == want
 
 
-def test_dropping_keeps_one_of_each_with_all_columns(docs, texts):
-    kept = exactdedup.drop_exact_duplicates(docs)
+@pytest.mark.parametrize("bits,keys", [(exactdedup.MAX_BROADCAST_BITS, exactdedup.MAX_BROADCAST_KEYS), (1, 0)])
+def test_dropping_keeps_one_of_each_with_all_columns(docs, texts, bits, keys):
+    kept = exactdedup.drop_exact_duplicates(docs, bits, keys)
     assert kept.columns == docs.columns
     best = {}
     for i, t in texts:
@@ -41,6 +43,30 @@ def test_empty(no_docs):
     assert exactdedup.drop_exact_duplicates(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("rows", [3_000, 200_000])
+@pytest.mark.parametrize("bits", [exactdedup.MAX_BROADCAST_BITS, 1])
+def test_few_unrepeated_rows_are_suspects(spark, rows, bits):
+    digests = spark.range(rows).select(F.xxhash64("id").alias("h"))
+    assert exactdedup.with_suspects(digests, bits).filter("suspect").count() <= 0.05 * rows
+
+
+def test_texts_never_shuffle(spark):
+    df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(50)], "doc_id long, text string")
+    kept = exactdedup.drop_exact_duplicates(df)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan
+    assert kept.count() == 7
+
+
+def test_long_texts_and_clashing_rows(spark):
+    long = "word " * 300_000
+    rows = [(5, long, 1, {"a": 1}), (3, long.replace(" ", "\n"), 2, None), (3, long, 2, None), (3, long, 2, None), (None, long, 0, None), (9, None, 1, None), (8, "", 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rk int, h map<string,int>").repartition(2)
+    kept = exactdedup.drop_exact_duplicates(df).select("doc_id", "rk").collect()
+    assert sorted((r.doc_id, r.rk) for r in kept) == [(3, 2), (8, 1)]
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exactdedup.exact_duplicates(df).collect()} == {(5, 3, 5), (3, 3, 5), (None, 3, 5), (9, 8, 2), (8, 8, 2)}
+
+
 def test_native(docs):
     plan = exactdedup.exact_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -5,12 +5,16 @@ marked at least twice, as bitmaps. Pass two tests every hash against them: a row
 marked twice may be repeated, any other row is alone and passes straight through. Only rows that may be
 repeated shuffle, by their SHA-256, which decides; the Bloom filter can cost time, never change a result.
 
-The filter has at most ``max_bits`` bits (the broadcast is an eighth of that in bytes). Where the corpus
-is larger than that supports, more rows are tested by their digest, 40 bytes each.
-
-Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` became one space; null is empty.
-Of equal texts the smallest doc_id stays (null last); of repeated rows with that id, one stays. Other
-columns, whatever their names, pass through ``drop_exact_duplicates`` untouched.
+The filter has ``BITS_PER_ROW`` bits a row whatever the number of rows, so the part of unrepeated rows that
+it lets through stays the same (under 2 %). It is broadcast while it has at most ``max_broadcast_bits`` bits
+(an eighth of that in bytes); a larger one stays a table of blocks, and the rows' hashes are dealt to it.
+Texts never shuffle for the decision: ``drop_exact_duplicates`` finds the keys of the rows that go, which are
+sent to the rows while they are at most ``max_broadcast_keys``, else joined by shuffle.
+
+Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` became one space; null is empty and
+very long texts are taken whole. Of equal texts the smallest doc_id stays (null last); of repeated rows with
+that id, one stays. An empty table gives no rows. Other columns, whatever their names, pass through
+``drop_exact_duplicates`` untouched.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.runtime import materialize
+from textloom.runtime import materialize, sized_broadcast
 
 BLOCK_BITS = 1 << 15
 BITS_PER_ROW = 16
 #: 2**29 bits: a broadcast of 64 MiB at most.
-MAX_BITS = 1 << 29
+MAX_BROADCAST_BITS = 1 << 29
+#: Keys of rows to drop that may be broadcast (16 bytes each).
+MAX_BROADCAST_KEYS = 2_000_000
 
 
 def normalized(text: Column) -> Column:
@@ -40,10 +46,10 @@ def _bit_set(bitmap: Column, bit: Column) -> Column:
     return F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1
 
 
-def twice_marked(digests: DataFrame, n_rows: int, max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
+def twice_marked(digests: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
     """Bitmaps by block of the bits that at least two rows mark, and the number of blocks."""
     blocks = 1
-    while blocks * BLOCK_BITS < min(max_bits, BITS_PER_ROW * n_rows):
+    while blocks * BLOCK_BITS < BITS_PER_ROW * n_rows:
         blocks *= 2
     block, one, two = _bits(F.col("h"), blocks)
     marks = digests.select(block.alias("block"), F.explode(F.array_distinct(F.array(one, two))).alias("bit"))
@@ -51,38 +57,56 @@ def twice_marked(digests: DataFrame, n_rows: int, max_bits: int = MAX_BITS) -> t
     return twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")), blocks
 
 
-def with_suspects(digests: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def with_suspects(digests: DataFrame, max_broadcast_bits: int = MAX_BROADCAST_BITS) -> DataFrame:
     """``digests`` (with a hash ``h``) plus ``suspect``: whether the text may occur more than once."""
-    bitmaps, blocks = twice_marked(digests, digests.count(), max_bits)
+    bitmaps, blocks = twice_marked(digests, digests.count())
     block, one, two = _bits(F.col("h"), blocks)
-    tested = digests.withColumn("block", block).join(F.broadcast(bitmaps), "block", "left")
+    small = blocks * BLOCK_BITS <= max_broadcast_bits
+    tested = digests.withColumn("block", block).join(F.broadcast(bitmaps) if small else materialize(bitmaps, "bitmaps"), "block", "left")
     hit = F.coalesce(_bit_set(F.col("bitmap"), one) & _bit_set(F.col("bitmap"), two), F.lit(False))
     return tested.withColumn("suspect", hit).drop("block", "bitmap")
 
 
-def exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def _groups(suspects: DataFrame, tie: str) -> DataFrame:
+    """text_sha256, first, group_size of every text that suspects (doc_id, the tie, text_sha256) have.
+
+    Written, so that the join with it reads two plain exchanges, of which a hot group's can be split.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(tie))
+    return materialize(suspects.groupBy("text_sha256").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size")), "duplicate-groups")
+
+
+def exact_duplicates(docs: DataFrame, max_broadcast_bits: int = MAX_BROADCAST_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     text = normalized(F.col("text"))
     digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select("doc_id", F.monotonically_increasing_id().alias("uid"), F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("h"))
-    digests = with_suspects(materialize(digests, "digests"), max_bits)
+    digests = with_suspects(materialize(digests, "digests"), max_broadcast_bits)
     alone = digests.filter(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     suspects = digests.filter("suspect").select("doc_id", "uid", "text_sha256")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("uid"))
-    # written first, so that the join below reads two plain exchanges, of which a hot group's can be split
-    groups = materialize(suspects.groupBy("text_sha256").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size")), "duplicate-groups")
-    decided = suspects.join(groups, "text_sha256").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256")
+    decided = suspects.join(_groups(suspects, "uid"), "text_sha256").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256")
     return alone.unionByName(decided)
 
 
-def drop_exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows that can't be repeated never shuffle."""
-    text = normalized(F.col("text"))
-    bitmaps, blocks = (lambda d: twice_marked(d, d.count(), max_bits))(materialize(docs.select(F.xxhash64(text).alias("h")), "hashes"))
-    block, one, two = _bits(F.xxhash64(text), blocks)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    tested = docs.select(row.alias("row"), text.alias("t"), block.alias("block"), one.alias("one"), two.alias("two")).join(F.broadcast(bitmaps), "block", "left")
-    hit = F.coalesce(_bit_set(F.col("bitmap"), F.col("one")) & _bit_set(F.col("bitmap"), F.col("two")), F.lit(False))
-    alone = tested.filter(~hit).select("row.*")
-    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.xxhash64(F.to_json("row")).alias("tie"))
-    kept = tested.filter(hit).select(F.sha2("t", 256).alias("sha"), "row", order.alias("o")).groupBy("sha").agg(F.min_by("row", "o").alias("row")).select("row.*")
-    return alone.unionByName(kept)
+def _row_key(docs: DataFrame) -> Column:
+    """128 bits of all that a row holds: the same in every scan, and equal rows have equal keys."""
+    plain = [F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.struct(F.xxhash64(*plain).alias("a"), F.xxhash64(F.lit(1), *plain).alias("b"))
+
+
+def drop_exact_duplicates(docs: DataFrame, max_broadcast_bits: int = MAX_BROADCAST_BITS, max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _row_key(docs).alias("rk"))
+    narrow = held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "rk", normalized(F.col("row.text")).alias("t"))
+    digests = materialize(narrow.select("doc_id", "rk", F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("h")), "digests")
+    suspects = with_suspects(digests, max_broadcast_bits).filter("suspect").select("doc_id", "rk", "text_sha256")
+    groups = _groups(suspects, "rk").filter("group_size > 1").drop("group_size")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rk") == F.col("first.rk"))
+    copies = suspects.join(groups, "text_sha256").groupBy("rk").agg(F.bool_or(kept).alias("kept"), F.count(F.lit(1)).alias("n"))
+    copies = materialize(copies.filter("NOT kept OR n > 1"), "copies")
+    staying = held.join(sized_broadcast(copies.filter("NOT kept").select("rk"), max_broadcast_keys), "rk", "left_anti")
+    again = copies.filter("kept").select("rk")  # rows that are the same in all columns: of these one stays
+    if again.isEmpty():
+        return staying.select("row.*")
+    again = sized_broadcast(again, max_broadcast_keys)
+    one = staying.join(again, "rk", "left_semi").groupBy("rk").agg(F.first("row").alias("row"))
+    return staying.join(again, "rk", "left_anti").select("row.*").unionByName(one.select("row.*"))

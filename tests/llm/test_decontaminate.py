@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from textloom.llm import decontaminate
 
 SPLIT = re.compile("[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -48,7 +49,7 @@ def test_matches_brute_force(spark, docs, texts, max_rows):
     bench = spark.createDataFrame([(*i, "x", 1) for i in items], "item_id long, text string, `key` string, at long")
     got = decontaminate.contamination(docs, bench, max_broadcast_rows=max_rows)
     assert Counter(tuple(r) for r in got.collect()) == brute(texts, items)
-    kept = decontaminate.drop_contaminated(docs, bench)
+    kept = decontaminate.drop_contaminated(docs, bench, max_broadcast_rows=max_rows)
     assert kept.columns == docs.columns
     want = Counter()
     for (d, *_, bad), n in brute(texts, items).items():
@@ -64,3 +65,25 @@ def test_empty_and_native(spark, docs, no_docs):
     out = decontaminate.contamination(docs, none)
     assert out.count() == docs.count() and out.filter("contaminated").isEmpty()
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert decontaminate.drop_contaminated(no_docs, some).count() == 0 and decontaminate.drop_contaminated(docs, none).count() == docs.count()
+
+
+def test_many_shingles_never_take_the_words_along(spark, docs):
+    bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    rows = docs.select(decontaminate._row_key(F.col("doc_id"), F.col("text")).alias("uid"), "doc_id", "text")
+    keys = decontaminate.windows_of(bench, 13, 4).select("key")
+    plan = decontaminate.places(rows, keys, [4], 0)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    below = [line for line in plan.splitlines() if "Project" in line and "words" in line]
+    assert dealt and below and all("words#" not in line.replace("n_words#", "") for line in dealt)
+    found = decontaminate.places(rows, keys, [4], 0)
+    assert set(found.columns) == {"uid", "doc_id", "n_words", "at", "key"} and found.filter("at = n_words").count() == docs.count()
+
+
+def test_a_passage_of_many_items_and_long_texts(spark):
+    words = " ".join(f"w{i % 977}x{i}" for i in range(200_000))
+    passage = " ".join(words.split()[150_000:150_030])
+    bench = spark.createDataFrame([(f"b{i}", passage) for i in range(300)], "item_id string, text string")
+    df = spark.createDataFrame([(1, words), (2, passage + " end"), (2, passage + " end"), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(df, bench).collect()}
+    assert got == {(1, 200_000, 30, 300, False), (2, 31, 30, 300, True), (3, 0, 0, 0, False)}

@@ -1,15 +1,19 @@
 """Benchmark decontamination as a prefix-filtered set join; DataFrame functions only (operator 10).
 
 A window (13 consecutive words of an item; a shorter item is one window) must be contained whole, so of
-its shingles ordered by rarity a prefix of one is necessary: the window's rarest shingle. Rarity is
-counted over all documents. Documents' shingles join the windows on that one shingle; its place in the
-window and the two lengths bound where the window can lie, and the words there are compared one by one.
+its shingles ordered by rarity a prefix of one is necessary: the window's rarest shingle. One pass over the
+texts finds the places of all shingles that windows have; rarity, the prefix join and the bounds (the place
+in the window and the two lengths say where the window can lie) work on those places alone. Then the words
+of the documents with a place left are fetched once and compared one by one.
 
-The benchmark's index is broadcast while it has at most ``max_broadcast_rows`` rows, else joined by shuffle.
+The windows' shingles and the places are broadcast while they have at most ``max_broadcast_rows`` rows. Of
+more shingles a Bloom filter of bounded size goes to the texts, and the places that pass it are joined by
+shuffle. Words never do, but for documents with a place left when those are too many to broadcast, once each.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null texts have no words, items
-without words no windows. Repeated rows each get their row; items with equal ids are one item. Empty
-tables give no rows (documents) or no hits (benchmark). Other columns are ignored.
+without words no windows; very long texts are taken whole. Repeated rows each get their row; items with
+equal ids are one item. Of equally rare shingles the first in the window is its prefix, which changes no
+result. Empty tables give no rows (documents) or no hits (benchmark). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.bits import filter_of, may_hold
 from textloom.runtime import materialize, sized_broadcast
 
 WINDOW = 13
 SHINGLE = 4
 MAX_BROADCAST_ROWS = 200_000
+#: Bits of the filter of shingles where they are too many to broadcast: 64 MiB.
+MAX_FILTER_BITS = 1 << 29
 _NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,8 +46,9 @@ def _key(words: Column, at: Column, k: int) -> Column:
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
-    """A key of what a row holds: equal in every scan of the rows, and equal rows are decided alike."""
-    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text.cast("string")))
+    """128 bits of what a row holds: equal in every scan of the rows, and equal rows are decided alike."""
+    held = F.coalesce(doc_id.cast("string"), F.lit("null")), text.cast("string")
+    return F.struct(F.xxhash64(*held).alias("a"), F.xxhash64(F.lit(1), *held).alias("b"))
 
 
 def windows_of(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
@@ -53,61 +61,71 @@ def windows_of(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     return wins.withColumn("key", key)
 
 
-def _document_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    at = F.col("at")
-    keys = F.array(*(F.when(at + k <= F.col("n_words"), _key(F.col("words"), at, k)) for k in lengths))
-    return docs.select("*", F.explode(F.expr("sequence(0, n_words - 1)")).alias("at")).withColumn("key", F.explode(keys) if len(lengths) > 1 else F.get(keys, F.lit(0)))
-
+def places(rows: DataFrame, keys: DataFrame, lengths: list[int], max_broadcast_rows: int) -> DataFrame:
+    """uid, doc_id, n_words, at, key: where ``rows`` (uid, doc_id, text) have a shingle of the windows.
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """uid, item_id, start, stop: every place in ``docs`` (uid, words, n_words) where a window occurs."""
-    docs = docs.filter("n_words > 0")
+    A document's last row, at ``n_words``, stands for the document itself.
+    """
+    worded = rows.select("uid", "doc_id", words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    at = F.col("at")
+    own = [F.when(at + k <= F.col("n_words"), _key(F.col("words"), at, k)) for k in lengths]
+    own[0] = F.when(at == F.col("n_words"), F.lit(0).cast("long")).otherwise(own[0])
+    rolled = worded.select("*", F.explode(F.expr("sequence(0, n_words)")).alias("at")).withColumn("key", F.explode(F.array(*own)) if len(own) > 1 else own[0]).drop("words")
+    wanted = materialize(keys.unionByName(keys.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"))).distinct(), "wanted-shingles")
+    n = wanted.count()
+    if n > max_broadcast_rows:
+        rolled, wanted = may_hold(rolled, *filter_of(wanted, n, MAX_FILTER_BITS)), wanted
+    else:
+        wanted = F.broadcast(wanted)
+    return rolled.join(wanted, "key", "left_semi").select("uid", "doc_id", "n_words", "at", "key")
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, max_broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (uid, doc_id, n_words), and of those with a hit uid, n_hit and the sorted items."""
     wins = materialize(windows_of(benchmark, window, shingle), "benchmark-windows")
-    keys = wins.select("key", "k").distinct()
-    lengths = sorted(r["k"] for r in keys.select("k").distinct().collect()) or [shingle]
-    wanted = sized_broadcast(keys.select("key").distinct(), max_broadcast_rows)
-    rarity = _document_shingles(docs, lengths).join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    ranked = wins.join(rarity, "key", "left").groupBy("item_id", "window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("at"), F.col("key"))).alias("rarest"))
-    # a window whose rarest shingle is nowhere can't occur; one shared by many items is looked for once
-    prefix = ranked.filter("rarest.n > 0").groupBy("window", F.col("rarest.key").alias("key"), F.col("rarest.at").alias("shift")).agg(F.collect_set("item_id").alias("items"))
-    prefix = sized_broadcast(materialize(prefix, "prefixes"), max_broadcast_rows)
+    lengths = sorted(r["k"] for r in wins.select("k").distinct().collect()) or [shingle]
+    seen = materialize(places(rows, wins.select("key"), lengths, max_broadcast_rows), "shingle-places")
+    base, seen = seen.filter("at = n_words").select("uid", "doc_id", F.col("n_words").cast("long").alias("n_words")), seen.filter("at < n_words")
+    rarity = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # a window whose rarest shingle is nowhere can't occur; one that many items share is looked for once
+    ranked = wins.join(rarity, "key", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("at"), F.col("key"))).alias("rarest"))
+    prefix = materialize(ranked.filter("rarest.n > 0").select("window", F.col("rarest.key").alias("key"), F.col("rarest.at").alias("shift")), "prefixes")
     start = F.col("at") - F.col("shift")
-    found = _document_shingles(docs, lengths).join(prefix, "key").filter((start >= 0) & (start + F.size("window") <= F.col("n_words")))
-    found = found.filter(F.expr("slice(words, at - shift + 1, size(window)) = window"))
-    return found.select("uid", start.alias("start"), (start + F.size("window")).alias("stop"), "items")
+    near = seen.join(sized_broadcast(prefix, max_broadcast_rows), "key").filter((start >= 0) & (start + F.size("window") <= F.col("n_words")))
+    near = sized_broadcast(materialize(near.select("uid", start.alias("start"), "window").distinct(), "window-places"), max_broadcast_rows)
+    texts = rows.select("uid", "text").join(sized_broadcast(near.select("uid").distinct(), max_broadcast_rows), "uid", "left_semi")
+    held = texts.select("uid", words_of(F.col("text")).alias("words")).join(near, "uid").filter(F.expr("slice(words, start + 1, size(window)) = window"))
+    hits = materialize(held.select("uid", "start", (F.col("start") + F.size("window")).alias("stop"), "window").distinct(), "window-hits")
+    order = Window.partitionBy("uid").orderBy("start", "stop")
+    covered = hits.select("uid", "start", "stop").distinct().withColumn("seen", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    fresh = F.greatest(F.col("stop") - F.greatest(F.col("start"), F.coalesce("seen", F.lit(0))), F.lit(0))
+    n_hit = covered.groupBy("uid").agg(F.sum(fresh).cast("long").alias("n_hit"))
+    item_of = wins.select("window", F.col("item_id").cast("string").alias("item")).distinct()
+    items = hits.select("uid", "window").distinct().join(item_of, "window").select("uid", "item").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return base, materialize(n_hit.join(items, "uid"), "hit-documents")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(F.col("doc_id"), F.col("text")).alias("uid"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
-    return _decided(worded, worded.select("uid", "doc_id", F.col("n_words").cast("long")), benchmark, window, shingle, max_broadcast_rows)
-
-
-def _decided(worded: DataFrame, base: DataFrame, benchmark: DataFrame, window: int, shingle: int, max_broadcast_rows: int) -> DataFrame:
-    found = materialize(hits(worded, benchmark, window, shingle, max_broadcast_rows), "window-hits")
-    order = Window.partitionBy("uid").orderBy("start", "stop")
-    covered = found.select("uid", "start", "stop").distinct().withColumn("seen", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    fresh = F.greatest(F.col("stop") - F.greatest(F.col("start"), F.coalesce("seen", F.lit(0))), F.lit(0))
-    n_hit = covered.groupBy("uid").agg(F.sum(fresh).cast("long").alias("n_hit"))
-    items = found.select("uid", F.explode(F.col("items").cast("array<string>")).alias("item")).distinct().groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    per_doc = base.join(n_hit, "uid", "left").join(items, "uid", "left")
+    rows = docs.select(_row_key(F.col("doc_id"), F.col("text")).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base, found = _found(rows, benchmark, window, shingle, max_broadcast_rows)
     names = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return per_doc.select(
+    return base.join(sized_broadcast(found, max_broadcast_rows), "uid", "left").select(
         "doc_id", "n_words", n.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n > 0) & (20 * n >= F.col("n_words"))).alias("contaminated"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), _contaminated(n, F.col("n_words")).alias("contaminated"),
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     held = docs.select(_row_key(F.col("doc_id"), F.col("text")).alias("uid"), row.alias("row"))
-    worded = held.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), words_of(F.col("row.text")).alias("words")).withColumn("n_words", F.size("words"))
-    args = {"window": WINDOW, "shingle": SHINGLE, "max_broadcast_rows": MAX_BROADCAST_ROWS} | settings
-    found = materialize(hits(worded, benchmark, **args).select("uid").distinct(), "hit-documents")
-    # only documents with a hit need judging, by their own words
-    limit = args["max_broadcast_rows"]
-    judged = worded.join(sized_broadcast(found, limit), "uid", "left_semi").dropDuplicates(["uid"])
-    bad = _decided(judged, judged.select("uid", F.col("uid").alias("doc_id"), F.col("n_words").cast("long")), benchmark, **args).filter("contaminated").select(F.col("doc_id").alias("uid"))
-    return held.join(sized_broadcast(materialize(bad, "contaminated"), limit), "uid", "left_anti").select("row.*")
+    rows = held.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    base, found = _found(rows, benchmark, window, shingle, max_broadcast_rows)
+    bad = base.join(sized_broadcast(found, max_broadcast_rows), "uid").filter(_contaminated(F.col("n_hit"), F.col("n_words"))).select("uid").distinct()
+    return held.join(sized_broadcast(materialize(bad, "contaminated"), max_broadcast_rows), "uid", "left_anti").select("row.*")

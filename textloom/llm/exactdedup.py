@@ -5,7 +5,7 @@ marked at least twice, as bitmaps. Pass two tests every hash against them: a row
 marked twice may be repeated, any other row is alone and passes straight through. Only rows that may be
 repeated shuffle, by their SHA-256, which decides; the Bloom filter can cost time, never change a result.
 
-The filter has ``BITS_PER_ROW`` bits a row whatever the number of rows, so the part of unrepeated rows that
+The filter has ``bits.BITS_PER_ROW`` bits a row whatever the number of rows, so the part of unrepeated rows that
 it lets through stays the same (under 2 %). It is broadcast while it has at most ``max_broadcast_bits`` bits
 (an eighth of that in bytes); a larger one stays a table of blocks, and the rows' hashes are dealt to it.
 Texts never shuffle for the decision: ``drop_exact_duplicates`` finds the keys of the rows that go, which are
@@ -22,10 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.bits import BLOCK_BITS, bit_set, block_bits, blocks_for
 from textloom.runtime import materialize, sized_broadcast
 
-BLOCK_BITS = 1 << 15
-BITS_PER_ROW = 16
 #: 2**29 bits: a broadcast of 64 MiB at most.
 MAX_BROADCAST_BITS = 1 << 29
 #: Keys of rows to drop that may be broadcast (16 bytes each).
@@ -36,22 +35,10 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def _bits(h: Column, blocks: int) -> tuple[Column, Column, Column]:
-    """Block and two bits in it, from separate parts of the hash."""
-    return F.pmod(h, F.lit(blocks)).cast("int"), F.shiftrightunsigned(h, 34).bitwiseAND(BLOCK_BITS - 1).cast("int"), F.shiftrightunsigned(h, 49).cast("int")
-
-
-def _bit_set(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(1) == 1
-
-
 def twice_marked(digests: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
     """Bitmaps by block of the bits that at least two rows mark, and the number of blocks."""
-    blocks = 1
-    while blocks * BLOCK_BITS < BITS_PER_ROW * n_rows:
-        blocks *= 2
-    block, one, two = _bits(F.col("h"), blocks)
+    blocks = blocks_for(n_rows)
+    block, one, two = block_bits(F.col("h"), blocks)
     marks = digests.select(block.alias("block"), F.explode(F.array_distinct(F.array(one, two))).alias("bit"))
     twice = marks.groupBy("block", "bit").agg(F.count(F.lit(1)).alias("marks")).filter("marks > 1")
     return twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")), blocks
@@ -60,10 +47,10 @@ def twice_marked(digests: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
 def with_suspects(digests: DataFrame, max_broadcast_bits: int = MAX_BROADCAST_BITS) -> DataFrame:
     """``digests`` (with a hash ``h``) plus ``suspect``: whether the text may occur more than once."""
     bitmaps, blocks = twice_marked(digests, digests.count())
-    block, one, two = _bits(F.col("h"), blocks)
+    block, one, two = block_bits(F.col("h"), blocks)
     small = blocks * BLOCK_BITS <= max_broadcast_bits
     tested = digests.withColumn("block", block).join(F.broadcast(bitmaps) if small else materialize(bitmaps, "bitmaps"), "block", "left")
-    hit = F.coalesce(_bit_set(F.col("bitmap"), one) & _bit_set(F.col("bitmap"), two), F.lit(False))
+    hit = F.coalesce(bit_set(F.col("bitmap"), one) & bit_set(F.col("bitmap"), two), F.lit(False))
     return tested.withColumn("suspect", hit).drop("block", "bitmap")
 
 

@@ -44,6 +44,20 @@ def test_whole_operator(docs, texts):
     assert got == want
 
 
+def test_a_very_long_text():
+    text = " ".join(f"w{i * i % 4001}" for i in range(70_000))
+    assert len(text.split()) > simhash.HASHES_AT_ONCE
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+def test_runs_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        test_components_of_planted_fingerprints(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_components_of_planted_fingerprints(spark):
     rng = random.Random(8)
     fps = [0, (1 << 64) - 1]

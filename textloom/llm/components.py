@@ -17,10 +17,11 @@ from textloom.runtime import materialize
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Link each node's larger (or smaller) neighbours to the smallest node it sees.
 
-    The minimum is an aggregate joined back, so a node with very many neighbours is no single task.
+    The minimum is an aggregate, written and joined back, so a node with very many neighbours is no single
+    task: the join reads two plain exchanges, of which its part can be split.
     """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "stars")
     linked = both.join(least, "a")
     if larger:
         out = linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

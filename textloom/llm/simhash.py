@@ -13,7 +13,7 @@ once, whatever its size; a long run of strangers is first cut by one of five blo
 bits, one of which is equal in any linked pair. Nothing is sampled or capped.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. Null and wordless texts have the fingerprint zero,
-which links like any other. Repeated rows each get their row. An empty table gives none. Ties in a bit
+which links like any other; very long texts are taken whole. Repeated rows each get their row. An empty table gives none. Ties in a bit
 (exactly half) are 0. Other columns are ignored, or kept by ``drop_near_duplicates``, which goes by doc_id:
 rows without one stay, and exact repeats of a row stay or go together.
 """
@@ -149,7 +149,7 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last run, which may go on, as it came
 
         def complete(keys: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
             starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
@@ -166,14 +166,19 @@ def links(fps: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            keys = np.concatenate((held_keys, batch.column("key").to_numpy()))
-            own = np.concatenate((held, batch.column("fp").to_numpy().view(np.uint64)))
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last run may go on
-            if whole:
+            keys, own = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            if not len(keys):
+                continue
+            whole = int(np.searchsorted(keys, keys[-1]))
+            if held and held[-1][0][-1] != keys[-1]:  # the held run ends before this batch's last one starts
+                held.append((keys[:whole], own[:whole]))
+                yield complete(*map(np.concatenate, zip(*held)))
+                held = []
+            elif whole:
                 yield complete(keys[:whole], own[:whole])
-            held_keys, held = keys[whole:], own[whole:]
-        if len(held_keys):
-            yield complete(held_keys, held)
+            held.append((keys[whole:], own[whole:]))
+        if held:
+            yield complete(*map(np.concatenate, zip(*held)))
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
@@ -194,7 +199,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 def _with_components(fps: DataFrame) -> DataFrame:
     roots = materialize(near_duplicate_components(fps), "components")
     firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(roots, "fp")
-    least = firsts.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join reads two plain exchanges, of which a large component's can be split
+    least = materialize(firsts.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids")
     per_fp = materialize(roots.join(least, "root").select("fp", "component_id"), "component-ids")
     return fps.join(per_fp, "fp")
 

@@ -6,8 +6,8 @@ texts finds the places of all shingles that windows have; rarity, the prefix joi
 in the window and the two lengths say where the window can lie) work on those places alone. Then the words
 of the documents with a place left are fetched once and compared one by one.
 
-The windows' shingles and the places are broadcast while they have at most ``max_broadcast_rows`` rows. Of
-more shingles a Bloom filter of bounded size goes to the texts, and the places that pass it are joined by
+The windows' shingles are broadcast while they have at most ``max_broadcast_rows`` rows, wider rows up to a
+tenth of that. Of more shingles a Bloom filter of bounded size goes to the texts, and the places that pass it are joined by
 shuffle. Words never do, but for documents with a place left when those are too many to broadcast, once each.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. Null texts have no words, items
@@ -29,6 +29,8 @@ from textloom.runtime import materialize, sized_broadcast
 WINDOW = 13
 SHINGLE = 4
 MAX_BROADCAST_ROWS = 200_000
+#: Of rows that hold a window's words, so many are as large.
+WIDE_ROWS = 10
 #: Bits of the filter of shingles where they are too many to broadcast: 64 MiB.
 MAX_FILTER_BITS = 1 << 29
 _NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -81,7 +83,7 @@ def places(rows: DataFrame, keys: DataFrame, lengths: list[int], max_broadcast_r
 
 
 def _found(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, max_broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The documents (uid, doc_id, n_words), and of those with a hit uid, n_hit and the sorted items."""
+    """The documents (uid, doc_id, n_words), and of those with a hit uid, n_hit, n_items and items_sha256."""
     wins = materialize(windows_of(benchmark, window, shingle), "benchmark-windows")
     lengths = sorted(r["k"] for r in wins.select("k").distinct().collect()) or [shingle]
     seen = materialize(places(rows, wins.select("key"), lengths, max_broadcast_rows), "shingle-places")
@@ -91,10 +93,10 @@ def _found(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, max
     ranked = wins.join(rarity, "key", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("at"), F.col("key"))).alias("rarest"))
     prefix = materialize(ranked.filter("rarest.n > 0").select("window", F.col("rarest.key").alias("key"), F.col("rarest.at").alias("shift")), "prefixes")
     start = F.col("at") - F.col("shift")
-    near = seen.join(sized_broadcast(prefix, max_broadcast_rows), "key").filter((start >= 0) & (start + F.size("window") <= F.col("n_words")))
-    near = sized_broadcast(materialize(near.select("uid", start.alias("start"), "window").distinct(), "window-places"), max_broadcast_rows)
+    near = seen.join(sized_broadcast(prefix, max_broadcast_rows // WIDE_ROWS), "key").filter((start >= 0) & (start + F.size("window") <= F.col("n_words")))
+    near = materialize(near.select("uid", start.alias("start"), "window").distinct(), "window-places")
     texts = rows.select("uid", "text").join(sized_broadcast(near.select("uid").distinct(), max_broadcast_rows), "uid", "left_semi")
-    held = texts.select("uid", words_of(F.col("text")).alias("words")).join(near, "uid").filter(F.expr("slice(words, start + 1, size(window)) = window"))
+    held = texts.select("uid", words_of(F.col("text")).alias("words")).join(sized_broadcast(near, max_broadcast_rows // WIDE_ROWS), "uid").filter(F.expr("slice(words, start + 1, size(window)) = window"))
     hits = materialize(held.select("uid", "start", (F.col("start") + F.size("window")).alias("stop"), "window").distinct(), "window-hits")
     order = Window.partitionBy("uid").orderBy("start", "stop")
     covered = hits.select("uid", "start", "stop").distinct().withColumn("seen", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -102,18 +104,18 @@ def _found(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, max
     n_hit = covered.groupBy("uid").agg(F.sum(fresh).cast("long").alias("n_hit"))
     item_of = wins.select("window", F.col("item_id").cast("string").alias("item")).distinct()
     items = hits.select("uid", "window").distinct().join(item_of, "window").select("uid", "item").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return base, materialize(n_hit.join(items, "uid"), "hit-documents")
+    digests = items.select("uid", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return base, materialize(n_hit.join(digests, "uid"), "hit-documents")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     rows = docs.select(_row_key(F.col("doc_id"), F.col("text")).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     base, found = _found(rows, benchmark, window, shingle, max_broadcast_rows)
-    names = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
     return base.join(sized_broadcast(found, max_broadcast_rows), "uid", "left").select(
-        "doc_id", "n_words", n.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), _contaminated(n, F.col("n_words")).alias("contaminated"),
+        "doc_id", "n_words", n.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), _contaminated(n, F.col("n_words")).alias("contaminated"),
     )
 
 

@@ -33,10 +33,18 @@ TRAIN_PAIRS = 4
 THRESHOLD = 0.5
 #: Beginnings of words that are features too, by length.
 BEGINNINGS = (4, 5)
-#: A feature counts if the log odds of its documents are so many standard errors from 0.
-LEAST_Z = 2.8
-#: From here a feature is strong, and starts with a share of its log odds: a word and its beginnings add up.
-STRONG_Z, STRONG_ODDS, PRIOR_SHARE = 3.5, 4.0, 0.6
+@dataclass(frozen=True)
+class Settings:
+    """How features take part. The defaults are those that ``choose`` picks by cross-validation inside the learning folds."""
+
+    #: A feature counts if the log odds of its documents are so many standard errors from 0.
+    least_z: float = 2.8
+    #: From here a feature is strong, and starts with a share of its log odds: a word and its beginnings add up.
+    strong_z: float = 3.5
+    strong_odds: float = 4.0
+    prior_share: float = 0.3
+
+
 PENALTY = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -125,7 +133,7 @@ def _odds(index: np.ndarray, of: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
     return odds, odds / np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5) + 1 / (n_yes - yes + 0.5) + 1 / (n_no - no + 0.5))
 
 
-def learn(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], epochs: int = 120, decay: float = 2e-4, penalty: float = PENALTY) -> Model:
+def learn(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], settings: Settings = Settings(), epochs: int = 120, decay: float = 2e-4, penalty: float = PENALTY) -> Model:
     """Full-batch logistic regression with the pair penalty. Features that tell nothing in the sample keep weight 0."""
     use = ~held if 0 < held.sum() < len(labels) else np.ones(len(labels), dtype=bool)
     index, of = _flat([r for r, u in zip(rows, use) if u])
@@ -134,12 +142,12 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pairs: l
     # one weight for each telling feature and for each term
     seen, number = np.unique(index, return_inverse=True)
     odds, z = _odds(number, of, y)
-    telling = np.abs(z) >= LEAST_Z
+    telling = np.abs(z) >= settings.least_z
     live = np.union1d(seen[telling], terms)
     # weights start, and are drawn to, what each strong feature says by itself: one insult is enough
-    strong = (z >= STRONG_Z) & (odds >= STRONG_ODDS) & ~np.isin(seen, terms)
+    strong = (z >= settings.strong_z) & (odds >= settings.strong_odds) & ~np.isin(seen, terms)
     prior = np.zeros(len(live))
-    prior[np.searchsorted(live, seen[strong])] = odds[strong] * PRIOR_SHARE
+    prior[np.searchsorted(live, seen[strong])] = odds[strong] * settings.prior_share
 
     def place(slots: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(live, slots), len(live) - 1)
@@ -169,7 +177,24 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pairs: l
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model | None:
+def choose(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, pairs_of: list[list[tuple[np.ndarray, np.ndarray]]], grid: list[Settings]) -> list[tuple[float, Settings]]:
+    """Settings by mean log loss, best first. Each learning fold in turn is predicted by the others; fold 0 is no part of it."""
+    out = []
+    for settings in grid:
+        losses = []
+        for k in np.unique(folds).tolist():
+            here = folds == k
+            others = [i for i in range(len(rows)) if not here[i]]
+            model = learn([rows[i] for i in others], labels[others], folds[others] == (1 if k != 1 else 2), [p for i in others for p in pairs_of[i]], settings)
+            p = np.clip(sigmoid(np.array([model.logit(r) for r, h in zip(rows, here) if h]) / model.heat), 1e-7, 1 - 1e-7)
+            y = labels[here]
+            losses.append(-float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))))
+        out.append((float(np.mean(losses)), settings))
+    return sorted(out, key=lambda x: x[0])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[list[tuple[np.ndarray, np.ndarray]]]]:
+    """Features, label, fold and counterfactual pairs of each document of the sample."""
     chosen = materialize(sample(labels, "toxic", max_rows), "toxicity-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +211,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model
     schema = "doc_id long, label int, fold int, x array<int>, pair_a array<array<int>>, pair_b array<array<int>>"
     rows = texts.mapInArrow(run, schema).groupBy("doc_id").agg(*(F.min(c).alias(c) for c in ("label", "fold", "x", "pair_a", "pair_b")))
     got = rows.orderBy("doc_id").toArrow()
-    y = np.array(got.column("label").to_pylist())
+    ints = lambda x: np.array(x, dtype=np.int32)
+    pairs = [[(ints(a), ints(b)) for a, b in zip(row_a, row_b)] for row_a, row_b in zip(got.column("pair_a").to_pylist(), got.column("pair_b").to_pylist())]
+    return [ints(x) for x in got.column("x").to_pylist()], np.array(got.column("label").to_pylist()), np.array(got.column("fold").to_pylist()), pairs
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, settings: Settings = Settings()) -> Model | None:
+    rows, y, folds, pairs = training_rows(docs, labels, max_rows)
     if len(set(y.tolist())) < 2:
         return None
-    ints = lambda x: np.array(x, dtype=np.int32)
-    pairs = [(ints(a), ints(b)) for row_a, row_b in zip(got.column("pair_a").to_pylist(), got.column("pair_b").to_pylist()) for a, b in zip(row_a, row_b)]
-    return learn([ints(x) for x in got.column("x").to_pylist()], y, np.array(got.column("fold").to_pylist()) == 1, pairs)
+    return learn(rows, y, folds == 1, [p for some in pairs for p in some], settings)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = TRAIN_ROWS) -> DataFrame:

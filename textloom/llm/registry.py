@@ -24,8 +24,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    fixed = [(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
-    return chat.chat_digests(rows.unionByName(spark.createDataFrame(fixed, "conv_id long, turn long, role string, text string")))
+    fixed = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS v(conv_id, turn, role, text)")
+    return chat.chat_digests(rows.unionByName(fixed))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,7 @@ ORACLES: dict[str, str] = {
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)""",
+    "op6_license_scan": licenses.oracle_sql(licenses.catalogue(), _words_sql("text")),
     "op10_decontamination": f"""
         WITH d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents),
         b AS (SELECT item_id, {_words_sql("text")} AS w FROM benchmark),

@@ -3,6 +3,7 @@ import re
 import warnings
 from collections import Counter
 
+import numpy as np
 import pytest
 from textloom.llm import pii
 
@@ -108,3 +109,37 @@ def test_a_kind_without_examples_is_reported(spark):
     df = spark.createDataFrame([(1, "mail a@b.example.com"), (2, "at 10.0.0.7 in 2019")], "doc_id long, text string")
     with pytest.warns(UserWarning, match="card, phone"):
         pii.fit(df)
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """The field of half the documents finds rewritten personal data in the others: nine in ten of each kind, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text RLIKE '@|[0-9]'")
+    field = pii.fit(docs.filter("doc_id % 2 = 0"))
+    rng, found, missed, wrong = np.random.default_rng(3), Counter(), Counter(), Counter()
+    for text in [r.text for r in docs.filter("doc_id % 2 = 1").select("text").collect()]:
+        base = pii.base_spans(text)
+        known = {text[a:b] for _, a, b in pii.added_spans(text, base, field)}
+        parts, at, true = [], 0, []
+        for kind, a, b in sorted(base, key=lambda s: s[1]):
+            if a >= at and (new := pii.rewritten(kind, text[a:b], rng)):
+                parts.append(text[at:a])
+                start = sum(map(len, parts))
+                parts.append(new)
+                true.append((kind, start, start + len(new)))
+                at = b
+        changed = "".join(parts) + text[at:]
+        got = pii.added_spans(changed, pii.base_spans(changed), field)
+        found.update(s[0] for s in true if s in got)
+        missed.update(s[0] for s in true if s not in got)
+        wrong.update(s[0] for s in got if s not in true and changed[s[1] : s[2]] not in known)
+    for kind in ("email", "card", "phone"):
+        n = found[kind]
+        assert n > 50 and n >= 0.9 * (n + missed[kind]) and n >= 0.9 * (n + wrong[kind]), (kind, found, missed, wrong)
+    print("found", found, "missed", missed, "wrong", wrong)
+
+
+def test_decision_columns(spark):
+    rows = [(1, "mail a.b@c.example.com"), (2, "nothing here in 2019"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(df, learnt()).collect()}
+    assert [(got[i].n_added, got[i].has_pii) for i in (1, 2, 3)] == [(0, True), (0, False), (0, False)]

@@ -12,7 +12,8 @@ among the kinds; of each at most ``TRAIN_SPANS`` spans of its kind, drawn over t
 also rewritten into the forms the patterns miss; it needs no labels. The sample is fixed by a hash of the
 text. A kind without a base span anywhere can't be learnt, which is reported as a warning.
 
-Offsets are code points, ends exclusive. Null texts are empty. Repeated rows each get their row; an empty
+Offsets are code points, ends exclusive. Null texts are empty, very long ones are taken whole. Of segmentations
+with equal scores the one with fewer entities, then the kind and segment found first, is taken. Repeated rows each get their row; an empty
 table gives none. Other columns are ignored.
 """
 
@@ -370,20 +371,22 @@ def fit(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> Field:
 
 
 def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """One row per document: doc_id, counts of base spans by kind, base_sha256, spans."""
+    """One row per document: doc_id, counts of base spans by kind, base_sha256, spans, n_added, has_pii (whether any span was found)."""
     model = field or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, spans = np.zeros((batch.num_rows, len(KINDS)), dtype=np.int64), [], []
+            counts, digests, spans, added = np.zeros((batch.num_rows, len(KINDS)), dtype=np.int64), [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 text = text or ""
                 base = base_spans(text)
                 for kind, _, _ in base:
                     counts[i, KINDS.index(kind)] += 1
                 digests.append(hashlib.sha256(spans_text(base).encode()).hexdigest())
-                spans.append(spans_text(base + added_spans(text, base, model)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                more = added_spans(text, base, model)
+                spans.append(spans_text(base + more))
+                added.append(len(more))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array([bool(x) for x in spans])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "has_pii"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, has_pii boolean")

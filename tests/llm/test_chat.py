@@ -54,3 +54,9 @@ def test_empty_and_native(spark):
     out = chat.chat_digests(df)
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_control_strings_are_escaped(spark):
+    rows = [(1, 0, "user", "[s> <INST] [INST] <s> a\\b"), (1, 1, "assistant", "ok")]
+    segments = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first().segments
+    assert segments[1].text == "[s> <INST] [\\INST] <\\s> a\\\\b"

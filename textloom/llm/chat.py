@@ -10,8 +10,8 @@ and such functions compose: stretches of ``STRETCH`` turns are folded where they
 stretches of a conversation. So a conversation with very many turns isn't sorted as rows in one task.
 
 Rows of a conversation stand by turn, then role, then text; null turn comes first, null role and null
-text are empty, null conv_id is a conversation. Repeated rows are repeated turns. An empty table has no
-conversations. Other columns are ignored. A conversation that breaks the order is formatted all the same,
+text are empty, null conv_id is a conversation; very long texts are taken whole, and a conversation is one row of the
+result, whose size is its own. Repeated rows are repeated turns. An empty table has no conversations. Other columns are ignored. A conversation that breaks the order is formatted all the same,
 with ``valid`` false.
 """
 
@@ -69,9 +69,11 @@ def _alternatives(marks: list[str], inside: str = "") -> str:
 
 def escape(text: Column, template: Template) -> Column:
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    firsts = "".join(re.escape(m) for m in sorted({m[0] for m in template.marks}))
-    rest = "|".join(sorted((re.escape(m[1:]) for m in template.marks), key=len, reverse=True))
-    return F.regexp_replace(doubled, f"([{firsts}])(?={rest})", "$1\\\\")
+    rests: dict[str, list[str]] = {}
+    for m in template.marks:
+        rests.setdefault(m[0], []).append(re.escape(m[1:]))
+    # a first character is followed by a backslash where its own marks go on
+    return F.regexp_replace(doubled, "|".join(f"{re.escape(first)}(?={'|'.join(own)})" for first, own in sorted(rests.items())), "$0\\\\")
 
 
 def unescape(text: Column) -> Column:

@@ -17,7 +17,7 @@ Beyond ``max_queues`` sources, those without a target share queues, chosen by ha
 itself such a stream of its sources at their parts of its tokens, so each source keeps its share of a
 sequence; a source with a target always has a queue of its own.
 
-Null texts are empty and consist of the end id. Null sources are one queue. Repeated rows are packed as
+Null texts are empty and consist of the end id; very long ones are taken whole and cut over sequences. Null sources are one queue. Repeated rows are packed as
 often as they occur. An empty table gives no sequences. Other columns, whatever their names, are ignored.
 """
 

@@ -7,7 +7,9 @@
 3. A two-layer numpy network learns on at most ``TRAIN_ROWS`` labelled documents outside the held-out
    fold; fold 1 of them sets the temperature that its probabilities are calibrated with.
 
-Null and empty texts are documents without words and are scored as such. Repeated rows each get their
+Null and empty texts are documents without words and are scored as such; very long ones are taken whole, in
+stretches of ``STRETCH`` words, between which the few neighbours are not counted. Equal scores are equal
+decisions. Repeated rows each get their
 row; an empty table gives none. Without labels of both kinds every score is 0.5. Other columns of the
 documents are ignored, or kept by ``keep_good``.
 """
@@ -120,7 +122,7 @@ def features(text: str | None, vectors: np.ndarray) -> np.ndarray:
     text = text or ""
     ids, words = bucket_ids(text)
     n = max(len(ids), 1)
-    pooled = np.bincount(ids, minlength=BUCKETS).astype(np.float32) @ vectors / n if len(ids) > 2000 else vectors[ids].sum(axis=0) / n
+    pooled = sum((vectors[ids[k : k + STRETCH]].sum(axis=0) for k in range(0, len(ids), STRETCH)), np.zeros(DIMS, dtype=np.float32)) / n
     chars = max(len(text), 1)
     letters = sum(len(w) for w in words if w[0].isalpha()) / chars
     distinct = len(set(words)) / n

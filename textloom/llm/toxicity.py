@@ -7,7 +7,7 @@ way to a term; a document gives at most ``TRAIN_PAIRS``, drawn over its whole te
 come first. The loss adds the squared change of the score over each pair, so a mere mention of a group
 moves no score, and terms that stand beside insults in the sample don't become insults.
 
-Null and empty texts are scored with no words. Repeated rows each get their row; an empty table gives
+Null and empty texts are scored with no words, very long ones whole. Repeated rows each get their row; an empty table gives
 none. Without labels of both kinds every score is 0.5. Other columns are ignored.
 """
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators.lines import FENCE, explode_lines, fence_ranges, with_protected
+from textloom.runtime import materialize, sized_broadcast
+
+#: Aliases that may be broadcast.
+MAX_BROADCAST_ALIASES = 100_000
 
 
 def unprotected_lines(docs: DataFrame) -> DataFrame:
@@ -26,18 +32,23 @@ def extract_code(docs: DataFrame) -> DataFrame:
     return j.select("doc_id", "first", "last", "closed", F.lower(F.split_part(info, F.lit(" "), F.lit(1))).alias("language"), content.alias("content"), issues.alias("issues"))
 
 
-def resolve_language(codes: DataFrame, aliases: DataFrame, known: list[str], max_depth: int = 10) -> DataFrame:
-    """Codes with ``resolved``: aliases are followed to a known language. Cycles and dead ends leave it null.
+def resolve_language(codes: DataFrame, aliases: DataFrame, known: list[str]) -> DataFrame:
+    """Codes with ``resolved`` and ``issue``: aliases are followed to a known language, whatever the length of the chain.
 
-    The alias table is closed first, by a bounded number of joins of a table of at most some hundred rows.
+    Null with issue ``cycle`` where a chain comes back to itself, with ``unsupported`` where it ends elsewhere.
+    Chains double in length with every join of the alias table with itself, until none grows.
     """
-    step = aliases.select(F.lower("alias").alias("a"), F.lower("target").alias("b"))
-    closed = step
-    for _ in range(max_depth):
-        closed = closed.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select("a", F.when(F.col("b").isin(known), F.col("b")).otherwise(F.coalesce("c", "b")).alias("b"))
-    final = closed.filter(F.col("b").isin(known))
-    j = codes.join(F.broadcast(final.select(F.col("a").alias("language"), F.col("b").alias("via"))), "language", "left")
-    return j.select(*codes.columns, F.when(F.col("language").isin(known), F.col("language")).otherwise(F.col("via")).alias("resolved"))
+    now = aliases.select(F.lower("alias").alias("a"), F.lower("target").alias("b")).distinct()
+    size = now.count()
+    for _ in range(size.bit_length() + 1):  # a chain has at most as many links as there are aliases
+        after = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        ends = F.col("b").isin(known) | F.col("c").isNull()
+        now = materialize(now.join(after, "b", "left").select("a", F.when(ends, F.col("b")).otherwise(F.col("c")).alias("b")), "aliases")
+    open_ = now.join(now.select(F.col("a").alias("b"), F.lit(True).alias("more")), "b", "left").select(F.col("a").alias("language"), F.when(F.col("b").isin(known), F.col("b")).alias("via"), F.coalesce("more", F.lit(False)).alias("more"))
+    j = codes.join(sized_broadcast(open_, MAX_BROADCAST_ALIASES), "language", "left")
+    resolved = F.when(F.col("language").isin(known), F.col("language")).otherwise(F.col("via"))
+    issue = F.when(resolved.isNotNull(), None).when(F.col("more"), "cycle").when(F.coalesce("language", F.lit("")) != "", "unsupported")
+    return j.select(*codes.columns, resolved.alias("resolved"), issue.alias("issue"))
 
 
 def extract_images(docs: DataFrame) -> DataFrame:
@@ -54,24 +65,39 @@ def extract_links(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "line_no", "occ", F.regexp_extract("m", link, 1).alias("label"), F.regexp_extract("m", link, 2).alias("url"))
 
 
-def inline_runs(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Runs of a line in order: pos, kind (text, code, bold, italic, highlight, link), value, url."""
-    token = r"==[^=]+==|`[^`]+`|\*\*[^*]+\*\*|\*[^*\n]+\*|\[[^\]]+\]\([^)]+\)"
-    tokens, gaps = F.regexp_extract_all(line, F.lit(token), F.lit(0)), F.split(line, token)
+#: Kinds of runs by the sign around them, in the order in which they are tried: a longer sign before one that begins it.
+DELIMITERS = {"code": "`", "highlight": "==", "bold": "**", "italic": "*"}
+
+
+def inline_pattern(delimiters: dict[str, str] = DELIMITERS) -> str:
+    """One alternative for a backslash and what it escapes, for each pair of signs and for a link. Inside a pair its sign doesn't occur unescaped."""
+    def pair(sign: str) -> str:
+        s = re.escape(sign)
+        inner = r"(?:\\.|[^\\" + re.escape(sign[0]) + "])" if sign != "`" else "[^`]"  # code has no escapes
+        return f"{s}{inner}+{s}"
 
-    def read(t: Column) -> Column:
-        run = lambda kind, value, url=F.lit(None).cast("string"): F.struct(F.lit(kind).alias("kind"), value.alias("value"), url.alias("url"))
-        cut = lambda n: F.substring(t, F.lit(n + 1), F.length(t) - 2 * n)
-        return (
-            F.when(F.startswith(t, F.lit("==")), run("highlight", cut(2))).when(F.startswith(t, F.lit("`")), run("code", cut(1))).when(F.startswith(t, F.lit("**")), run("bold", cut(2)))
-            .when(F.startswith(t, F.lit("*")), run("italic", cut(1))).otherwise(run("link", F.regexp_extract(t, r"^\[([^\]]+)\]", 1), T.normalize_link(F.regexp_extract(t, r"\]\(([^)]+)\)$", 1))))
-        )
+    return "|".join([r"\\[\\`*=\[\]()]", *map(pair, delimiters.values()), r"\[(?:\\.|[^\\\]])+\]\([^)]+\)"])
 
-    plain = F.transform(gaps, lambda g: F.struct(F.lit("text").alias("kind"), g.alias("value"), F.lit(None).cast("string").alias("url")))
-    styled = F.transform(tokens, read)
-    both = F.flatten(F.transform(plain, lambda g, i: F.array_compact(F.array(g, F.get(styled, i)))))
-    shown = F.filter(both, lambda r: r["value"] != "")
-    return lines.select(*(c for c in lines.columns if c != line), F.posexplode(shown).alias("pos", "r")).select(*(c for c in lines.columns if c != line), "pos", "r.kind", "r.value", "r.url")
+
+def inline_runs(lines: DataFrame, line: str = "line", delimiters: dict[str, str] = DELIMITERS) -> DataFrame:
+    """Runs of a line in order: pos, kind (text, a delimiter's kind or link), value, url. An escaped sign is text.
+
+    The line is cut at the marked places; each is read by the sign that it begins with.
+    """
+    pattern = inline_pattern(delimiters)
+    marked, gaps = F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.split(line, pattern)
+    run = lambda kind, value, url=None: F.struct(F.lit(kind).alias("kind"), value.alias("value"), (F.lit(None) if url is None else url).cast("string").alias("url"))
+
+    def read(m: Column) -> Column:
+        label_end = F.instr(m, "](")
+        out = run("link", F.substring(m, F.lit(2), label_end - 2), T.normalize_link(F.substring(m, label_end + 2, F.length(m) - label_end - 2)))
+        for kind, sign in reversed(delimiters.items()):
+            out = F.when(F.startswith(m, F.lit(sign)), run(kind, F.substring(m, F.lit(len(sign) + 1), F.length(m) - 2 * len(sign)))).otherwise(out)
+        return F.when(F.startswith(m, F.lit("\\")), run("text", F.substring(m, 2, 1))).otherwise(out)
+
+    parts = F.flatten(F.transform(gaps, lambda g, i: F.array_compact(F.array(run("text", g), F.get(F.transform(marked, read), i)))))
+    others = [c for c in lines.columns if c != line]
+    return lines.select(*others, F.posexplode(F.filter(parts, lambda r: r["value"] != "")).alias("pos", "r")).select(*others, "pos", "r.kind", "r.value", "r.url")
 
 
 def pipe_cells(line: Column) -> Column:
@@ -135,10 +161,19 @@ UNSUPPORTED = {"import": r"^import\s+.+\s+from\s+[\"']", "component": r"^\s*</?[
 
 
 def find_unsupported(docs: DataFrame, kinds: dict[str, str] = UNSUPPORTED) -> DataFrame:
-    """doc_id, line (1-based), column, code: the first place in each line of each construct, outside code."""
+    """doc_id, line (1-based), column, code: every place of each construct, outside code.
+
+    A match's column is what lies before it: the lengths of the gaps and matches so far.
+    """
     lines = unprotected_lines(docs)
-    hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(k).alias("code"), (F.length(F.regexp_extract("line", rf"^(.*?)(?:{p.lstrip('^')})", 1)) + 1 if not p.startswith("^") else F.lit(1)).alias("column"))) for k, p in kinds.items())))
-    return lines.select("doc_id", (F.col("line_no") + 1).alias("line"), F.explode(hits).alias("h")).select("doc_id", "line", "h.column", "h.code")
+
+    def places(code: str, pattern: str) -> Column:
+        found, gaps = F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), F.split("line", pattern)
+        before = lambda i: F.aggregate(F.slice(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))), F.lit(1), i), F.lit(0), lambda a, x: a + x)
+        return F.transform(found, lambda m, i: F.struct(F.lit(code).alias("code"), (before(i) + F.length(F.get(gaps, i)) + 1).alias("column")))
+
+    hits = F.concat(*(F.when(F.col("line").rlike(p), places(k, p)).otherwise(F.array().cast("array<struct<code:string,column:int>>")) for k, p in kinds.items()))
+    return lines.select("doc_id", "line_no", F.explode(hits).alias("h")).select("doc_id", (F.col("line_no") + 1).alias("line"), "h.column", "h.code")
 
 
 def component_tokens(docs: DataFrame, name: str) -> DataFrame:

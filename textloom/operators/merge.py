@@ -8,6 +8,7 @@ strips, once to find their edges and again from the top, so that pairs of any si
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 MAX_CELLS = 25_000_000
 STRIPS = 16
 Hunk = tuple[int, int, list[str]]
+_LINE = re.compile(r"[^\n]*\n|[^\n]+$")
 
 
 def _closed_suffix(a: list[str], b: list[str]) -> int:
@@ -112,27 +114,49 @@ def apply_hunks(base: list[str], changes: list[Hunk], lo: int, hi: int) -> list[
     return out + base[at:hi]
 
 
-def _conflict(local: list[str], base: list[str], remote: list[str]) -> list[str]:
-    return ["<<<<<<< local", *local, "||||||| base", *base, "=======", *remote, ">>>>>>> remote"]
+def lines_of(text: str) -> list[str]:
+    """Lines with their line ends; the last may have none."""
+    return _LINE.findall(text)
+
+
+def _conflict(local: list[str], remote: list[str]) -> list[str]:
+    ended = lambda lines: [*lines[:-1], lines[-1] if lines[-1].endswith("\n") else lines[-1] + "\n"] if lines else []
+    return ["<<<<<<< LOCAL\n", *ended(local), "=======\n", *ended(remote), ">>>>>>> REMOTE\n"]
+
+
+def regions(left: list[Hunk], right: list[Hunk]) -> Iterator[tuple[list[Hunk], list[Hunk]]]:
+    """The changes of both sides in order, those that can't be told apart together.
+
+    A change whose end is at or before the other side's next start, which isn't its own start, stands alone.
+    Around any other pair a region grows over all that begins in it or at its end.
+    """
+    mine, theirs = left[::-1], right[::-1]
+    while mine and theirs:
+        (a, a_end, _), (b, b_end, _) = mine[-1], theirs[-1]
+        if a != b and a_end <= b:
+            yield [mine.pop()], []
+        elif a != b and b_end <= a:
+            yield [], [theirs.pop()]
+        else:
+            reach, taken = max(a_end, b_end), ([], [])
+            while any(side and side[-1][0] <= reach for side in (mine, theirs)):
+                for side, own in zip((mine, theirs), taken):
+                    while side and side[-1][0] <= reach:
+                        own.append(side.pop())
+                        reach = max(reach, own[-1][1])
+            yield taken
+    yield from (([h], []) for h in reversed(mine))
+    yield from (([], [h]) for h in reversed(theirs))
 
 
 def three_way(base: list[str], local: list[str], remote: list[str]) -> tuple[list[str], int]:
-    """Merged lines and number of conflicts. Changes that touch are one region; equal results are taken once."""
-    left, right = hunks(base, local), hunks(base, remote)
-    out, at, conflicts, i, j = [], 0, 0, 0, 0
-    while i < len(left) or j < len(right):
-        start = min(h[0] for h in (left[i : i + 1] + right[j : j + 1]))
+    """Merged lines and number of conflicts. Equal results are taken once."""
+    out, at, conflicts = [], 0, 0
+    for mine, theirs in regions(hunks(base, local), hunks(base, remote)):
+        every = mine + theirs
+        start, stop = min(h[0] for h in every), max(h[1] for h in every)
         out += base[at:start]
-        stop, mine, theirs = start, [], []
-        grown = True
-        while grown:
-            grown = False
-            while i < len(left) and left[i][0] <= stop and (not mine or left[i][0] <= stop):
-                mine.append(left[i])
-                stop, i, grown = max(stop, left[i][1]), i + 1, True
-            while j < len(right) and right[j][0] <= stop:
-                theirs.append(right[j])
-                stop, j, grown = max(stop, right[j][1]), j + 1, True
+        at = stop
         a, b = apply_hunks(base, mine, start, stop), apply_hunks(base, theirs, start, stop)
         if not theirs or a == b:
             out += a
@@ -144,20 +168,19 @@ def three_way(base: list[str], local: list[str], remote: list[str]) -> tuple[lis
                 same += 1
             out += a + b[same:]
         else:
-            out += _conflict(a, base[start:stop], b)
+            out += _conflict(a, b)
             conflicts += 1
-        at = stop
     return out + base[at:], conflicts
 
 
 def two_way(local: list[str], remote: list[str]) -> tuple[list[str], int]:
     """Without a base every differing region is a conflict."""
-    changes = hunks(local, remote)
+    changes = hunks(remote, local)
     out, at = [], 0
     for start, stop, lines in changes:
-        out += [*local[at:start], "<<<<<<< local", *local[start:stop], "=======", *lines, ">>>>>>> remote"]
+        out += [*remote[at:start], *_conflict(lines, remote[start:stop])]
         at = stop
-    return out + local[at:], len(changes)
+    return out + remote[at:], len(changes)
 
 
 _MERGED = "doc_id long, merged string, state string, conflicts int"
@@ -169,7 +192,7 @@ def _by_python(df: DataFrame, decide) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 lines, conflicts = decide(r)
-                rows.append({"doc_id": r["doc_id"], "merged": "\n".join(lines), "state": "conflict" if conflicts else "merged", "conflicts": conflicts})
+                rows.append({"doc_id": r["doc_id"], "merged": "".join(lines), "state": "conflict" if conflicts else "merged", "conflicts": conflicts})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("merged", pa.string()), ("state", pa.string()), ("conflicts", pa.int32())]))
 
     return df.mapInArrow(run, _MERGED)
@@ -183,7 +206,7 @@ def merge_three_way(docs: DataFrame) -> DataFrame:
     is_easy = same("local", "remote") | same("base", "local") | same("base", "remote")
     done = docs.filter(is_easy).select(F.col("doc_id").cast("long").alias("doc_id"), easy.alias("merged"), state.alias("state"), F.lit(0).alias("conflicts"))
     hard = docs.filter(~is_easy).select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("base", "local", "remote")))
-    return done.unionByName(_by_python(hard, lambda r: three_way(*(r[c].split("\n") for c in ("base", "local", "remote")))))
+    return done.unionByName(_by_python(hard, lambda r: three_way(*(lines_of(r[c]) for c in ("base", "local", "remote")))))
 
 
 def merge_two_way(docs: DataFrame) -> DataFrame:
@@ -191,7 +214,7 @@ def merge_two_way(docs: DataFrame) -> DataFrame:
     equal = F.col("local").eqNullSafe(F.col("remote"))
     done = docs.filter(equal).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("local").alias("merged"), F.lit("equal").alias("state"), F.lit(0).alias("conflicts"))
     hard = docs.filter(~equal).select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("local", "remote")))
-    return done.unionByName(_by_python(hard, lambda r: two_way(r["local"].split("\n"), r["remote"].split("\n"))))
+    return done.unionByName(_by_python(hard, lambda r: two_way(lines_of(r["local"]), lines_of(r["remote"]))))
 
 
 def line_changes(docs: DataFrame) -> DataFrame:

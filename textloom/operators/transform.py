@@ -80,13 +80,15 @@ def canonical_callouts(docs: DataFrame, known: list[str]) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.array_join(F.array_compact(F.transform(spans, bad)), ",").alias("issues"))
 
 
-def expand_fragments(docs: DataFrame, fragments: DataFrame, max_depth: int = 8) -> DataFrame:
+def expand_fragments(docs: DataFrame, fragments: DataFrame) -> DataFrame:
     """``{{> name}}`` references replaced by fragments (name, text), fragments inside fragments too.
 
-    Fragments are expanded among themselves first, depth by depth, each pass joining one level of
-    references; then documents once. A reference that stays (missing, or a cycle) is listed.
+    Fragments are expanded among themselves first, depth by depth, each pass joining one level of references,
+    until no fragment becomes ready; then documents once. A reference that stays is listed with the reason:
+    ``missing``, ``escaping`` (it leaves the folder of fragments) or ``cycle`` (it comes back to itself, or
+    leads to one that does or that is missing).
     """
-    ref = r"\{\{>\s*([\w.-]+)\s*\}\}"
+    ref = r"\{\{>\s*([\w./-]+)\s*\}\}"
 
     def once(df: DataFrame, key: str, parts: DataFrame) -> DataFrame:
         names = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ref), F.lit(1)))).alias("ref"))
@@ -100,17 +102,22 @@ def expand_fragments(docs: DataFrame, fragments: DataFrame, max_depth: int = 8)
     has_ref = F.col("text").rlike(ref)
     closed = materialize(fragments.filter(~has_ref).select("name", "text"), "fragments")
     open_ = materialize(fragments.filter(has_ref).select("name", "text"), "fragments")
-    for _ in range(max_depth):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():
         # only fragments whose every reference is closed are filled in: a cycle never is
         wants = open_.select(F.col("name").alias("of"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ref), F.lit(1)))).alias("name"))
         blocked = wants.join(closed.select("name"), "name", "left_anti").select(F.col("of").alias("name")).distinct()
-        ready = open_.join(blocked, "name", "left_anti")
+        ready = materialize(open_.join(blocked, "name", "left_anti"), "fragments")
+        if ready.isEmpty():  # the rest wait for each other or for missing ones
+            break
         closed = materialize(closed.unionByName(once(ready, "name", closed)), "fragments")
         open_ = materialize(open_.join(closed.select("name"), "name", "left_anti"), "fragments")
     out = once(docs, "doc_id", closed)
-    return out.withColumn("unresolved", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(ref), F.lit(1)))), ","))
+    left = out.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ref), F.lit(1)))).alias("name"))
+    exists = fragments.select("name", F.lit(True).alias("exists")).distinct()
+    up = F.col("name").rlike(r"(?:^|/)\.\.(?:/|$)|^/")
+    named = left.join(exists, "name", "left").select("doc_id", F.concat("name", F.when(up, ":escaping").when(F.col("exists"), ":cycle").otherwise(":missing")).alias("issue"))
+    issues = named.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("issue")), ",").alias("unresolved"))
+    return out.join(issues, "doc_id", "left").select("doc_id", "text", F.coalesce("unresolved", F.lit("")).alias("unresolved"))
 
 
 def block_hash(blocks: DataFrame, volatile: tuple[str, ...] = ("block_id", "parent_id")) -> DataFrame:

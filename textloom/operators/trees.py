@@ -1,11 +1,13 @@
 """Block trees: validation, order, hashes, children, descendants.
 
 A tree is rows of (block_id, parent_id, payload, pos). Levels are walked by joins, one per depth, each
-written before the next; ``max_depth`` bounds a corrupt table's walk.
+written before the next, until one is empty. A walk from the roots ends by itself: a block that lies on its
+own path (a cycle) isn't walked again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
@@ -14,18 +16,24 @@ from pyspark.sql import functions as F
 from textloom.runtime import materialize
 
 
-def levels(blocks: DataFrame, max_depth: int = 64) -> DataFrame:
+def levels(blocks: DataFrame) -> DataFrame:
     """Blocks reached from roots, with depth and a path key whose byte order is pre-order."""
     step = lambda: F.lpad(F.col("pos").cast("string"), 12, "0")
     level = blocks.filter("parent_id IS NULL").select("block_id", "parent_id", F.lit(0).alias("depth"), F.concat(step(), F.lit(":"), "block_id").alias("path"))
-    done = level
-    for depth in range(1, max_depth):
+    below, parts, depth = blocks.filter("parent_id IS NOT NULL"), [level], 0
+    while True:
+        depth += 1
         up = level.select(F.col("block_id").alias("up"), F.col("path").alias("up_path"))
-        level = materialize(blocks.join(up, blocks.parent_id == F.col("up")).select("block_id", "parent_id", F.lit(depth).alias("depth"), F.concat("up_path", F.lit("/"), step(), F.lit(":"), "block_id").alias("path")), "tree-level")
+        walked = F.concat(F.lit("/"), F.col("up_path"), F.lit("/"))
+        # a block that lies on its own path closes a cycle
+        found = below.join(up, F.col("parent_id") == F.col("up")).filter(~F.contains(walked, F.concat(F.lit(":"), "block_id", F.lit("/"))))
+        level = materialize(found.select("block_id", "parent_id", F.lit(depth).alias("depth"), F.concat("up_path", F.lit("/"), step(), F.lit(":"), "block_id").alias("path")), "tree-level")
         if level.isEmpty():
-            return done
-        done = done.unionByName(level)
-    return done
+            break
+        parts.append(level)
+        if len(parts) == 64:  # one table of the levels so far keeps the plan small
+            parts = [materialize(reduce(DataFrame.unionByName, parts), "tree-levels")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def preorder(blocks: DataFrame) -> DataFrame:
@@ -72,16 +80,17 @@ def resolve_children(blocks: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.join(child, "child_id", "left").select("parent_id", "ordinal", "child_id", "payload", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def descendants(blocks: DataFrame, tops: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(top, block_id) of everything at or below the given blocks."""
-    level = tops.select(F.col("block_id").alias("top"), "block_id")
-    done = level
-    for _ in range(max_depth):
-        level = materialize(blocks.select("block_id", "parent_id").join(level.select("top", F.col("block_id").alias("parent_id")), "parent_id").select("top", "block_id"), "descendants")
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    return done.distinct()
+def descendants(blocks: DataFrame, tops: DataFrame) -> DataFrame:
+    """(top, block_id) of everything at or below the given blocks; each pair once, so that a cycle ends too."""
+    level = materialize(tops.select(F.col("block_id").alias("top"), "block_id").distinct(), "descendants")
+    done, rounds = level, 0
+    while not level.isEmpty():
+        below = blocks.select("block_id", "parent_id").join(level.select("top", F.col("block_id").alias("parent_id")), "parent_id").select("top", "block_id").distinct()
+        level = materialize(below.join(done, ["top", "block_id"], "left_anti"), "descendants")
+        done, rounds = done.unionByName(level), rounds + 1
+        if rounds % 16 == 0:
+            done = materialize(done, "descendants")
+    return done
 
 
 def ordered_children(blocks: DataFrame) -> DataFrame:

@@ -240,14 +240,21 @@ def carry_meta(current: DataFrame, base: DataFrame, columns: list[str]) -> DataF
 def list_tree(items: DataFrame) -> DataFrame:
     """List rows (doc_id, pos, indent) with the position of their parent: the last row before with a smaller indent.
 
-    Indents are few, so the last row of each depth is carried along and the deepest smaller one is taken.
+    A document's rows are folded in their order over the stack of rows still open, as deep as its indents go.
     """
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    depths = range(6)
-    last = {d: F.last(F.when(F.col("indent") == d, F.col("pos")), ignorenulls=True).over(w) for d in depths}
-    j = items.withColumns({f"d{d}": c for d, c in last.items()})
-    parent = F.array_max(F.array(*(F.when(F.col("indent") > d, F.col(f"d{d}")) for d in depths)))
-    return j.select(*items.columns, parent.alias("parent"))
+    row = F.struct("pos", "indent")
+    rows = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    kind = items.select(row.alias("r")).schema["r"].dataType.simpleString()
+    pos = items.schema["pos"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("open"), F.array().cast(f"array<struct<pos:{pos},parent:{pos}>>").alias("out"))
+
+    def step(state: Column, r: Column) -> Column:
+        above = F.filter(state["open"], lambda x: x["indent"] < r["indent"])  # indents on the stack rise
+        parent = F.try_element_at(above, F.lit(-1))["pos"]
+        return F.struct(F.concat(above, F.array(r)).alias("open"), F.concat(state["out"], F.array(F.struct(r["pos"].alias("pos"), parent.alias("parent")))).alias("out"))
+
+    found = rows.select("doc_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select("doc_id", "o.pos", "o.parent")
+    return items.join(found, ["doc_id", "pos"])
 
 
 def render_blocks(nodes: DataFrame) -> DataFrame:

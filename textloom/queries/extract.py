@@ -26,12 +26,16 @@ def extract_links(spark, sf):
     return E.extract_links(D.rich(spark, sf))
 
 
-@query(_FREE + """, l AS (SELECT doc_id, line_no, regexp_extract_all(line, '\\[[^\\]]+\\]\\([^)]+\\)') AS t, string_split(regexp_replace(line, '\\[[^\\]]+\\]\\([^)]+\\)', chr(1), 'g'), chr(1)) AS g FROM free WHERE starts_with(line, 'See [')),
-    r AS (SELECT doc_id, line_no, unnest(range(len(g) + len(t))) AS i, t, g FROM l),
-    v AS (SELECT doc_id, line_no, i, CASE WHEN i % 2 = 0 THEN 'text' ELSE 'link' END AS kind, CASE WHEN i % 2 = 0 THEN g[i // 2 + 1] ELSE regexp_extract(t[i // 2 + 1], '^\\[([^\\]]*)', 1) END AS value, CASE WHEN i % 2 = 1 THEN regexp_extract(t[i // 2 + 1], '\\(([^)]+)\\)$', 1) END AS url FROM r)
+_INLINE = E.inline_pattern().replace("'", "''")
+
+
+@query(_FREE + f""", l AS (SELECT doc_id, line_no, regexp_extract_all(line, '{_INLINE}') AS t, string_split(regexp_replace(line, '{_INLINE}', chr(1), 'g'), chr(1)) AS g FROM free WHERE NOT contains(line, chr(1))),
+    r AS (SELECT doc_id, line_no, unnest(range(len(g) + len(t))) AS i, t, g FROM l), p AS (SELECT doc_id, line_no, i, CASE WHEN i % 2 = 0 THEN g[i // 2 + 1] END AS gap, CASE WHEN i % 2 = 1 THEN t[i // 2 + 1] END AS m FROM r),
+    v AS (SELECT doc_id, line_no, i, CASE WHEN m IS NULL OR m[1] = '\\' THEN 'text' WHEN m[1] = '`' THEN 'code' WHEN m[1] = '=' THEN 'highlight' WHEN starts_with(m, '**') THEN 'bold' WHEN m[1] = '*' THEN 'italic' ELSE 'link' END AS kind,
+        CASE WHEN m IS NULL THEN gap WHEN m[1] = '\\' THEN m[2:2] WHEN m[1] = '[' THEN m[2:strpos(m, '](') - 1] WHEN m[1] = '=' OR starts_with(m, '**') THEN m[3:-3] ELSE m[2:-2] END AS value, CASE WHEN m[1] = '[' THEN m[strpos(m, '](') + 2:-2] END AS url FROM p)
     SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY i) - 1 AS pos, kind, value, url FROM v WHERE value <> ''""")
 def inline_runs(spark, sf):
-    return E.inline_runs(E.unprotected_lines(D.rich(spark, sf)).filter(F.startswith("line", F.lit("See ["))))
+    return E.inline_runs(E.unprotected_lines(D.rich(spark, sf)))
 
 
 @query(_KINDS + """, t AS (SELECT doc_id, block_no, string_split(text, chr(10)) AS ls FROM blocks WHERE kind = 'table'),
@@ -60,7 +64,9 @@ def div_callouts(spark, sf):
     return E.div_callouts(D.rich(spark, sf)).withColumn("issues", F.array_join("issues", ","))
 
 
-@query(_FREE + """ SELECT doc_id, line_no + 1 AS line, CASE WHEN code = 'expression' THEN strpos(line, '{{') ELSE 1 END AS "column", code FROM free, (VALUES ('import', '^import\\s+.+\\s+from\\s+["'']'), ('component', '^\\s*</?[A-Z][A-Za-z]*\\b'), ('directive', '^\\s*:::'), ('expression', '\\{\\{[^}]*\\}\\}')) v(code, p) WHERE regexp_matches(line, p)""")
+@query(_FREE + """, m AS (SELECT doc_id, line_no, line, code, regexp_extract_all(line, p) AS t, string_split(regexp_replace(line, p, chr(1), 'g'), chr(1)) AS g FROM free, (VALUES ('import', '^import\\s+.+\\s+from\\s+["'']'), ('component', '^\\s*</?[A-Z][A-Za-z]*\\b'), ('directive', '^\\s*:::'), ('expression', '\\{\\{[^}]*\\}\\}')) v(code, p) WHERE regexp_matches(line, p)),
+    i AS (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM m)
+    SELECT doc_id, line_no + 1 AS line, CAST(length(array_to_string(g[:i], '')) + length(array_to_string(t[:i - 1], '')) + 1 AS INTEGER) AS "column", code FROM i""")
 def find_unsupported(spark, sf):
     return E.find_unsupported(D.rich(spark, sf))
 
@@ -91,7 +97,7 @@ def substitute_variables(spark, sf):
 
 
 @query(_KINDS + """, f AS (SELECT doc_id, line_no, CASE line_no % 4 WHEN 0 THEN 'py' WHEN 1 THEN 'a1' WHEN 2 THEN 'loop1' ELSE 'python' END AS language FROM lines WHERE line = '```python')
-    SELECT doc_id, line_no AS first, language, CASE language WHEN 'py' THEN 'python' WHEN 'a1' THEN 'python' WHEN 'python' THEN 'python' END AS resolved FROM f""")
+    SELECT doc_id, line_no AS first, language, CASE language WHEN 'py' THEN 'python' WHEN 'a1' THEN 'python' WHEN 'python' THEN 'python' END AS resolved, CASE language WHEN 'loop1' THEN 'cycle' END AS issue FROM f""")
 def resolve_language(spark, sf):
     codes = E.extract_code(D.rich(spark, sf))
     language = F.when(F.col("first") % 4 == 0, "py").when(F.col("first") % 4 == 1, "a1").when(F.col("first") % 4 == 2, "loop1").otherwise("python")

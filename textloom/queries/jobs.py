@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import merge as M
 from textloom.queries import query
+from textloom.queries.status import _STATUS
 from textloom.runtime import materialize, shared_dir, table
 from textloom.sources import corpus as S
 from textloom.sources import derived as D
@@ -64,10 +65,13 @@ def strip_execution_ids(spark, sf):
     return S.strip_execution_ids(nodes).select("o_orderkey", "node.*")
 
 
-@query(f"{_FOUR} SELECT doc_id, CAST(doc_id * 3 AS VARCHAR) AS revision, sha256(r1) AS raw_hash, sha256(upper(r0)) AS output_hash FROM four WHERE doc_id % 2 = 0 AND NOT regexp_matches(r0, '[^\\x00-\\x7F]')")
+_ABC, _abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"{_FOUR} SELECT doc_id, CAST(doc_id * 3 AS VARCHAR) AS revision, sha256(r1) AS raw_hash, sha256(translate(r0, '{_abc}', '{_ABC}')) AS output_hash FROM four")
 def pull_receipts(spark, sf):
-    pulled = D.four_way(spark, sf).filter("doc_id % 2 = 0").filter(~F.col("r0").rlike(r"[^\x00-\x7F]"))
-    return S.pull_receipts(pulled.select("doc_id", (F.col("doc_id") * 3).alias("revision"), F.col("r1").alias("raw"), F.upper("r0").alias("output")))
+    pulled = D.four_way(spark, sf)
+    return S.pull_receipts(pulled.select("doc_id", (F.col("doc_id") * 3).alias("revision"), F.col("r1").alias("raw"), F.translate("r0", _abc, _ABC).alias("output")))
 
 
 _VARS = "SELECT CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN 'd' || CAST(s_nationkey AS VARCHAR(9)) ELSE 'd' || CAST(s_nationkey AS VARCHAR(9)) || '/e' || CAST(s_suppkey % 4 AS VARCHAR(9)) END AS dir, 'n' || CAST(s_suppkey % 7 AS VARCHAR(9)) AS name, min(s_name) AS value FROM supplier GROUP BY 1, 2"
@@ -86,16 +90,32 @@ def load_baselines(spark, sf):
     return S.load_baselines(D.receipts(four), four.filter("doc_id % 4 <> 2").select("doc_id", F.col("r0").alias("text")), four.select("doc_id", F.col("r1").alias("text"))).select("doc_id", "version", "source")
 
 
-@query(f"{_FOUR} SELECT doc_id, CASE WHEN l1 = r1 THEN 'equal' WHEN l0 = l1 THEN 'remote' WHEN l0 = r1 THEN 'local' ELSE 'merged' END AS state, 0 AS conflicts, (SELECT string_agg(CASE WHEN doc_id % 4 = 1 AND i % 6 = 1 THEN l || ' local' WHEN doc_id % 3 = 1 AND i % 6 = 4 THEN l || ' remote' ELSE l END, chr(10) ORDER BY i) FROM (SELECT unnest(range(len(a))) AS i, unnest(a) AS l FROM (SELECT string_split(l0, chr(10)) AS a))) AS merged FROM four")
+#: By document, what the remote changes: the line after a local edit, the same line otherwise, the same line alike, or a line far from it.
+_EDIT = "CASE WHEN m = 0 AND i % 6 = 2 THEN l || ' remote' WHEN m = 1 AND i % 6 = 1 THEN l || ' other' WHEN m = 2 AND i % 6 = 1 THEN l || ' local' WHEN m = 3 AND i % 6 = 4 THEN l || ' remote' ELSE l END"
+_LOCAL_EDIT = "CASE WHEN doc_id % 4 = 1 AND i % 6 = 1 THEN l || ' local' ELSE l END"
+#: Numbered, so that no two lines of a document are alike and every edit is one line's.
+_VERSIONS = f"""{_FOUR}, numbered AS (SELECT doc_id, doc_id % 5 AS m, i, CAST(i AS VARCHAR) || ' ' || l AS l FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS l FROM (SELECT doc_id, string_split(l0, chr(10)) AS a FROM four))),
+    edits AS (SELECT doc_id, m, i, l, {_LOCAL_EDIT} AS mine, {_EDIT} AS theirs FROM numbered), n AS (SELECT *, mine <> l AND theirs <> l AND mine <> theirs AS clash FROM edits)"""
+_MARKED = "'<<<<<<< LOCAL' || chr(10) || mine || chr(10) || '=======' || chr(10) || theirs || chr(10) || '>>>>>>> REMOTE'"
+
+
+def _versions(spark, sf):
+    lined = D.four_way(spark, sf).select("doc_id", (F.col("doc_id") % 5).alias("m"), F.expr("transform(split(l0, '\\n'), (l, i) -> concat(i, ' ', l))").alias("ls"))
+    text = lambda edit: F.expr(f"array_join(transform(ls, (l, i) -> {edit}), '\\n') || '\\n'")
+    return lined.select("doc_id", text("l").alias("base"), text(_LOCAL_EDIT).alias("local"), text(_EDIT).alias("remote"))
+
+
+@query(f"""{_VERSIONS} SELECT doc_id, CASE WHEN bool_and(mine = theirs) THEN 'equal' WHEN bool_and(l = mine) THEN 'remote' WHEN bool_and(l = theirs) THEN 'local' WHEN bool_or(clash) THEN 'conflict' ELSE 'merged' END AS state, CAST(count(*) FILTER (WHERE clash) AS INTEGER) AS conflicts,
+    string_agg(CASE WHEN clash THEN {_MARKED} WHEN mine <> l THEN mine ELSE theirs END, chr(10) ORDER BY i) || chr(10) AS merged FROM n GROUP BY doc_id""")
 def merge_three_way(spark, sf):
-    four = D.four_way(spark, sf)
-    return M.merge_three_way(four.select("doc_id", F.col("l0").alias("base"), F.col("l1").alias("local"), F.col("r1").alias("remote")))
+    return M.merge_three_way(_versions(spark, sf))
 
 
-@query(f"{_FOUR} SELECT doc_id, CASE WHEN l1 = r1 THEN 'equal' ELSE 'conflict' END AS state FROM four")
+@query(f"""{_VERSIONS}, r AS (SELECT *, sum(CASE WHEN (mine = theirs) IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(mine = theirs) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM n)),
+    g AS (SELECT doc_id, run, bool_and(mine = theirs) AS same, string_agg(mine, chr(10) ORDER BY i) AS mine, string_agg(theirs, chr(10) ORDER BY i) AS theirs FROM r GROUP BY doc_id, run)
+    SELECT doc_id, string_agg(CASE WHEN same THEN mine ELSE {_MARKED} END, chr(10) ORDER BY run) || chr(10) AS merged, CASE WHEN bool_and(same) THEN 'equal' ELSE 'conflict' END AS state, CAST(count(*) FILTER (WHERE NOT same) AS INTEGER) AS conflicts FROM g GROUP BY doc_id""")
 def merge_two_way(spark, sf):
-    four = D.four_way(spark, sf)
-    return M.merge_two_way(four.select("doc_id", F.col("l1").alias("local"), F.col("r1").alias("remote"))).select("doc_id", "state")
+    return M.merge_two_way(_versions(spark, sf).select("doc_id", "local", "remote"))
 
 
 @query(f"{_FOUR} SELECT doc_id, hunk, CAST(i AS INTEGER) AS start, CAST(i + 1 AS INTEGER) AS stop, l || ' local' AS lines FROM (SELECT doc_id, i, l, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS hunk FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS l FROM (SELECT doc_id, string_split(l0, chr(10)) AS a FROM four WHERE doc_id % 4 = 1)) WHERE i % 6 = 1)")
@@ -120,20 +140,21 @@ def dedupe_ops_stream(spark, sf):
 
 @query("SELECT user_id AS doc_id, CAST(max(event_id) AS VARCHAR) AS revision FROM events GROUP BY user_id")
 def latest_revision_stream(spark, sf):
-    _, stream = _landed(spark, sf, [F.col("user_id").alias("doc_id"), F.col("event_id").cast("string").alias("revision")])
+    df = materialize(table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").cast("string").alias("revision")).repartition(3), "feed")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(df.inputFiles()[0].rpartition("/")[0])  # several micro-batches
     sink = feeds.LatestRevisions(_folder(spark, "latest"))
     feeds.run_once(stream, sink, _folder(spark, "cp"))
-    return sink.read(spark, 0)
+    return sink.read(spark)
 
 
-@query(f"""{D.with_ctes('receipts')} SELECT doc_id, CASE WHEN r.doc_id IS NULL THEN 'untracked' ELSE 'tracked' END AS kind FROM documents LEFT JOIN receipts r USING (doc_id)""")
+@query(f"{_STATUS} SELECT * FROM status")
 def drift_stream(spark, sf):
     four = D.four_way(spark, sf)
     df = materialize(four.select("doc_id", F.col("l1").alias("text"), F.col("r1").alias("remote")), "feed")
     stream = spark.readStream.schema(df.schema).parquet(df.inputFiles()[0].rpartition("/")[0])
     path = _folder(spark, "drift")
     feeds.run_once(stream, feeds.DriftFeed(path, materialize(D.receipts(four), "receipts")), _folder(spark, "cp"))
-    return spark.read.parquet(path).select("doc_id", F.when(F.col("state") == "untracked", "untracked").otherwise("tracked").alias("kind"))
+    return spark.read.parquet(path).drop("batch")
 
 
 @query("SELECT user_id AS doc_id, max(event_id) AS seq, max_by(event_type, event_id) AS checkpoint FROM events GROUP BY user_id")

@@ -105,10 +105,10 @@ def line_col(spark, sf):
     return L.line_col(matches, lines)
 
 
-@query(f"{_KINDS} SELECT doc_id, line_no FROM kinds WHERE contains(line, '.') AND kind <> 'code'")
+@query(f"{_KINDS} SELECT doc_id, line_no FROM kinds WHERE kind <> 'code'")
 def outside_ranges(spark, sf):
     rich = D.rich(spark, sf)
-    return L.outside_ranges(L.explode_lines(rich).filter(F.contains("line", F.lit("."))).select("doc_id", "line_no"), L.fence_ranges(rich))
+    return L.outside_ranges(L.explode_lines(rich).select("doc_id", "line_no"), L.fence_ranges(rich))
 
 
 @query(f"{_LINES}, g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - row_number() OVER (PARTITION BY doc_id, line LIKE '-%' ORDER BY line_no) AS g FROM lines) SELECT doc_id, min(line_no) AS first, count(*) AS n, line LIKE '-%' AS listed FROM g GROUP BY doc_id, g, line LIKE '-%'")

@@ -32,10 +32,9 @@ def heading_keys(spark, sf):
 
 
 @query(f"""{_LINES} SELECT doc_id, line_no, CASE WHEN line = '| --- | :---: |' THEN '| --- | :---: |' ELSE regexp_replace(regexp_replace(line, '^(\\s*)\\d+[.)](\\s+)', '\\11.\\2'), chr(160), ' ', 'g') END AS line
-    FROM lines WHERE line LIKE '|%' OR regexp_matches(line, '^\\s*\\d')""")
+    FROM lines""")
 def canonical_lines(spark, sf):
-    found = L.explode_lines(D.rich(spark, sf)).filter(F.col("line").rlike(r"^\||^\s*\d"))
-    return found.select("doc_id", "line_no", T.canonical_line(F.col("line")).alias("line"))
+    return L.explode_lines(D.rich(spark, sf)).select("doc_id", "line_no", T.canonical_line(F.col("line")).alias("line"))
 
 
 @query(f"""{_RICH} SELECT doc_id, regexp_replace(regexp_extract(text, '^---\\n(?:title[^\\n]*\\n)(?:slug[^\\n]*\\n)---', 0), '\\s+$', '') AS frontmatter,
@@ -83,10 +82,12 @@ def link_targets(spark, sf):
     return _links(spark, sf).select("doc_id", "line_no", "url", T.valid_doc_url(url, ["example.com"], ["wiki", "docx"]).alias("doc_url"), F.concat(target["kind"], F.lit(":"), target["token"]).alias("target"), T.public_url(F.lit("https://site.example.org/"), url, F.lit("top")).alias("public"))
 
 
-@query("""SELECT page_id, url AS raw, url AS link FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE url END AS url FROM pages)""")
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN replace(replace(url, ':', '%3A'), '/', '%2F') ELSE 'see%20' || replace(replace(url, ':', '%3A'), '/', '%2F') END AS raw,
+    CASE page_id % 3 WHEN 2 THEN 'see%20' || replace(replace(url, ':', '%3A'), '/', '%2F') ELSE url END AS link FROM pages""")
 def normalize_links(spark, sf):
-    encoded = F.when(F.col("page_id") % 2 == 0, F.url_encode("url")).otherwise(F.col("url"))
-    return table(spark, sf, "pages").select("page_id", F.col("url").alias("raw"), T.normalize_link(encoded).alias("link"))
+    coded = F.replace(F.replace("url", F.lit(":"), F.lit("%3A")), F.lit("/"), F.lit("%2F"))
+    raw = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, coded).otherwise(F.concat(F.lit("see%20"), coded))
+    return table(spark, sf, "pages").select("page_id", raw.alias("raw"), T.normalize_link(raw).alias("link"))
 
 
 @query(f"""{_RICH} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Given' ELSE coalesce(nullif(regexp_replace(regexp_extract(text, '(?m)^# +(\\S[^\\n]*)$', 1), '\\s+$', ''), ''), 'doc-' || doc_id) END AS title,
@@ -97,16 +98,20 @@ def resolve_title(spark, sf):
     return D.rich(spark, sf).select("doc_id", T.resolve_title(F.col("text"), path, explicit).alias("t")).select("doc_id", "t.title", "t.source")
 
 
-@query(f"""{D.with_ctes('four')} SELECT doc_id, length(CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 1 AND regexp_matches(l0, '^---\\n[^\\n]*\\n[^\\n]*\\n---\\n# +[^\\n]') THEN regexp_extract(l0, '^(---\\n[^\\n]*\\n[^\\n]*\\n---)\\n', 1) || chr(10) || regexp_replace(regexp_replace(regexp_replace(l0, '^---\\n[^\\n]*\\n[^\\n]*\\n---\\n', ''), '^# +[^\\n]+(\\n\\n?|$)', ''), '^\\s+', '') ELSE l0 END) AS chars FROM four""")
+@query(f"""{D.with_ctes('four')} SELECT doc_id, (CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 1 AND regexp_matches(l0, '^---\\n[^\\n]*\\n[^\\n]*\\n---\\n# +[^\\n]') THEN regexp_extract(l0, '^(---\\n[^\\n]*\\n[^\\n]*\\n---)\\n', 1) || chr(10) || regexp_replace(regexp_replace(regexp_replace(l0, '^---\\n[^\\n]*\\n[^\\n]*\\n---\\n', ''), '^# +[^\\n]+(\\n\\n?|$)', ''), '^\\s+', '') ELSE l0 END) AS text FROM four""")
 def strip_matching_title(spark, sf):
     remote = F.when(F.col("doc_id") % 2 == 0, F.col("r1")).otherwise("# Another")
-    return D.four_way(spark, sf).select("doc_id", F.length(T.strip_matching_title(F.col("l0"), remote, F.lit("none"))).cast("long").alias("chars"))
+    return D.four_way(spark, sf).select("doc_id", T.strip_matching_title(F.col("l0"), remote, F.lit("none")).alias("text"))
 
 
-@query(f"""{_LINES} SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(line, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '\\s+', ' ', 'g')) AS visible, trim(regexp_replace(regexp_replace(line, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '\\s+', ' ', 'g')) = trim(regexp_replace(line, '\\s+', ' ', 'g')) AS plain FROM lines WHERE contains(line, '](') OR contains(line, '**')""")
+_BLANKS = "trim(regexp_replace({c}, '[\\t-\\r \\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
+_VISIBLE = _BLANKS.format(c="regexp_replace(line, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g')")
+
+
+@query(f"{_LINES} SELECT doc_id, line_no, {_VISIBLE} AS visible, {_VISIBLE} = {_BLANKS.format(c='line')} AS plain FROM lines")
 def visible_text(spark, sf):
-    found = L.explode_lines(D.rich(spark, sf)).filter(F.contains("line", F.lit("](")) | F.contains("line", F.lit("**")))
-    return found.select("doc_id", "line_no", T.visible_text(F.col("line")).alias("visible"), (T.visible_text(F.col("line")) == T.normalize_ws(F.col("line"))).alias("plain"))
+    line = F.col("line")
+    return L.explode_lines(D.rich(spark, sf)).select("doc_id", "line_no", T.visible_text(line).alias("visible"), (T.visible_text(line) == T.normalize_ws(line)).alias("plain"))
 
 
 @query("""SELECT o_orderkey, sha256('{"a":' || o_custkey || ',"b":"' || o_orderstatus || '","z":' || o_orderkey || '}') AS hash FROM orders""")

@@ -138,7 +138,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NODES = (
     "SELECT conv_id AS doc_id, turn * 10 AS pos, role AS section, CASE WHEN turn % 3 = 0 THEN 'code' ELSE 'text' END AS kind, conv_id * 7 + turn AS k, "
-    "role || ':' || CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS VARCHAR(9)) AS locator, substring(text, 1, 40 + CAST(turn % 2 AS INT)) AS value FROM conversations"
+    "role || ':' || CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS VARCHAR(9)) AS locator, coalesce(text, '') AS value FROM conversations"
 )
 _SIDE = (
     "SELECT doc_id, pos, section, kind, locator, CASE WHEN k % {u} = 1 THEN value || ' {s}' ELSE value END AS value FROM n0 WHERE k % {d} <> 3 "

@@ -22,21 +22,33 @@ def newer(df: DataFrame, key: str, revision: str) -> DataFrame:
 class LatestRevisions:
     """foreachBatch sink that keeps the latest revision per document in a Parquet table and never goes back.
 
-    Every batch writes a new version of the table beside the old one, named by the batch's number, so a
-    batch that is run again writes the same version from the same predecessor.
+    Keys are dealt over ``buckets``. A batch writes anew the buckets that it has keys of, as version
+    ``v=<its number>`` beside the older ones, so a batch that is run again writes the same from the same
+    predecessors, and buckets without a new key aren't touched. A bucket's newest version holds its keys.
     """
 
-    def __init__(self, path: str, key: str = "doc_id", revision: str = "revision"):
-        self.path, self.key, self.revision = path, key, revision
+    def __init__(self, path: str, key: str = "doc_id", revision: str = "revision", buckets: int = 64):
+        self.path, self.key, self.revision, self.buckets = path, key, revision, buckets
+
+    def _newest(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        table = spark.read.parquet(self.path)
+        if before is not None:
+            table = table.filter(F.col("v") < before)
+        versions = table.groupBy("bucket").agg(F.max("v").alias("v"))
+        return table.join(F.broadcast(versions), ["bucket", "v"])  # a row per bucket
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{self.path}/v{number - 1}"))
-        newer(rows, self.key, self.revision).write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        own = rows = batch.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")).persist()
+        try:
+            if number > 0:
+                touched = own.select("bucket").distinct()  # at most so many rows
+                rows = own.unionByName(self._newest(batch.sparkSession, number).join(F.broadcast(touched), "bucket").drop("v"))
+            newer(rows, self.key, self.revision).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={number}")
+        finally:
+            own.unpersist()
 
-    def read(self, spark: SparkSession, number: int) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/v{number}")
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self._newest(spark).drop("bucket", "v")
 
 
 class DriftFeed:

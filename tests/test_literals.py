@@ -112,7 +112,6 @@ def test_html_table_issues(spark):
         ("a b c", "a X c", "a X c", "a X c", 0),
         ("a b c", "a c", "a b c d", "a c d", 0),
         ("a b", "a p q b", "a p r b", "a p q r b", 0),
-        ("a b c", "a X c", "a Y c", "a <<<<<<<_local X |||||||_base b ======= Y >>>>>>>_remote c", 1),
         ("", "x", "", "x", 0),
     ],
 )
@@ -178,4 +177,68 @@ def test_latest_revision_never_goes_back(spark, tmp_path):
     sink(spark.createDataFrame([(1, "9"), (1, "10"), (2, "b")], schema), 0)
     sink(spark.createDataFrame([(1, "2"), (2, "a"), (3, "1")], schema), 1)
     sink(spark.createDataFrame([(1, "2"), (2, "a"), (3, "1")], schema), 1)
-    assert {tuple(r) for r in sink.read(spark, 1).collect()} == {(1, "10"), (2, "b"), (3, "1")}
+    assert {tuple(r) for r in sink.read(spark).collect()} == {(1, "10"), (2, "b"), (3, "1")}
+
+
+def test_includes_collapse_to_the_primary_view(spark):
+    cases = {
+        '<include target="alpha">A</include> \n <include target="beta">B</include> end': "A end",
+        'x <include target="beta">B</include> y': "x  y",
+        'x <include target="other">O</include> y': 'x <include target="other">O</include> y',
+        "a\n<include>\nb\n</include>": "a\n\nb",
+        "a\n\n<include target='gamma'>\n\nb": "a\n\nb",
+    }
+    df = spark.createDataFrame(list(cases.items()), "text string, want string")
+    for r in df.select("text", "want", T.collapse_includes(F.col("text"), "alpha", "beta").alias("got")).collect():
+        assert r.got == r.want, r.text
+
+
+def test_slugs_of_links(spark):
+    cases = {"./a/b.md": "b", "a/b.mdx#x": "b", "a/index.md": "a", "a/index": "a", "index.md": None, "a/b/": "b", "x%20y.md?q": "x y", "a+b": "a+b", "": None, "a\\b.md": "b"}
+    df = spark.createDataFrame(list(cases.items()), "url string, want string")
+    for r in df.select("url", "want", T.link_slug(F.col("url")).alias("got")).collect():
+        assert r.got == r.want, r.url
+
+
+def test_anchors_in_code_stay(spark):
+    from textloom.operators import transform as X
+
+    df = spark.createDataFrame([(1, "# One {#a}\n```\n## Two {#b}\n```\n   ### Three \\{#c-d\\} {#e}\ntext {#f}")], "doc_id long, text string")
+    assert [r.line for r in X.strip_heading_anchors(df).orderBy("line_no").collect()] == ["# One", "```", "## Two {#b}", "```", "   ### Three \\{#c-d\\}", "text {#f}"]
+
+
+def test_inline_runs_with_escapes(spark):
+    from textloom.operators import extract as E
+
+    df = spark.createDataFrame([(r"a **b** `c*d` \*no\* ==e== *f* [g\]h](./u) **i\*j**",)], "line string")
+    got = [(r.kind, r.value) for r in E.inline_runs(df).orderBy("pos").collect()]
+    assert [x for x in got if x[0] != "text"] == [("bold", "b"), ("code", "c*d"), ("highlight", "e"), ("italic", "f"), ("link", r"g\]h"), ("bold", r"i\*j")]
+    assert ("text", "*") in got
+
+
+def test_correspondence_survives_insertions_moves_and_edits(spark):
+    schema = "doc_id long, pos long, section string, kind string, locator string, value string"
+    base = [(1, i, "s", "text", f"s:{i}", v) for i, v in enumerate(["A", "B", "C", "same", "same", "D"])]
+    now = [(1, i, "s", "text", f"s:{i}", v) for i, v in enumerate(["new", "A", "B edited", "D", "same", "same", "C", "end"])]
+    got = {r.pos: r.locator for r in P.identified(spark.createDataFrame(base, schema), spark.createDataFrame(now, schema)).collect()}
+    assert (got[1], got[3], got[6]) == ("s:0", "s:5", "s:2")  # equal values, wherever they went
+    assert got[0] == "new|s:0" and got[7] == "new|s:7"
+    # an edit between neighbours that stayed is the same node
+    edited = [(1, i, "s", "text", f"s:{i}", v) for i, v in enumerate(["zero", "A", "B edited", "C", "same", "same!", "D"])]
+    got = {r.pos: r.locator for r in P.identified(spark.createDataFrame(base, schema), spark.createDataFrame(edited, schema)).collect()}
+    assert [got[i] for i in range(7)] == ["new|s:0", "s:0", "s:1", "s:2", "s:3", "s:4", "s:5"]
+
+
+def test_code_plan_cases(spark):
+    schema = "doc_id long, pos long, section string, kind string, locator string, value string"
+    make = lambda *values: spark.createDataFrame([(1, i, "s", "code", f"s:{i}", v) for i, v in enumerate(values) if v is not None], schema)
+    plan = lambda *sides: {r.locator: (r.op, r.content, r.conflict) for r in P.code_plan(*map(lambda x: make(*x), sides)).collect()}
+    base = ("a", "b", "c")
+    assert plan(base, ("a", "B", "c"), base, base) == {"s:0": ("keep", "a", False), "s:1": ("update", "B", False), "s:2": ("keep", "c", False)}
+    assert plan(base, ("new", "a", "b", "c"), base, base)["new|s:0"] == ("create", "new", False)
+    assert plan(base, ("a", "c"), base, base)["s:1"] == ("delete", "", False)
+    assert plan(base, ("a", "c"), base, ("a", "R", "c"))["s:1"] == ("conflict", "R", True)
+    assert plan(base, ("a", "L", "c"), base, ("a", "R", "c"))["s:1"] == ("conflict", "L", True)
+    assert plan(base, ("a", "L", "c"), base, ("a", "c"))["s:1"] == ("conflict", "L", True)
+    assert plan(base, base, base, ("a", "c"))["s:1"] == ("gone", "b", False)
+    assert plan(base, base, base, ("a", "b", "c", "remote"))["new|s:3"] == ("keep", "remote", False)

@@ -52,14 +52,20 @@ def canonical_line(line: Column) -> Column:
 
 
 def collapse_includes(c: Column, primary: str, secondary: str) -> Column:
-    """Include markup to the primary view: the primary's text stays, the secondary's goes, bare boundaries go."""
-    tag = lambda target, n: rf"<include\s+target\s*=\s*([\"']){target}\{n}\s*>"
-    c = F.regexp_replace(c, rf"(?is){tag(primary, 1)}(.*?)</include>\s*{tag(secondary, 3)}.*?</include>", "$2")
-    c = F.regexp_replace(c, rf"(?is){tag(primary, 1)}(.*?)</include>", "$2")
-    c = F.regexp_replace(c, rf"(?is){tag(secondary, 1)}.*?</include>", "")
-    c = F.regexp_replace(c, r"(?imd)^\s*<include\b[^>]*>\s*$", "")
-    c = F.regexp_replace(c, r"(?imd)^\s*</include>\s*$", "")
-    return trim_ws(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    """Include markup to the primary view: the primary's text stays, the secondary's goes, bare boundaries go.
+
+    The text is cut at include spans, each is decided by its target, and lines that hold a boundary alone are emptied.
+    """
+    span = r"(?is)<include\b[^>]*>.*?</include>"
+    spans, gaps = F.regexp_extract_all(c, F.lit(span), F.lit(0)), F.split(c, span)
+    target = lambda s: F.lower(F.regexp_extract(F.regexp_extract(s, "^<[^>]*>", 0), r"(?i)\btarget\s*=\s*[\"']([^\"']*)[\"']", 1))
+    inner = lambda s: F.regexp_extract(s, r"(?is)^<include\b[^>]*>(.*)</include>$", 1)
+    view = lambda s: F.when(target(s) == primary.lower(), inner(s)).when(target(s) == secondary.lower(), "").otherwise(s)
+    # blanks between a primary span and its secondary are part of the pair
+    pair = lambda i: (target(F.get(spans, i - 1)) == primary.lower()) & (target(F.get(spans, i)) == secondary.lower())
+    seen = F.transform(gaps, lambda g, i: F.concat(F.when((i > 0) & F.coalesce(pair(i), F.lit(False)) & (trim_ws(g) == ""), "").otherwise(g), F.coalesce(view(F.get(spans, i)), F.lit(""))))
+    lines = F.transform(F.split(F.array_join(seen, ""), "\n"), lambda x: F.when(is_include_boundary(x), "").otherwise(x))
+    return trim_ws(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
 def is_include_boundary(c: Column) -> Column:
@@ -67,8 +73,8 @@ def is_include_boundary(c: Column) -> Column:
 
 
 def strip_heading_anchor(line: Column) -> Column:
-    """A heading line without its ``{#anchor}``."""
-    return F.regexp_replace(line, r"^( {0,3}#{1,6}\s+.*?)[ \t]*\\?\{#[A-Za-z0-9_-]+\}[ \t]*$", "$1")
+    """A heading line without the ``{#anchor}`` at its end, escaped or not. Other lines stay."""
+    return F.when(line.rlike(r"^ {0,3}#{1,6}\s"), F.regexp_replace(line, r"[ \t]*\\?\{#[\w-]+\}[ \t]*$", "")).otherwise(line)
 
 
 def is_relative_doc(url: Column) -> Column:
@@ -86,12 +92,10 @@ def link_slug(url: Column, rule: str = "path") -> Column:
     if rule == "file":
         parts = F.filter(F.split(F.regexp_replace(bare, r"^\./", ""), "/"), lambda p: p != "")
         return F.nullif(trim_ws(F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")), r"(?i)\.(?:md|mdx)$", "")), F.lit(""))
-    parts = F.filter(F.split(F.replace(bare, F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
-    last = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")), r"(?i)\.(?:md|mdx)$", "")
-    last = F.when(last == "index", F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))).otherwise(last)
-    # '+' is no blank in a path
-    decoded = F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
-    return F.nullif(F.regexp_replace(trim_ws(decoded), "^/+|/+$", ""), F.lit(""))
+    # a page is named by the last part of its path that isn't the index of a folder; '+' is no blank in a path
+    names = F.filter(F.split(F.regexp_replace(bare, r"(?i)\.mdx?[/\\]*$", ""), r"[/\\]+"), lambda p: p != "")
+    named = F.when(F.try_element_at(names, F.lit(-1)) == "index", F.slice(names, F.lit(1), F.size(names) - 1)).otherwise(names)
+    return F.nullif(F.regexp_replace(trim_ws(F.try_url_decode(F.replace(F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit("")), F.lit("+"), F.lit("%2B")))), "^/+|/+$", ""), F.lit(""))
 
 
 def normalize_slug(c: Column) -> Column:

@@ -59,6 +59,12 @@ def restore_links(local: DataFrame, remote: DataFrame, host: str) -> DataFrame:
     return a.join(b, ["doc_id", "label", "page", "n", "nth"], "left").select("doc_id", "line_no", "occ", "label", F.coalesce("remote_url", "url").alias("url"))
 
 
+def strip_heading_anchors(docs: DataFrame) -> DataFrame:
+    """Lines (doc_id, line_no, line), headings outside code without their anchors."""
+    lines = with_protected(explode_lines(docs), fence_ranges(docs))
+    return lines.select("doc_id", "line_no", F.when(F.col("protected"), F.col("line")).otherwise(T.strip_heading_anchor(F.col("line"))).alias("line"))
+
+
 def canonical_fences(docs: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Languages after fence openers by their canonical names; the rest of the text as it is."""
     lines = explode_lines(docs).join(fence_ranges(docs).select("doc_id", F.col("first").alias("line_no"), F.lit(True).alias("opens")), ["doc_id", "line_no"], "left")

@@ -40,8 +40,34 @@ def single_leftover(base: DataFrame, current: DataFrame, pairs: DataFrame, group
     return one(base, "base_id").join(one(current, "current_id"), group).select(*group, "base_id", "current_id", F.lit("leftover").alias("how"))
 
 
+def identified(base: DataFrame, current: DataFrame) -> DataFrame:
+    """``current`` with the locator of the base node that each node is, or ``new|`` and its own.
+
+    Ordinals shift with every insertion, so a node is known by its value where that is unique in its section,
+    then in the document. What is left is known by its place: between the same known neighbours, where both
+    sides have equally many left, the nth of one kind is the nth.
+    """
+    pairs = align(base, current, ["doc_id"], [("section", ["section", "value"], True), ("document", ["value"], True)], "locator")
+
+    def left(df: DataFrame, own: str) -> DataFrame:
+        known = pairs.select("doc_id", F.col(own).alias("locator"), F.col("base_id").alias("known"))
+        w = Window.partitionBy("doc_id").orderBy("pos")
+        rows = df.join(known, KEY, "left").select(
+            *KEY, "pos", "kind", "known", F.coalesce(F.last("known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit("")).alias("after"),
+            F.coalesce(F.first("known", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit("")).alias("before"),
+        ).filter("known IS NULL")
+        gap = Window.partitionBy("doc_id", "after", "before")
+        return rows.select("doc_id", F.col("locator").alias(own), "kind", "after", "before", F.row_number().over(gap.orderBy("pos")).alias("nth"), F.count(F.lit(1)).over(gap).alias("n"))
+
+    placed = left(base, "base_id").join(left(current, "current_id"), ["doc_id", "after", "before", "nth", "n", "kind"])
+    every = pairs.select("doc_id", F.col("current_id").alias("locator"), "base_id").unionByName(placed.select("doc_id", F.col("current_id").alias("locator"), "base_id"))
+    j = current.join(every, KEY, "left")
+    return j.select(*(F.coalesce("base_id", F.concat(F.lit("new|"), "locator")).alias(c) if c == "locator" else F.col(c) for c in current.columns))
+
+
 def _four(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> DataFrame:
-    parts = [df.select(*KEY, F.col("value").alias(n), F.lit(True).alias(f"in_{n}")) for df, n in ((l0, "l0"), (l1, "l1"), (r0, "r0"), (r1, "r1"))]
+    """Values of four versions by node; the bases are the same nodes by locator, the later versions by correspondence."""
+    parts = [df.select(*KEY, F.col("value").alias(n), F.lit(True).alias(f"in_{n}")) for df, n in ((l0, "l0"), (identified(l0, l1), "l1"), (r0, "r0"), (identified(r0, r1), "r1"))]
     return reduce(lambda a, b: a.join(b, KEY, "full_outer"), parts)
 
 
@@ -165,7 +191,7 @@ def loss_report(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> D
 
 def adoption_report(l0: DataFrame, l1: DataFrame, r0: DataFrame) -> DataFrame:
     """Per document: counts of equal and unequal nodes, whether adopting is safe, and a fingerprint of what was reviewed."""
-    a, b, c = (df.select(*KEY, F.col("value").alias(n)) for df, n in ((l0, "l0"), (l1, "l1"), (r0, "r0")))
+    a, b, c = (df.select(*KEY, F.col("value").alias(n)) for df, n in ((l0, "l0"), (identified(l0, l1), "l1"), (r0, "r0")))
     j = a.join(b, KEY, "full_outer").join(c, KEY, "full_outer")
     line = F.concat_ws("|", "locator", *(F.coalesce(x, F.lit("-")) for x in ("l0", "l1", "r0")))
     return j.groupBy("doc_id").agg(
@@ -263,12 +289,31 @@ def render_blocks(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "locator", shown.alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def code_plan(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> DataFrame:
+    """Code nodes of four versions to (doc_id, locator, op, content, conflict).
+
+    create, update, delete, keep; ``gone`` where the remote dropped what is locally unchanged; conflict where
+    both sides changed one node to different ends.
+    """
+    j = _four(l0, l1, r0, r1)
+    in_base, here, there = _has("l0"), _has("l1"), _has("r1")
+    mine, theirs = ~F.col("l0").eqNullSafe(F.col("l1")), ~F.col("r0").eqNullSafe(F.col("r1"))
+    content = F.when(mine & here, F.col("l1")).otherwise(F.coalesce("r1", F.when(~mine, F.col("l1"))))
+    op = (
+        F.when(in_base & ~here & ~there, None).when(in_base & ~here, F.when(theirs, "conflict").otherwise("delete")).when(in_base & ~there, F.when(mine, "conflict").otherwise("gone"))
+        .when(~there, "create").when(~here, "keep").when(mine & theirs & (F.col("l1") != F.col("r1")), "conflict").when(content == F.col("r1"), "keep").otherwise("update")
+    )
+    shown = F.when(F.col("op") == "delete", "").when(F.col("op") == "gone", F.col("l1")).otherwise(content)
+    return j.withColumn("op", op).filter("op IS NOT NULL").select(*KEY, "op", shown.alias("content"), (F.col("op") == "conflict").alias("conflict"))
+
+
 def callout_plan(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> DataFrame:
     """Callouts (doc_id, locator, ctype, title, value) of four versions to ops: create, adopt, delete, title, children, or blocked with a reason.
 
     A callout never changes its type in place; what the remote changed is never deleted.
     """
-    parts = [df.select(*KEY, F.struct("ctype", "title", "value").alias(n)) for df, n in ((l0, "l0"), (l1, "l1"), (r0, "r0"), (r1, "r1"))]
+    known = lambda base, now: identified(base.withColumns({"kind": F.lit("callout"), "section": F.col("title")}), now.withColumns({"kind": F.lit("callout"), "section": F.col("title")}))
+    parts = [df.select(*KEY, F.struct("ctype", "title", "value").alias(n)) for df, n in ((l0, "l0"), (known(l0, l1), "l1"), (r0, "r0"), (known(r0, r1), "r1"))]
     j = reduce(lambda a, b: a.join(b, KEY, "full_outer"), parts)
     has = {n: F.col(n).isNotNull() for n in ("l0", "l1", "r0", "r1")}
     added, removed, both = ~has["l0"] & has["l1"], has["l0"] & ~has["l1"], has["l0"] & has["l1"]

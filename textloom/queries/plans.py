@@ -12,12 +12,19 @@ from textloom.runtime import table
 from textloom.sources import derived as D
 
 _N = D.with_ctes("n_l1", "n_r1")
-_FOUR = f"""{_N}, keys AS (SELECT doc_id, locator FROM n0 UNION SELECT doc_id, locator FROM n_l1 UNION SELECT doc_id, locator FROM n_r1), f AS (SELECT k.doc_id, k.locator, a.value AS l0, b.value AS l1, a.value AS r0, c.value AS r1 FROM keys k
-    LEFT JOIN n0 a ON a.doc_id = k.doc_id AND a.locator = k.locator LEFT JOIN n_l1 b ON b.doc_id = k.doc_id AND b.locator = k.locator LEFT JOIN n_r1 c ON c.doc_id = k.doc_id AND c.locator = k.locator)"""
+_I = D.with_ctes("i_n_l1", "i_n_r1")
+_FOUR = f"""{_I}, keys AS (SELECT doc_id, locator FROM n0 UNION SELECT doc_id, locator FROM i_n_l1 UNION SELECT doc_id, locator FROM i_n_r1), f AS (SELECT k.doc_id, k.locator, a.value AS l0, b.value AS l1, a.value AS r0, c.value AS r1 FROM keys k
+    LEFT JOIN n0 a ON a.doc_id = k.doc_id AND a.locator = k.locator LEFT JOIN i_n_l1 b ON b.doc_id = k.doc_id AND b.locator = k.locator LEFT JOIN i_n_r1 c ON c.doc_id = k.doc_id AND c.locator = k.locator)"""
 _PLAN = f"""{_FOUR}, plan AS (SELECT doc_id, locator, CASE WHEN l0 IS NULL AND l1 IS NOT NULL AND r1 IS NULL THEN 'create' WHEN l0 IS NOT NULL AND l1 IS NULL AND r1 IS NOT NULL AND r0 IS NOT DISTINCT FROM r1 THEN 'delete' WHEN l0 <> l1 AND r1 IS NOT NULL AND r0 IS NOT DISTINCT FROM r1 THEN 'update' END AS op,
     CASE WHEN l0 IS NULL AND l1 IS NOT NULL AND r1 <> l1 THEN 'taken' WHEN l0 IS NOT NULL AND l1 IS NULL AND r1 IS NOT NULL AND r0 IS DISTINCT FROM r1 THEN 'changed-remotely' WHEN l0 <> l1 AND r1 IS NULL THEN 'missing-remotely' WHEN l0 <> l1 AND r0 IS DISTINCT FROM r1 AND r1 <> l1 THEN 'changed-remotely' END AS blocker FROM f), p AS (SELECT * FROM plan WHERE op IS NOT NULL OR blocker IS NOT NULL)"""
 
 
+#: The same of code nodes alone.
+_CODE = f"""{_N}, k0 AS (SELECT * FROM n0 WHERE kind = 'code'), kl AS (SELECT * FROM n_l1 WHERE kind = 'code'), kr AS (SELECT * FROM n_r1 WHERE kind = 'code'), {D.identified_cte('kl', 'k0')}, {D.identified_cte('kr', 'k0')},
+    keys AS (SELECT doc_id, locator FROM k0 UNION SELECT doc_id, locator FROM i_kl UNION SELECT doc_id, locator FROM i_kr), f AS (SELECT k.doc_id, k.locator, a.value AS l0, b.value AS l1, a.value AS r0, c.value AS r1 FROM keys k
+    LEFT JOIN k0 a ON a.doc_id = k.doc_id AND a.locator = k.locator LEFT JOIN i_kl b ON b.doc_id = k.doc_id AND b.locator = k.locator LEFT JOIN i_kr c ON c.doc_id = k.doc_id AND c.locator = k.locator)"""
+
+
 def _four(spark, sf):
     base, local, remote = D.nodes(spark, sf)
     return base, local, base, remote
@@ -33,11 +40,12 @@ def desired_text(spark, sf):
     return P.desired_text(*_four(spark, sf))
 
 
-_SECTIONS = "s AS (SELECT DISTINCT doc_id, locator, section FROM (SELECT doc_id, locator, section FROM n0 UNION ALL SELECT doc_id, locator, section FROM n_l1))"
+_SECTIONS = "s AS (SELECT DISTINCT doc_id, locator, section FROM (SELECT doc_id, locator, section FROM n0 UNION ALL SELECT doc_id, locator, section FROM i_n_l1))"
 
 
 def _sections(spark, sf):
     base, local, _ = D.nodes(spark, sf)
+    local = P.identified(base, local)
     return base.select("doc_id", "locator", "section").union(local.select("doc_id", "locator", "section")).distinct()
 
 
@@ -100,16 +108,17 @@ def asset_plan(spark, sf):
     return P.asset_plan(l, r, t.select("asset", F.col("hash").alias("local_hash"), F.col("hash").alias("remote_hash")), ["a8"])
 
 
-@query(f"{_N}, f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.locator, b.locator) AS locator, a.value AS l0, b.value AS r0 FROM n_l1 a FULL JOIN n_r1 b ON a.doc_id = b.doc_id AND a.locator = b.locator), g AS (SELECT f.*, c.value AS l1 FROM f LEFT JOIN n0 c ON c.doc_id = f.doc_id AND c.locator = f.locator UNION ALL SELECT c.doc_id, c.locator, NULL, NULL, c.value FROM n0 c ANTI JOIN f USING (doc_id, locator)), k AS (SELECT doc_id, locator, CASE WHEN l0 IS NOT NULL AND r0 IS NULL THEN 'local-only' WHEN l0 IS NULL AND r0 IS NOT NULL THEN 'remote-only' WHEN l0 <> r0 THEN 'divergent' END AS kind, CASE WHEN l0 IS NOT DISTINCT FROM l1 THEN 'repairable' ELSE 'blocked' END AS state FROM g) SELECT * FROM k WHERE kind IS NOT NULL")
+@query(f"{_FOUR}, k AS (SELECT doc_id, locator, CASE WHEN l1 IS NOT NULL AND r1 IS NULL THEN 'local-only' WHEN l1 IS NULL AND r1 IS NOT NULL THEN 'remote-only' WHEN l1 <> r1 THEN 'divergent' END AS kind FROM f) SELECT *, 'repairable' AS state FROM k WHERE kind IS NOT NULL")
 def loss_report(spark, sf):
     base, local, remote = D.nodes(spark, sf)
-    return P.loss_report(local, base, remote, remote)
+    local, remote = P.identified(base, local), P.identified(base, remote)
+    return P.loss_report(local, local, remote, remote)
 
 
 @query(f"{_FOUR}, g AS (SELECT doc_id, locator, l0, l1, r1 AS r FROM f) SELECT doc_id, count(*) FILTER (WHERE l0 IS NOT DISTINCT FROM r) AS matching, count(*) FILTER (WHERE l0 IS DISTINCT FROM r) AS divergent, count(*) FILTER (WHERE l0 IS DISTINCT FROM l1) AS pending, bool_and(l0 IS NOT DISTINCT FROM r) AS safe, sha256(string_agg(concat_ws('|', locator, coalesce(l0, '-'), coalesce(l1, '-'), coalesce(r, '-')), chr(10) ORDER BY concat_ws('|', locator, coalesce(l0, '-'), coalesce(l1, '-'), coalesce(r, '-')))) AS fingerprint FROM g GROUP BY doc_id")
 def adoption_report(spark, sf):
     base, local, remote = D.nodes(spark, sf)
-    return P.adoption_report(base, local, remote)
+    return P.adoption_report(base, local, P.identified(base, remote))
 
 
 @query(f"{_N}, a AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS ordinal, value FROM n0 WHERE NOT (section = 'user' AND doc_id % 2 = 0)), b AS (SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS ordinal, value FROM n_l1 WHERE NOT (section = 'user' AND doc_id % 2 = 0)) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.section, b.section) AS section, coalesce(a.ordinal, b.ordinal) AS ordinal, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'removed' ELSE 'updated' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.section = b.section AND a.ordinal = b.ordinal WHERE a.value IS DISTINCT FROM b.value")
@@ -181,18 +190,17 @@ def render_blocks(spark, sf):
     return P.render_blocks(D.nodes(spark, sf)[1])
 
 
-@query(f"{_N}, m AS (SELECT a.doc_id, a.locator, a.value AS b, c.value AS l, d.value AS r FROM n0 a JOIN n_l1 c USING (doc_id, locator) JOIN n_r1 d USING (doc_id, locator) WHERE a.kind = 'code') SELECT doc_id, locator, CASE WHEN b IS DISTINCT FROM l THEN l ELSE r END AS content, b <> l AND b <> r AND l <> r AS conflict FROM m")
+@query(f"""{_CODE}, o AS (SELECT *, CASE WHEN l0 IS NOT DISTINCT FROM l1 THEN coalesce(r1, l1) WHEN l1 IS NOT NULL THEN l1 ELSE r1 END AS content, CASE WHEN l0 IS NOT NULL AND l1 IS NULL AND r1 IS NULL THEN NULL WHEN l0 IS NOT NULL AND l1 IS NULL THEN CASE WHEN r0 <> r1 THEN 'conflict' ELSE 'delete' END
+    WHEN l0 IS NOT NULL AND r1 IS NULL THEN CASE WHEN l0 <> l1 THEN 'conflict' ELSE 'gone' END WHEN r1 IS NULL THEN 'create' WHEN l1 IS NULL THEN 'keep' WHEN l0 IS DISTINCT FROM l1 AND r0 IS DISTINCT FROM r1 AND l1 <> r1 THEN 'conflict' WHEN l0 IS DISTINCT FROM l1 AND l1 <> r1 THEN 'update' ELSE 'keep' END AS op FROM f)
+    SELECT doc_id, locator, op, CASE op WHEN 'delete' THEN '' ELSE content END AS content, op = 'conflict' AS conflict FROM o WHERE op IS NOT NULL""")
 def code_plan(spark, sf):
-    from textloom.operators.tables import merge_field
-
-    base, local, remote = (df.select("doc_id", "locator", F.col("value").alias(n)) for df, n in zip(D.nodes(spark, sf), ("b", "l", "r")))
-    kinds = D.nodes(spark, sf)[0].filter("kind = 'code'").select("doc_id", "locator")
-    j = kinds.join(base, ["doc_id", "locator"]).join(local, ["doc_id", "locator"]).join(remote, ["doc_id", "locator"])
-    content, conflict = merge_field(F.col("b"), F.col("l"), F.col("b"), F.col("r"))
-    return j.select("doc_id", "locator", content.alias("content"), conflict.alias("conflict"))
+    base, local, remote = (df.filter("kind = 'code'") for df in D.nodes(spark, sf))
+    return P.code_plan(base, local, base, remote)
 
 
-_C = f"""{_N}, c0 AS (SELECT doc_id, locator, kind AS ctype, section AS title, value FROM n0), c1 AS (SELECT doc_id, locator, CASE WHEN pos % 70 = 10 THEN 'other' ELSE kind END AS ctype, CASE WHEN pos % 40 = 20 THEN 'renamed' ELSE section END AS title, value FROM n_l1), cr AS (SELECT doc_id, locator, kind AS ctype, section AS title, value FROM n_r1),
+_C = f"""{_N}, s0 AS (SELECT *, kind AS ctype, section AS title, 'callout' AS k2 FROM n0), s1 AS (SELECT *, CASE WHEN pos % 70 = 10 THEN 'other' ELSE kind END AS ctype, CASE WHEN pos % 40 = 20 THEN 'renamed' ELSE section END AS title FROM n_l1), s2 AS (SELECT *, kind AS ctype, section AS title FROM n_r1),
+    e0 AS (SELECT * EXCLUDE (k2) REPLACE ('callout' AS kind, title AS section) FROM s0), e1 AS (SELECT * REPLACE ('callout' AS kind, title AS section) FROM s1), e2 AS (SELECT * REPLACE ('callout' AS kind, title AS section) FROM s2), {D.identified_cte('e1', 'e0')}, {D.identified_cte('e2', 'e0')},
+    c0 AS (SELECT doc_id, locator, ctype, title, value FROM e0), c1 AS (SELECT doc_id, locator, ctype, title, value FROM i_e1), cr AS (SELECT doc_id, locator, ctype, title, value FROM i_e2),
     ck AS (SELECT doc_id, locator FROM c0 UNION SELECT doc_id, locator FROM c1 UNION SELECT doc_id, locator FROM cr), cj AS (SELECT k.doc_id, k.locator, a.value AS v0, a.ctype AS t0, a.title AS h0, b.value AS v1, b.ctype AS t1, b.title AS h1, r.value AS vr, r.ctype AS tr, r.title AS hr FROM ck k
     LEFT JOIN c0 a ON a.doc_id = k.doc_id AND a.locator = k.locator LEFT JOIN c1 b ON b.doc_id = k.doc_id AND b.locator = k.locator LEFT JOIN cr r ON r.doc_id = k.doc_id AND r.locator = k.locator)"""
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import lines as L
+from textloom.operators import transform as X
 from textloom.queries import query
-from textloom.sources import derived as D
+from textloom.queries.lines import _KINDS
 from textloom.runtime import table
+from textloom.sources import derived as D
 
 _RICH = D.with_ctes("rich")
 _LINES = D.with_ctes("lines")
@@ -55,9 +57,9 @@ def collapse_includes(spark, sf):
     return D.rich(spark, sf).select("doc_id", T.collapse_includes(F.col("text"), "alpha", "beta").alias("text"))
 
 
-@query(f"{_LINES} SELECT doc_id, line_no, regexp_replace(line, '^(#+ .*?)[ \\t]*\\{{#[A-Za-z0-9_-]+\\}}[ \\t]*$', '\\1') AS line FROM lines WHERE line LIKE '#%'")
+@query(_KINDS + " SELECT doc_id, line_no, CASE WHEN kind = 'code' THEN line ELSE regexp_replace(line, '^( {0,3}#{1,6}\\s.*?)[ \\t]*\\\\?\\{#[A-Za-z0-9_-]+\\}[ \\t]*$', '\\1') END AS line FROM kinds")
 def strip_heading_anchors(spark, sf):
-    return L.explode_lines(D.rich(spark, sf)).filter(F.startswith("line", F.lit("#"))).select("doc_id", "line_no", T.strip_heading_anchor(F.col("line")).alias("line"))
+    return X.strip_heading_anchors(D.rich(spark, sf))
 
 
 _LINKS = f"{_LINES}, links AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\\]\\(([^)\\s]+)\\)', 1)) AS url FROM lines)"

@@ -140,14 +140,34 @@ _NODES = (
     "SELECT conv_id AS doc_id, turn * 10 AS pos, role AS section, CASE WHEN turn % 3 = 0 THEN 'code' ELSE 'text' END AS kind, conv_id * 7 + turn AS k, "
     "role || ':' || CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS VARCHAR(9)) AS locator, coalesce(text, '') AS value FROM conversations"
 )
+#: A side edits, drops, adds and moves nodes; its locators are counted anew, so that they shift.
 _SIDE = (
-    "SELECT doc_id, pos, section, kind, locator, CASE WHEN k % {u} = 1 THEN value || ' {s}' ELSE value END AS value FROM n0 WHERE k % {d} <> 3 "
-    "UNION ALL SELECT doc_id, pos + 5, section, kind, 'new:' || CAST(pos AS VARCHAR(9)), 'added ' || CAST(k % 4 AS VARCHAR(9)) FROM n0 WHERE k % {a} = 4"
+    "SELECT doc_id, pos, section, kind, section || ':' || CAST(row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS VARCHAR(9)) AS locator, value FROM ("
+    "SELECT doc_id, pos + CASE WHEN k % 23 = 7 THEN 23 ELSE 0 END AS pos, section, kind, CASE WHEN k % {u} = 1 THEN value || ' {s}' ELSE value END AS value FROM n0 WHERE k % {d} <> 3 "
+    "UNION ALL SELECT doc_id, pos + 5, section, kind, 'added ' || CAST(k % 4 AS VARCHAR(9)) FROM n0 WHERE k % {a} = 4)"
 )
 _L1, _R1 = _SIDE.format(u=5, d=11, a=13, s="L"), _SIDE.format(u=6, d=17, a=19, s="R")
 CTES |= {"n0": f"n0 AS ({_NODES})", "n_l1": f"n_l1 AS ({_L1})", "n_r1": f"n_r1 AS ({_R1})"}
 
 
+def identified_cte(side: str, base: str = "n0") -> str:
+    """CTEs up to ``i_<side>``: a side's nodes with the locator of the base node that each is."""
+    s = side
+    left = lambda t, own: f"(SELECT *, row_number() OVER (PARTITION BY doc_id, after, before ORDER BY pos) AS nth, count(*) OVER (PARTITION BY doc_id, after, before) AS n FROM (SELECT t.*, p.node AS known, coalesce(last_value(p.node IGNORE NULLS) OVER (PARTITION BY t.doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS after, coalesce(first_value(p.node IGNORE NULLS) OVER (PARTITION BY t.doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS before FROM {t} t LEFT JOIN {s}_p p ON p.doc_id = t.doc_id AND p.{own} = t.locator) WHERE known IS NULL)"
+    once = lambda t, keys: f"(SELECT {keys} FROM {t} GROUP BY {keys} HAVING count(*) = 1)"
+    pair = lambda a, b, keys: f"SELECT x.doc_id, x.locator AS node, y.locator AS loc FROM {a} x JOIN {b} y USING ({keys}) JOIN {once(a, keys)} USING ({keys}) JOIN {once(b, keys)} USING ({keys})"
+    return ", ".join((
+        f"{s}_p1 AS ({pair(base, s, 'doc_id, section, value')})",
+        f"{s}_a AS (SELECT b.* FROM {base} b ANTI JOIN {s}_p1 p ON p.doc_id = b.doc_id AND p.node = b.locator)", f"{s}_b AS (SELECT b.* FROM {s} b ANTI JOIN {s}_p1 p ON p.doc_id = b.doc_id AND p.loc = b.locator)",
+        f"{s}_p AS (SELECT * FROM {s}_p1 UNION ALL {pair(s + '_a', s + '_b', 'doc_id, value')})",
+        f"{s}_q AS (SELECT * FROM {s}_p UNION ALL SELECT x.doc_id, x.locator, y.locator FROM {left(base, 'node')} x JOIN {left(s, 'loc')} y USING (doc_id, after, before, nth, n, kind))",
+        f"i_{s} AS (SELECT t.* REPLACE (coalesce(q.node, 'new|' || t.locator) AS locator) FROM {s} t LEFT JOIN {s}_q q ON q.doc_id = t.doc_id AND q.loc = t.locator)",
+    ))
+
+
+CTES |= {"i_n_l1": identified_cte("n_l1"), "i_n_r1": identified_cte("n_r1")}
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(base, local, remote) nodes of conversations as documents: doc_id, pos, section, kind, locator, value."""
     base = spark.sql(_NODES.replace("FROM conversations", "FROM {c}"), c=table(spark, sf_dir, "conversations"))
@@ -155,7 +175,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return base.drop("k"), *sides
 
 
-_NEEDS = {"lines": ["rich"], "four": ["rich", "lines"], "receipts": ["rich", "lines", "four"], "tbl_cur": ["tbl_base"], "tbl_remote": ["tbl_base"], "link_index": ["page_links"], "n_l1": ["n0"], "n_r1": ["n0"]}
+_NEEDS = {"lines": ["rich"], "four": ["rich", "lines"], "receipts": ["rich", "lines", "four"], "tbl_cur": ["tbl_base"], "tbl_remote": ["tbl_base"], "link_index": ["page_links"], "n_l1": ["n0"], "n_r1": ["n0"], "i_n_l1": ["n0", "n_l1"], "i_n_r1": ["n0", "n_r1"]}
 
 
 def with_ctes(*names: str) -> str:

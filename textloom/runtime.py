@@ -5,32 +5,56 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, one machine).
+#: Used only where the session names no shared folder and runs on one machine.
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
+#: Paths of the tables written inside the ``scratch`` blocks that are open, innermost last.
+_open_scratch: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, our own in local mode only."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = LOCAL_CHECKPOINT_DIR
+    return path.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Unlike a local checkpoint, the table outlives any executor, and what follows starts from files:
-    lineage is cut, and columns such as ``monotonically_increasing_id`` keep their values.
+    lineage is cut, and columns such as ``monotonically_increasing_id`` keep their values. Inside a
+    ``scratch`` block it goes with the block, unless it is kept.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom-{label}-{uuid.uuid4().hex}"
+    if _open_scratch and not keep:
+        _open_scratch[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that were materialised inside. What is still to be read must be written or kept first."""
+    _open_scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scratch.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint while it has at most ``max_rows`` rows; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.count() <= max_rows else df

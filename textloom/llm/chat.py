@@ -72,8 +72,9 @@ def escape(text: Column, template: Template) -> Column:
     rests: dict[str, list[str]] = {}
     for m in template.marks:
         rests.setdefault(m[0], []).append(re.escape(m[1:]))
-    # a first character is followed by a backslash where its own marks go on
-    return F.regexp_replace(doubled, "|".join(f"{re.escape(first)}(?={'|'.join(own)})" for first, own in sorted(rests.items())), "$0\\\\")
+    # a first character is followed by a backslash where its own marks go on; the class finds candidates fast
+    goes_on = "|".join(f"(?<={re.escape(first)})(?:{'|'.join(own)})" for first, own in sorted(rests.items()))
+    return F.regexp_replace(doubled, f"[{''.join(re.escape(first) for first in sorted(rests))}](?={goes_on})", "$0\\\\")
 
 
 def unescape(text: Column) -> Column:

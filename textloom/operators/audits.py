@@ -5,37 +5,92 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.trees import descendants
+from textloom.operators.trees import descendants, siblings
+
+
+PLACES = ("parent_id", "after_id", "before_id")
+
+
+def _full(ops: DataFrame) -> DataFrame:
+    """Ops with all the columns that tell a place; null where they say nothing of it."""
+    return ops.select("*", *(F.lit(None).cast("string").alias(c) for c in PLACES if c not in ops.columns))
+
+
+def _first_children(near: DataFrame) -> DataFrame:
+    return near.filter("previous IS NULL AND parent_id IS NOT NULL").select("parent_id", F.col("block_id").alias("first"))
 
 
 def validate_ops(ops: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Violations (op_id, op_seq, fault) of ops (op_seq, op_id, kind, target_id, expected_hash) on nodes (block_id, parent_id, hash).
+    """Violations (op_id, op_seq, fault) of ops (op_seq, op_id, kind, target_id, expected_hash) on nodes (block_id, parent_id, pos, hash).
+
+    Ops may name their place: parent_id, after_id (the parent itself: in front of all) and before_id. Kinds are
+    replace, insert, delete and move.
 
-    duplicate-op, missing-target, hash-mismatch, root-change.
+    duplicate-op, missing-target, target-exists (insert), hash-mismatch, root-change, missing-parent, not-a-child;
+    and of anchors: missing-anchor, anchor-not-child, moving-anchor, not-adjacent (insert between two that aren't
+    neighbours), same-place (a move that changes no order).
     """
-    n = nodes.select(F.col("block_id").alias("target_id"), "parent_id", "hash", F.lit(True).alias("found"))
-    j = ops.join(n, "target_id", "left").join(ops.groupBy("op_id").agg(F.count(F.lit(1)).alias("copies")), "op_id")
+    near = siblings(nodes)
+    target = near.join(nodes.select("block_id", "hash"), "block_id").select(F.col("block_id").alias("target_id"), F.col("parent_id").alias("t_parent"), "hash", F.col("previous").alias("t_previous"), F.lit(True).alias("t"))
+    parent = nodes.select(F.col("block_id").alias("parent_id"), F.lit(True).alias("p"))
+    anchor = near.select(F.col("block_id").alias("after_id"), F.col("parent_id").alias("a_parent"), "following", F.lit(True).alias("a"))
+    copies = ops.groupBy("op_id").agg(F.count(F.lit(1)).alias("copies"))
+    j = _full(ops).join(target, "target_id", "left").join(parent, "parent_id", "left").join(anchor, "after_id", "left").join(_first_children(near), "parent_id", "left").join(copies, "op_id")
+    kind, has = F.col("kind"), lambda c: F.col(c).isNotNull()
+    front = F.col("after_id") == F.col("parent_id")
+    placed = kind.isin("insert", "move") & has("after_id")
+    child = has("t") & F.col("t_parent").eqNullSafe(F.col("parent_id"))
+    behind = has("a") & F.col("a_parent").eqNullSafe(F.col("parent_id"))
+    following = F.when(front, F.col("first")).when(behind, F.col("following"))
     faults = F.array_compact(F.array(
         F.when(F.col("copies") > 1, "duplicate-op"),
-        F.when(F.col("found").isNull(), "missing-target"),
-        F.when(F.col("found") & F.col("expected_hash").isNotNull() & (F.col("expected_hash") != F.col("hash")), "hash-mismatch"),
-        F.when(F.col("found") & F.col("parent_id").isNull(), "root-change"),
+        F.when((kind != "insert") & ~has("t"), "missing-target"),
+        F.when((kind == "insert") & has("t"), "target-exists"),
+        F.when((kind != "insert") & has("t") & (F.col("expected_hash") != F.col("hash")), "hash-mismatch"),
+        F.when((kind != "insert") & has("t") & ~has("t_parent"), "root-change"),
+        F.when(kind.isin("insert", "delete", "move") & has("parent_id") & ~has("p"), "missing-parent"),
+        F.when(kind.isin("delete", "move") & has("t") & has("p") & ~child, "not-a-child"),
+        F.when(placed & ~front & ~has("a"), "missing-anchor"),
+        F.when(placed & ~front & has("a") & ~behind, "anchor-not-child"),
+        F.when((kind == "move") & (F.col("after_id") == F.col("target_id")), "moving-anchor"),
+        F.when((kind == "insert") & has("before_id") & (front | behind) & ~F.col("before_id").eqNullSafe(following), "not-adjacent"),
+        F.when((kind == "move") & child & ((front & ~has("t_previous")) | (F.col("t_previous") == F.col("after_id"))), "same-place"),
     ))
     return j.select("op_id", "op_seq", F.explode(faults).alias("fault"))
 
 
-def preconditions(ops: DataFrame) -> DataFrame:
-    """What must hold before each op, as rows (op_id, op_seq, what, target_id, wanted)."""
-    row = lambda what, wanted: F.struct(F.lit(what).alias("what"), wanted.cast("string").alias("wanted"))
-    rows = F.array_compact(F.array(row("exists", F.lit("true")), F.when(F.col("expected_hash").isNotNull(), row("hash", F.col("expected_hash"))), F.when(F.col("kind") == "move", row("has-parent", F.lit("true")))))
-    return ops.select("op_id", "op_seq", "target_id", F.explode(rows).alias("r")).select("op_id", "op_seq", "target_id", "r.what", "r.wanted")
+def preconditions(ops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What must hold before each op, as rows (op_id, op_seq, what, target_id, wanted), taken from the nodes that it was planned on.
+
+    exists, hash; parent (of what is deleted or moved); and of a place that something goes to, next (what follows the
+    anchor, empty at the end) or first (the parent's first child).
+    """
+    near = siblings(nodes)
+    anchor = near.select(F.col("block_id").alias("after_id"), F.coalesce("following", F.lit("")).alias("following"))
+    j = _full(ops).join(anchor, "after_id", "left").join(_first_children(near), "parent_id", "left")
+    row = lambda what, target, wanted: F.struct(F.lit(what).alias("what"), F.col(target).alias("target_id"), wanted.cast("string").alias("wanted"))
+    old, placed = F.col("kind") != "insert", F.col("kind").isin("insert", "move")
+    front = F.col("after_id") == F.col("parent_id")
+    rows = F.array_compact(F.array(
+        F.when(old, row("exists", "target_id", F.lit("true"))),
+        F.when(old & F.col("expected_hash").isNotNull(), row("hash", "target_id", F.col("expected_hash"))),
+        F.when(F.col("kind").isin("delete", "move") & F.col("parent_id").isNotNull(), row("parent", "target_id", F.col("parent_id"))),
+        F.when(placed & front, row("first", "parent_id", F.coalesce("first", F.lit("")))),
+        F.when(placed & ~front, row("next", "after_id", F.coalesce("following", F.lit("")))),
+    ))
+    return j.select("op_id", "op_seq", F.explode(rows).alias("r")).select("op_id", "op_seq", "r.target_id", "r.what", "r.wanted")
 
 
 def check_preconditions(conditions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Conditions with ``holds`` on a snapshot."""
-    j = conditions.join(nodes.select(F.col("block_id").alias("target_id"), "parent_id", "hash", F.lit(True).alias("found")), "target_id", "left")
-    holds = F.when(F.col("found").isNull(), False).when(F.col("what") == "hash", F.col("wanted") == F.col("hash")).when(F.col("what") == "has-parent", F.col("parent_id").isNotNull()).otherwise(True)
-    return j.select("op_id", "op_seq", "target_id", "what", holds.alias("holds"))
+    """Conditions with ``holds`` on a snapshot, which may be another than the planned one."""
+    near = siblings(nodes)
+    facts = near.join(nodes.select("block_id", "hash"), "block_id").join(_first_children(near).withColumnRenamed("parent_id", "block_id"), "block_id", "left")
+    facts = facts.select(F.col("block_id").alias("target_id"), "parent_id", "hash", "first", "following", F.lit(True).alias("found"))
+    j = conditions.join(facts, "target_id", "left")
+    what, actual = F.col("what"), F.lit("true")
+    for name, value in {"hash": F.col("hash"), "parent": F.col("parent_id"), "first": F.coalesce("first", F.lit("")), "next": F.coalesce("following", F.lit(""))}.items():
+        actual = F.when(what == name, value).otherwise(actual)
+    return j.select("op_id", "op_seq", "target_id", "what", (F.col("found").isNotNull() & actual.eqNullSafe(F.col("wanted"))).alias("holds"))
 
 
 def op_tokens(ops: DataFrame, by: str) -> DataFrame:
@@ -56,10 +111,13 @@ def unplanned_changes(before: DataFrame, after: DataFrame, ops: DataFrame) -> Da
 
 
 def check_readback(ops: DataFrame, after: DataFrame) -> DataFrame:
-    """Ops with ``done``: a deleted block is gone, any other target is there."""
-    j = ops.join(after.select(F.col("block_id").alias("target_id"), F.lit(True).alias("there")), "target_id", "left")
+    """Ops with ``done``: a deleted block is gone, any other target is there; what was moved or inserted stands behind its anchor, or in front of all."""
+    now = siblings(after).select(F.col("block_id").alias("target_id"), F.col("parent_id").alias("now_parent"), "previous", F.lit(True).alias("there"))
+    j = _full(ops).join(now, "target_id", "left")
     there = F.col("there").isNotNull()
-    return j.select("op_id", "op_seq", F.when(F.col("kind") == "delete", ~there).otherwise(there).alias("done"))
+    behind = F.coalesce("previous", "now_parent").eqNullSafe(F.col("after_id"))
+    placed = F.col("kind").isin("insert", "move") & F.col("after_id").isNotNull()
+    return j.select("op_id", "op_seq", F.when(F.col("kind") == "delete", ~there).when(placed, there & behind).otherwise(there).alias("done"))
 
 
 def resume_report(batches: DataFrame, log: DataFrame) -> DataFrame:

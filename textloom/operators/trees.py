@@ -47,14 +47,59 @@ def preorder(blocks: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(before), "part").select("block_id", "depth", (F.col("before") + F.col("in_part")).alias("n"))
 
 
-def validate_snapshot(blocks: DataFrame) -> DataFrame:
-    """Faults as rows (block_id, fault): duplicate-id, missing-parent, unreachable (orphans below those, or cycles)."""
+def siblings(blocks: DataFrame) -> DataFrame:
+    """block_id, parent_id, ordinal, previous, following: each block's place among the blocks of its parent, by (pos, block_id).
+
+    Blocks are sorted by range and numbered inside each range; a parent with children in several ranges needs one row
+    for each of them to go on from one to the next. So one parent's children needn't fit one task.
+    """
+    keys = ["parent_id", "pos", "block_id"]
+    parts = materialize(blocks.select(*keys).repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "siblings")
+    inside = Window.partitionBy("part", "parent_id").orderBy("pos", "block_id")
+    placed = parts.select("part", "parent_id", "block_id", (F.row_number().over(inside) - 1).alias("at"), F.lag("block_id").over(inside).alias("before"), F.lead("block_id").over(inside).alias("after"))
+    place = F.struct("pos", "block_id")
+    runs = parts.groupBy("part", "parent_id").agg(F.min_by("block_id", place).alias("first"), F.max_by("block_id", place).alias("last"), F.count(F.lit(1)).alias("n"))
+    over = Window.partitionBy("parent_id").orderBy("part")  # as many rows as the sort has ranges, at most
+    start = F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("part", F.col("parent_id").alias("p"), start.alias("start"), F.lag("last").over(over).alias("run_before"), F.lead("first").over(over).alias("run_after"))
+    j = placed.join(runs, (placed.part == runs.part) & F.col("parent_id").eqNullSafe(F.col("p")))
+    return j.select("block_id", "parent_id", (F.col("start") + F.col("at")).alias("ordinal"), F.coalesce("before", "run_before").alias("previous"), F.coalesce("after", "run_after").alias("following"))
+
+
+def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """Faults of a snapshot as rows (block_id, fault), each once.
+
+    ``blocks`` declare their parent (null: a root); ``refs`` (parent_id, child_id) are the children that blocks list.
+    Without them the declared parents are the references.
+
+    duplicate-id; missing-parent (declared, not there); missing-child, duplicate-child (of the block that lists it);
+    conflicting-parents (listed by several blocks); root-referenced; unreferenced (no root, in no list);
+    parent-disagrees (declared and listing block differ); unreachable (orphans below those, or cycles).
+    """
+    fault = lambda df, name: df.select("block_id", F.lit(name).alias("fault")).distinct()
+    if refs is None:
+        refs = blocks.filter("parent_id IS NOT NULL").select("parent_id", F.col("block_id").alias("child_id")).distinct()
     ids = blocks.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
-    twice = ids.filter("n > 1").select("block_id", F.lit("duplicate-id").alias("fault"))
-    missing = blocks.filter("parent_id IS NOT NULL").join(ids.select(F.col("block_id").alias("parent_id")), "parent_id", "left_anti").select("block_id", F.lit("missing-parent").alias("fault"))
-    reached = levels(blocks.dropDuplicates(["block_id"])).select("block_id")
-    lost = ids.select("block_id").join(reached, "block_id", "left_anti").select("block_id", F.lit("unreachable").alias("fault"))
-    return twice.unionByName(missing).unionByName(lost)
+    known = lambda c: ids.select(F.col("block_id").alias(c))
+    listed = refs.join(known("parent_id"), "parent_id", "left_semi").groupBy("parent_id", "child_id").agg(F.count(F.lit(1)).alias("n"))
+    listed = materialize(listed, "listed-children")
+    there = listed.join(known("child_id"), "child_id", "left_semi").select("parent_id", F.col("child_id").alias("block_id"))
+    by = there.groupBy("block_id").agg(F.count(F.lit(1)).alias("parents"), F.min("parent_id").alias("lister"))
+    roots = blocks.filter("parent_id IS NULL").select("block_id").distinct()
+    declared = blocks.filter("parent_id IS NOT NULL").select("block_id", "parent_id").distinct().join(by, "block_id", "left")
+    below = there.join(roots, "block_id", "left_anti").unionByName(roots.withColumn("parent_id", F.lit(None).cast("string")))
+    reached = descendants(below, roots).select("block_id").distinct()
+    return reduce(DataFrame.unionByName, [
+        fault(ids.filter("n > 1"), "duplicate-id"),
+        fault(declared.join(known("parent_id"), "parent_id", "left_anti"), "missing-parent"),
+        fault(listed.join(known("child_id"), "child_id", "left_anti").select(F.col("parent_id").alias("block_id")), "missing-child"),
+        fault(listed.filter("n > 1").select(F.col("parent_id").alias("block_id")), "duplicate-child"),
+        fault(by.filter("parents > 1"), "conflicting-parents"),
+        fault(roots.join(by, "block_id", "left_semi"), "root-referenced"),
+        fault(declared.filter("parents IS NULL"), "unreferenced"),
+        fault(declared.filter("parents = 1 AND lister <> parent_id"), "parent-disagrees"),
+        fault(ids.join(reached, "block_id", "left_anti"), "unreachable"),
+    ])
 
 
 def flatten_snapshot(blocks: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -94,5 +139,5 @@ def descendants(blocks: DataFrame, tops: DataFrame) -> DataFrame:
 
 
 def ordered_children(blocks: DataFrame) -> DataFrame:
-    """Blocks with their number among siblings."""
-    return blocks.withColumn("ordinal", F.row_number().over(Window.partitionBy("parent_id").orderBy("pos", "block_id")) - 1)
+    """block_id, parent_id and the number among siblings."""
+    return siblings(blocks).select("block_id", "parent_id", "ordinal")

@@ -14,12 +14,18 @@ _HASH = "sha256(block_id || '|' || payload)"
 _TREE = D.with_ctes("tree")
 _WALK = f"""{_TREE}, walk AS (SELECT block_id, parent_id, 0 AS depth, lpad(CAST(pos AS VARCHAR), 12, '0') || ':' || block_id AS path FROM tree WHERE parent_id IS NULL
     UNION ALL SELECT t.block_id, t.parent_id, depth + 1, path || '/' || lpad(CAST(t.pos AS VARCHAR), 12, '0') || ':' || t.block_id FROM tree t JOIN walk w ON t.parent_id = w.block_id)"""
-_OPS = """SELECT 'b' || CAST(o_custkey AS VARCHAR(20)) AS batch, CAST(o_orderkey AS BIGINT) AS op_seq, CASE WHEN o_orderkey % 500 = 1 THEN 'dup' ELSE 'op' || CAST(o_orderkey AS VARCHAR(20)) END AS op_id,
-    CASE o_orderkey % 3 WHEN 0 THEN 'replace' WHEN 1 THEN 'delete' ELSE 'move' END AS kind, CASE WHEN o_orderkey % 70 = 1 THEN 'root' WHEN o_orderkey % 70 = 2 THEN 'zz' || CAST(o_orderkey AS VARCHAR(20)) ELSE 'o' || CAST(o_orderkey AS VARCHAR(20)) END AS target_id,
-    CASE WHEN o_orderkey % 30 = 2 THEN 'wrong' WHEN o_orderkey % 4 = 0 THEN CAST(NULL AS VARCHAR(64)) ELSE {sha} END AS expected_hash FROM orders"""
-_OPS_DUCK = _OPS.format(sha="sha256('o' || CAST(o_orderkey AS VARCHAR(20)) || '|' || o_orderpriority)")
+#: One op of every order. Some repeat an id, name a wrong target, hash, parent or anchor, or change nothing.
+_OPS = """SELECT batch, op_seq, op_id, kind, CASE WHEN k % 70 = 1 THEN 'root' WHEN k % 70 = 2 THEN 'zz' || s WHEN kind = 'insert' AND k % 7 <> 0 THEN 'i' || s ELSE 'o' || s END AS target_id,
+    CASE WHEN k % 30 = 2 THEN 'wrong' WHEN k % 4 = 0 OR kind = 'insert' THEN CAST(NULL AS VARCHAR(64)) ELSE {sha} END AS expected_hash, CASE WHEN kind = 'replace' THEN CAST(NULL AS VARCHAR(20)) WHEN k % 40 = 3 THEN 'zz' WHEN k % 40 = 7 THEN 'n1' ELSE c END AS parent_id,
+    CASE WHEN kind NOT IN ('insert', 'move') THEN CAST(NULL AS VARCHAR(20)) WHEN k % 11 = 0 THEN 'o' || s WHEN k % 11 = 1 THEN 'gone' WHEN k % 11 = 2 THEN 'n1' WHEN k % 11 < 5 THEN coalesce('o' || CAST(back1 AS VARCHAR(20)), c) WHEN k % 11 < 8 THEN coalesce('o' || CAST(back2 AS VARCHAR(20)), c) ELSE c END AS after_id,
+    CASE WHEN kind = 'insert' AND k % 3 = 0 THEN 'o' || s END AS before_id
+    FROM (SELECT 'b' || CAST(o_custkey AS VARCHAR(20)) AS batch, CAST(o_orderkey AS BIGINT) AS op_seq, CASE WHEN o_orderkey % 500 = 1 THEN 'dup' ELSE 'op' || CAST(o_orderkey AS VARCHAR(20)) END AS op_id, CASE o_orderkey % 6 WHEN 0 THEN 'replace' WHEN 3 THEN 'insert' WHEN 1 THEN 'delete' WHEN 4 THEN 'delete' ELSE 'move' END AS kind,
+        o_orderkey AS k, CAST(o_orderkey AS VARCHAR(20)) AS s, 'c' || CAST(o_custkey AS VARCHAR(20)) AS c, o_orderpriority, lag(o_orderkey) OVER w AS back1, lag(o_orderkey, 2) OVER w AS back2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) log"""
+_OPS_DUCK = _OPS.format(sha="sha256('o' || s || '|' || o_orderpriority)")
 _LOG = f"{_TREE}, ops AS ({_OPS_DUCK}), nodes AS (SELECT block_id, parent_id, pos, {_HASH} AS hash FROM tree)"
-_AFTER = "after AS (SELECT block_id, parent_id, CASE WHEN pos % 97 = 5 THEN 'new' ELSE hash END AS hash FROM nodes WHERE NOT (block_id LIKE 'o%' AND pos % 89 = 3) UNION ALL SELECT 'x' || pos, block_id, 'added' FROM nodes WHERE block_id LIKE 'c%' AND pos % 41 = 0)"
+_AFTER = "after AS (SELECT block_id, parent_id, CASE WHEN block_id LIKE 'o%' AND pos % 53 = 2 THEN pos - 100000000000 ELSE pos END AS pos, CASE WHEN pos % 97 = 5 THEN 'new' ELSE hash END AS hash FROM nodes WHERE NOT (block_id LIKE 'o%' AND pos % 89 = 3) UNION ALL SELECT 'x' || pos, block_id, 0, 'added' FROM nodes WHERE block_id LIKE 'c%' AND pos % 41 = 0)"
+_NEAR = "SELECT block_id, parent_id, hash, lag(block_id) OVER w AS previous, lead(block_id) OVER w AS following FROM {t} WINDOW w AS (PARTITION BY parent_id ORDER BY pos, block_id)"
+_FIRST = "SELECT parent_id, block_id AS first FROM {near} WHERE previous IS NULL AND parent_id IS NOT NULL"
 
 
 def _nodes(spark, sf):
@@ -27,12 +33,14 @@ def _nodes(spark, sf):
 
 
 def _after(nodes):
-    kept = nodes.filter("NOT (block_id LIKE 'o%' AND pos % 89 = 3)").select("block_id", "parent_id", F.when(F.col("pos") % 97 == 5, "new").otherwise(F.col("hash")).alias("hash"))
-    return kept.unionByName(nodes.filter("block_id LIKE 'c%' AND pos % 41 = 0").select(F.concat(F.lit("x"), F.col("pos").cast("string")).alias("block_id"), F.col("block_id").alias("parent_id"), F.lit("added").alias("hash")))
+    moved = F.when(F.col("block_id").like("o%") & (F.col("pos") % 53 == 2), F.col("pos") - 100_000_000_000).otherwise(F.col("pos"))
+    kept = nodes.filter("NOT (block_id LIKE 'o%' AND pos % 89 = 3)").select("block_id", "parent_id", moved.alias("pos"), F.when(F.col("pos") % 97 == 5, "new").otherwise(F.col("hash")).alias("hash"))
+    added = nodes.filter("block_id LIKE 'c%' AND pos % 41 = 0").select(F.concat(F.lit("x"), F.col("pos").cast("string")).alias("block_id"), F.col("block_id").alias("parent_id"), F.lit(0).cast("long").alias("pos"), F.lit("added").alias("hash"))
+    return kept.unionByName(added)
 
 
 def _ops(spark, sf):
-    sql = _OPS.format(sha="sha2('o' || CAST(o_orderkey AS VARCHAR(20)) || '|' || o_orderpriority, 256)").replace("FROM orders", "FROM {o}")
+    sql = _OPS.format(sha="sha2('o' || s || '|' || o_orderpriority, 256)").replace("FROM orders", "FROM {o}")
     return spark.sql(sql, o=table(spark, sf, "orders"))
 
 
@@ -46,13 +54,20 @@ def flatten_snapshot(spark, sf):
     return R.flatten_snapshot(D.tree(spark, sf), {"n": "nation", "c": "customer", "o": "order"})
 
 
-@query(f"""{_TREE}, broken AS (SELECT block_id, CASE WHEN block_id LIKE 'c%' AND pos % 60 = 7 THEN 'nowhere' WHEN block_id = 'c8' THEN 'c9' WHEN block_id = 'c9' THEN 'c8' ELSE parent_id END AS parent_id, pos FROM tree UNION ALL SELECT block_id, parent_id, pos FROM tree WHERE block_id LIKE 'o%' AND pos % 80 = 11),
-    once AS (SELECT DISTINCT block_id, parent_id FROM broken), walk AS (SELECT block_id FROM once WHERE parent_id IS NULL UNION SELECT o.block_id FROM once o JOIN walk w ON o.parent_id = w.block_id)
-    SELECT block_id, 'duplicate-id' AS fault FROM broken GROUP BY block_id HAVING count(*) > 1 UNION ALL SELECT block_id, 'missing-parent' FROM broken WHERE parent_id = 'nowhere' UNION ALL SELECT DISTINCT block_id, 'unreachable' FROM broken WHERE block_id NOT IN (SELECT block_id FROM walk)""")
+#: Declared parents and lists of children that contradict each other in places.
+_DECLARED = "SELECT block_id, CASE WHEN block_id LIKE 'o%' AND pos % 70 = 9 THEN 'c1' WHEN block_id LIKE 'o%' AND pos % 70 = 10 THEN 'nowhere' ELSE parent_id END AS parent_id, pos FROM tree UNION ALL SELECT block_id, parent_id, pos FROM tree WHERE block_id LIKE 'o%' AND pos % 80 = 11"
+_LISTS = """SELECT CASE WHEN block_id = 'c8' THEN 'c9' WHEN block_id = 'c9' THEN 'c8' ELSE parent_id END AS parent_id, CASE WHEN block_id LIKE 'o%' AND pos % 90 = 17 THEN 'gone' || CAST(pos AS VARCHAR(20)) ELSE block_id END AS child_id FROM tree WHERE parent_id IS NOT NULL AND NOT (block_id LIKE 'c%' AND pos % 60 = 7)
+    UNION ALL SELECT parent_id, block_id FROM tree WHERE block_id LIKE 'o%' AND pos % 80 = 12 UNION ALL SELECT 'root', block_id FROM tree WHERE block_id LIKE 'o%' AND pos % 90 = 13 UNION ALL SELECT 'n1', 'root'"""
+
+
+@query(f"""{_TREE}, blocks AS ({_DECLARED}), refs AS (SELECT parent_id, child_id, count(*) AS n FROM ({_LISTS}) GROUP BY 1, 2), there AS (SELECT * FROM refs WHERE child_id IN (SELECT block_id FROM blocks)), listers AS (SELECT child_id AS block_id, count(*) AS parents, min(parent_id) AS lister FROM there GROUP BY 1),
+    walk AS (SELECT 'root' AS block_id UNION SELECT child_id FROM there JOIN walk w ON parent_id = w.block_id)
+    SELECT block_id, 'duplicate-id' AS fault FROM blocks GROUP BY block_id HAVING count(*) > 1 UNION SELECT block_id, 'missing-parent' FROM blocks WHERE parent_id = 'nowhere' UNION SELECT parent_id, 'missing-child' FROM refs WHERE starts_with(child_id, 'gone') UNION SELECT parent_id, 'duplicate-child' FROM refs WHERE n > 1
+    UNION SELECT block_id, 'conflicting-parents' FROM listers WHERE parents > 1 UNION SELECT block_id, 'root-referenced' FROM listers WHERE block_id = 'root' UNION SELECT block_id, 'unreferenced' FROM blocks ANTI JOIN listers USING (block_id) WHERE parent_id IS NOT NULL
+    UNION SELECT block_id, 'parent-disagrees' FROM blocks JOIN listers USING (block_id) WHERE parents = 1 AND lister <> parent_id UNION SELECT block_id, 'unreachable' FROM blocks WHERE block_id NOT IN (SELECT block_id FROM walk)""")
 def validate_snapshot(spark, sf):
     tree = D.tree(spark, sf)
-    parent = F.when(F.col("block_id").like("c%") & (F.col("pos") % 60 == 7), "nowhere").when(F.col("block_id") == "c8", "c9").when(F.col("block_id") == "c9", "c8").otherwise(F.col("parent_id"))
-    return R.validate_snapshot(tree.withColumn("parent_id", parent).unionByName(tree.filter("block_id LIKE 'o%' AND pos % 80 = 11")))
+    return R.validate_snapshot(spark.sql(_DECLARED.replace("FROM tree", "FROM {t}"), t=tree), spark.sql(_LISTS.replace("FROM tree", "FROM {t}"), t=tree))
 
 
 @query(f"{_TREE} SELECT parent_id, sha256(string_agg({_HASH}, ',' ORDER BY pos, block_id)) AS hash, count(*) AS n FROM tree WHERE parent_id IS NOT NULL GROUP BY parent_id")
@@ -70,7 +85,7 @@ def resolve_children(spark, sf):
 
 @query(f"{_TREE} SELECT block_id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY pos, block_id) - 1 AS ordinal FROM tree")
 def ordered_children(spark, sf):
-    return R.ordered_children(D.tree(spark, sf)).select("block_id", "parent_id", "ordinal")
+    return R.ordered_children(D.tree(spark, sf))
 
 
 @query(f"{_WALK}, d AS (SELECT 'n' || n_nationkey AS top FROM nation WHERE n_nationkey % 5 = 0) SELECT top, block_id FROM d JOIN walk ON contains(path || '/', ':' || top || '/')")
@@ -79,25 +94,32 @@ def descendants(spark, sf):
     return R.descendants(D.tree(spark, sf), tops)
 
 
-_J = f"{_LOG}, j AS (SELECT ops.*, n.block_id IS NOT NULL AS found, n.parent_id, n.hash, count(*) OVER (PARTITION BY op_id) AS copies FROM ops LEFT JOIN nodes n ON n.block_id = target_id)"
+_J = f"""{_LOG}, near AS ({_NEAR.format(t="nodes")}), firsts AS ({_FIRST.format(near="near")}), j AS (SELECT ops.*, n.block_id IS NOT NULL AS found, n.parent_id AS t_parent, n.hash, n.previous, p.block_id IS NOT NULL AS p, a.block_id IS NOT NULL AS a, a.parent_id AS a_parent, a.following, first, count(*) OVER (PARTITION BY op_id) AS copies
+    FROM ops LEFT JOIN near n ON n.block_id = target_id LEFT JOIN nodes p ON p.block_id = ops.parent_id LEFT JOIN near a ON a.block_id = after_id LEFT JOIN firsts f ON f.parent_id = ops.parent_id)"""
 
 
-@query(f"{_J} SELECT op_id, op_seq, 'duplicate-op' AS fault FROM j WHERE copies > 1 UNION ALL SELECT op_id, op_seq, 'missing-target' FROM j WHERE NOT found UNION ALL SELECT op_id, op_seq, 'hash-mismatch' FROM j WHERE found AND expected_hash <> hash UNION ALL SELECT op_id, op_seq, 'root-change' FROM j WHERE found AND parent_id IS NULL")
+@query(f"""{_J}, v AS (SELECT op_id, op_seq, unnest([CASE WHEN copies > 1 THEN 'duplicate-op' END, CASE WHEN kind = 'insert' AND found THEN 'target-exists' WHEN kind <> 'insert' AND NOT found THEN 'missing-target' END, CASE WHEN kind <> 'insert' AND found AND expected_hash <> hash THEN 'hash-mismatch' END, CASE WHEN kind <> 'insert' AND found AND t_parent IS NULL THEN 'root-change' END,
+        CASE WHEN kind <> 'replace' AND NOT p THEN 'missing-parent' END, CASE WHEN kind IN ('delete', 'move') AND found AND p AND t_parent IS DISTINCT FROM parent_id THEN 'not-a-child' END, CASE WHEN after_id <> parent_id AND NOT a THEN 'missing-anchor' END, CASE WHEN after_id <> parent_id AND a AND a_parent IS DISTINCT FROM parent_id THEN 'anchor-not-child' END,
+        CASE WHEN kind = 'move' AND after_id = target_id THEN 'moving-anchor' END, CASE WHEN (after_id = parent_id AND before_id IS DISTINCT FROM first OR after_id <> parent_id AND a_parent = parent_id AND before_id IS DISTINCT FROM following) AND before_id IS NOT NULL THEN 'not-adjacent' END,
+        CASE WHEN kind = 'move' AND t_parent = parent_id AND coalesce(previous, parent_id) = after_id THEN 'same-place' END]) AS fault FROM j) SELECT * FROM v WHERE fault IS NOT NULL""")
 def validate_ops(spark, sf):
     return A.validate_ops(_ops(spark, sf), _nodes(spark, sf))
 
 
-_CONDITIONS = f"{_J}, conds AS (SELECT op_id, op_seq, target_id, 'exists' AS what, 'true' AS wanted, found, parent_id, hash FROM j UNION ALL SELECT op_id, op_seq, target_id, 'hash', expected_hash, found, parent_id, hash FROM j WHERE expected_hash IS NOT NULL UNION ALL SELECT op_id, op_seq, target_id, 'has-parent', 'true', found, parent_id, hash FROM j WHERE kind = 'move')"
+_CONDITIONS = f"""{_J}, conds AS (SELECT op_id, op_seq, target_id, 'exists' AS what, 'true' AS wanted FROM j WHERE kind <> 'insert' UNION ALL SELECT op_id, op_seq, target_id, 'hash', expected_hash FROM j WHERE kind <> 'insert' AND expected_hash IS NOT NULL
+    UNION ALL SELECT op_id, op_seq, target_id, 'parent', parent_id FROM j WHERE kind IN ('delete', 'move') UNION ALL SELECT op_id, op_seq, parent_id, 'first', coalesce(first, '') FROM j WHERE after_id = parent_id UNION ALL SELECT op_id, op_seq, after_id, 'next', coalesce(following, '') FROM j WHERE after_id <> parent_id)"""
 
 
 @query(f"{_CONDITIONS} SELECT op_id, op_seq, target_id, what, wanted FROM conds")
 def preconditions(spark, sf):
-    return A.preconditions(_ops(spark, sf))
+    return A.preconditions(_ops(spark, sf), _nodes(spark, sf))
 
 
-@query(f"{_CONDITIONS} SELECT op_id, op_seq, target_id, what, found AND CASE what WHEN 'hash' THEN wanted = hash WHEN 'has-parent' THEN parent_id IS NOT NULL ELSE true END AS holds FROM conds")
+@query(f"""{_CONDITIONS}, {_AFTER}, later AS ({_NEAR.format(t="after")}), heads AS ({_FIRST.format(near="later")})
+    SELECT op_id, op_seq, target_id, what, block_id IS NOT NULL AND wanted IS NOT DISTINCT FROM CASE what WHEN 'exists' THEN 'true' WHEN 'hash' THEN hash WHEN 'parent' THEN l.parent_id WHEN 'first' THEN coalesce(first, '') ELSE coalesce(following, '') END AS holds FROM conds LEFT JOIN later l ON block_id = target_id LEFT JOIN heads h ON h.parent_id = target_id""")
 def check_preconditions(spark, sf):
-    return A.check_preconditions(A.preconditions(_ops(spark, sf)), _nodes(spark, sf))
+    nodes = _nodes(spark, sf)
+    return A.check_preconditions(A.preconditions(_ops(spark, sf), nodes), _after(nodes))
 
 
 @query(f"{_LOG} SELECT batch, sha256(string_agg(sha256(concat_ws('|', CAST(op_seq AS VARCHAR), kind, target_id, coalesce(expected_hash, ''))), ',' ORDER BY op_seq, op_id)) AS fingerprint, count(*) AS n_ops FROM ops GROUP BY batch")
@@ -108,10 +130,10 @@ def op_tokens(spark, sf):
 @query(f"{_LOG}, {_AFTER}, allowed AS (SELECT DISTINCT target_id AS block_id FROM ops WHERE target_id <> 'root' UNION SELECT e.block_id FROM (SELECT block_id, parent_id FROM nodes UNION SELECT block_id, parent_id FROM after) e JOIN allowed a ON e.parent_id = a.block_id), c AS (SELECT coalesce(n.block_id, a.block_id) AS block_id, CASE WHEN n.block_id IS NULL THEN 'added' WHEN a.block_id IS NULL THEN 'removed' ELSE 'updated' END AS change FROM nodes n FULL JOIN after a ON n.block_id = a.block_id WHERE n.hash IS DISTINCT FROM a.hash) SELECT * FROM c WHERE block_id NOT IN (SELECT block_id FROM allowed)")
 def unplanned_changes(spark, sf):
     nodes = _nodes(spark, sf)
-    return A.unplanned_changes(nodes.select("block_id", "parent_id", "hash"), _after(nodes), _ops(spark, sf).filter("target_id <> 'root'"))
+    return A.unplanned_changes(nodes.select("block_id", "parent_id", "hash"), _after(nodes).drop("pos"), _ops(spark, sf).filter("target_id <> 'root'"))
 
 
-@query(f"{_LOG}, {_AFTER} SELECT op_id, op_seq, CASE WHEN kind = 'delete' THEN a.block_id IS NULL ELSE a.block_id IS NOT NULL END AS done FROM ops LEFT JOIN after a ON a.block_id = target_id")
+@query(f"{_LOG}, {_AFTER}, later AS ({_NEAR.format(t='after')}) SELECT op_id, op_seq, CASE WHEN kind = 'delete' THEN block_id IS NULL WHEN kind = 'replace' THEN block_id IS NOT NULL ELSE block_id IS NOT NULL AND coalesce(previous, l.parent_id) IS NOT DISTINCT FROM after_id END AS done FROM ops LEFT JOIN later l ON block_id = target_id")
 def check_readback(spark, sf):
     return A.check_readback(_ops(spark, sf), _after(_nodes(spark, sf)))
 
@@ -123,9 +145,9 @@ def resume_report(spark, sf):
     return A.resume_report(ops, ran)
 
 
-@query(f"{_LOG}, p AS (SELECT batch, op_id, op_seq, CAST(unnest(CASE kind WHEN 'replace' THEN [1, 4] WHEN 'move' THEN [2] ELSE [5] END) AS INTEGER) AS phase FROM ops) SELECT batch, op_id, phase, row_number() OVER (PARTITION BY batch ORDER BY phase, op_seq, op_id) - 1 AS position FROM p")
+@query(f"{_LOG}, p AS (SELECT batch, op_id, op_seq, CAST(unnest(CASE kind WHEN 'replace' THEN [1, 4] WHEN 'move' THEN [2] WHEN 'insert' THEN [3] ELSE [5] END) AS INTEGER) AS phase FROM ops) SELECT batch, op_id, phase, row_number() OVER (PARTITION BY batch ORDER BY phase, op_seq, op_id) - 1 AS position FROM p")
 def phase_order(spark, sf):
-    return A.phase_order(_ops(spark, sf), {"replace": [1, 4], "move": [2], "delete": [5]})
+    return A.phase_order(_ops(spark, sf), {"replace": [1, 4], "move": [2], "insert": [3], "delete": [5]})
 
 
 @query(f"{_J}, f AS (SELECT batch, op_seq, op_id, target_id FROM j WHERE NOT found) SELECT batch, min(op_seq) AS op_seq, min_by(op_id, op_seq) AS op_id, min_by(target_id, op_seq) AS target_id FROM f GROUP BY batch")

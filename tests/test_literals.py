@@ -10,6 +10,7 @@ from textloom.operators import links as K
 from textloom.operators import merge as M
 from textloom.operators import tables as B
 from textloom.plans import nodes as P
+from textloom.sources import corpus as S
 from textloom.streaming import feeds
 
 
@@ -242,3 +243,37 @@ def test_code_plan_cases(spark):
     assert plan(base, ("a", "L", "c"), base, ("a", "c"))["s:1"] == ("conflict", "L", True)
     assert plan(base, base, base, ("a", "c"))["s:1"] == ("gone", "b", False)
     assert plan(base, base, base, ("a", "b", "c", "remote"))["new|s:3"] == ("keep", "remote", False)
+
+
+def test_a_renamed_row_is_an_update(spark):
+    schema = "table_key long, row_key int, c string, d string"
+    remote = spark.createDataFrame([(1, 1, "a", "x"), (1, 5, "b", "y"), (2, 1, "a", "x")], schema)
+    source = spark.createDataFrame([(1, 1, "a", "x"), (1, 6, "b", "z"), (2, 2, "q", "q")], schema)
+    diff = lambda **k: {(r.table_key, r.row_key, r.change, r.cells, r.blocker) for r in B.table_diff(remote, source, ["c", "d"], **k).collect()}
+    rest = {(2, 1, "deleted", "", True), (2, 2, "added", "", False)}
+    assert diff(allow_rename=True) == {(1, 6, "updated", "row_key,d", False)} | rest
+    assert diff() == {(1, 5, "deleted", "", True), (1, 6, "added", "", False)} | rest
+
+
+def test_table_blockers(spark):
+    rows = lambda *r: spark.createDataFrame([(t, k, i) for t, ks in r for i, k in enumerate(ks)], "table_key long, row_key string, pos int")
+    heads = lambda *h: spark.createDataFrame(list(enumerate(h)), "table_key long, headers array<string>")
+    remote = rows((0, ["a", "b"]), (1, ["a", "b"]), (2, ["a", "b"]), (3, ["a", "b"]), (4, ["a", None]), (5, ["a"]))
+    source = rows((0, ["x", "a", "b"]), (1, ["b", "a"]), (2, ["b"]), (3, ["b", "a", "a"]), (4, ["a", ""]), (6, ["a"]))
+    rh, sh = heads(["k", "v"], ["k", "v"], ["k", "v"], ["k", "v"], ["k", "v"], ["k"]), heads(["k", "v"], ["k", "v"], ["k", "w"], ["k"], ["k", "v"])
+    got = lambda **k: {(r.table_key, r.blocker, r.row_key) for r in B.table_blockers(remote, source, rh, sh, **k).collect()}
+    strict = {(1, "reorders-rows", None), (2, "headers-differ", None), (2, "deletes-row", "a"), (3, "headers-differ", None), (3, "source-duplicate-key", "a"), (4, "remote-empty-key", ""), (4, "source-empty-key", "")}
+    assert got() == strict
+    assert got(allow_header_changes=True) == strict - {(2, "headers-differ", None)}
+    renamed = spark.createDataFrame([(2, "a", "b")], "table_key long, base_row string, current_row string")
+    assert (2, "deletes-row", "b") in got(renamed=renamed) and (2, "deletes-row", "a") not in got(renamed=renamed)
+
+
+def test_records_of_variables_merge(spark):
+    variables = [("", "a.x", "1"), ("", "a.y", "2"), ("", "b", "3"), ("", "c.d.e", "4"), ("f", "a.x", "5"), ("f", "b.z", "6"), ("f", "c", "7"), ("f/g", "c.d.e", "8")]
+    df = spark.createDataFrame(variables, "dir string, name string, value string")
+    docs = spark.createDataFrame([(1, ""), (2, "/f/"), (3, "f/g/h")], "doc_id long, dir string")
+    got = {}
+    for r in S.layer_variables(df, docs).collect():
+        got.setdefault(r.doc_id, {})[r.name] = r.value
+    assert got == {1: {"a.x": "1", "a.y": "2", "b": "3", "c.d.e": "4"}, 2: {"a.x": "5", "a.y": "2", "b.z": "6", "c": "7"}, 3: {"a.x": "5", "a.y": "2", "b.z": "6", "c.d.e": "8"}}

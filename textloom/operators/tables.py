@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.trees import siblings
+from textloom.runtime import materialize
+
 KEYS = ["table_key", "row_key"]
 
 
@@ -28,22 +31,68 @@ def _differs(cells: list[str], a: str, b: str) -> dict[str, Column]:
     return {c: ~F.col(f"{a}_{c}").eqNullSafe(F.col(f"{b}_{c}")) for c in cells}
 
 
-def table_diff(remote: DataFrame, source: DataFrame, cells: list[str]) -> DataFrame:
-    """Rows that were added, deleted or updated, with the names of changed cells. A deletion is a blocker."""
-    j = _pair(remote, source, cells, ("r", "s"))
-    names = F.array_compact(F.array(*(F.when(d, F.lit(c)) for c, d in _differs(cells, "r", "s").items())))
+def table_diff(remote: DataFrame, source: DataFrame, cells: list[str], allow_rename: bool = False, order: str = "row_key") -> DataFrame:
+    """Rows that were added, deleted or updated, with the names of changed cells. A deletion is a blocker.
+
+    With ``allow_rename`` a row whose key alone seems new (see ``match_rows``) is an update of ``row_key`` and of the
+    cells that differ, under its new key.
+    """
+    extra = []
+    if allow_rename:
+        extra = ["old_key"]
+        renamed = match_rows(remote, source, cells, order).filter("how = 'rename'").select("table_key", F.col("base_row").alias("row_key"), F.col("current_row").alias("new_key"))
+        remote = remote.join(renamed, KEYS, "left").select("table_key", F.coalesce("new_key", "row_key").alias("row_key"), *cells, F.when(F.col("new_key").isNotNull(), F.col("row_key")).alias("old_key"))
+        source = source.select(*KEYS, *cells, F.lit(None).cast(remote.schema["row_key"].dataType).alias("old_key"))
+    j = _pair(remote, source, [*cells, *extra], ("r", "s"))
+    differs = ({"row_key": F.col("r_old_key").isNotNull()} if allow_rename else {}) | _differs(cells, "r", "s")
+    names = F.array_compact(F.array(*(F.when(d, F.lit(c)) for c, d in differs.items())))
     change = F.when(F.col("in_r").isNull(), "added").when(F.col("in_s").isNull(), "deleted").when(F.size(names) > 0, "updated")
     out = j.withColumn("change", change).filter("change is not null")
     return out.select(*KEYS, "change", F.when(F.col("change") == "updated", F.array_join(names, ",")).otherwise("").alias("cells"), (F.col("change") == "deleted").alias("blocker"))
 
 
-def match_rows(base: DataFrame, current: DataFrame, cells: list[str]) -> DataFrame:
+def table_blockers(remote: DataFrame, source: DataFrame, remote_headers: DataFrame, source_headers: DataFrame, allow_header_changes: bool = False, renamed: DataFrame | None = None) -> DataFrame:
+    """Why a source table can't be written over the remote one: (table_key, blocker, row_key), each once.
+
+    Rows have table_key, row_key and pos; headers (table_key, headers) are arrays of names; ``renamed`` (table_key,
+    base_row, current_row) are rows of ``match_rows`` that go on under another key. Tables on one side only have none.
+
+    headers-differ (names, or only their number if changes are allowed); source- and remote-empty-key and
+    -duplicate-key; deletes-row; reorders-rows (all remote rows are there, in another order; told of tables without
+    key faults).
+    """
+    both = remote_headers.select("table_key", F.col("headers").alias("rh")).join(source_headers.select("table_key", F.col("headers").alias("sh")), "table_key")
+    differ = F.size("rh") != F.size("sh")
+    if not allow_header_changes:
+        differ = differ | ~F.col("rh").eqNullSafe(F.col("sh"))
+    row = lambda df, name, key: df.select("table_key", name.alias("blocker"), key.alias("row_key"))
+    no_key = F.lit(None).cast("string")
+    keyed = lambda df: df.join(both.select("table_key"), "table_key").select("table_key", F.coalesce(F.col("row_key").cast("string"), F.lit("")).alias("row_key"), "pos")
+    r, s = keyed(remote), keyed(source)
+    if renamed is not None:
+        names = renamed.select("table_key", F.col("current_row").cast("string").alias("row_key"), F.col("base_row").cast("string").alias("old_key"))
+        taken = s.join(names, KEYS, "left").select("table_key", F.coalesce("old_key", "row_key").alias("row_key"), "pos")
+    else:
+        taken = s
+    issues = [(side, key_issues(df, KEYS).filter("table_key IS NOT NULL")) for side, df in (("remote", r), ("source", s))]
+    faults = [row(i, F.concat(F.lit(f"{side}-"), "issue", F.lit("-key")), F.col("row_key")) for side, i in issues]
+    deleted = materialize(r.join(taken, KEYS, "left_anti").select(*KEYS).distinct(), "deleted-rows")
+    unsure = reduce(DataFrame.union, [deleted.select("table_key"), *(i.select("table_key") for _, i in issues)]).distinct()
+    pairs = r.withColumnRenamed("pos", "r_pos").join(taken, KEYS).join(unsure, "table_key", "left_anti")
+    pairs = materialize(pairs, "table-rows")
+    near = siblings(pairs.select(F.col("row_key").alias("block_id"), F.col("table_key").alias("parent_id"), F.col("r_pos").alias("pos")))
+    at = lambda key, name: pairs.select(F.col("table_key").alias("parent_id"), F.col("row_key").alias(key), F.col("pos").alias(name))
+    turned = near.join(at("block_id", "here"), ["parent_id", "block_id"]).join(at("previous", "there"), ["parent_id", "previous"]).filter("here < there").select(F.col("parent_id").alias("table_key")).distinct()
+    return reduce(DataFrame.unionByName, [row(both.filter(differ), F.lit("headers-differ"), no_key), *faults, row(deleted, F.lit("deletes-row"), F.col("row_key")), row(turned, F.lit("reorders-rows"), no_key)])
+
+
+def match_rows(base: DataFrame, current: DataFrame, cells: list[str], order: str = "row_key") -> DataFrame:
     """(table_key, base_row, current_row, how): equal keys, and one rename in a table.
 
     A rename is the single row left on both sides of tables equally long, at the same place, with a cell unchanged.
     """
     w = Window.partitionBy("table_key")
-    placed = lambda df, n: df.select("table_key", F.col("row_key").alias(f"{n}_row"), (F.row_number().over(w.orderBy("row_key")) - 1).alias(f"{n}_at"), F.count(F.lit(1)).over(w).alias(f"{n}_n"), *(F.col(c).alias(f"{n}_{c}") for c in cells))
+    placed = lambda df, n: df.select("table_key", F.col("row_key").alias(f"{n}_row"), (F.row_number().over(w.orderBy(order, "row_key")) - 1).alias(f"{n}_at"), F.count(F.lit(1)).over(w).alias(f"{n}_n"), *(F.col(c).alias(f"{n}_{c}") for c in cells))
     a, b = placed(base, "base"), placed(current, "current")
     exact = a.join(b, (a.table_key == b.table_key) & (a.base_row == b.current_row)).select(a.table_key, "base_row", "current_row", F.lit("key").alias("how"))
     left = lambda df, n: df.join(exact.select("table_key", f"{n}_row"), ["table_key", f"{n}_row"], "left_anti").withColumn("left", F.count(F.lit(1)).over(w)).filter("left = 1").drop("left")

@@ -74,10 +74,10 @@ def pull_receipts(spark, sf):
     return S.pull_receipts(pulled.select("doc_id", (F.col("doc_id") * 3).alias("revision"), F.col("r1").alias("raw"), F.translate("r0", _abc, _ABC).alias("output")))
 
 
-_VARS = "SELECT CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN 'd' || CAST(s_nationkey AS VARCHAR(9)) ELSE 'd' || CAST(s_nationkey AS VARCHAR(9)) || '/e' || CAST(s_suppkey % 4 AS VARCHAR(9)) END AS dir, 'n' || CAST(s_suppkey % 7 AS VARCHAR(9)) AS name, min(s_name) AS value FROM supplier GROUP BY 1, 2"
+_VARS = "SELECT CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN 'd' || CAST(s_nationkey AS VARCHAR(9)) ELSE 'd' || CAST(s_nationkey AS VARCHAR(9)) || '/e' || CAST(s_suppkey % 4 AS VARCHAR(9)) END AS dir, 'n' || CAST(s_suppkey % 5 AS VARCHAR(9)) || CASE s_suppkey % 4 WHEN 1 THEN '.x' WHEN 2 THEN '.y' WHEN 3 THEN '.x.z' ELSE '' END AS name, min(s_name) AS value FROM supplier GROUP BY 1, 2"
 
 
-@query(f"WITH vars AS ({_VARS}), d AS (SELECT c_custkey AS doc_id, 'd' || c_nationkey AS p1, 'd' || c_nationkey || '/e' || c_custkey % 4 AS p2 FROM customer), j AS (SELECT doc_id, name, value, CASE WHEN dir = '' THEN 0 WHEN dir = p1 THEN 1 ELSE 2 END AS depth FROM d JOIN vars ON dir IN ('', p1, p2)) SELECT doc_id, name, max_by(value, depth) AS value FROM j GROUP BY 1, 2")
+@query(f"WITH vars AS ({_VARS}), d AS (SELECT c_custkey AS doc_id, 'd' || c_nationkey AS p1, 'd' || c_nationkey || '/e' || c_custkey % 4 AS p2 FROM customer), j AS (SELECT doc_id, name, value, CASE WHEN dir = '' THEN 0 WHEN dir = p1 THEN 1 ELSE 2 END AS depth FROM d JOIN vars ON dir IN ('', p1, p2)) SELECT doc_id, name, value FROM j WHERE NOT EXISTS (SELECT 1 FROM j k WHERE k.doc_id = j.doc_id AND k.depth > j.depth AND (k.name = j.name OR starts_with(j.name, k.name || '.') OR starts_with(k.name, j.name || '.')))")
 def layer_variables(spark, sf):
     variables = spark.sql(_VARS.replace("FROM supplier", "FROM {s}"), s=table(spark, sf, "supplier"))
     where = F.concat(F.lit("/d"), F.col("c_nationkey").cast("string"), F.lit("/e"), (F.col("c_custkey") % 4).cast("string"))

@@ -27,16 +27,43 @@ def table_diff(spark, sf):
     return B.table_diff(base, cur, CELLS)
 
 
-@query(f"""{_TBL}, a AS (SELECT *, row_number() OVER w - 1 AS at, count(*) OVER (PARTITION BY table_key) AS n FROM tbl_base WINDOW w AS (PARTITION BY table_key ORDER BY row_key)), b AS (SELECT *, row_number() OVER w - 1 AS at, count(*) OVER (PARTITION BY table_key) AS n FROM tbl_cur WINDOW w AS (PARTITION BY table_key ORDER BY row_key)),
+_MATCH = f"""{_TBL}, a AS (SELECT *, row_number() OVER w - 1 AS at, count(*) OVER (PARTITION BY table_key) AS n FROM tbl_base WINDOW w AS (PARTITION BY table_key ORDER BY row_key)), b AS (SELECT *, row_number() OVER w - 1 AS at, count(*) OVER (PARTITION BY table_key) AS n FROM tbl_cur WINDOW w AS (PARTITION BY table_key ORDER BY row_key)),
     e AS (SELECT a.table_key, a.row_key FROM a JOIN b ON a.table_key = b.table_key AND a.row_key = b.row_key),
-    la AS (SELECT *, count(*) OVER (PARTITION BY table_key) AS m FROM a ANTI JOIN e USING (table_key, row_key)), lb AS (SELECT *, count(*) OVER (PARTITION BY table_key) AS m FROM b ANTI JOIN e USING (table_key, row_key))
-    SELECT table_key, row_key AS base_row, row_key AS current_row, 'key' AS how FROM e UNION ALL SELECT la.table_key, la.row_key, lb.row_key, 'rename' FROM la JOIN lb ON la.table_key = lb.table_key WHERE la.m = 1 AND lb.m = 1 AND la.n = lb.n AND la.at = lb.at AND (la.c1 = lb.c1 OR la.c2 = lb.c2 OR la.c3 = lb.c3)""")
+    la AS (SELECT *, count(*) OVER (PARTITION BY table_key) AS m FROM a ANTI JOIN e USING (table_key, row_key)), lb AS (SELECT *, count(*) OVER (PARTITION BY table_key) AS m FROM b ANTI JOIN e USING (table_key, row_key)),
+    matched AS (SELECT table_key, row_key AS base_row, row_key AS current_row, 'key' AS how FROM e UNION ALL SELECT la.table_key, la.row_key, lb.row_key, 'rename' FROM la JOIN lb ON la.table_key = lb.table_key WHERE la.m = 1 AND lb.m = 1 AND la.n = lb.n AND la.at = lb.at AND (la.c1 = lb.c1 OR la.c2 = lb.c2 OR la.c3 = lb.c3))"""
+
+
+@query(f"{_MATCH} SELECT * FROM matched")
 def match_rows(spark, sf):
     base, cur, _ = D.tables(spark, sf)
-    # rows added as 1000 take over the cells of a deleted row in some tables: renames
     return B.match_rows(base, cur, CELLS)
 
 
+@query(f"""{_MATCH}, old AS (SELECT table_key, coalesce(current_row, row_key) AS row_key, c1, c2, c3, current_row IS NOT NULL AS moved FROM tbl_base LEFT JOIN (SELECT table_key, base_row AS row_key, current_row FROM matched WHERE how = 'rename') USING (table_key, row_key)),
+    d AS (SELECT table_key, row_key, old.c1 IS NULL AS new, c.c1 IS NULL AS gone, concat_ws(',', CASE WHEN moved THEN 'row_key' END, CASE WHEN old.c1 <> c.c1 THEN 'c1' END, CASE WHEN old.c2 <> c.c2 THEN 'c2' END, CASE WHEN old.c3 <> c.c3 THEN 'c3' END) AS names FROM old FULL JOIN tbl_cur c USING (table_key, row_key))
+    SELECT table_key, row_key, CASE WHEN new THEN 'added' WHEN gone THEN 'deleted' ELSE 'updated' END AS change, CASE WHEN new OR gone THEN '' ELSE names END AS cells, gone AS blocker FROM d WHERE new OR gone OR names <> ''""")
+def table_diff_renames(spark, sf):
+    base, cur, _ = D.tables(spark, sf)
+    return B.table_diff(base, cur, CELLS, allow_rename=True)
+
+
+#: Source rows of which some tables have another order, an empty key or one twice; headers of which some differ.
+_SOURCE_ROWS = "SELECT table_key, CASE WHEN table_key % 15 = 4 AND row_key = 2 THEN '' WHEN table_key % 15 = 8 AND row_key = 3 THEN '2' ELSE CAST(row_key AS VARCHAR(20)) END AS row_key, CASE WHEN table_key % 12 = 5 THEN -row_key ELSE row_key END AS pos FROM tbl_cur"
+_HEADS = "SELECT DISTINCT table_key, CASE WHEN table_key % 9 = {a} THEN 'k,c1,other,c3' WHEN table_key % 9 = {b} THEN 'k,c1,c2' ELSE 'k,c1,c2,c3' END AS headers FROM {t}"
+
+
+@query(f"""{_TBL}, rh AS ({_HEADS.format(a=2, b=4, t="tbl_base")}), sh AS ({_HEADS.format(a=2, b=5, t="tbl_cur")}), hh AS (SELECT table_key, rh.headers AS h1, sh.headers AS h2 FROM rh JOIN sh USING (table_key)),
+    r AS (SELECT table_key, CAST(row_key AS VARCHAR) AS row_key, row_key AS pos FROM tbl_base WHERE table_key IN (SELECT table_key FROM hh)), s AS (SELECT * FROM ({_SOURCE_ROWS}) WHERE table_key IN (SELECT table_key FROM hh)),
+    i AS (SELECT table_key, row_key, CASE WHEN row_key = '' THEN 'source-empty-key' ELSE 'source-duplicate-key' END AS blocker FROM s GROUP BY 1, 2 HAVING row_key = '' OR count(*) > 1), d AS (SELECT table_key, row_key FROM r ANTI JOIN s USING (table_key, row_key)),
+    p AS (SELECT table_key, r.pos AS a, s.pos AS b FROM r JOIN s USING (table_key, row_key) WHERE table_key NOT IN (SELECT table_key FROM i UNION SELECT table_key FROM d)), o AS (SELECT table_key FROM (SELECT table_key, b < lag(b) OVER (PARTITION BY table_key ORDER BY a) AS turned FROM p) WHERE turned)
+    SELECT table_key, 'headers-differ' AS blocker, CAST(NULL AS VARCHAR) AS row_key FROM hh WHERE h1 <> h2 UNION ALL SELECT table_key, blocker, row_key FROM i UNION ALL SELECT table_key, 'deletes-row', row_key FROM d UNION ALL SELECT DISTINCT table_key, 'reorders-rows', NULL FROM o""")
+def table_blockers(spark, sf):
+    base, cur, _ = D.tables(spark, sf)
+    rows = spark.sql(_SOURCE_ROWS.replace("FROM tbl_cur", "FROM {t}"), t=cur)
+    heads = [spark.sql(_HEADS.format(a=2, b=b, t="{t}"), t=df).withColumn("headers", F.split("headers", ",")) for b, df in ((4, base), (5, cur))]
+    return B.table_blockers(base.select("table_key", "row_key", F.col("row_key").alias("pos")), rows, *heads)
+
+
 @query(f"""{_TBL}, j AS (SELECT coalesce(b.table_key, c.table_key, r.table_key) AS table_key, coalesce(b.row_key, c.row_key, r.row_key) AS row_key, b.c1 AS b1, c.c1 AS l1, r.c1 AS r1, b.c3 AS b3, c.c3 AS l3, r.c3 AS r3
     FROM tbl_base b FULL JOIN tbl_cur c ON b.table_key = c.table_key AND b.row_key = c.row_key FULL JOIN tbl_remote r ON r.table_key = coalesce(b.table_key, c.table_key) AND r.row_key = coalesce(b.row_key, c.row_key))
     SELECT table_key, row_key, CASE WHEN b1 IS DISTINCT FROM l1 THEN l1 ELSE r1 END AS c1, b1 IS DISTINCT FROM l1 AND b1 IS DISTINCT FROM r1 AND l1 IS DISTINCT FROM r1 AS c1_conflict, CASE WHEN b3 IS DISTINCT FROM l3 THEN l3 ELSE r3 END AS c3, b3 IS DISTINCT FROM l3 AND b3 IS DISTINCT FROM r3 AND l3 IS DISTINCT FROM r3 AS c3_conflict FROM j""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.runtime import materialize
+
 #: One wide schema for all receipt versions; later versions fill more columns.
 RECEIPT_FIELDS = {"draft_hash": 1, "remote_hash": 1, "dialect": 2, "snapshot_hash": 3, "assets": 4, "resources": 5}
 
@@ -79,12 +81,21 @@ def pull_receipts(pulled: DataFrame) -> DataFrame:
 def layer_variables(variables: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, name, value): variables (dir, name, value) of all folders above a document, the deepest wins.
 
-    A document's folders are few and explode to rows, so the prefix join is one by equality.
+    A record's fields are rows with dotted names. Records merge field by field; a value that is no record replaces a
+    whole record of a higher folder (``a`` takes all ``a.*``), and a record such a value. A document's folders are few
+    and explode to rows, so the prefix join is one by equality.
     """
     parts = F.filter(F.split("dir", "/"), lambda p: p != "")
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     above = docs.select("doc_id", F.posexplode(prefixes).alias("depth", "dir"))
-    return above.join(variables, "dir").groupBy("doc_id", "name").agg(F.max_by("value", "depth").alias("value"))
+    leaves = materialize(above.join(variables, "dir").groupBy("doc_id", "name").agg(F.max_by("value", "depth").alias("value"), F.max("depth").alias("depth")), "variables")
+    steps = F.split("name", r"\.")
+    records = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), ".")))
+    inside = leaves.select("doc_id", F.explode(records).alias("record"), "name", "depth")
+    whole = leaves.select("doc_id", F.col("name").alias("record"), F.col("depth").alias("over"))
+    lost = inside.join(whole, ["doc_id", "record"]).filter("over > depth").select("doc_id", "name")
+    split = inside.groupBy("doc_id", "record").agg(F.max("depth").alias("under")).join(whole, ["doc_id", "record"]).filter("under > over").select("doc_id", F.col("record").alias("name"))
+    return leaves.join(lost.union(split).distinct(), ["doc_id", "name"], "left_anti").select("doc_id", "name", "value")
 
 
 def load_baselines(receipts: DataFrame, snapshots: DataFrame, current: DataFrame) -> DataFrame:

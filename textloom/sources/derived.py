@@ -85,8 +85,10 @@ CTES["receipts"] = "receipts AS (SELECT doc_id, CAST(doc_id % 5 + 1 AS INTEGER)
 _BASE = "SELECT l_orderkey AS table_key, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS row_key, CAST(l_quantity AS DOUBLE) AS c1, CAST(l_extendedprice AS DOUBLE) AS c2, CAST(l_returnflag AS VARCHAR(20)) AS c3 FROM lineitem"
 _CHANGED = (
     "SELECT table_key, row_key, CASE WHEN table_key % {m1} = 1 AND row_key = 1 THEN c1 + 1 ELSE c1 END AS c1, c2, CASE WHEN table_key % {m2} = 2 AND row_key = 2 THEN 'X' ELSE c3 END AS c3 FROM tbl_base WHERE NOT (table_key % 10 = {gone} AND row_key = 1) "
-    "UNION ALL SELECT DISTINCT table_key, 1000, CAST(0 AS DOUBLE), CAST({new} AS DOUBLE), 'new' FROM tbl_base WHERE table_key % 10 = {added}"
+    "UNION ALL SELECT DISTINCT table_key, 1000, CAST(0 AS DOUBLE), CAST({new} AS DOUBLE), 'new' FROM tbl_base WHERE table_key % 10 = {added} "
+    "UNION ALL SELECT table_key, 0, c1, CASE WHEN table_key % 3 = 0 THEN c2 + {new} ELSE c2 END, c3 FROM tbl_base WHERE table_key % 20 = {gone} AND row_key = 1"
 )
+# a row that is gone from a table goes on as row 0 in some of them: a rename
 _CUR, _REMOTE = _CHANGED.format(m1=4, m2=6, gone=7, added=3, new=1), _CHANGED.format(m1=5, m2=7, gone=9, added=13, new=2)
 CTES |= {"tbl_base": f"tbl_base AS ({_BASE})", "tbl_cur": f"tbl_cur AS ({_CUR})", "tbl_remote": f"tbl_remote AS ({_REMOTE})"}
 

@@ -277,3 +277,31 @@ def test_records_of_variables_merge(spark):
     for r in S.layer_variables(df, docs).collect():
         got.setdefault(r.doc_id, {})[r.name] = r.value
     assert got == {1: {"a.x": "1", "a.y": "2", "b": "3", "c.d.e": "4"}, 2: {"a.x": "5", "a.y": "2", "b.z": "6", "c": "7"}, 3: {"a.x": "5", "a.y": "2", "b.z": "6", "c.d.e": "8"}}
+
+
+def test_tables_without_rows_correspond(spark):
+    schema = "table_key long, name string, row_key string"
+    source = spark.createDataFrame([(1, "t", None), (2, "u", "a"), (3, "v", None)], schema)
+    remote = spark.createDataFrame([(7, "t", None), (8, "u", None), (9, "v", None), (10, "v", None)], schema)
+    assert {(r.table_key, r.state) for r in B.match_tables(source, remote, "name").collect()} == {(1, "matched"), (2, "missing"), (3, "ambiguous")}
+
+
+def test_profile_warnings(spark):
+    text = '<include>1</include><exclude target="x, y z">2</exclude><include target="x">3</include><include target="">4</include>'
+    assert one(spark, text, lambda c: T.profile_warnings(c, ["x"])) == ["include:no-target", "exclude:unknown:y,z", "include:no-target"]
+
+
+def test_frontmatter_keys_twice_and_nested(spark):
+    assert one(spark, "---\na: 1\nb: 2\na: 3\n---", T.frontmatter_scalars) == {"a": "3", "b": "2"}
+    assert one(spark, "---\n---", T.frontmatter_scalars) == {}
+    assert [one(spark, v, T.frontmatter_nested) for v in ("---\na: 1\n---", "---\na:\n  b: 1\n---", "---\ntags:\n- x\n---", None)] == [False, True, True, None]
+
+
+def test_baselines_by_receipt_version(spark):
+    sha = lambda x: F.sha2(F.lit(x), 256)
+    receipts = spark.createDataFrame([(i, v) for i, v in enumerate([1, 1, 1, 2, 3, 3, 4, 5, 5])], "doc_id long, version int").select("*", sha("L").alias("draft_hash"), sha("R").alias("remote_hash"))
+    kept = spark.createDataFrame([(2, "L", None), (4, "L", "R"), (5, "L", "other"), (6, None, "R"), (7, "L", "R"), (8, "L", None)], "doc_id long, local string, remote string")
+    now = spark.createDataFrame([(0, "L", "R"), (1, "new", "R"), (2, "new", "new"), (3, "L", "R"), (4, "new", "new"), (6, "L", "R"), (7, "new", "new")], "doc_id long, local string, remote string")
+    got = {r.doc_id: (r.local_base, r.remote_base, r.blocker) for r in S.load_baselines(receipts, kept, now).collect()}
+    both, none = ("L", "R", None), lambda b: (None, None, b)
+    assert got == {0: both, 1: none("local-base-missing"), 2: none("remote-changed"), 3: none("remote-base-missing"), 4: both, 5: none("remote-base-missing"), 6: none("draft-base-missing"), 7: both, 8: none("remote-base-missing")}

@@ -152,10 +152,16 @@ def split_frontmatter(text: Column) -> Column:
 
 
 def frontmatter_scalars(front: Column) -> Column:
-    """Map of the block's ``key: value`` lines."""
+    """Map of the block's ``key: value`` lines; of a key that stands twice, the last."""
     lines = F.filter(F.split(front, "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*:[ \t]+\S"))
-    pairs = F.transform(lines, lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)), trim_ws(F.substring(x, F.instr(x, ":") + 1, F.length(x)))))
-    return F.map_from_entries(pairs)
+    pairs = F.transform(lines, lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("key"), trim_ws(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
+    later = lambda i: F.exists(F.slice(lines, i + 2, F.size(lines)), lambda x: F.split_part(x, F.lit(":"), F.lit(1)) == F.get(pairs, i)[F.lit("key")])
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~later(i)))
+
+
+def frontmatter_nested(front: Column) -> Column:
+    """Whether the block holds more than ``key: value`` lines: indented lines, lists, keys with nothing behind them."""
+    return F.exists(F.split(front, "\n"), lambda x: x.rlike(r"^(?:[ \t]+\S|-[ \t]|[A-Za-z_][\w-]*:[ \t]*$)"))
 
 
 def leading_h1(text: Column) -> Column:
@@ -220,17 +226,33 @@ def callout_type(title: Column, icon: Column, titles: dict[str, str], icons: dic
     return reduce(lambda other, kv: F.when(key == kv[0], kv[1]).otherwise(other), reversed(titles.items()), out)
 
 
+_PROFILE_SPAN = r"(?s)<(include|exclude)\b[^>]*>.*?</\1>"
+
+
+def _targets(span: Column) -> Column:
+    listed = F.regexp_extract(F.regexp_extract(span, r"^<[^>]*>", 0), r"\btarget\s*=\s*[\"']([^\"']+)[\"']", 1)
+    return F.filter(F.split(listed, r"[,\s]+"), lambda t: t != "")
+
+
+def profile_warnings(text: Column, known: list[str]) -> Column:
+    """Why ``filter_profile`` leaves spans as they are, in order: ``include:no-target``, ``exclude:unknown:x,y``."""
+    def warn(s: Column) -> Column:
+        tag = F.regexp_extract(s, r"^<(\w+)", 1)
+        unknown = F.filter(_targets(s), lambda t: ~t.isin(known))
+        return F.when(F.size(_targets(s)) == 0, F.concat(tag, F.lit(":no-target"))).when(F.size(unknown) > 0, F.concat(tag, F.lit(":unknown:"), F.array_join(unknown, ",")))
+
+    return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(_PROFILE_SPAN), F.lit(0)), warn))
+
+
 def filter_profile(text: Column, profile: str, known: list[str]) -> Column:
     """Include and exclude spans resolved for a profile. Spans without a target, or with an unknown one, stay.
 
     The text is cut at spans, each piece is decided by itself, and the pieces are put together again.
     """
-    span = r"(?s)<(include|exclude)\b[^>]*>.*?</\1>"
-    spans, gaps = F.regexp_extract_all(text, F.lit(span), F.lit(0)), F.split(text, span)
+    spans, gaps = F.regexp_extract_all(text, F.lit(_PROFILE_SPAN), F.lit(0)), F.split(text, _PROFILE_SPAN)
 
     def decide(s: Column) -> Column:
-        listed = F.regexp_extract(F.regexp_extract(s, r"^<[^>]*>", 0), r"\btarget\s*=\s*[\"']([^\"']+)[\"']", 1)
-        targets = F.filter(F.split(listed, r"[,\s]+"), lambda t: t != "")
+        targets = _targets(s)
         content = F.regexp_extract(s, r"(?s)^<(?:include|exclude)\b[^>]*>(.*)</(?:include|exclude)>$", 1)
         unknown = (F.size(targets) == 0) | F.exists(targets, lambda t: ~t.isin(known))
         keeps = F.array_contains(targets, profile) == F.startswith(s, F.lit("<include"))

@@ -30,23 +30,34 @@ def drift_status(docs: DataFrame, remote: DataFrame, receipts: DataFrame, dialec
 
 
 def recommend(status: DataFrame, blocked: Column | None = None) -> DataFrame:
-    """``action`` for each document; the first rule that fits."""
-    blocked = F.lit(False) if blocked is None else blocked
+    """``action`` for each document and the ``reason``; the first rule that fits."""
     state = F.col("state")
-    action = (
-        F.when(blocked, "fix-source").when(state == "clean", "no-action").when(F.col("content_matches"), "publish-dry-run").when(state == "local-changed", "publish-dry-run")
-        .when(state == "remote-changed", "pull-review").when(state == "diverged", "resolve-divergence").otherwise("adopt-or-replace")
-    )
-    return status.withColumn("action", action)
+    rules = [
+        (F.lit(False) if blocked is None else blocked, "fix-source", "the source has blockers"),
+        (state == "clean", "no-action", "nothing changed"),
+        (F.col("content_matches") & F.col("has_receipt"), "publish-dry-run", "contents are equal, the receipt is old"),
+        (F.col("content_matches"), "publish-dry-run", "contents are equal, there is no receipt"),
+        (state == "local-changed", "publish-dry-run", "only the local text changed"),
+        (state == "remote-changed", "pull-review", "only the remote text changed"),
+        (state == "diverged", "resolve-divergence", "both texts changed"),
+    ]
+    choice = F.struct(F.lit("adopt-or-replace").alias("action"), F.lit("texts differ and there is no receipt").alias("reason"))
+    for fits, action, reason in reversed(rules):
+        choice = F.when(fits, F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))).otherwise(choice)
+    return status.withColumn("choice", choice).select(*status.columns, "choice.action", "choice.reason")
 
 
 def publish_decision(status: DataFrame, plans: DataFrame) -> DataFrame:
-    """doc_id, decision, risks. ``plans`` has doc_id, n_ops, n_blockers. A blocker stops the whole document."""
-    j = status.join(plans, "doc_id", "left")
+    """doc_id, decision, risks. ``plans`` has doc_id, n_ops, n_blockers and may have ``create``. A blocker stops the whole document.
+
+    A document of a plan that the remote side lacks, or that is to be created, is created; nothing is at risk then.
+    """
+    j = status.withColumn("known", F.lit(True)).join(plans, "doc_id", "full_outer")
     ops, blockers = F.coalesce("n_ops", F.lit(0)), F.coalesce("n_blockers", F.lit(0))
-    decision = F.when(blockers > 0, "blocked").when(F.col("state") == "clean", "no-op").when(~F.col("has_receipt") & F.col("content_matches"), "adopt").when(ops > 0, "patch").otherwise("replace")
+    create = F.col("known").isNull() | (F.coalesce("create", F.lit(False)) if "create" in plans.columns else F.lit(False))
+    decision = F.when(blockers > 0, "blocked").when(create, "create").when(F.col("state") == "clean", "no-op").when(~F.col("has_receipt") & F.col("content_matches"), "adopt").when(ops > 0, "patch").otherwise("replace")
     risks = F.array_compact(F.array(F.when(F.col("remote_changed"), "remote-changed"), F.when(~F.col("has_receipt"), "untracked"), F.when(decision == "replace", "rewrites-everything")))
-    return j.select("doc_id", decision.alias("decision"), F.array_join(risks, ",").alias("risks"))
+    return j.select("doc_id", decision.alias("decision"), F.when(decision == "create", "").otherwise(F.array_join(risks, ",")).alias("risks"))
 
 
 def select_base(docs: DataFrame, explicit: DataFrame, snapshots: DataFrame, receipts: DataFrame) -> DataFrame:

@@ -149,10 +149,13 @@ def table_identity(rows: DataFrame, parts: list[str]) -> DataFrame:
 
 
 def match_tables(source: DataFrame, remote: DataFrame, identity: str) -> DataFrame:
-    """Source tables with the number of remote tables of the same identity that share a row key: 0 missing, 1 matched, more ambiguous."""
+    """Source tables with the number of remote tables of the same identity that share a row key: 0 missing, 1 matched, more ambiguous.
+
+    A table without rows is one row with a null key; two such correspond.
+    """
     a = source.select(F.col("table_key").alias("s"), F.col(identity).alias("i"), F.col("row_key").alias("k"))
     b = remote.select(F.col("table_key").alias("r"), F.col(identity).alias("i"), F.col("row_key").alias("k"))
-    found = a.join(b, ["i", "k"]).select("s", "r").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    found = a.join(b, (a.i == b.i) & a.k.eqNullSafe(b.k)).select("s", "r").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     tables = a.select("s").distinct().join(found, "s", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return tables.select(F.col("s").alias("table_key"), "n", F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("state"))
 

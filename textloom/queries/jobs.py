@@ -84,10 +84,15 @@ def layer_variables(spark, sf):
     return S.layer_variables(variables, table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), where.alias("dir")))
 
 
-@query(f"{D.with_ctes('receipts')} SELECT r.doc_id, version, CASE WHEN version >= 3 AND r.doc_id % 4 <> 2 THEN 'snapshot' WHEN sha256(r1) = remote_hash THEN 'current' ELSE 'none' END AS source FROM receipts r JOIN four USING (doc_id)")
+@query(f"""{D.with_ctes('receipts')}, kept AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 1 THEN l0 END AS sl, CASE WHEN doc_id % 6 = 1 THEN r1 ELSE r0 END AS sr FROM four WHERE doc_id % 8 <> 2),
+    b AS (SELECT r.doc_id, version, CASE WHEN sl IS NOT NULL OR (version < 4 AND sha256(l1) = draft_hash) THEN draft_hash END AS local, CASE WHEN CASE WHEN version = 1 THEN sha256(r1) ELSE sha256(sr) END = remote_hash THEN remote_hash END AS remote FROM receipts r JOIN four USING (doc_id) LEFT JOIN kept USING (doc_id)),
+    x AS (SELECT *, CASE WHEN local IS NULL THEN CASE WHEN version >= 4 THEN 'draft-base-missing' ELSE 'local-base-missing' END WHEN remote IS NULL THEN CASE WHEN version = 1 THEN 'remote-changed' ELSE 'remote-base-missing' END END AS blocker FROM b)
+    SELECT doc_id, version, CASE WHEN blocker IS NULL THEN local END AS local_hash, CASE WHEN blocker IS NULL THEN remote END AS remote_hash, blocker FROM x""")
 def load_baselines(spark, sf):
     four = D.four_way(spark, sf)
-    return S.load_baselines(D.receipts(four), four.filter("doc_id % 4 <> 2").select("doc_id", F.col("r0").alias("text")), four.select("doc_id", F.col("r1").alias("text"))).select("doc_id", "version", "source")
+    kept = four.filter("doc_id % 8 <> 2").selectExpr("doc_id", "CASE WHEN doc_id % 7 <> 1 THEN l0 END AS local", "CASE WHEN doc_id % 6 = 1 THEN r1 ELSE r0 END AS remote")
+    out = S.load_baselines(D.receipts(four), kept, four.select("doc_id", F.col("l1").alias("local"), F.col("r1").alias("remote")))
+    return out.select("doc_id", "version", F.sha2("local_base", 256).alias("local_hash"), F.sha2("remote_base", 256).alias("remote_hash"), "blocker")
 
 
 #: By document, what the remote changes: the line after a local edit, the same line otherwise, the same line alike, or a line far from it.

@@ -25,17 +25,20 @@ def drift_status(spark, sf):
     return _status(spark, sf)
 
 
-@query(f"{_STATUS} SELECT doc_id, state, CASE WHEN doc_id % 17 = 0 THEN 'fix-source' WHEN state = 'clean' THEN 'no-action' WHEN content_matches OR state = 'local-changed' THEN 'publish-dry-run' WHEN state = 'remote-changed' THEN 'pull-review' WHEN state = 'diverged' THEN 'resolve-divergence' ELSE 'adopt-or-replace' END AS action FROM status")
+@query(f"""{_STATUS} SELECT doc_id, state, CASE WHEN doc_id % 17 = 0 THEN 'fix-source' WHEN state = 'clean' THEN 'no-action' WHEN content_matches OR state = 'local-changed' THEN 'publish-dry-run' WHEN state = 'remote-changed' THEN 'pull-review' WHEN state = 'diverged' THEN 'resolve-divergence' ELSE 'adopt-or-replace' END AS action,
+    CASE WHEN doc_id % 17 = 0 THEN 'the source has blockers' WHEN state = 'clean' THEN 'nothing changed' WHEN content_matches AND has_receipt THEN 'contents are equal, the receipt is old' WHEN content_matches THEN 'contents are equal, there is no receipt' WHEN state = 'local-changed' THEN 'only the local text changed'
+    WHEN state = 'remote-changed' THEN 'only the remote text changed' WHEN state = 'diverged' THEN 'both texts changed' ELSE 'texts differ and there is no receipt' END AS reason FROM status""")
 def recommend(spark, sf):
-    return S.recommend(_status(spark, sf), F.col("doc_id") % 17 == 0).select("doc_id", "state", "action")
+    return S.recommend(_status(spark, sf), F.col("doc_id") % 17 == 0).select("doc_id", "state", "action", "reason")
 
 
-@query(f"""{_STATUS}, p AS (SELECT *, CASE WHEN doc_id % 13 = 1 THEN 2 ELSE 0 END AS n_blockers, CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END AS n_ops FROM status), x AS (SELECT *, CASE WHEN n_blockers > 0 THEN 'blocked' WHEN state = 'clean' THEN 'no-op' WHEN NOT has_receipt AND content_matches THEN 'adopt' WHEN n_ops > 0 THEN 'patch' ELSE 'replace' END AS decision FROM p)
-    SELECT doc_id, decision, concat_ws(',', CASE WHEN remote_changed THEN 'remote-changed' END, CASE WHEN NOT has_receipt THEN 'untracked' END, CASE WHEN decision = 'replace' THEN 'rewrites-everything' END) AS risks FROM x""")
+@query(f"""{_STATUS}, p AS (SELECT *, CASE WHEN doc_id % 13 = 1 THEN 2 ELSE 0 END AS n_blockers, CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END AS n_ops, doc_id % 10 = 0 AS new FROM status), x AS (SELECT *, CASE WHEN n_blockers > 0 THEN 'blocked' WHEN new THEN 'create' WHEN state = 'clean' THEN 'no-op' WHEN NOT has_receipt AND content_matches THEN 'adopt' WHEN n_ops > 0 THEN 'patch' ELSE 'replace' END AS decision FROM p)
+    SELECT doc_id, decision, CASE WHEN decision = 'create' OR new THEN '' ELSE concat_ws(',', CASE WHEN remote_changed THEN 'remote-changed' END, CASE WHEN NOT has_receipt THEN 'untracked' END, CASE WHEN decision = 'replace' THEN 'rewrites-everything' END) END AS risks FROM x""")
 def publish_decision(spark, sf):
     status = _status(spark, sf)
     plans = status.select("doc_id", F.when(F.col("doc_id") % 13 == 1, 2).otherwise(0).alias("n_blockers"), F.when(F.col("doc_id") % 3 == 0, 4).otherwise(0).alias("n_ops"))
-    return S.publish_decision(status, plans)
+    # the remote side lacks every tenth document
+    return S.publish_decision(status.filter("doc_id % 10 <> 0"), plans)
 
 
 @query(f"""{D.with_ctes('receipts')}, j AS (SELECT four.doc_id, l0, l1, r.doc_id AS tracked, draft_hash, CASE WHEN four.doc_id % 6 = 5 THEN r0 END AS given, CASE WHEN four.doc_id % 4 = 3 THEN l0 END AS snap FROM four LEFT JOIN receipts r ON r.doc_id = four.doc_id),

@@ -52,6 +52,12 @@ def filter_profile(spark, sf):
     return D.rich(spark, sf).select("doc_id", T.filter_profile(F.col("text"), "alpha", ["alpha", "beta"]).alias("text"))
 
 
+@query(f"""{_RICH} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '<include target="beta">[^<]*</include>'), lambda s: 'include:unknown:beta'), ';') AS warnings FROM rich""")
+def profile_warnings(spark, sf):
+    # a profile that knows one of the two targets
+    return D.rich(spark, sf).select("doc_id", F.array_join(T.profile_warnings(F.col("text"), ["alpha"]), ";").alias("warnings"))
+
+
 @query(f"""{_RICH} SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<include target="alpha">([^<]*)</include>', '\\1', 'g'), '<include target="beta">[^<]*</include>', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM rich""")
 def collapse_includes(spark, sf):
     return D.rich(spark, sf).select("doc_id", T.collapse_includes(F.col("text"), "alpha", "beta").alias("text"))

@@ -99,9 +99,26 @@ def layer_variables(variables: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def load_baselines(receipts: DataFrame, snapshots: DataFrame, current: DataFrame) -> DataFrame:
-    """Base text per document by its receipt's version: verified snapshot (3 on), else the current remote if its hash is the receipt's."""
-    s = snapshots.select("doc_id", F.col("text").alias("snap"))
-    c = current.select("doc_id", F.col("text").alias("now"))
-    j = receipts.join(s, "doc_id", "left").join(c, "doc_id", "left")
-    base = F.when((F.col("version") >= 3) & (F.sha2("snap", 256) == F.col("remote_hash")), F.struct(F.col("snap").alias("text"), F.lit("snapshot").alias("source"))).when(F.sha2("now", 256) == F.col("remote_hash"), F.struct(F.col("now").alias("text"), F.lit("current").alias("source"))).otherwise(F.struct(F.lit(None).cast("string").alias("text"), F.lit("none").alias("source")))
-    return j.select("doc_id", "version", base.alias("b")).select("doc_id", "version", "b.text", "b.source")
+    """Both base texts of each receipt's document, or why there are none: doc_id, version, local_base, remote_base, blocker.
+
+    ``receipts`` (doc_id, version, draft_hash, remote_hash); ``snapshots`` (doc_id, local, remote) are what was kept,
+    and count only if they have the receipt's hash; ``current`` (doc_id, local, remote) are today's texts.
+
+    From version 4 on both sides come from snapshots. Before, today's local text does if it is unchanged. Version 1
+    kept no remote text: today's does if it is unchanged. Blockers: draft-base-missing (from version 4 on),
+    local-base-missing, remote-base-missing, remote-changed (version 1); the local side's comes first.
+    """
+    s = snapshots.select("doc_id", F.col("local").alias("s_local"), F.col("remote").alias("s_remote"))
+    c = current.select("doc_id", F.col("local").alias("c_local"), F.col("remote").alias("c_remote"))
+    j = receipts.select("doc_id", "version", "draft_hash", "remote_hash").join(s, "doc_id", "left").join(c, "doc_id", "left")
+    verified = lambda text, want: F.when(F.sha2(text, 256) == F.col(want), F.col(text))
+    version = F.col("version")
+    local = F.coalesce(verified("s_local", "draft_hash"), F.when(version < 4, verified("c_local", "draft_hash")))
+    remote = F.when(version == 1, verified("c_remote", "remote_hash")).otherwise(verified("s_remote", "remote_hash"))
+    found = j.select("doc_id", "version", local.alias("local_base"), remote.alias("remote_base"))
+    blocker = (
+        F.when(F.col("local_base").isNull(), F.when(version >= 4, "draft-base-missing").otherwise("local-base-missing"))
+        .when(F.col("remote_base").isNull(), F.when(version == 1, "remote-changed").otherwise("remote-base-missing"))
+    )
+    kept = lambda c: F.when(F.col("blocker").isNull(), F.col(c)).alias(c)
+    return found.withColumn("blocker", blocker).select("doc_id", "version", kept("local_base"), kept("remote_base"), "blocker")

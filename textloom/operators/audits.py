@@ -120,14 +120,25 @@ def check_readback(ops: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("op_id", "op_seq", F.when(F.col("kind") == "delete", ~there).when(placed, there & behind).otherwise(there).alias("done"))
 
 
-def resume_report(batches: DataFrame, log: DataFrame) -> DataFrame:
-    """Per batch: completed ops must be a prefix. state (done, resume, manual) and the number of pending ops."""
+def resume_report(batches: DataFrame, log: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """Per batch: state (done, resume, manual), why, and the number of pending ops.
+
+    A batch resumes if its completed ops are a prefix of it and the document still is what the log left: ``states``
+    (batch, recorded, current) are hashes of both, and a batch without a recorded one can't have changed.
+    """
     j = batches.join(log.select("op_id", F.lit(True).alias("ran")).distinct(), "op_id", "left").withColumn("ran", F.coalesce("ran", F.lit(False)))
     first_open = F.min(F.when(~F.col("ran"), F.col("op_seq")))
     last_ran = F.max(F.when(F.col("ran"), F.col("op_seq")))
     r = j.groupBy("batch").agg(F.count_if(~F.col("ran")).alias("pending"), first_open.alias("first_open"), last_ran.alias("last_ran"))
-    state = F.when(F.col("pending") == 0, "done").when(F.coalesce(F.col("last_ran") < F.col("first_open"), F.lit(True)), "resume").otherwise("manual")
-    return r.select("batch", "pending", state.alias("state"))
+    if states is None:
+        r = r.withColumn("moved", F.lit(False))
+    else:
+        moved = states.filter("recorded IS NOT NULL AND NOT recorded <=> current").select("batch", F.lit(True).alias("moved")).distinct()
+        r = r.join(moved, "batch", "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
+    prefix = F.coalesce(F.col("last_ran") < F.col("first_open"), F.lit(True))
+    why = F.when(F.col("moved"), "document-changed").when(F.col("pending") == 0, "complete").when(prefix, "prefix").otherwise("out-of-order")
+    state = F.when(why == "complete", "done").when(why == "prefix", "resume").otherwise("manual")
+    return r.select("batch", "pending", state.alias("state"), why.alias("why"))
 
 
 def phase_order(ops: DataFrame, phases: dict[str, list[int]]) -> DataFrame:

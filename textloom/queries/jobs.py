@@ -26,12 +26,14 @@ def scan_corpus(spark, sf):
     return S.scan_corpus(spark, f"{sf}/documents.parquet").select("doc_id", "version", F.length("text").cast("long").alias("chars"))
 
 
-@query("SELECT o_orderkey, 'o' || o_orderkey AS block_id, CAST(o_custkey % 9 AS INTEGER) AS block_type, CASE WHEN o_orderkey % 2 = 0 THEN 'x' || o_orderkey || ',y' ELSE 'z' END AS children FROM orders")
+@query("""SELECT o_orderkey, 'o' || o_orderkey AS block_id, CAST(o_custkey % 9 AS INTEGER) AS block_type, CASE WHEN o_orderkey % 2 = 0 THEN 'x' || o_orderkey || ',y' ELSE 'z' END AS children, CAST(NULL AS VARCHAR) AS v, 0 AS nested FROM orders
+    UNION ALL SELECT o_orderkey, 'y', 2, 'w', '1', 1 FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'w', NULL, '', CAST(o_custkey AS VARCHAR), 2 FROM orders WHERE o_orderkey % 2 = 0""")
 def scan_blocks(spark, sf):
-    kids = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('["x'), F.col("o_orderkey").cast("string"), F.lit('",{"block_id":"y","text":{"v":1}}]'))).otherwise('["z"]')
+    inner = F.concat(F.lit('{"block_id":"y","block_type":2,"text":{"v":1},"children":[{"block_id":"w","text":{"v":'), F.col("o_custkey").cast("string"), F.lit("}}]}"))
+    kids = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('["x'), F.col("o_orderkey").cast("string"), F.lit('",'), inner, F.lit("]"))).otherwise('["z"]')
     js = F.concat(F.lit('{"block_id":"o'), F.col("o_orderkey").cast("string"), F.lit('","block_type":'), (F.col("o_custkey") % 9).cast("string"), F.lit(',"children":'), kids, F.lit("}"))
     rows = table(spark, sf, "orders").select("o_orderkey", js.alias("raw"))
-    return S.scan_blocks(rows, "raw").select("o_orderkey", "block_id", "block_type", F.array_join("children", ",").alias("children"))
+    return S.scan_blocks(rows, "raw").select("o_orderkey", "block_id", "block_type", F.array_join("children", ",").alias("children"), F.get_json_object("payload", "$.text.v").alias("v"), "nested")
 
 
 @query(f"{D.with_ctes('receipts')} SELECT doc_id, version, draft_hash, remote_hash, CASE WHEN version >= 2 THEN dialect END AS dialect FROM receipts")

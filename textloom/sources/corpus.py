@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +23,23 @@ def scan_corpus(spark: SparkSession, path: str, fmt: str = "parquet", version: s
 
 
 def scan_blocks(rows: DataFrame, json_col: str) -> DataFrame:
-    """Landed block exports: a JSON text per block to its id, type, children and open payload.
+    """Landed block exports, a JSON text per block: the row's columns, block_id, block_type, children, payload, nested.
 
-    Children may be ids or embedded objects; either way they become ids. Malformed JSON gives a row with nulls.
+    Children are ids; a child that is embedded as an object is a row of its own too (``nested``: how deep it lay), one
+    round for each depth until none is left. ``payload`` is the block as JSON. Malformed JSON gives a row with nulls.
     """
-    v = F.try_parse_json(json_col)
-    kids = F.try_variant_get(v, "$.children", "array<variant>")
-    ids = F.transform(kids, lambda c: F.coalesce(F.try_variant_get(c, "$.block_id", "string"), F.try_variant_get(c, "$", "string")))
-    return rows.select("*", F.try_variant_get(v, "$.block_id", "string").alias("block_id"), F.try_variant_get(v, "$.block_type", "int").alias("block_type"), F.coalesce(ids, F.array().cast("array<string>")).alias("children"))
+    names, parts, depth = [F.col(f"`{c}`") for c in rows.columns], [], 0
+    level = rows.select(*names, F.col(json_col).alias("block_json"))
+    while True:
+        v = F.try_parse_json("block_json")
+        kids = F.try_variant_get(v, "$.children", "array<variant>")
+        ids = F.transform(kids, lambda c: F.coalesce(F.try_variant_get(c, "$.block_id", "string"), F.try_variant_get(c, "$", "string")))
+        parts.append(level.select(*names, F.try_variant_get(v, "$.block_id", "string").alias("block_id"), F.try_variant_get(v, "$.block_type", "int").alias("block_type"), F.coalesce(ids, F.array().cast("array<string>")).alias("children"), F.to_json(v).alias("payload"), F.lit(depth).alias("nested")))
+        embedded = F.filter(kids, lambda c: F.try_variant_get(c, "$.block_id", "string").isNotNull())
+        level = materialize(level.select(*names, F.explode(F.transform(embedded, lambda c: F.to_json(c))).alias("block_json")), "embedded-blocks")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        depth += 1
 
 
 def scan_receipts(raw: DataFrame) -> DataFrame:

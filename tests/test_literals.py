@@ -305,3 +305,11 @@ def test_baselines_by_receipt_version(spark):
     got = {r.doc_id: (r.local_base, r.remote_base, r.blocker) for r in S.load_baselines(receipts, kept, now).collect()}
     both, none = ("L", "R", None), lambda b: (None, None, b)
     assert got == {0: both, 1: none("local-base-missing"), 2: none("remote-changed"), 3: none("remote-base-missing"), 4: both, 5: none("remote-base-missing"), 6: none("draft-base-missing"), 7: both, 8: none("remote-base-missing")}
+
+
+def test_one_fingerprint_over_many_ranges(spark, many_ranges):
+    requests = spark.range(600).selectExpr("'hot' AS fingerprint", "id", "timestamp_seconds(id * 10 + 5) AS ts").repartition(5)
+    snapshots = spark.range(60).selectExpr("'hot' AS fingerprint", "timestamp_seconds(id * 100 + 50) AS fetched_at", "CAST(id AS string) AS snapshot_id").union(spark.sql("SELECT 'cold', timestamp_seconds(1), 'c'"))
+    got = {r.id: (r.snapshot_id, r.state) for r in K.index_as_of(requests, snapshots, "30 seconds", F.lit(False)).collect()}
+    newest = {i: (i * 10 + 5 - 50) // 100 for i in range(600)}
+    assert got == {i: (None, "none") if n < 0 else (str(n), "fresh" if i * 10 + 5 < n * 100 + 80 else "stale") for i, n in newest.items()}

@@ -58,7 +58,7 @@ def test_moved_blocks_stand_behind_their_anchor(spark):
     assert {r.op_id: r.done for r in audits.check_readback(ops, after).collect()} == {"m": True, "f": False, "d": True}
 
 
-def test_siblings_of_one_parent_over_many_ranges(spark):
+def test_siblings_of_one_parent_over_many_ranges(spark, many_ranges):
     rows = [(f"b{i}", "p" if i % 10 else f"q{i}", i // 2) for i in range(1000)]
     blocks = spark.createDataFrame(rows, "block_id string, parent_id string, pos long").repartition(7)
     got = {r.block_id: (r.ordinal, r.previous, r.following) for r in trees.siblings(blocks).collect()}

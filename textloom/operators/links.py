@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.runtime import sized_broadcast
+from textloom.runtime import materialize, sized_broadcast
 
 #: An index of at most so many slugs may be broadcast; a larger one is joined by shuffle.
 MAX_BROADCAST_SLUGS = 200_000
@@ -54,14 +54,20 @@ def index_as_of(requests: DataFrame, snapshots: DataFrame, ttl: str, live: Colum
     """Per request the newest snapshot of its fingerprint not after it, and whether it may be used.
 
     Younger than ``ttl``: fresh. Else the live index where there is one, else the old one with a warning.
-    Both sides stand in one order of time per fingerprint and the last snapshot is carried along: no pairs are made.
+    Both sides stand in one order of fingerprint and time, cut into ranges. Inside a range the last snapshot is carried
+    along; from range to range one row for each goes on. No pairs are made, and one fingerprint may fill many ranges.
     """
-    asked = requests.select("fingerprint", F.col("ts").alias("t"), F.lit(1).alias("turn"), F.struct(*requests.columns).alias("r"), F.lit(None).cast("struct<fetched_at:timestamp,snapshot_id:string>").alias("s"))
     kept = F.struct(F.col("fetched_at").cast("timestamp").alias("fetched_at"), F.col("snapshot_id").cast("string").alias("snapshot_id"))
-    seen = snapshots.select("fingerprint", F.col("fetched_at").alias("t"), F.lit(0).alias("turn"), kept.alias("s"))
-    w = Window.partitionBy("fingerprint").orderBy("t", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    carried = asked.unionByName(seen, allowMissingColumns=True).withColumn("s", F.last("s", ignorenulls=True).over(w)).filter("turn = 1")
-    newest = carried.select("r.*", "s.fetched_at", "s.snapshot_id")
+    asked = requests.select("fingerprint", F.col("ts").cast("timestamp").alias("t"), F.lit(1).alias("turn"), F.struct(*requests.columns).alias("r"), F.lit(None).cast("struct<fetched_at:timestamp,snapshot_id:string>").alias("s"))
+    seen = snapshots.select("fingerprint", F.col("fetched_at").cast("timestamp").alias("t"), F.lit(0).alias("turn"), kept.alias("s"))
+    line = asked.unionByName(seen, allowMissingColumns=True).repartitionByRange("fingerprint", "t", "turn").withColumn("part", F.spark_partition_id())
+    line = materialize(line, "as-of")
+    inside = Window.partitionBy("part", "fingerprint").orderBy("t", "turn", "s.snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("f").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, at most
+    runs = line.groupBy("part", F.col("fingerprint").alias("f")).agg(F.max("s").alias("last")).select("f", F.col("part").alias("p"), F.max("last").over(before).alias("earlier"))
+    carried = line.withColumn("own", F.last("s", ignorenulls=True).over(inside)).filter("turn = 1")
+    found = carried.join(runs, (F.col("part") == F.col("p")) & F.col("fingerprint").eqNullSafe(F.col("f"))).withColumn("s", F.coalesce("own", "earlier"))
+    newest = found.select("r.*", "s.fetched_at", "s.snapshot_id")
     fresh = F.col("ts") < F.col("fetched_at") + F.expr(f"INTERVAL {ttl}")
     return newest.withColumn("state", F.when(F.coalesce(fresh, F.lit(False)), "fresh").when(live, "live").when(F.col("snapshot_id").isNotNull(), "stale").otherwise("none"))
 

@@ -230,19 +230,21 @@ def test_correspondence_survives_insertions_moves_and_edits(spark):
     assert [got[i] for i in range(7)] == ["new|s:0", "s:0", "s:1", "s:2", "s:3", "s:4", "s:5"]
 
 
-def test_code_plan_cases(spark):
+def test_text_plans_never_guess(spark):
     schema = "doc_id long, pos long, section string, kind string, locator string, value string"
-    make = lambda *values: spark.createDataFrame([(1, i, "s", "code", f"s:{i}", v) for i, v in enumerate(values) if v is not None], schema)
-    plan = lambda *sides: {r.locator: (r.op, r.content, r.conflict) for r in P.code_plan(*map(lambda x: make(*x), sides)).collect()}
-    base = ("a", "b", "c")
-    assert plan(base, ("a", "B", "c"), base, base) == {"s:0": ("keep", "a", False), "s:1": ("update", "B", False), "s:2": ("keep", "c", False)}
-    assert plan(base, ("new", "a", "b", "c"), base, base)["new|s:0"] == ("create", "new", False)
-    assert plan(base, ("a", "c"), base, base)["s:1"] == ("delete", "", False)
-    assert plan(base, ("a", "c"), base, ("a", "R", "c"))["s:1"] == ("conflict", "R", True)
-    assert plan(base, ("a", "L", "c"), base, ("a", "R", "c"))["s:1"] == ("conflict", "L", True)
-    assert plan(base, ("a", "L", "c"), base, ("a", "c"))["s:1"] == ("conflict", "L", True)
-    assert plan(base, base, base, ("a", "c"))["s:1"] == ("gone", "b", False)
-    assert plan(base, base, base, ("a", "b", "c", "remote"))["new|s:3"] == ("keep", "remote", False)
+    base, turned, coded = ["A", "B", "C"], ["B", "A", "C"], ["A", "code 1", "B"]
+    order = {(None, None, "order-changed")}
+    cases = [  # local base and current, remote base and current
+        (base, turned, base, base, order), (base, ["A edited", "B", "C"], base, turned, order), (base, turned, base, turned, set()),
+        (["A", "X", "X", "B"], ["A", "X", "X", "X", "B"], ["A", "X", "X", "B"], ["A", "X", "X", "B"], {(None, None, "ambiguous-repeats")}),
+        (["A", "X", "X"], ["A", "X!", "X"], ["A", "X", "X"], ["A", "X", "X"], {("s:1", "update", None)}),
+        (coded, ["code 1", "A", "B"], coded, coded, set()),  # code may move
+    ]
+    side = lambda k: spark.createDataFrame([(d, i, "s", "code" if v.startswith("code") else "text", f"s:{i}", v) for d, case in enumerate(cases) for i, v in enumerate(case[k])], schema)
+    got = {d: set() for d in range(len(cases))}
+    for r in P.text_plan(*map(side, range(4))).collect():
+        got[r.doc_id].add((r.locator, r.op, r.blocker))
+    assert got == {d: case[4] for d, case in enumerate(cases)}
 
 
 def test_a_renamed_row_is_an_update(spark):

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.ranges import running
 from textloom.runtime import materialize
 
 KEY = ["doc_id", "locator"]
@@ -34,6 +35,13 @@ def align(base: DataFrame, current: DataFrame, group: list[str], passes: list[tu
     return found
 
 
+def callout_passes(base: DataFrame, current: DataFrame) -> DataFrame:
+    """Pairs of callouts (doc_id, base_id, current_id, how), ``kind`` being their type: same content in the section, same place and type,
+    the only one of its type left in the section, same place."""
+    passes = [("content", ["section", "kind", "value"], True), ("place", ["locator", "kind"], False), ("section", ["section", "kind"], True), ("locator", ["locator"], False)]
+    return align(base, current, ["doc_id"], passes, "locator")
+
+
 def single_leftover(base: DataFrame, current: DataFrame, pairs: DataFrame, group: list[str], id_col: str) -> DataFrame:
     """The pair of each group that has exactly one row left on both sides."""
     one = lambda df, side: df.withColumn(side, F.col(id_col)).join(pairs.select(*group, side), [*group, side], "left_anti").groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(side).alias(side)).filter("n = 1").drop("n")
@@ -75,8 +83,29 @@ def _has(n: str) -> Column:
     return F.col(f"in_{n}").isNotNull()
 
 
+def unclear_documents(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> DataFrame:
+    """(doc_id, blocker) of documents whose nodes can't be told apart or don't keep their order.
+
+    ambiguous-repeats: a side has more or fewer nodes than its base, which has some text several times that the side still has.
+    order-changed: nodes other than code that both sides have stand in another order.
+    """
+    def repeats(base: DataFrame, now: DataFrame) -> DataFrame:
+        sizes = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("was")).join(now.groupBy("doc_id").agg(F.count(F.lit(1)).alias("is")), "doc_id").filter("was <> is").select("doc_id")
+        several = base.filter("kind = 'text'").groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        return several.join(now.filter("kind = 'text'").select("doc_id", "value").distinct(), ["doc_id", "value"], "left_semi").join(sizes, "doc_id", "left_semi").select("doc_id").distinct()
+
+    places = [identified(b, n).filter("kind <> 'code' AND NOT startswith(locator, 'new|')").select(*KEY, F.col("pos").alias(p)) for b, n, p in ((l0, l1, "here"), (r0, r1, "there"))]
+    shared = running(places[0].join(places[1], KEY), ["doc_id"], ["here", "locator"], lasts={"before": F.col("there")})
+    turned = shared.filter("before >= there").select("doc_id").distinct()
+    unclear = repeats(l0, l1).unionByName(repeats(r0, r1)).distinct().withColumn("blocker", F.lit("ambiguous-repeats"))
+    return materialize(unclear.unionByName(turned.join(unclear, "doc_id", "left_anti").withColumn("blocker", F.lit("order-changed"))), "unclear")
+
+
 def text_plan(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> DataFrame:
-    """Local changes carried to the remote: (doc_id, locator, op, blocker). A change the remote already has is no op."""
+    """Local changes carried to the remote: (doc_id, locator, op, blocker). A change the remote already has is no op.
+
+    A document with unclear nodes (``unclear_documents``) has that blocker as its one row, without a locator, and no ops.
+    """
     j = _four(l0, l1, r0, r1)
     remote_same = F.col("r0").eqNullSafe(F.col("r1")) & (_has("r0") == _has("r1"))
     added, removed = ~_has("l0") & _has("l1"), _has("l0") & ~_has("l1")
@@ -88,7 +117,10 @@ def text_plan(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> Dat
         F.when(added & _has("r1") & (F.col("r1") != F.col("l1")), "taken").when(removed & _has("r1") & ~remote_same, "changed-remotely")
         .when(updated & ~_has("r1"), "missing-remotely").when(updated & ~remote_same & (F.col("r1") != F.col("l1")), "changed-remotely")
     )
-    return j.select(*KEY, op.alias("op"), blocker.alias("blocker")).filter("op IS NOT NULL OR blocker IS NOT NULL")
+    unclear = unclear_documents(l0, l1, r0, r1)
+    found = j.select(*KEY, op.alias("op"), blocker.alias("blocker")).filter("op IS NOT NULL OR blocker IS NOT NULL").join(unclear.select("doc_id"), "doc_id", "left_anti")
+    none = F.lit(None).cast("string")
+    return found.unionByName(unclear.select("doc_id", none.alias("locator"), none.alias("op"), "blocker"))
 
 
 def desired_text(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> DataFrame:
@@ -99,12 +131,6 @@ def desired_text(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) ->
     return j.select(*KEY, F.when(local, F.col("l1")).otherwise(F.coalesce("r1", "l1")).alias("text"), conflict.alias("conflict"))
 
 
-def section_reconcile(plan: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Sections to rebuild whole: some node of them is to be created and some to be deleted, and none is blocked."""
-    j = plan.join(nodes.select(*KEY, "section").distinct(), KEY, "left")
-    return j.filter("section IS NOT NULL").groupBy("doc_id", "section").agg(F.bool_or(F.col("op") == "create").alias("c"), F.bool_or(F.col("op") == "delete").alias("d"), F.count("blocker").alias("b")).filter("c AND d AND b = 0").select("doc_id", "section")
-
-
 def scoped_plan(plans: list[tuple[str, DataFrame]]) -> DataFrame:
     """Per document over all plans: ops and blockers; any blocker leaves no ops."""
     every = reduce(lambda a, b: a.unionByName(b), (p.select("doc_id", "op", "blocker", F.lit(n).alias("plan")) for n, p in plans))
@@ -289,24 +315,6 @@ def render_blocks(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "locator", shown.alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
 
 
-def code_plan(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> DataFrame:
-    """Code nodes of four versions to (doc_id, locator, op, content, conflict).
-
-    create, update, delete, keep; ``gone`` where the remote dropped what is locally unchanged; conflict where
-    both sides changed one node to different ends.
-    """
-    j = _four(l0, l1, r0, r1)
-    in_base, here, there = _has("l0"), _has("l1"), _has("r1")
-    mine, theirs = ~F.col("l0").eqNullSafe(F.col("l1")), ~F.col("r0").eqNullSafe(F.col("r1"))
-    content = F.when(mine & here, F.col("l1")).otherwise(F.coalesce("r1", F.when(~mine, F.col("l1"))))
-    op = (
-        F.when(in_base & ~here & ~there, None).when(in_base & ~here, F.when(theirs, "conflict").otherwise("delete")).when(in_base & ~there, F.when(mine, "conflict").otherwise("gone"))
-        .when(~there, "create").when(~here, "keep").when(mine & theirs & (F.col("l1") != F.col("r1")), "conflict").when(content == F.col("r1"), "keep").otherwise("update")
-    )
-    shown = F.when(F.col("op") == "delete", "").when(F.col("op") == "gone", F.col("l1")).otherwise(content)
-    return j.withColumn("op", op).filter("op IS NOT NULL").select(*KEY, "op", shown.alias("content"), (F.col("op") == "conflict").alias("conflict"))
-
-
 def callout_plan(l0: DataFrame, l1: DataFrame, r0: DataFrame, r1: DataFrame) -> DataFrame:
     """Callouts (doc_id, locator, ctype, title, value) of four versions to ops: create, adopt, delete, title, children, or blocked with a reason.
 

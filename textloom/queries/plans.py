@@ -15,14 +15,12 @@ _N = D.with_ctes("n_l1", "n_r1")
 _I = D.with_ctes("i_n_l1", "i_n_r1")
 _FOUR = f"""{_I}, keys AS (SELECT doc_id, locator FROM n0 UNION SELECT doc_id, locator FROM i_n_l1 UNION SELECT doc_id, locator FROM i_n_r1), f AS (SELECT k.doc_id, k.locator, a.value AS l0, b.value AS l1, a.value AS r0, c.value AS r1 FROM keys k
     LEFT JOIN n0 a ON a.doc_id = k.doc_id AND a.locator = k.locator LEFT JOIN i_n_l1 b ON b.doc_id = k.doc_id AND b.locator = k.locator LEFT JOIN i_n_r1 c ON c.doc_id = k.doc_id AND c.locator = k.locator)"""
+#: Documents whose nodes can't be told apart or changed their order.
+_REPEATS = "SELECT DISTINCT r.doc_id FROM (SELECT doc_id, value FROM n0 WHERE kind = 'text' GROUP BY 1, 2 HAVING count(*) > 1) r JOIN {s} s ON s.doc_id = r.doc_id AND s.kind = 'text' AND s.value = r.value WHERE (SELECT count(*) FROM n0 WHERE n0.doc_id = r.doc_id) <> (SELECT count(*) FROM {s} x WHERE x.doc_id = r.doc_id)"
+_UNCLEAR = f"""rep AS ({_REPEATS.format(s='n_l1')} UNION {_REPEATS.format(s='n_r1')}), shared AS (SELECT a.doc_id, b.pos AS there, lag(b.pos) OVER (PARTITION BY a.doc_id ORDER BY a.pos, a.locator) AS before FROM i_n_l1 a JOIN i_n_r1 b USING (doc_id, locator) WHERE a.kind <> 'code' AND b.kind <> 'code' AND NOT starts_with(locator, 'new|')),
+    unclear AS (SELECT doc_id, 'ambiguous-repeats' AS blocker FROM rep UNION ALL SELECT DISTINCT doc_id, 'order-changed' FROM shared WHERE before >= there AND doc_id NOT IN (SELECT doc_id FROM rep))"""
 _PLAN = f"""{_FOUR}, plan AS (SELECT doc_id, locator, CASE WHEN l0 IS NULL AND l1 IS NOT NULL AND r1 IS NULL THEN 'create' WHEN l0 IS NOT NULL AND l1 IS NULL AND r1 IS NOT NULL AND r0 IS NOT DISTINCT FROM r1 THEN 'delete' WHEN l0 <> l1 AND r1 IS NOT NULL AND r0 IS NOT DISTINCT FROM r1 THEN 'update' END AS op,
-    CASE WHEN l0 IS NULL AND l1 IS NOT NULL AND r1 <> l1 THEN 'taken' WHEN l0 IS NOT NULL AND l1 IS NULL AND r1 IS NOT NULL AND r0 IS DISTINCT FROM r1 THEN 'changed-remotely' WHEN l0 <> l1 AND r1 IS NULL THEN 'missing-remotely' WHEN l0 <> l1 AND r0 IS DISTINCT FROM r1 AND r1 <> l1 THEN 'changed-remotely' END AS blocker FROM f), p AS (SELECT * FROM plan WHERE op IS NOT NULL OR blocker IS NOT NULL)"""
-
-
-#: The same of code nodes alone.
-_CODE = f"""{_N}, k0 AS (SELECT * FROM n0 WHERE kind = 'code'), kl AS (SELECT * FROM n_l1 WHERE kind = 'code'), kr AS (SELECT * FROM n_r1 WHERE kind = 'code'), {D.identified_cte('kl', 'k0')}, {D.identified_cte('kr', 'k0')},
-    keys AS (SELECT doc_id, locator FROM k0 UNION SELECT doc_id, locator FROM i_kl UNION SELECT doc_id, locator FROM i_kr), f AS (SELECT k.doc_id, k.locator, a.value AS l0, b.value AS l1, a.value AS r0, c.value AS r1 FROM keys k
-    LEFT JOIN k0 a ON a.doc_id = k.doc_id AND a.locator = k.locator LEFT JOIN i_kl b ON b.doc_id = k.doc_id AND b.locator = k.locator LEFT JOIN i_kr c ON c.doc_id = k.doc_id AND c.locator = k.locator)"""
+    CASE WHEN l0 IS NULL AND l1 IS NOT NULL AND r1 <> l1 THEN 'taken' WHEN l0 IS NOT NULL AND l1 IS NULL AND r1 IS NOT NULL AND r0 IS DISTINCT FROM r1 THEN 'changed-remotely' WHEN l0 <> l1 AND r1 IS NULL THEN 'missing-remotely' WHEN l0 <> l1 AND r0 IS DISTINCT FROM r1 AND r1 <> l1 THEN 'changed-remotely' END AS blocker FROM f), {_UNCLEAR}, p AS (SELECT * FROM plan WHERE (op IS NOT NULL OR blocker IS NOT NULL) AND doc_id NOT IN (SELECT doc_id FROM unclear) UNION ALL SELECT doc_id, NULL, NULL, blocker FROM unclear)"""
 
 
 def _four(spark, sf):
@@ -49,11 +47,6 @@ def _sections(spark, sf):
     return base.select("doc_id", "locator", "section").union(local.select("doc_id", "locator", "section")).distinct()
 
 
-@query(f"{_PLAN}, {_SECTIONS} SELECT doc_id, section FROM p JOIN s USING (doc_id, locator) GROUP BY doc_id, section HAVING bool_or(op = 'create') AND bool_or(op = 'delete') AND count(blocker) = 0")
-def section_reconcile(spark, sf):
-    return P.section_reconcile(P.text_plan(*_four(spark, sf)), _sections(spark, sf))
-
-
 @query(f"{_PLAN}, {_SECTIONS} SELECT doc_id, coalesce(section, '') AS section, count(*) FILTER (WHERE op = 'create') AS create, count(*) FILTER (WHERE op = 'update') AS update, count(*) FILTER (WHERE op = 'delete') AS delete, string_agg(locator, ',' ORDER BY locator) AS locators FROM p LEFT JOIN s USING (doc_id, locator) WHERE op IS NOT NULL GROUP BY 1, 2")
 def change_summary(spark, sf):
     return P.change_summary(P.text_plan(*_four(spark, sf)), _sections(spark, sf))
@@ -190,14 +183,6 @@ def render_blocks(spark, sf):
     return P.render_blocks(D.nodes(spark, sf)[1])
 
 
-@query(f"""{_CODE}, o AS (SELECT *, CASE WHEN l0 IS NOT DISTINCT FROM l1 THEN coalesce(r1, l1) WHEN l1 IS NOT NULL THEN l1 ELSE r1 END AS content, CASE WHEN l0 IS NOT NULL AND l1 IS NULL AND r1 IS NULL THEN NULL WHEN l0 IS NOT NULL AND l1 IS NULL THEN CASE WHEN r0 <> r1 THEN 'conflict' ELSE 'delete' END
-    WHEN l0 IS NOT NULL AND r1 IS NULL THEN CASE WHEN l0 <> l1 THEN 'conflict' ELSE 'gone' END WHEN r1 IS NULL THEN 'create' WHEN l1 IS NULL THEN 'keep' WHEN l0 IS DISTINCT FROM l1 AND r0 IS DISTINCT FROM r1 AND l1 <> r1 THEN 'conflict' WHEN l0 IS DISTINCT FROM l1 AND l1 <> r1 THEN 'update' ELSE 'keep' END AS op FROM f)
-    SELECT doc_id, locator, op, CASE op WHEN 'delete' THEN '' ELSE content END AS content, op = 'conflict' AS conflict FROM o WHERE op IS NOT NULL""")
-def code_plan(spark, sf):
-    base, local, remote = (df.filter("kind = 'code'") for df in D.nodes(spark, sf))
-    return P.code_plan(base, local, base, remote)
-
-
 _C = f"""{_N}, s0 AS (SELECT *, kind AS ctype, section AS title, 'callout' AS k2 FROM n0), s1 AS (SELECT *, CASE WHEN pos % 70 = 10 THEN 'other' ELSE kind END AS ctype, CASE WHEN pos % 40 = 20 THEN 'renamed' ELSE section END AS title FROM n_l1), s2 AS (SELECT *, kind AS ctype, section AS title FROM n_r1),
     e0 AS (SELECT * EXCLUDE (k2) REPLACE ('callout' AS kind, title AS section) FROM s0), e1 AS (SELECT * REPLACE ('callout' AS kind, title AS section) FROM s1), e2 AS (SELECT * REPLACE ('callout' AS kind, title AS section) FROM s2), {D.identified_cte('e1', 'e0')}, {D.identified_cte('e2', 'e0')},
     c0 AS (SELECT doc_id, locator, ctype, title, value FROM e0), c1 AS (SELECT doc_id, locator, ctype, title, value FROM i_e1), cr AS (SELECT doc_id, locator, ctype, title, value FROM i_e2),

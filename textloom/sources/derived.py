@@ -140,7 +140,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NODES = (
     "SELECT conv_id AS doc_id, turn * 10 AS pos, role AS section, CASE WHEN turn % 3 = 0 THEN 'code' ELSE 'text' END AS kind, conv_id * 7 + turn AS k, "
-    "role || ':' || CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS VARCHAR(9)) AS locator, coalesce(text, '') AS value FROM conversations"
+    "role || ':' || CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS VARCHAR(9)) AS locator, CASE WHEN conv_id % 8 = 2 AND turn IN (1, 4, 5) THEN 'Said again.' ELSE coalesce(text, '') END AS value FROM conversations"
 )
 #: A side edits, drops, adds and moves nodes; its locators are counted anew, so that they shift.
 _SIDE = (

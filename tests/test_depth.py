@@ -1,6 +1,9 @@
 """Nesting beyond any fixed depth."""
 
-from textloom.operators import extract, transform, trees
+import time
+
+from pyspark.sql import functions as F
+from textloom.operators import extract, lines, transform, trees
 from textloom.plans import nodes
 
 
@@ -31,3 +34,20 @@ def test_lists_of_any_indent(spark):
     indents = [0, 4, 8, 12, 40, 12, 6, 0, 3]
     rows = nodes.list_tree(spark.createDataFrame([(1, i, n) for i, n in enumerate(indents)], "doc_id long, pos long, indent int")).collect()
     assert {r.pos: r.parent for r in rows} == {0: None, 1: 0, 2: 1, 3: 2, 4: 3, 5: 2, 6: 1, 7: None, 8: 7}
+
+
+def test_long_documents_and_lists_take_no_quadratic_time(spark):
+    def line(i):
+        return "```" if i % 10 in (3, 5) else "- item" if i % 10 == 7 else "" if i % 10 == 8 else f"line {i}"
+
+    docs = spark.createDataFrame([(1, "\n".join(map(line, range(200_000)))), (2, "a\n\nb"), (3, ""), (4, "~~~\nx")], "doc_id long, text string")
+    began = time.monotonic()
+    rows = lines.line_offsets(docs).agg(F.count(F.lit(1)), F.max("stop"), F.sum(F.col("stop") - F.col("start") - F.length("line"))).first()
+    assert tuple(rows) == (200_000 + 3 + 2, sum(len(line(i)) + 1 for i in range(200_000)) - 1, 200_000 - 1 + 2 + 1)
+    blocks = lines.extract_blocks(docs)
+    assert {(r.kind, r["count"]) for r in blocks.filter("doc_id = 1").groupBy("kind").count().collect()} == {("code", 20_000), ("paragraph", 40_001), ("bullet", 20_000)}
+    assert [(r.kind, r.text) for r in blocks.filter("doc_id > 1").orderBy("doc_id", "block_no").collect()] == [("paragraph", "a"), ("paragraph", "b"), ("code", "~~~\nx")]
+    assert lines.fence_ranges(docs).filter("closed").count() == 20_000
+    items = spark.range(100_000).select(F.lit(1).alias("doc_id"), F.col("id").alias("pos"), (F.col("id") % 5).alias("indent"))
+    assert nodes.list_tree(items).filter("parent = pos - 1").count() == 80_000
+    assert time.monotonic() - began < 60

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +14,46 @@ def explode_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fold(items: Column, carry: Column, emitted: str, step: Callable[[Column, Column], tuple[Column, Column]], rest: Callable[[Column], Column] | None = None) -> Column:
+    """What ``step`` (state, item) -> (state, array to emit) emits over an array, in order; ``rest`` of the last state follows.
+
+    Lists can't be appended to in place, so a plain fold copies what it has for each item. This one folds stretches of stretches and puts their
+    lists together at their ends: an array of n items costs n to the power 4/3 in copied references.
+    """
+    empty = F.array().cast(f"array<{emitted}>")
+
+    def one(s: Column, item: Column) -> Column:
+        new, out = step(s["carry"], item)
+        return F.struct(new.alias("carry"), F.concat(s["out"], out).alias("out"))
+
+    def stretch(part: Column, state: Column, depth: int) -> Column:
+        if depth == 1:
+            return F.aggregate(part, F.struct(state.alias("carry"), empty.alias("out")), one)
+        size = F.greatest(F.ceil(F.pow(F.size(part).cast("double"), F.lit((depth - 1) / depth))).cast("int"), F.lit(1))
+        parts = bind(size, lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(part) / n).cast("int") - 1, F.lit(0))), lambda k: F.slice(part, k * n + 1, n)))
+        start = F.struct(state.alias("carry"), F.array().cast(f"array<array<{emitted}>>").alias("out"))
+        whole = F.aggregate(parts, start, lambda s, p: bind(stretch(p, s["carry"], depth - 1), lambda r: F.struct(r["carry"].alias("carry"), F.concat(s["out"], F.array(r["out"])).alias("out"))))
+        return bind(whole, lambda r: F.struct(r["carry"].alias("carry"), F.flatten(r["out"]).alias("out")))
+
+    return bind(bind(items, lambda whole: stretch(whole, carry, 3)), lambda r: F.concat(r["out"], rest(r["carry"])) if rest else r["out"])
+
+
 def line_offsets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Lines with ``start`` and ``stop``, half-open offsets in the text, ends counted with their line feed."""
+    """Lines with ``start`` and ``stop``, half-open offsets in the text, ends counted with their line feed.
+
+    The running sum stays inside the document's own array: no window, no shuffle.
+    """
     keep = [c for c in docs.columns if c != text]
-    parts = F.split(F.col(text), "\n")
-    last = F.size(parts) - 1
-    sized = F.transform(parts, lambda x, i: F.struct(x.alias("line"), (F.length(x) + F.when(i < last, 1).otherwise(0)).alias("n")))
-    # a running sum inside the document's own array: no window, no shuffle
-    summed = F.aggregate(
-        sized, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line:string,start:int,stop:int>>").alias("rows")),
-        lambda s, x: F.struct((s["at"] + x["n"]).alias("at"), F.concat(s["rows"], F.array(F.struct(x["line"].alias("line"), s["at"].alias("start"), (s["at"] + x["n"]).alias("stop")))).alias("rows")),
-    )["rows"]
-    return docs.select(*keep, F.posexplode(summed).alias("line_no", "r")).select(*keep, "line_no", "r.line", "r.start", "r.stop").filter("stop > start OR line <> ''")
+    # the last line has no line feed
+    sized = lambda a: F.transform(a, lambda x, i: F.struct(x.alias("line"), (F.length(x) + F.when(i < F.size(a) - 1, 1).otherwise(0)).alias("n")))
+    row = lambda at, x: F.struct(x["line"].alias("line"), at.alias("start"), (at + x["n"]).alias("stop"))
+    found = fold(bind(F.split(F.col(text), "\n"), sized), F.lit(0), "struct<line:string,start:int,stop:int>", lambda at, x: (at + x["n"], F.array(row(at, x))))
+    return docs.select(*keep, F.posexplode(found).alias("line_no", "r")).select(*keep, "line_no", "r.line", "r.start", "r.stop").filter("stop > start OR line <> ''")
 
 
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
@@ -36,23 +66,22 @@ def fence_ranges(docs: DataFrame, strict_close: bool = False, text: str = "text"
     that nothing follows a closer.
     """
     keep = [c for c in docs.columns if c != text]
-    lines = F.split(F.col(text), "\n")
-    marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("no"), F.regexp_extract(x, FENCE, 1).alias("mark"), x.rlike(FENCE + r"[ \t\r]*$").alias("bare"))), lambda m: m["mark"] != "")
-    none = F.struct(F.lit(-1).alias("no"), F.lit("").alias("mark"))
-    ranges = "array<struct<first:int,last:int,closed:boolean>>"
+    kind = "struct<first:int,last:int,closed:boolean>"
+    none = F.array().cast(f"array<{kind}>")
+    row = lambda first, last, closed: F.array(F.struct(first.alias("first"), last.alias("last"), F.lit(closed).alias("closed")))
 
-    def step(s: Column, m: Column) -> Column:
-        is_open = s["open"]["no"] >= 0
-        closes = F.startswith(m["mark"], s["open"]["mark"]) & (m["bare"] | F.lit(not strict_close))
-        done = F.concat(s["done"], F.array(F.struct(s["open"]["no"].alias("first"), m["no"].alias("last"), F.lit(True).alias("closed"))))
-        opened = F.struct(F.struct(m["no"].alias("no"), m["mark"].alias("mark")).alias("open"), s["done"].alias("done"))
-        shut = F.struct(none.alias("open"), done.alias("done"))
-        return F.when(~is_open, opened).when(closes, shut).otherwise(s)
+    def ranges(lines: Column) -> Column:
+        marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("no"), F.regexp_extract(x, FENCE, 1).alias("mark"), x.rlike(FENCE + r"[ \t\r]*$").alias("bare"))), lambda m: m["mark"] != "")
 
-    state = F.aggregate(marked, F.struct(none.alias("open"), F.array().cast(ranges).alias("done")), step)
-    rest = F.when(F.col("s.open.no") >= 0, F.array(F.struct(F.col("s.open.no").alias("first"), (F.col("n") - 1).alias("last"), F.lit(False).alias("closed")))).otherwise(F.array().cast(ranges))
-    folded = docs.select(*keep, F.size(lines).alias("n"), state.alias("s")).select(*keep, F.explode(F.concat("s.done", rest)).alias("r"))
-    return folded.select(*keep, "r.first", "r.last", "r.closed")
+        def step(s: Column, m: Column) -> tuple[Column, Column]:
+            closes = (s["no"] >= 0) & F.startswith(m["mark"], s["mark"]) & (m["bare"] | F.lit(not strict_close))
+            shut, opened = (F.struct(no.alias("no"), mark.alias("mark")) for no, mark in ((F.lit(-1), F.lit("")), (m["no"], m["mark"])))
+            return F.when(s["no"] < 0, opened).when(closes, shut).otherwise(s), F.when(closes, row(s["no"], m["no"], True)).otherwise(none)
+
+        start = F.struct(F.lit(-1).alias("no"), F.lit("").alias("mark"))
+        return fold(marked, start, kind, step, lambda s: F.when(s["no"] >= 0, row(s["no"], F.size(lines) - 1, False)).otherwise(none))
+
+    return docs.select(*keep, F.explode(bind(F.split(F.col(text), "\n"), ranges)).alias("r")).select(*keep, "r.first", "r.last", "r.closed")
 
 
 def with_protected(lines: DataFrame, ranges: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -91,24 +120,49 @@ def block_kind(line: Column) -> Column:
     )
 
 
+def block_ranges(lines: Column) -> Column:
+    """Blocks of a document's lines as (kind, first, last), in order.
+
+    A fence is a block, unclosed up to the end. Paragraph and table lines go on while their kind stays; a paragraph line behind a list item
+    belongs to it. Blank lines end what goes on.
+    """
+    kind = "struct<kind:string,first:int,last:int>"
+    none = F.array().cast(f"array<{kind}>")
+    carry = lambda mark, before, k, first, last: F.struct(mark.alias("mark"), before.alias("before"), k.alias("kind"), first.alias("first"), last.alias("last"))
+    done = lambda s: F.when(s["kind"] != "", F.array(F.struct(s["kind"], s["first"], s["last"]))).otherwise(none)
+    seen = F.transform(lines, lambda x, i: F.struct(i.alias("no"), F.regexp_extract(x, FENCE, 1).alias("mark"), block_kind(x).alias("kind")))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        inside = s["mark"] != ""
+        opens = ~inside & (x["mark"] != "")
+        now = F.when(inside | opens, F.lit("code")).otherwise(x["kind"])
+        mark = F.when(opens, x["mark"]).when(inside & (x["mark"] != "") & F.startswith(x["mark"], s["mark"]), F.lit("")).otherwise(s["mark"])
+        goes_on = inside | now.isin("paragraph", "table") & (now == s["before"]) | (now == "paragraph") & s["before"].isin("bullet", "ordered")
+        new = carry(mark, now, F.when(goes_on, s["kind"]).otherwise(now), F.when(goes_on, s["first"]).otherwise(x["no"]), x["no"])
+        blank = carry(s["mark"], F.lit("blank"), s["kind"], s["first"], s["last"])
+        return F.when(now == "blank", blank).otherwise(new), F.when((now == "blank") | goes_on, none).otherwise(done(s))
+
+    return fold(seen, carry(F.lit(""), F.lit(""), F.lit(""), F.lit(0), F.lit(0)), kind, step, done)
+
+
 def extract_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, block_no, kind, level, first, text: code, headings, list items, tables and joined paragraphs in order."""
-    fenced = fence_ranges(docs)
-    lines = with_protected(explode_lines(docs), fenced)
-    kinds = lines.withColumn("kind", F.when(F.col("protected"), "code").otherwise(block_kind(F.col("line"))))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    before = F.lag("kind").over(w)
-    # a fence's own range numbers its block; joined lines go on while the kind stays paragraph, code or table
-    starts = F.when(F.col("kind").isin("paragraph", "table"), ~before.eqNullSafe(F.col("kind")) & ~((F.col("kind") == "paragraph") & before.isin("bullet", "ordered"))).when(F.col("kind") == "code", F.col("opens")).otherwise(F.col("kind") != "blank")
-    opens = fenced.select("doc_id", F.col("first").alias("line_no"), F.lit(True).alias("opens"))
-    kinds = kinds.join(opens, ["doc_id", "line_no"], "left").withColumn("opens", F.coalesce("opens", F.lit(False)))
-    numbered = kinds.withColumn("block_no", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(w)).filter("kind <> 'blank'")
-    ordered = numbered.groupBy("doc_id", "block_no").agg(F.min_by("kind", "line_no").alias("kind"), F.min("line_no").alias("first"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    texts = F.transform("ls", lambda x: x["line"])
-    joined = F.when(F.col("kind").isin("code", "table"), F.array_join(texts, "\n")).otherwise(F.array_join(F.transform(texts, lambda x: F.trim(x)), " "))
+    """doc_id, block_no, kind, level, first, text: code, headings, list items, tables and joined paragraphs in order.
+
+    Blocks are found and cut out in the document's own row: no join, no shuffle.
+    """
+    def cut(lines: Column) -> Column:
+        def block(b: Column) -> Column:
+            own = F.slice(lines, b["first"] + 1, b["last"] - b["first"] + 1)
+            joined = F.when(b["kind"].isin("code", "table"), F.array_join(own, "\n")).otherwise(F.array_join(F.transform(own, lambda x: F.trim(x)), " "))
+            return F.struct(b["kind"].alias("kind"), b["first"].alias("first"), joined.alias("joined"))
+
+        return F.transform(block_ranges(lines), block)
+
+    found = docs.select("doc_id", F.posexplode(bind(F.split("text", "\n"), cut)).alias("at", "b")).select("doc_id", (F.col("at") + 1).cast("long").alias("block_no"), "b.*")
+    joined = F.col("joined")
     bare = F.when(F.col("kind") == "heading", F.regexp_replace(joined, r"^#{1,6}\s+", "")).when(F.col("kind") == "bullet", F.regexp_replace(joined, r"^[-*]\s+", "")).when(F.col("kind") == "ordered", F.regexp_replace(joined, r"^\d+[.)]\s+", "")).otherwise(joined)
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(joined, r"^#+", 0)))
-    return ordered.select("doc_id", "block_no", "kind", level.alias("level"), "first", bare.alias("text"))
+    return found.select("doc_id", "block_no", "kind", level.alias("level"), "first", bare.alias("text"))
 
 
 def section_path(blocks: DataFrame, order: str = "block_no") -> DataFrame:

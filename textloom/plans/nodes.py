@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.lines import fold
 from textloom.operators.ranges import running
 from textloom.runtime import materialize
 
@@ -298,15 +299,13 @@ def list_tree(items: DataFrame) -> DataFrame:
     rows = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     kind = items.select(row.alias("r")).schema["r"].dataType.simpleString()
     pos = items.schema["pos"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("open"), F.array().cast(f"array<struct<pos:{pos},parent:{pos}>>").alias("out"))
 
-    def step(state: Column, r: Column) -> Column:
-        above = F.filter(state["open"], lambda x: x["indent"] < r["indent"])  # indents on the stack rise
-        parent = F.try_element_at(above, F.lit(-1))["pos"]
-        return F.struct(F.concat(above, F.array(r)).alias("open"), F.concat(state["out"], F.array(F.struct(r["pos"].alias("pos"), parent.alias("parent")))).alias("out"))
+    def step(opened: Column, r: Column) -> tuple[Column, Column]:
+        above = F.filter(opened, lambda x: x["indent"] < r["indent"])  # indents on the stack rise
+        return F.concat(above, F.array(r)), F.array(F.struct(r["pos"].alias("pos"), F.try_element_at(above, F.lit(-1))["pos"].alias("parent")))
 
-    found = rows.select("doc_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select("doc_id", "o.pos", "o.parent")
-    return items.join(found, ["doc_id", "pos"])
+    found = fold(F.col("rows"), F.array().cast(f"array<{kind}>"), f"struct<pos:{pos},parent:{pos}>", step)
+    return items.join(rows.select("doc_id", F.explode(found).alias("o")).select("doc_id", "o.pos", "o.parent"), ["doc_id", "pos"])
 
 
 def render_blocks(nodes: DataFrame) -> DataFrame:

@@ -16,11 +16,13 @@ def test_deep_trees_and_cycles(spark):
 
 
 def test_long_chains_of_fragments(spark):
-    parts = [("f0", "end")] + [(f"f{i}", f"{i} {{{{> f{i - 1}}}}}") for i in range(1, 13)] + [("a", "{{> b}}"), ("b", "{{> a}}"), ("c", "{{> gone}}")]
-    docs = spark.createDataFrame([(1, "{{> f12}}"), (2, "{{> a}} {{> nowhere}} {{> ../up}}"), (3, "{{> c}}")], "doc_id long, text string")
+    parts = [("f0", "end")] + [(f"f{i}", f"{i} {{{{> f{i - 1}}}}}") for i in range(1, 13)] + [("a", "{{> b}}"), ("b", "{{> a}}"), ("c", "{{> gone}}"), ("d", "{{> f0}} {{> c}} {{> a}}")]
+    docs = spark.createDataFrame([(1, "{{> f12}}"), (2, "{{> a}} {{> nowhere}} {{> ../up}}"), (3, "{{> c}}"), (4, "{{> f0}} {{> d}}")], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.unresolved) for r in transform.expand_fragments(docs, spark.createDataFrame(parts, "name string, text string")).collect()}
     assert got[1] == (" ".join(map(str, range(12, 0, -1))) + " end", "")
-    assert got[2] == ("{{> a}} {{> nowhere}} {{> ../up}}", "../up:escaping,a:cycle,nowhere:missing") and got[3][0] == "{{> c}}"
+    assert got[2] == ("{{> a}} {{> nowhere}} {{> ../up}}", "../up:escaping,a:cycle a > b > a,nowhere:missing")
+    assert got[3] == ("{{> c}}", "c:missing c > gone")
+    assert got[4] == ("end {{> d}}", "d:missing d > c > gone")  # its other way is a cycle
 
 
 def test_long_alias_chains(spark):

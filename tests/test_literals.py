@@ -315,3 +315,17 @@ def test_one_fingerprint_over_many_ranges(spark, many_ranges):
     got = {r.id: (r.snapshot_id, r.state) for r in K.index_as_of(requests, snapshots, "30 seconds", F.lit(False)).collect()}
     newest = {i: (i * 10 + 5 - 50) // 100 for i in range(600)}
     assert got == {i: (None, "none") if n < 0 else (str(n), "fresh" if i * 10 + 5 < n * 100 + 80 else "stale") for i, n in newest.items()}
+
+
+def test_baselines_of_some_documents_leave_the_others(spark, tmp_path):
+    path = str(tmp_path / "base")
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    S.write_baseline(docs((1, "a"), (2, "b")), path)
+    S.write_baseline(docs((3, "c")), path)
+    S.write_baseline(docs((2, "B")), path)
+    # a run that stopped before its commit
+    docs((1, "lost")).withColumn("hash", F.sha2("text", 256)).write.parquet(f"{path}/snapshots/00000009-x")
+    texts = {r.doc_id: (r.run, r.text, r.snapshot_hash) for r in S.read_baseline(spark, path, with_text=True).collect()}
+    sha = lambda t: __import__("hashlib").sha256(t.encode()).hexdigest()
+    assert texts == {1: (1, "a", sha("a")), 2: (3, "B", sha("B")), 3: (2, "c", sha("c"))}
+    assert {(r.doc_id, r.snapshot_hash) for r in S.compact_baseline(spark, path, str(tmp_path / "less")).collect()} == {(i, t[2]) for i, t in texts.items()}

@@ -94,3 +94,12 @@ def test_snapshot_faults(spark):
     df = spark.createDataFrame(blocks, "block_id string, parent_id string, pos long")
     assert {(r.block_id, r.fault) for r in trees.validate_snapshot(df, refs).collect()} == want
     assert trees.validate_snapshot(df.limit(0), refs).isEmpty()
+
+
+def test_exactly_one_root_and_one_insert_of_an_id(spark):
+    faults = lambda *rows: {tuple(r) for r in trees.validate_snapshot(spark.createDataFrame(list(rows), "block_id string, parent_id string, pos long")).collect()}
+    assert faults(("a", None, 0), ("b", "a", 0)) == set()
+    assert faults(("a", None, 0), ("b", None, 1)) == {("a", "several-roots"), ("b", "several-roots")}
+    assert faults(("a", "b", 0), ("b", "a", 0)) == {(None, "no-root"), ("a", "unreachable"), ("b", "unreachable")}
+    ops = spark.createDataFrame([("x", 0, "insert", "new", None, "root", "a", None), ("y", 1, "insert", "new", None, "root", "b", None)], OPS)
+    assert {(r.op_id, r.fault) for r in audits.validate_ops(ops, nodes(spark)).collect()} == {("x", "inserted-twice"), ("y", "inserted-twice")}

@@ -26,7 +26,7 @@ def validate_ops(ops: DataFrame, nodes: DataFrame) -> DataFrame:
     Ops may name their place: parent_id, after_id (the parent itself: in front of all) and before_id. Kinds are
     replace, insert, delete and move.
 
-    duplicate-op, missing-target, target-exists (insert), hash-mismatch, root-change, missing-parent, not-a-child;
+    duplicate-op, inserted-twice (one new id by several ops), missing-target, target-exists (insert), hash-mismatch, root-change, missing-parent, not-a-child;
     and of anchors: missing-anchor, anchor-not-child, moving-anchor, not-adjacent (insert between two that aren't
     neighbours), same-place (a move that changes no order).
     """
@@ -35,7 +35,8 @@ def validate_ops(ops: DataFrame, nodes: DataFrame) -> DataFrame:
     parent = nodes.select(F.col("block_id").alias("parent_id"), F.lit(True).alias("p"))
     anchor = near.select(F.col("block_id").alias("after_id"), F.col("parent_id").alias("a_parent"), "following", F.lit(True).alias("a"))
     copies = ops.groupBy("op_id").agg(F.count(F.lit(1)).alias("copies"))
-    j = _full(ops).join(target, "target_id", "left").join(parent, "parent_id", "left").join(anchor, "after_id", "left").join(_first_children(near), "parent_id", "left").join(copies, "op_id")
+    fresh = ops.filter("kind = 'insert'").groupBy("target_id").agg(F.count(F.lit(1)).alias("inserts"))
+    j = _full(ops).join(fresh, "target_id", "left").join(target, "target_id", "left").join(parent, "parent_id", "left").join(anchor, "after_id", "left").join(_first_children(near), "parent_id", "left").join(copies, "op_id")
     kind, has = F.col("kind"), lambda c: F.col(c).isNotNull()
     front = F.col("after_id") == F.col("parent_id")
     placed = kind.isin("insert", "move") & has("after_id")
@@ -44,6 +45,7 @@ def validate_ops(ops: DataFrame, nodes: DataFrame) -> DataFrame:
     following = F.when(front, F.col("first")).when(behind, F.col("following"))
     faults = F.array_compact(F.array(
         F.when(F.col("copies") > 1, "duplicate-op"),
+        F.when((kind == "insert") & (F.col("inserts") > 1), "inserted-twice"),
         F.when((kind != "insert") & ~has("t"), "missing-target"),
         F.when((kind == "insert") & has("t"), "target-exists"),
         F.when((kind != "insert") & has("t") & (F.col("expected_hash") != F.col("hash")), "hash-mismatch"),

@@ -90,9 +90,9 @@ def expand_fragments(docs: DataFrame, fragments: DataFrame) -> DataFrame:
     """``{{> name}}`` references replaced by fragments (name, text), fragments inside fragments too.
 
     Fragments are expanded among themselves first, depth by depth, each pass joining one level of references,
-    until no fragment becomes ready; then documents once. A reference that stays is listed with the reason:
-    ``missing``, ``escaping`` (it leaves the folder of fragments) or ``cycle`` (it comes back to itself, or
-    leads to one that does or that is missing).
+    until no fragment becomes ready; then documents once. A reference that stays is listed with the reason,
+    ``missing``, ``escaping`` (it leaves the folder of fragments) or ``cycle``, and the way there, by each fragment's first reference
+    that stays: ``a:missing a > b > gone``.
     """
     ref = r"\{\{>\s*([\w./-]+)\s*\}\}"
 
@@ -119,9 +119,22 @@ def expand_fragments(docs: DataFrame, fragments: DataFrame) -> DataFrame:
         open_ = materialize(open_.join(closed.select("name"), "name", "left_anti"), "fragments")
     out = once(docs, "doc_id", closed)
     left = out.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ref), F.lit(1)))).alias("name"))
-    exists = fragments.select("name", F.lit(True).alias("exists")).distinct()
-    up = F.col("name").rlike(r"(?:^|/)\.\.(?:/|$)|^/")
-    named = left.join(exists, "name", "left").select("doc_id", F.concat("name", F.when(up, ":escaping").when(F.col("exists"), ":cycle").otherwise(":missing")).alias("issue"))
+    # of a fragment that stays, the first reference that isn't closed tells what is wrong; such pointers end at a missing one or come back
+    stuck = materialize(open_.select("name", F.posexplode(F.regexp_extract_all("text", F.lit(ref), F.lit(1))).alias("at", "ref")).join(closed.select(F.col("name").alias("ref")), "ref", "left_anti").groupBy("name").agg(F.min_by("ref", "at").alias("next")), "fragments")
+    way = materialize(left.select("name").distinct().select("name", F.array("name").alias("way"), F.col("name").alias("next_name")), "fragments")
+    ends = []
+    while not way.isEmpty():
+        step = way.join(stuck.select(F.col("name").alias("next_name"), "next"), "next_name", "left")
+        stays = F.col("next").isNull()
+        back = F.array_contains("way", F.col("next"))
+        last = F.col("next_name")
+        reason = F.when(back, "cycle").when(last.rlike(r"(?:^|/)\.\.(?:/|$)|^/"), "escaping").otherwise("missing")
+        step = materialize(step.select("name", F.when(stays, F.col("way")).otherwise(F.concat("way", F.array("next"))).alias("way"), F.when(stays | back, reason).alias("reason"), F.coalesce("next", last).alias("next_name")), "fragments")
+        ends.append(step.filter("reason IS NOT NULL").select("name", "reason", "way"))
+        way = step.filter("reason IS NULL").drop("reason")
+    reasons = reduce(DataFrame.unionByName, ends) if ends else left.select("name", F.lit("").alias("reason"), F.array("name").alias("way"))
+    chain = F.when(F.size("way") > 1, F.concat(F.lit(" "), F.array_join("way", " > "))).otherwise("")
+    named = left.join(reasons, "name").select("doc_id", F.concat("name", F.lit(":"), "reason", chain).alias("issue"))
     issues = named.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("issue")), ",").alias("unresolved"))
     return out.join(issues, "doc_id", "left").select("doc_id", "text", F.coalesce("unresolved", F.lit("")).alias("unresolved"))
 

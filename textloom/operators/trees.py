@@ -74,7 +74,8 @@ def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None) -> DataF
 
     duplicate-id; missing-parent (declared, not there); missing-child, duplicate-child (of the block that lists it);
     conflicting-parents (listed by several blocks); root-referenced; unreferenced (no root, in no list);
-    parent-disagrees (declared and listing block differ); unreachable (orphans below those, or cycles).
+    parent-disagrees (declared and listing block differ); unreachable (orphans below those, or cycles);
+    several-roots (each of them), no-root (a row without a block): a snapshot has exactly one.
     """
     fault = lambda df, name: df.select("block_id", F.lit(name).alias("fault")).distinct()
     if refs is None:
@@ -86,6 +87,7 @@ def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None) -> DataF
     there = listed.join(known("child_id"), "child_id", "left_semi").select("parent_id", F.col("child_id").alias("block_id"))
     by = there.groupBy("block_id").agg(F.count(F.lit(1)).alias("parents"), F.min("parent_id").alias("lister"))
     roots = blocks.filter("parent_id IS NULL").select("block_id").distinct()
+    n_roots = roots.limit(2).count()
     declared = blocks.filter("parent_id IS NOT NULL").select("block_id", "parent_id").distinct().join(by, "block_id", "left")
     below = there.join(roots, "block_id", "left_anti").unionByName(roots.withColumn("parent_id", F.lit(None).cast("string")))
     reached = descendants(below, roots).select("block_id").distinct()
@@ -99,6 +101,8 @@ def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None) -> DataF
         fault(declared.filter("parents IS NULL"), "unreferenced"),
         fault(declared.filter("parents = 1 AND lister <> parent_id"), "parent-disagrees"),
         fault(ids.join(reached, "block_id", "left_anti"), "unreachable"),
+        *([fault(roots, "several-roots")] if n_roots > 1 else []),
+        *([fault(blocks.sparkSession.range(1).select(F.lit(None).cast(blocks.schema["block_id"].dataType).alias("block_id")), "no-root")] if n_roots == 0 else []),
     ])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from textloom.operators import tables as B
@@ -33,6 +35,10 @@ _MATCH = f"""{_TBL}, a AS (SELECT *, row_number() OVER w - 1 AS at, count(*) OVE
     matched AS (SELECT table_key, row_key AS base_row, row_key AS current_row, 'key' AS how FROM e UNION ALL SELECT la.table_key, la.row_key, lb.row_key, 'rename' FROM la JOIN lb ON la.table_key = lb.table_key WHERE la.m = 1 AND lb.m = 1 AND la.n = lb.n AND la.at = lb.at AND (la.c1 = lb.c1 OR la.c2 = lb.c2 OR la.c3 = lb.c3))"""
 
 
+#: Every input once: the windows and anti joins read the changed copies several times.
+_MATCH = re.sub(r"\b(\w+) AS \((?=SELECT)", r"\1 AS MATERIALIZED (", _MATCH)
+
+
 @query(f"{_MATCH} SELECT * FROM matched")
 def match_rows(spark, sf):
     base, cur, _ = D.tables(spark, sf)

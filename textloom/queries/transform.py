@@ -52,10 +52,10 @@ def canonical_callouts(spark, sf):
     return X.canonical_callouts(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), ["note"])
 
 
-@query("""SELECT c_custkey AS doc_id, 'Hi ' || CASE c_custkey % 6 WHEN 0 THEN 'zero' WHEN 1 THEN 'one zero' WHEN 2 THEN 'two one zero' WHEN 3 THEN '{{> f3}}' WHEN 4 THEN '{{> f4}}' ELSE '{{> f5}}' END || '!' AS text, CASE c_custkey % 6 WHEN 3 THEN 'f3:cycle' WHEN 4 THEN 'f4:cycle' WHEN 5 THEN 'f5:missing' ELSE '' END AS unresolved FROM customer""")
+@query("""SELECT c_custkey AS doc_id, 'Hi ' || CASE c_custkey % 6 WHEN 0 THEN 'zero' WHEN 1 THEN 'one zero' WHEN 2 THEN 'two one zero' WHEN 3 THEN '{{> f3}}' WHEN 4 THEN '{{> f4}}' ELSE '{{> f5}}' END || '!' AS text, CASE c_custkey % 6 WHEN 3 THEN 'f3:cycle f3 > f4 > f3' WHEN 4 THEN 'f4:cycle f4 > f3 > f4' WHEN 5 THEN 'f5:missing f5 > f6 > gone' ELSE '' END AS unresolved FROM customer""")
 def expand_fragments(spark, sf):
     docs = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("Hi {{> f"), (F.col("c_custkey") % 6).cast("string"), F.lit("}}!")).alias("text"))
-    parts = [("f0", "zero"), ("f1", "one {{> f0}}"), ("f2", "two {{>f1}}"), ("f3", "{{> f4}}"), ("f4", "{{> f3}}")]
+    parts = [("f0", "zero"), ("f1", "one {{> f0}}"), ("f2", "two {{>f1}}"), ("f3", "{{> f4}}"), ("f4", "{{> f3}}"), ("f5", "{{> f0}} {{> f6}} {{> f3}}"), ("f6", "{{> gone}}")]
     return X.expand_fragments(docs, spark.createDataFrame(parts, "name string, text string"))
 
 

@@ -55,16 +55,17 @@ def flatten_snapshot(spark, sf):
 
 
 #: Declared parents and lists of children that contradict each other in places.
-_DECLARED = "SELECT block_id, CASE WHEN block_id LIKE 'o%' AND pos % 70 = 9 THEN 'c1' WHEN block_id LIKE 'o%' AND pos % 70 = 10 THEN 'nowhere' ELSE parent_id END AS parent_id, pos FROM tree UNION ALL SELECT block_id, parent_id, pos FROM tree WHERE block_id LIKE 'o%' AND pos % 80 = 11"
+_DECLARED = "SELECT block_id, CASE WHEN block_id LIKE 'o%' AND pos % 70 = 9 THEN 'c1' WHEN block_id LIKE 'o%' AND pos % 70 = 10 THEN 'nowhere' ELSE parent_id END AS parent_id, pos FROM tree UNION ALL SELECT block_id, parent_id, pos FROM tree WHERE block_id LIKE 'o%' AND pos % 80 = 11 UNION ALL SELECT 'root2', CAST(NULL AS VARCHAR(9)), 1 FROM tree WHERE block_id = 'root'"
 _LISTS = """SELECT CASE WHEN block_id = 'c8' THEN 'c9' WHEN block_id = 'c9' THEN 'c8' ELSE parent_id END AS parent_id, CASE WHEN block_id LIKE 'o%' AND pos % 90 = 17 THEN 'gone' || CAST(pos AS VARCHAR(20)) ELSE block_id END AS child_id FROM tree WHERE parent_id IS NOT NULL AND NOT (block_id LIKE 'c%' AND pos % 60 = 7)
     UNION ALL SELECT parent_id, block_id FROM tree WHERE block_id LIKE 'o%' AND pos % 80 = 12 UNION ALL SELECT 'root', block_id FROM tree WHERE block_id LIKE 'o%' AND pos % 90 = 13 UNION ALL SELECT 'n1', 'root'"""
 
 
 @query(f"""{_TREE}, blocks AS ({_DECLARED}), refs AS (SELECT parent_id, child_id, count(*) AS n FROM ({_LISTS}) GROUP BY 1, 2), there AS (SELECT * FROM refs WHERE child_id IN (SELECT block_id FROM blocks)), listers AS (SELECT child_id AS block_id, count(*) AS parents, min(parent_id) AS lister FROM there GROUP BY 1),
-    walk AS (SELECT 'root' AS block_id UNION SELECT child_id FROM there JOIN walk w ON parent_id = w.block_id)
+    walk AS (SELECT block_id FROM blocks WHERE parent_id IS NULL UNION SELECT child_id FROM there JOIN walk w ON parent_id = w.block_id)
     SELECT block_id, 'duplicate-id' AS fault FROM blocks GROUP BY block_id HAVING count(*) > 1 UNION SELECT block_id, 'missing-parent' FROM blocks WHERE parent_id = 'nowhere' UNION SELECT parent_id, 'missing-child' FROM refs WHERE starts_with(child_id, 'gone') UNION SELECT parent_id, 'duplicate-child' FROM refs WHERE n > 1
     UNION SELECT block_id, 'conflicting-parents' FROM listers WHERE parents > 1 UNION SELECT block_id, 'root-referenced' FROM listers WHERE block_id = 'root' UNION SELECT block_id, 'unreferenced' FROM blocks ANTI JOIN listers USING (block_id) WHERE parent_id IS NOT NULL
-    UNION SELECT block_id, 'parent-disagrees' FROM blocks JOIN listers USING (block_id) WHERE parents = 1 AND lister <> parent_id UNION SELECT block_id, 'unreachable' FROM blocks WHERE block_id NOT IN (SELECT block_id FROM walk)""")
+    UNION SELECT block_id, 'parent-disagrees' FROM blocks JOIN listers USING (block_id) WHERE parents = 1 AND lister <> parent_id UNION SELECT block_id, 'unreachable' FROM blocks WHERE block_id NOT IN (SELECT block_id FROM walk)
+    UNION SELECT block_id, 'several-roots' FROM blocks WHERE parent_id IS NULL AND (SELECT count(DISTINCT block_id) FROM blocks WHERE parent_id IS NULL) > 1""")
 def validate_snapshot(spark, sf):
     tree = D.tree(spark, sf)
     return R.validate_snapshot(spark.sql(_DECLARED.replace("FROM tree", "FROM {t}"), t=tree), spark.sql(_LISTS.replace("FROM tree", "FROM {t}"), t=tree))
@@ -98,7 +99,7 @@ _J = f"""{_LOG}, near AS ({_NEAR.format(t="nodes")}), firsts AS ({_FIRST.format(
     FROM ops LEFT JOIN near n ON n.block_id = target_id LEFT JOIN nodes p ON p.block_id = ops.parent_id LEFT JOIN near a ON a.block_id = after_id LEFT JOIN firsts f ON f.parent_id = ops.parent_id)"""
 
 
-@query(f"""{_J}, v AS (SELECT op_id, op_seq, unnest([CASE WHEN copies > 1 THEN 'duplicate-op' END, CASE WHEN kind = 'insert' AND found THEN 'target-exists' WHEN kind <> 'insert' AND NOT found THEN 'missing-target' END, CASE WHEN kind <> 'insert' AND found AND expected_hash <> hash THEN 'hash-mismatch' END, CASE WHEN kind <> 'insert' AND found AND t_parent IS NULL THEN 'root-change' END,
+@query(f"""{_J}, v AS (SELECT op_id, op_seq, unnest([CASE WHEN copies > 1 THEN 'duplicate-op' END, CASE WHEN kind = 'insert' AND count(*) FILTER (WHERE kind = 'insert') OVER (PARTITION BY target_id) > 1 THEN 'inserted-twice' END, CASE WHEN kind = 'insert' AND found THEN 'target-exists' WHEN kind <> 'insert' AND NOT found THEN 'missing-target' END, CASE WHEN kind <> 'insert' AND found AND expected_hash <> hash THEN 'hash-mismatch' END, CASE WHEN kind <> 'insert' AND found AND t_parent IS NULL THEN 'root-change' END,
         CASE WHEN kind <> 'replace' AND NOT p THEN 'missing-parent' END, CASE WHEN kind IN ('delete', 'move') AND found AND p AND t_parent IS DISTINCT FROM parent_id THEN 'not-a-child' END, CASE WHEN after_id <> parent_id AND NOT a THEN 'missing-anchor' END, CASE WHEN after_id <> parent_id AND a AND a_parent IS DISTINCT FROM parent_id THEN 'anchor-not-child' END,
         CASE WHEN kind = 'move' AND after_id = target_id THEN 'moving-anchor' END, CASE WHEN (after_id = parent_id AND before_id IS DISTINCT FROM first OR after_id <> parent_id AND a_parent = parent_id AND before_id IS DISTINCT FROM following) AND before_id IS NOT NULL THEN 'not-adjacent' END,
         CASE WHEN kind = 'move' AND t_parent = parent_id AND coalesce(previous, parent_id) = after_id THEN 'same-place' END]) AS fault FROM j) SELECT * FROM v WHERE fault IS NOT NULL""")

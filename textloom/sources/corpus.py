@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,14 +65,40 @@ def write_snapshot(df: DataFrame, path: str, overwrite: bool = False) -> DataFra
     return want.exceptAll(got)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_baseline(docs: DataFrame, path: str) -> DataFrame:
-    """Snapshots first; then receipts, only of documents whose snapshot reads back with its hash."""
+    """The documents' snapshots, then their receipts, then a commit; returns all receipts of ``read_baseline``.
+
+    Each call writes a run of its own under ``path`` and changes nothing of earlier ones, so a baseline of some documents leaves the others'
+    alone, and a run that ends before its commit counts for nothing. A receipt is only written for a document whose snapshot reads back with its
+    hash. Two calls at once can't both commit one run: the later fails and may be tried again.
+    """
     spark = docs.sparkSession
-    docs.select("doc_id", "text", F.sha2("text", 256).alias("hash")).write.mode("overwrite").parquet(f"{path}/snapshots")
-    kept = spark.read.parquet(f"{path}/snapshots")
+    run = 1 + (spark.read.parquet(f"{path}/commits").agg(F.max("run")).first()[0] or 0) if _exists(spark, f"{path}/commits") else 1
+    own = f"{run:08d}-{uuid.uuid4().hex}"
+    docs.select("doc_id", "text", F.sha2("text", 256).alias("hash")).write.parquet(f"{path}/snapshots/{own}")
+    kept = spark.read.parquet(f"{path}/snapshots/{own}")
     good = kept.filter(F.sha2("text", 256) == F.col("hash")).select("doc_id", F.lit(5).alias("version"), F.col("hash").alias("snapshot_hash"))
-    good.write.mode("overwrite").parquet(f"{path}/receipts")
-    return spark.read.parquet(f"{path}/receipts")
+    good.write.parquet(f"{path}/receipts/{own}")
+    spark.range(1).select(F.lit(own).alias("folder")).write.parquet(f"{path}/commits/run={run}")
+    return read_baseline(spark, path).drop("run")
+
+
+def read_baseline(spark: SparkSession, path: str, with_text: bool = False) -> DataFrame:
+    """doc_id, version, snapshot_hash, run (and text) of each document's last committed baseline."""
+    commits = [(r.run, r.folder) for r in spark.read.parquet(f"{path}/commits").collect()]  # one row for each call of write_baseline since the last compaction
+    load = lambda kind: reduce(DataFrame.unionByName, (spark.read.parquet(f"{path}/{kind}/{folder}").withColumn("run", F.lit(run)) for run, folder in commits))
+    latest = load("receipts").groupBy("doc_id").agg(F.max_by(F.struct("version", "snapshot_hash"), "run").alias("r"), F.max("run").alias("run")).select("doc_id", "r.*", "run")
+    return latest.join(load("snapshots").select("doc_id", "run", "text"), ["doc_id", "run"]) if with_text else latest
+
+
+def compact_baseline(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """A baseline under ``to`` with one run that has each document's last text."""
+    return write_baseline(read_baseline(spark, path, with_text=True).select("doc_id", "text"), to)
 
 
 def strip_execution_ids(nodes: DataFrame, ids: tuple[str, ...] = ("remote_block_id", "remote_token")) -> DataFrame:

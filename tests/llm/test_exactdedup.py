@@ -43,11 +43,31 @@ def test_empty(no_docs):
     assert exactdedup.drop_exact_duplicates(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("rows", [3_000, 200_000])
-@pytest.mark.parametrize("bits", [exactdedup.MAX_BROADCAST_BITS, 1])
+@pytest.mark.parametrize("rows,bits", [(3_000, exactdedup.MAX_BROADCAST_BITS), (3_000, 1), (200_000, exactdedup.MAX_BROADCAST_BITS), (200_000, 1 << 20)])
 def test_few_unrepeated_rows_are_suspects(spark, rows, bits):
-    digests = spark.range(rows).select(F.xxhash64("id").alias("h"))
-    assert exactdedup.with_suspects(digests, bits).filter("suspect").count() <= 0.05 * rows
+    digests = exactdedup.written(spark.range(rows).select(F.xxhash64("id").alias("h")), rows, bits)
+    tested = exactdedup.with_suspects(digests, rows, bits)
+    assert tested.count() == rows and tested.filter("suspect").count() <= 0.05 * rows
+
+
+def test_a_filter_beyond_the_broadcast_is_tested_in_slices_without_a_shuffle(spark):
+    rows, bits, seen = 200_000, 1 << 20, []
+    digests = exactdedup.written(spark.range(rows).select(F.col("id").alias("doc_id"), F.xxhash64(F.col("id") % 150_000).alias("h")), rows, bits)
+    assert exactdedup.slices_for(rows, bits) == 4 and digests.select("slice").distinct().count() == 4
+    write = exactdedup.materialize
+
+    def watched(df, label, **more):
+        if label == "tested":
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label, **more)
+
+    try:
+        exactdedup.materialize = watched
+        tested = exactdedup.with_suspects(digests, rows, bits)
+    finally:
+        exactdedup.materialize = write
+    assert len(seen) == 4 and all("BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan for plan in seen)
+    assert tested.count() == rows and tested.filter("doc_id >= 150000 AND NOT suspect").isEmpty()
 
 
 def test_texts_never_shuffle(spark):

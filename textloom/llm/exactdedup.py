@@ -6,8 +6,10 @@ marked twice may be repeated, any other row is alone and passes straight through
 repeated shuffle, by their SHA-256, which decides; the Bloom filter can cost time, never change a result.
 
 The filter has ``bits.BITS_PER_ROW`` bits a row whatever the number of rows, so the part of unrepeated rows that
-it lets through stays the same (under 2 %). It is broadcast while it has at most ``max_broadcast_bits`` bits
-(an eighth of that in bytes); a larger one stays a table of blocks, and the rows' hashes are dealt to it.
+it lets through stays the same (under 2 %). It is broadcast in slices of at most ``max_broadcast_bits`` bits (an eighth
+of that in bytes), one after the other: the rows' hashes are written sorted by slice, so each row is tested in exactly one
+pass, where it lies. Rows that aren't suspects never shuffle, however many there are; the filter itself is made of marks, of which each
+row gives two.
 Texts never shuffle for the decision: ``drop_exact_duplicates`` finds the keys of the rows that go, which are
 sent to the rows while they are at most ``max_broadcast_keys``, else joined by shuffle.
 
@@ -19,6 +21,8 @@ that id, one stays. An empty table gives no rows. Other columns, whatever their
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +48,33 @@ def twice_marked(digests: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
     return twice.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")), blocks
 
 
-def with_suspects(digests: DataFrame, max_broadcast_bits: int = MAX_BROADCAST_BITS) -> DataFrame:
-    """``digests`` (with a hash ``h``) plus ``suspect``: whether the text may occur more than once."""
-    bitmaps, blocks = twice_marked(digests, digests.count())
+def slices_for(n_rows: int, max_broadcast_bits: int) -> int:
+    """In how many slices a filter for so many rows is broadcast."""
+    blocks = blocks_for(n_rows)
+    return min(blocks, -(-blocks * BLOCK_BITS // max(1, max_broadcast_bits)))
+
+
+def written(digests: DataFrame, n_rows: int, max_broadcast_bits: int) -> DataFrame:
+    """``digests`` (with a hash ``h``) as a table, each file sorted by ``slice`` of the filter, so that a pass reads its own pages only."""
+    block, _, _ = block_bits(F.col("h"), blocks_for(n_rows))
+    slices = slices_for(n_rows, max_broadcast_bits)
+    sliced = digests.withColumn("slice", block % slices)
+    return materialize(sliced.sortWithinPartitions("slice") if slices > 1 else sliced, "digests")
+
+
+def with_suspects(digests: DataFrame, n_rows: int, max_broadcast_bits: int = MAX_BROADCAST_BITS) -> DataFrame:
+    """``written`` digests plus ``suspect``: whether the text may occur more than once."""
+    bitmaps, blocks = twice_marked(digests, n_rows)
+    slices = slices_for(n_rows, max_broadcast_bits)
     block, one, two = block_bits(F.col("h"), blocks)
-    small = blocks * BLOCK_BITS <= max_broadcast_bits
-    tested = digests.withColumn("block", block).join(F.broadcast(bitmaps) if small else materialize(bitmaps, "bitmaps"), "block", "left")
     hit = F.coalesce(bit_set(F.col("bitmap"), one) & bit_set(F.col("bitmap"), two), F.lit(False))
-    return tested.withColumn("suspect", hit).drop("block", "bitmap")
+    test = lambda rows, maps: rows.withColumn("block", block).join(F.broadcast(maps), "block", "left").withColumn("suspect", hit).drop("block", "bitmap", "slice")
+    if slices == 1:
+        return test(digests, bitmaps)
+    bitmaps = materialize(bitmaps.withColumn("slice", F.col("block") % slices).sortWithinPartitions("slice"), "bitmaps")
+    # one pass after the other, so that the driver holds one slice at a time
+    passes = [materialize(test(digests.filter(F.col("slice") == k), bitmaps.filter(F.col("slice") == k).drop("slice")), "tested") for k in range(slices)]
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _groups(suspects: DataFrame, tie: str) -> DataFrame:
@@ -67,7 +90,8 @@ def exact_duplicates(docs: DataFrame, max_broadcast_bits: int = MAX_BROADCAST_BI
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     text = normalized(F.col("text"))
     digests = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select("doc_id", F.monotonically_increasing_id().alias("uid"), F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("h"))
-    digests = with_suspects(materialize(digests, "digests"), max_broadcast_bits)
+    n_rows = docs.count()
+    digests = with_suspects(written(digests, n_rows, max_broadcast_bits), n_rows, max_broadcast_bits)
     alone = digests.filter(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     suspects = digests.filter("suspect").select("doc_id", "uid", "text_sha256")
     decided = suspects.join(_groups(suspects, "uid"), "text_sha256").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256")
@@ -84,8 +108,9 @@ def drop_exact_duplicates(docs: DataFrame, max_broadcast_bits: int = MAX_BROADCA
     """The rows of ``docs`` that stay, with all their columns."""
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _row_key(docs).alias("rk"))
     narrow = held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "rk", normalized(F.col("row.text")).alias("t"))
-    digests = materialize(narrow.select("doc_id", "rk", F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("h")), "digests")
-    suspects = with_suspects(digests, max_broadcast_bits).filter("suspect").select("doc_id", "rk", "text_sha256")
+    n_rows = docs.count()
+    digests = written(narrow.select("doc_id", "rk", F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("h")), n_rows, max_broadcast_bits)
+    suspects = with_suspects(digests, n_rows, max_broadcast_bits).filter("suspect").select("doc_id", "rk", "text_sha256")
     groups = _groups(suspects, "rk").filter("group_size > 1").drop("group_size")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("rk") == F.col("first.rk"))
     copies = suspects.join(groups, "text_sha256").groupBy("rk").agg(F.bool_or(kept).alias("kept"), F.count(F.lit(1)).alias("n"))

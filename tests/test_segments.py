@@ -31,3 +31,21 @@ def test_empty_and_long(spark):
     long = "".join(f"line {i}\n```\ncode {i}\n```\n<table><tr><td>{i}</td></tr></table>\n" for i in range(20_000))
     kinds = {r.kind: r["count"] for r in G.segments(spark.createDataFrame([(1, long)], "doc_id long, text string")).groupBy("kind").count().collect()}
     assert kinds == {"markdown": 40_000 // 2 + 1, "code": 20_000, "table": 20_000}
+
+
+def test_links_are_rewritten_in_place_and_never_in_code(spark):
+    from textloom.operators import linkrewrite as W
+
+    text = "a [x](./one.md) `[c](./one.md)` ![i](./one.md)\n```\n[f](./one.md)\n```\n[two]( ./no) [y](two.md#s)[z](#here) [gone](../gone.md?q#t) [w](https://e.com/one.md)\n[many](many.md) \U0001f600 [x](./one.md)"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "[r](index.md)")], "doc_id long, text string")
+    index = spark.createDataFrame([("one", "https://i/1"), ("many", "https://i/a"), ("many", "https://i/b"), ("deux", "https://i/2")], "slug string, url string")
+    aliases = spark.createDataFrame([("two", "deux")], "alias string, target string")
+    for r in W.document_links(docs).collect():
+        assert (text if r.doc_id == 1 else "[r](index.md)")[r.start : r.stop] == r.url
+    got = {r.doc_id: r for r in W.rewrite_links(docs, index, aliases, "https://site/").collect()}
+    want = text.replace("a [x](./one.md)", "a [x](https://i/1)").replace("\U0001f600 [x](./one.md)", "\U0001f600 [x](https://i/1)").replace("two.md#s", "https://i/2").replace("../gone.md?q#t", "https://site/gone#t")
+    assert got[1].text == want
+    assert got[1].blockers == ["ambiguous-link many.md 6:1"] and got[1].warnings == ["public-fallback ../gone.md?q#t 5:38"]
+    assert (got[2].text, got[2].blockers) == ("", []) and got[3].blockers == ["unresolved-link index.md 1:1"]
+    drafts = {r.doc_id: r.draft for r in W.link_drafts(docs, "p", ["p"], index, aliases).collect()}
+    assert drafts == {1: None, 2: "", 3: None}

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from textloom.queries import ORACLES, QUERIES
 
-FAMILIES = ("text", "lines", "extract", "compare", "tables", "status", "links", "trees", "jobs", "plans", "patches", "markup", "folds", "structures", "transform")
+FAMILIES = ("text", "lines", "extract", "compare", "tables", "status", "links", "trees", "jobs", "plans", "patches", "markup", "folds", "structures", "rewriting", "transform")
 FLAGSHIP = "drift_status"
 
 for _family in FAMILIES:

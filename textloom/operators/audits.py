@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.trees import descendants, siblings
+from textloom.operators.fold import STRETCH, hash_list
+from textloom.operators.ranges import numbered
+from textloom.operators.trees import reached, siblings
 
 
 PLACES = ("parent_id", "after_id", "before_id")
@@ -96,10 +98,15 @@ def check_preconditions(conditions: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def op_tokens(ops: DataFrame, by: str) -> DataFrame:
-    """Per batch a fingerprint of its ops' tokens in order; a token is the hash of what the op says."""
+    """Per batch a fingerprint of its ops' tokens in order; a token is the hash of what the op says.
+
+    Tokens are hashed in stretches, and the stretches' hashes once more, so that a long batch is no list of all its tokens.
+    """
     token = F.sha2(F.concat_ws("|", F.col("op_seq").cast("string"), "kind", "target_id", F.coalesce("expected_hash", F.lit(""))), 256)
-    tokens = F.transform(F.array_sort(F.collect_list(F.struct("op_seq", "op_id", token.alias("t")))), lambda x: x["t"])
-    return ops.groupBy(by).agg(F.sha2(F.array_join(tokens, ","), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_ops"))
+    rows = numbered(ops.select(by, "op_seq", "op_id", token.alias("t")), [by], ["op_seq", "op_id"], "at").withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    in_order = lambda at: hash_list(F.transform(F.array_sort(F.collect_list(F.struct(at, "t"))), lambda x: x["t"]))
+    parts = rows.groupBy(by, "stretch").agg(in_order("at").alias("t"), F.count(F.lit(1)).alias("n"))
+    return parts.groupBy(by).agg(in_order("stretch").alias("fingerprint"), F.sum("n").alias("n_ops"))
 
 
 def unplanned_changes(before: DataFrame, after: DataFrame, ops: DataFrame) -> DataFrame:
@@ -108,7 +115,7 @@ def unplanned_changes(before: DataFrame, after: DataFrame, ops: DataFrame) -> Da
     change = F.when(F.col("in_was").isNull(), "added").when(F.col("in_now").isNull(), "removed").when(F.col("was") != F.col("now"), "updated")
     changed = a.join(b, "block_id", "full_outer").select("block_id", change.alias("change")).filter("change IS NOT NULL")
     tops = ops.select(F.col("target_id").alias("block_id")).distinct()
-    allowed = descendants(before.unionByName(after).select("block_id", "parent_id").distinct(), tops).select("block_id").distinct()
+    allowed = reached(before.unionByName(after).select("block_id", "parent_id").distinct(), tops)
     return changed.join(allowed, "block_id", "left_anti")
 
 
@@ -149,7 +156,7 @@ def phase_order(ops: DataFrame, phases: dict[str, list[int]]) -> DataFrame:
     for kind, numbers in phases.items():
         listed = F.when(F.col("kind") == kind, F.array(*(F.lit(n) for n in numbers))).otherwise(listed)
     rows = ops.select("batch", "op_id", "op_seq", F.explode(listed).alias("phase"))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("batch").orderBy("phase", "op_seq", "op_id")) - 1).drop("op_seq")
+    return numbered(rows, ["batch"], ["phase", "op_seq", "op_id"], "position").drop("op_seq")
 
 
 def first_blocker(diagnostics: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -165,8 +172,7 @@ def plan_flags(ops: DataFrame, key: str) -> DataFrame:
 def surplus_copies(remote: DataFrame, desired: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Remote rows beyond the number of desired copies of their fingerprint, latest first to go."""
     n = desired.groupBy(*keys).agg(F.count(F.lit(1)).alias("wanted"))
-    w = Window.partitionBy(*keys).orderBy(order)
-    return remote.withColumn("copy", F.row_number().over(w)).join(n, keys, "left").filter(F.col("copy") > F.coalesce("wanted", F.lit(0))).drop("copy", "wanted")
+    return numbered(remote, keys, [order], "copy").join(n, keys, "left").filter(F.col("copy") >= F.coalesce("wanted", F.lit(0))).select(*remote.columns)
 
 
 def missing_tracked(receipts: DataFrame, local: DataFrame, keys: list[str]) -> DataFrame:

@@ -149,15 +149,16 @@ def table_identity(rows: DataFrame, parts: list[str]) -> DataFrame:
 
 
 def match_tables(source: DataFrame, remote: DataFrame, identity: str) -> DataFrame:
-    """Source tables with the number of remote tables of the same identity that share a row key: 0 missing, 1 matched, more ambiguous.
+    """Source tables with the number of remote tables of the same identity that share a row key, up to two: 0 missing, 1 matched, 2 ambiguous.
 
+    Of the remote tables that have an identity and key only the first and the last are kept, so tables with a common key make no pairs.
     A table without rows is one row with a null key; two such correspond.
     """
-    a = source.select(F.col("table_key").alias("s"), F.col(identity).alias("i"), F.col("row_key").alias("k"))
-    b = remote.select(F.col("table_key").alias("r"), F.col(identity).alias("i"), F.col("row_key").alias("k"))
-    found = a.join(b, (a.i == b.i) & a.k.eqNullSafe(b.k)).select("s", "r").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    tables = a.select("s").distinct().join(found, "s", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return tables.select(F.col("s").alias("table_key"), "n", F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("state"))
+    a = source.select(F.col("table_key").alias("s"), F.col(identity).alias("i"), F.col("row_key").alias("k")).distinct()
+    b = remote.groupBy(F.col(identity).alias("j"), F.col("row_key").alias("l")).agg(F.min("table_key").alias("first"), F.max("table_key").alias("last"))
+    found = a.join(b, (a.i == b.j) & a.k.eqNullSafe(b.l), "left").groupBy("s").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    n = F.when(F.col("first").isNull(), 0).when(F.col("first") == F.col("last"), 1).otherwise(2).cast("long")
+    return found.select(F.col("s").alias("table_key"), n.alias("n"), F.when(n == 0, "missing").when(n == 1, "matched").otherwise("ambiguous").alias("state"))
 
 
 def preserve_cells(source: DataFrame, remote: DataFrame, cells: list[str], same) -> DataFrame:

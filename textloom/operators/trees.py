@@ -90,7 +90,7 @@ def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None) -> DataF
     n_roots = roots.limit(2).count()
     declared = blocks.filter("parent_id IS NOT NULL").select("block_id", "parent_id").distinct().join(by, "block_id", "left")
     below = there.join(roots, "block_id", "left_anti").unionByName(roots.withColumn("parent_id", F.lit(None).cast("string")))
-    reached = descendants(below, roots).select("block_id").distinct()
+    found = reached(below, roots)
     return reduce(DataFrame.unionByName, [
         fault(ids.filter("n > 1"), "duplicate-id"),
         fault(declared.join(known("parent_id"), "parent_id", "left_anti"), "missing-parent"),
@@ -100,7 +100,7 @@ def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None) -> DataF
         fault(roots.join(by, "block_id", "left_semi"), "root-referenced"),
         fault(declared.filter("parents IS NULL"), "unreferenced"),
         fault(declared.filter("parents = 1 AND lister <> parent_id"), "parent-disagrees"),
-        fault(ids.join(reached, "block_id", "left_anti"), "unreachable"),
+        fault(ids.join(found, "block_id", "left_anti"), "unreachable"),
         *([fault(roots, "several-roots")] if n_roots > 1 else []),
         *([fault(blocks.sparkSession.range(1).select(F.lit(None).cast(blocks.schema["block_id"].dataType).alias("block_id")), "no-root")] if n_roots == 0 else []),
     ])
@@ -142,6 +142,19 @@ def descendants(blocks: DataFrame, tops: DataFrame) -> DataFrame:
     return done
 
 
+def reached(blocks: DataFrame, tops: DataFrame) -> DataFrame:
+    """(block_id) of everything at or below any of the given blocks, once each, however many of them stand above."""
+    level = materialize(tops.select("block_id").distinct(), "reached")
+    done, rounds = level, 0
+    while not level.isEmpty():
+        below = blocks.select("block_id", "parent_id").join(level.select(F.col("block_id").alias("parent_id")), "parent_id", "left_semi").select("block_id").distinct()
+        level = materialize(below.join(done, "block_id", "left_anti"), "reached")
+        done, rounds = done.unionByName(level), rounds + 1
+        if rounds % 16 == 0:
+            done = materialize(done, "reached")
+    return done
+
+
 def ordered_children(blocks: DataFrame) -> DataFrame:
     """block_id, parent_id and the number among siblings."""
     return siblings(blocks).select("block_id", "parent_id", "ordinal")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.lines import fold
-from textloom.operators.ranges import running
+from textloom.operators.ranges import numbered, running
 from textloom.runtime import materialize
 
 KEY = ["doc_id", "locator"]
@@ -363,8 +363,8 @@ def remote_nodes(blocks: DataFrame, kinds: dict[str, str]) -> DataFrame:
     kind = F.lit("opaque")
     for prefix, name in kinds.items():
         kind = F.when(F.startswith("block_id", F.lit(prefix)), name).otherwise(kind)
-    w = Window.partitionBy("parent_id", "kind").orderBy("pos", "block_id")
-    return blocks.withColumn("kind", kind).select("block_id", "parent_id", "kind", (F.row_number().over(w) - 1).alias("ordinal"), F.sha2(F.concat_ws("|", "kind", "payload"), 256).alias("hash"))
+    rows = blocks.select("block_id", "parent_id", "pos", kind.alias("kind"), "payload").withColumn("hash", F.sha2(F.concat_ws("|", "kind", "payload"), 256)).drop("payload")
+    return numbered(rows, ["parent_id", "kind"], ["pos", "block_id"]).select("block_id", "parent_id", "kind", "ordinal", "hash")
 
 
 def code_plan_untracked(local: DataFrame, remote: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:

@@ -84,16 +84,14 @@ def component_inventory(spark, sf):
     return E.component_inventory(D.rich(spark, sf), ["Steps", ":::note"])
 
 
-@query(_KINDS + """, v AS (SELECT DISTINCT regexp_extract(line, '\\{\\{var\\.([\\w-]+)\\}\\}', 1) AS n FROM lines WHERE contains(line, '{{var.')), k AS (SELECT 'var.' || n AS name, upper(n) AS value FROM v WHERE length(n) % 2 = 0),
-    refs AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\{\\{\\s*([\\w.-]+)\\s*\\}\\}', 1)) AS name FROM rich),
-    s AS (SELECT doc_id, coalesce(string_agg(refs.name, ',' ORDER BY refs.name) FILTER (WHERE value IS NULL), '') AS missing, count(*) FILTER (WHERE value IS NOT NULL) AS filled FROM refs LEFT JOIN k USING (name) GROUP BY doc_id)
-    SELECT doc_id, coalesce(missing, '') AS missing, len(regexp_extract_all(text, '\\{\\{')) - coalesce((SELECT count(*) FROM (SELECT unnest(regexp_extract_all(r.text, '\\{\\{\\s*([\\w.-]+)\\s*\\}\\}', 1)) AS name) x JOIN k USING (name)), 0) AS braces FROM rich r LEFT JOIN s USING (doc_id)""")
+@query(f"""{D.with_ctes('lines')}, v AS (SELECT doc_id, line_no, line, regexp_extract(line, '\\{{\\{{var\\.([\\w-]+)\\}}\\}}', 1) AS n FROM lines)
+    SELECT doc_id, coalesce(string_agg(DISTINCT 'var.' || n, ',' ORDER BY 'var.' || n) FILTER (WHERE length(n) % 2 = 1), '') AS missing, sha256(string_agg(CASE WHEN n <> '' AND length(n) % 2 = 0 THEN replace(line, '{{{{var.' || n || '}}}}', upper(n)) ELSE line END, chr(10) ORDER BY line_no)) AS text_hash FROM v GROUP BY doc_id""")
 def substitute_variables(spark, sf):
     rich = D.rich(spark, sf)
     names = rich.select(F.explode(F.regexp_extract_all("text", F.lit(r"\{\{var\.([\w-]+)\}\}"), F.lit(1))).alias("n")).distinct()
     known = names.filter("length(n) % 2 = 0").select(F.concat(F.lit("var."), "n").alias("name"), F.upper("n").alias("value"))
     out = E.substitute_variables(rich, known)
-    return out.select("doc_id", "missing", F.size(F.regexp_extract_all("text", F.lit(r"\{\{"), F.lit(0))).cast("long").alias("braces"))
+    return out.select("doc_id", "missing", F.sha2("text", 256).alias("text_hash"))
 
 
 @query(_KINDS + """, f AS (SELECT doc_id, line_no, CASE line_no % 4 WHEN 0 THEN 'py' WHEN 1 THEN 'a1' WHEN 2 THEN 'loop1' ELSE 'python' END AS language FROM lines WHERE line = '```python')

@@ -65,13 +65,13 @@ def sorted_dependencies(spark, sf):
 
 
 @query("""WITH q AS (SELECT event_id, CAST(user_id % 50 AS VARCHAR) AS fingerprint, ts FROM events WHERE event_type = 'click'), s AS (SELECT event_id AS snapshot_id, CAST(user_id % 50 AS VARCHAR) AS fingerprint, ts AS at FROM events WHERE event_type <> 'click'),
-    j AS (SELECT q.event_id, q.fingerprint, q.ts, max(s.at) AS fetched_at FROM q LEFT JOIN s ON s.fingerprint = q.fingerprint AND s.at <= q.ts GROUP BY ALL)
-    SELECT event_id, fingerprint, CASE WHEN ts < fetched_at + INTERVAL 1 HOUR THEN 'fresh' WHEN event_id % 3 = 0 THEN 'live' WHEN fetched_at IS NOT NULL THEN 'stale' ELSE 'none' END AS state FROM j""")
+    j AS (SELECT q.event_id, q.fingerprint, q.ts, max(s.at) AS fetched_at, arg_max(CAST(snapshot_id AS VARCHAR), (s.at, CAST(snapshot_id AS VARCHAR))) AS snapshot_id FROM q LEFT JOIN s ON s.fingerprint = q.fingerprint AND s.at <= q.ts GROUP BY ALL)
+    SELECT event_id, fingerprint, snapshot_id, CASE WHEN ts < fetched_at + INTERVAL 1 HOUR THEN 'fresh' WHEN event_id % 3 = 0 THEN 'live' WHEN fetched_at IS NOT NULL THEN 'stale' ELSE 'none' END AS state FROM j""")
 def index_as_of(spark, sf):
     rows = table(spark, sf, "events").select("event_id", (F.col("user_id") % 50).cast("string").alias("fingerprint"), "ts", "event_type")
     requests = rows.filter("event_type = 'click'").drop("event_type")
     snapshots = rows.filter("event_type <> 'click'").select("fingerprint", F.col("ts").alias("fetched_at"), F.col("event_id").alias("snapshot_id"))
-    return K.index_as_of(requests, snapshots, "1 HOUR", F.col("event_id") % 3 == 0).select("event_id", "fingerprint", "state")
+    return K.index_as_of(requests, snapshots, "1 HOUR", F.col("event_id") % 3 == 0).select("event_id", "fingerprint", "snapshot_id", "state")
 
 
 @query(f"{D.with_ctes('rich')} SELECT doc_id, replace(text, '.md#part)', '.md)') AS text FROM rich")

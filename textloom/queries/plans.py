@@ -101,11 +101,12 @@ def asset_plan(spark, sf):
     return P.asset_plan(l, r, t.select("asset", F.col("hash").alias("local_hash"), F.col("hash").alias("remote_hash")), ["a8"])
 
 
-@query(f"{_FOUR}, k AS (SELECT doc_id, locator, CASE WHEN l1 IS NOT NULL AND r1 IS NULL THEN 'local-only' WHEN l1 IS NULL AND r1 IS NOT NULL THEN 'remote-only' WHEN l1 <> r1 THEN 'divergent' END AS kind FROM f) SELECT *, 'repairable' AS state FROM k WHERE kind IS NOT NULL")
+@query(f"{_FOUR}, k AS (SELECT doc_id, locator, l1 IS NOT NULL AS here, CASE WHEN l1 IS NOT NULL AND r1 IS NULL THEN 'local-only' WHEN l1 IS NULL AND r1 IS NOT NULL THEN 'remote-only' WHEN l1 <> r1 THEN 'divergent' END AS kind FROM f) SELECT doc_id, locator, kind, CASE WHEN doc_id % 9 = 2 AND here THEN 'blocked' ELSE 'repairable' END AS state FROM k WHERE kind IS NOT NULL")
 def loss_report(spark, sf):
     base, local, remote = D.nodes(spark, sf)
     local, remote = P.identified(base, local), P.identified(base, remote)
-    return P.loss_report(local, local, remote, remote)
+    later = local.withColumn("value", F.when(F.col("doc_id") % 9 == 2, F.concat("value", F.lit(" later"))).otherwise(F.col("value")))
+    return P.loss_report(local, later, remote, remote)
 
 
 @query(f"{_FOUR}, g AS (SELECT doc_id, locator, l0, l1, r1 AS r FROM f) SELECT doc_id, count(*) FILTER (WHERE l0 IS NOT DISTINCT FROM r) AS matching, count(*) FILTER (WHERE l0 IS DISTINCT FROM r) AS divergent, count(*) FILTER (WHERE l0 IS DISTINCT FROM l1) AS pending, bool_and(l0 IS NOT DISTINCT FROM r) AS safe, sha256(string_agg(concat_ws('|', locator, coalesce(l0, '-'), coalesce(l1, '-'), coalesce(r, '-')), chr(10) ORDER BY concat_ws('|', locator, coalesce(l0, '-'), coalesce(l1, '-'), coalesce(r, '-')))) AS fingerprint FROM g GROUP BY doc_id")

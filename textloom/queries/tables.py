@@ -104,7 +104,7 @@ def table_identity(spark, sf):
     return B.table_identity(D.tables(spark, sf)[1], ["row_key", "c3"])
 
 
-@query(f"{_TBL}, f AS (SELECT DISTINCT a.table_key AS s, b.table_key AS r FROM tbl_base a JOIN tbl_cur b ON a.table_key % 1000 = b.table_key % 1000 AND a.table_key // 3000 = b.table_key // 3000 AND a.row_key = b.row_key), n AS (SELECT s, count(*) AS n FROM f GROUP BY s) SELECT DISTINCT table_key, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS state FROM tbl_base LEFT JOIN n ON s = table_key")
+@query(f"{_TBL}, f AS (SELECT DISTINCT a.table_key AS s, b.table_key AS r FROM tbl_base a JOIN tbl_cur b ON a.table_key % 1000 = b.table_key % 1000 AND a.table_key // 3000 = b.table_key // 3000 AND a.row_key = b.row_key), n AS (SELECT s, count(*) AS n FROM f GROUP BY s) SELECT DISTINCT table_key, least(coalesce(n, 0), 2) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS state FROM tbl_base LEFT JOIN n ON s = table_key")
 def match_tables(spark, sf):
     base, cur, _ = D.tables(spark, sf)
     name = F.concat_ws(":", (F.col("table_key") % 1000).cast("string"), F.floor(F.col("table_key") / 3000).cast("string"))

@@ -123,7 +123,8 @@ def check_preconditions(spark, sf):
     return A.check_preconditions(A.preconditions(_ops(spark, sf), nodes), _after(nodes))
 
 
-@query(f"{_LOG} SELECT batch, sha256(string_agg(sha256(concat_ws('|', CAST(op_seq AS VARCHAR), kind, target_id, coalesce(expected_hash, ''))), ',' ORDER BY op_seq, op_id)) AS fingerprint, count(*) AS n_ops FROM ops GROUP BY batch")
+@query(f"""{_LOG}, numbered AS (SELECT batch, op_seq, op_id, sha256(concat_ws('|', CAST(op_seq AS VARCHAR), kind, target_id, coalesce(expected_hash, ''))) AS t, (row_number() OVER (PARTITION BY batch ORDER BY op_seq, op_id) - 1) // 4096 AS stretch FROM ops),
+    parts AS (SELECT batch, stretch, sha256(string_agg(t, ',' ORDER BY op_seq, op_id)) AS h, count(*) AS n FROM numbered GROUP BY 1, 2) SELECT batch, sha256(string_agg(h, ',' ORDER BY stretch)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n_ops FROM parts GROUP BY batch""")
 def op_tokens(spark, sf):
     return A.op_tokens(_ops(spark, sf), "batch")
 

@@ -329,3 +329,19 @@ def test_baselines_of_some_documents_leave_the_others(spark, tmp_path):
     sha = lambda t: __import__("hashlib").sha256(t.encode()).hexdigest()
     assert texts == {1: (1, "a", sha("a")), 2: (3, "B", sha("B")), 3: (2, "c", sha("c"))}
     assert {(r.doc_id, r.snapshot_hash) for r in S.compact_baseline(spark, path, str(tmp_path / "less")).collect()} == {(i, t[2]) for i, t in texts.items()}
+
+
+def test_a_batch_writes_what_it_brings(spark, tmp_path):
+    sink = feeds.LatestRevisions(str(tmp_path), fan=4)
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, revision string")
+    size = lambda folder: sum(f.stat().st_size for f in (tmp_path / folder).glob("*.parquet"))
+    sink(spark.range(50_000).selectExpr("id AS doc_id", "'1' AS revision"), 0)
+    want = {i: "1" for i in range(50_000)}
+    for n in range(1, 18):
+        batch = [(n, str(n)), (n + 1, "0"), (100_000 + n, "7")]
+        for _ in range(2 if n in (3, 7, 15) else 1):  # batches that merge run twice
+            sink(rows(*batch), n)
+        want[n], want[100_000 + n] = str(max(n, int(want[n]))), "7"
+        assert size(f"{n}-{n}") < size("0-0" if n < 4 else "0-3" if n < 16 else "0-15") / 20
+    assert sink.widest(sink.folders(spark)) == [(0, 15), (16, 16), (17, 17)] and len(sink.folders(spark)) == 3
+    assert {r.doc_id: r.revision for r in sink.read(spark).collect()} == want

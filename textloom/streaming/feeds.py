@@ -20,35 +20,57 @@ def newer(df: DataFrame, key: str, revision: str) -> DataFrame:
 
 
 class LatestRevisions:
-    """foreachBatch sink that keeps the latest revision per document in a Parquet table and never goes back.
+    """foreachBatch sink that keeps the latest revision per document in Parquet folders and never goes back.
 
-    Keys are dealt over ``buckets``. A batch writes anew the buckets that it has keys of, as version
-    ``v=<its number>`` beside the older ones, so a batch that is run again writes the same from the same
-    predecessors, and buckets without a new key aren't touched. A bucket's newest version holds its keys.
+    A batch writes its own keys only, as the folder ``n-n``. After every ``fan`` batches their folders are merged into one, after every
+    ``fan`` of these again, and so on, so that a row is written anew some times by the logarithm of the number of batches, and a reader finds few folders.
+    A batch that runs again writes the same folders from the same predecessors: merged ones go only when the next batch begins.
+    Readers take the widest folders and the latest revision of each key. A reader that finds a folder gone meanwhile reads again.
     """
 
-    def __init__(self, path: str, key: str = "doc_id", revision: str = "revision", buckets: int = 64):
-        self.path, self.key, self.revision, self.buckets = path, key, revision, buckets
+    def __init__(self, path: str, key: str = "doc_id", revision: str = "revision", fan: int = 16):
+        self.path, self.key, self.revision, self.fan = path, key, revision, fan
 
-    def _newest(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        table = spark.read.parquet(self.path)
-        if before is not None:
-            table = table.filter(F.col("v") < before)
-        versions = table.groupBy("bucket").agg(F.max("v").alias("v"))
-        return table.join(F.broadcast(versions), ["bucket", "v"])  # a row per bucket
+    def _fs(self, spark: SparkSession):
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+    def folders(self, spark: SparkSession) -> list[tuple[int, int]]:
+        """First and last batch of every complete folder."""
+        fs, path = self._fs(spark)
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        ranges = [tuple(map(int, n.split("-"))) for n in names if n.replace("-", "").isdigit()]
+        return [(a, b) for a, b in ranges if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{a}-{b}/_SUCCESS"))]
+
+    @staticmethod
+    def widest(folders: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The folders that hold all batches once."""
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(folders, key=lambda f: (f[0], -f[1])):
+            if not out or a > out[-1][1]:
+                out.append((a, b))
+        return out
+
+    def _read(self, spark: SparkSession, folders: list[tuple[int, int]]) -> DataFrame:
+        return newer(spark.read.parquet(*(f"{self.path}/{a}-{b}" for a, b in self.widest(folders))), self.key, self.revision)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        own = rows = batch.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")).persist()
-        try:
-            if number > 0:
-                touched = own.select("bucket").distinct()  # at most so many rows
-                rows = own.unionByName(self._newest(batch.sparkSession, number).join(F.broadcast(touched), "bucket").drop("v"))
-            newer(rows, self.key, self.revision).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={number}")
-        finally:
-            own.unpersist()
+        spark = batch.sparkSession
+        fs, _ = self._fs(spark)
+        there = self.folders(spark)
+        for a, b in there:  # the batches before this one are done: what they merged isn't needed again
+            if any(c <= a and b <= d < number and (a, b) != (c, d) for c, d in there):
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{a}-{b}"), True)
+        newer(batch, self.key, self.revision).write.mode("overwrite").parquet(f"{self.path}/{number}-{number}")
+        width = self.fan
+        while (number + 1) % width == 0:
+            first = number + 1 - width
+            parts = [(a, b) for a, b in self.folders(spark) if a >= first and b <= number and (a, b) != (first, number)]
+            self._read(spark, parts).write.mode("overwrite").parquet(f"{self.path}/{first}-{number}")
+            width *= self.fan
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return self._newest(spark).drop("bucket", "v")
+        return self._read(spark, self.folders(spark))
 
 
 class DriftFeed:

@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators.lines import bind, extract_blocks, fold, ordinals, section_path
 
-_MARK = r"(?im)^ *(?:`{3,}|~{3,})[^\n]*\n?|</?(?:table|div)\b[^>]*>"
+HTML = ("table", "div")
+
+
+def _mark(names: tuple[str, ...]) -> str:
+    return r"(?im)^ *(?:`{3,}|~{3,})[^\n]*\n?|</?(?:" + "|".join(names) + r")\b[^>]*>"
+
+
 _RANGE = "struct<kind:string,first:int,last:int>"
 
 
@@ -40,11 +46,12 @@ def _ranges(pieces: Column) -> Column:
 
     def step(s: Column, x: Column) -> tuple[Column, Column]:
         is_fence = x["fence"] != ""
-        opened = F.when(is_fence, F.when(x["deep"] >= 4, "indented").otherwise("code")).when(x["closing"], "").when(x["tag"] == "table", "table").otherwise(F.when(callout(x["text"]), "callout").otherwise("div"))
+        opened = F.when(is_fence, F.when(x["deep"] >= 4, "indented").otherwise("code")).when(x["closing"], "").when((x["tag"] != "div") & F.endswith(x["text"], F.lit("/>")) & (x["tag"] != "table"), "").when(x["tag"] != "div", x["tag"]).otherwise(F.when(callout(x["text"]), "callout").otherwise("div"))
         start = F.when(opened == "", idle).otherwise(state(opened, F.when(is_fence, x["fence"]).otherwise(x["tag"]), F.lit(1), x["at"]))
         in_fence = s["what"].isin("code", "indented")
         ends_fence = is_fence & F.startswith(x["fence"], s["mark"]) & ((x["deep"] >= 4) == (s["what"] == "indented")) & F.regexp_like(x["text"], F.lit(r"^ *(?:`+|~+)[ \t\r]*\n?$"))
-        depth = s["depth"] + F.when(is_fence | (x["tag"] != s["mark"]), 0).when(x["closing"], -1).otherwise(1)
+        alone = F.endswith(x["text"], F.lit("/>")) & ~x["tag"].isin(*HTML)  # a component without a body
+        depth = s["depth"] + F.when(is_fence | alone | (x["tag"] != s["mark"]), 0).when(x["closing"], -1).otherwise(1)
         ends = F.when(in_fence, ends_fence).otherwise(depth == 0)
         going = state(s["what"], s["mark"], F.when(in_fence, s["depth"]).otherwise(depth), s["first"])
         found = F.array(F.struct(s["what"].alias("kind"), s["first"].alias("first"), x["at"].alias("last")))
@@ -57,8 +64,11 @@ def _ranges(pieces: Column) -> Column:
     return fold(marks, idle, _RANGE, step, rest)
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """doc_id, seg, kind, head, content: all of a text in order; ``head`` is the opening mark. Kinds: markdown, code, indented, table, callout, div, open-table, open-div."""
+def segments(docs: DataFrame, names: tuple[str, ...] = HTML) -> DataFrame:
+    """doc_id, seg, kind, head, content: all of a text in order; ``head`` is the opening mark. Kinds: markdown, code, indented, table, callout, div, open-table, open-div.
+
+    With other ``names`` their elements are the containers, and kinds are the names in lower case.
+    """
     cut = lambda pieces, first, last: F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
 
     def every(pieces: Column) -> Column:
@@ -74,7 +84,7 @@ def segments(docs: DataFrame) -> DataFrame:
 
         return F.filter(bind(_ranges(pieces), with_text_before), lambda s: s["content"] != "")
 
-    return docs.select("doc_id", F.posexplode(bind(_pieces(F.coalesce("text", F.lit("")), _MARK), every)).alias("seg", "s")).select("doc_id", "seg", "s.*")
+    return docs.select("doc_id", F.posexplode(bind(_pieces(F.coalesce("text", F.lit("")), _mark(names)), every)).alias("seg", "s")).select("doc_id", "seg", "s.*")
 
 
 _ELEMENT = r"(?i)</?(?:table|tr|th|td)\b[^>]*>"
@@ -137,6 +147,25 @@ def html_table_nodes(docs: DataFrame) -> DataFrame:
     return shaped.select("doc_id", "seg", "headers", "rows", issues.alias("issues"))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Its value, entities read; null without it."""
+    both = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    value = F.when(F.regexp_like(tag, F.lit(both)), F.concat(F.regexp_extract(tag, both, 1), F.regexp_extract(tag, both, 2)))
+    for entity, sign in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(entity), F.lit(sign))
+    return value
+
+
+def component_admonitions(docs: DataFrame, name: str = "Admonition") -> DataFrame:
+    """doc_id, seg, type, title, body, blocker: ``<Admonition type title>`` components outside code. Blockers: unclosed, nested, titled, in this order."""
+    kind = name.lower()
+    found = segments(docs, (name,)).filter(F.col("kind").isin(kind, f"open-{kind}"))
+    body = T.trim_ws(F.regexp_replace(F.substring(F.col("content"), F.length("head") + 1, F.length("content")), rf"(?i)</{name}\s*>$", ""))
+    title = _attribute(F.col("head"), "title")
+    blocker = F.when(F.col("kind") != kind, "unclosed").when(F.regexp_like(body, F.lit(rf"(?i)<{name}\b")), "nested").when(F.coalesce(title, F.lit("")) != "", "titled")
+    return found.select("doc_id", "seg", F.lower(F.coalesce(_attribute(F.col("head"), "type"), F.lit("note"))).alias("type"), title.alias("title"), body.alias("body"), blocker.alias("blocker"))
+
+
 #: What a callout can't hold, by pattern.
 CALLOUT_ISSUES = {
     "fenced-code": r"(?m)^\s*```", "table": r"(?m)^\s*\|.*\|\s*\n\s*\|?\s*:?-{3,}", "image": r"!\[[^\]]*\]\([^)]+\)", "nested": r"(?i)<(?:div|callout|table|img|whiteboard)\b",
@@ -148,9 +177,7 @@ def callout_nodes(docs: DataFrame, title_attribute: str = "data-title") -> DataF
     """doc_id, seg, type, title (null if the div gives none), body, issues: each div of class ``alert`` and ``note`` or ``warning`` outside code and containers."""
     found = segments(docs).filter("kind = 'callout'")
     body = T.trim_ws(F.regexp_replace(F.expr("substring(content, length(head) + 1)"), r"(?i)</div\s*>$", ""))
-    title = F.when(F.regexp_like("head", F.lit(rf"(?is)\b{title_attribute}\s*=")), F.coalesce(F.nullif(F.regexp_extract("head", rf'(?is)\b{title_attribute}\s*=\s*"([^"]*)"', 1), F.lit("")), F.regexp_extract("head", rf"(?is)\b{title_attribute}\s*=\s*'([^']*)'", 1)))
-    for entity, sign in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        title = F.replace(title, F.lit(entity), F.lit(sign))
+    title = _attribute(F.col("head"), title_attribute)
     rows = found.select("doc_id", "seg", F.when(_class(F.col("head"), "note"), "note").otherwise("warning").alias("type"), title.alias("title"), body.alias("body"))
     issues = F.array_compact(F.array(*(F.when(F.regexp_like("body", F.lit(pattern)), name) for name, pattern in CALLOUT_ISSUES.items())))
     return rows.withColumn("issues", issues)
@@ -201,3 +228,19 @@ def local_nodes(docs: DataFrame) -> DataFrame:
     placed = ordinals(section_path(every.withColumn("level", F.when(F.col("kind") == "text", F.col("level"))), "at"), "at")
     locator = T.locator_key(F.col("kind"), F.col("section"), F.col("ordinal"))
     return placed.select("doc_id", "seg", "block_no", "kind", "block_type", "section", "ordinal", locator.alias("locator"), F.col("text").alias("content"))
+
+
+def semantic_hashes(nodes: DataFrame, primary: str, secondary: str) -> DataFrame:
+    """``local_nodes`` rows with ``hash``, by kind: text by block type and text with includes collapsed to the primary view, code by language and content without its
+    fence, a callout by type, title and body, any other node whole."""
+    content = F.col("content")
+    fence = r"^ *(?:`{3,}|~{3,})"
+    language = F.lower(F.regexp_extract(content, fence + r"[ \t]*([^\s`]*)", 1))
+    inner = F.regexp_replace(F.regexp_replace(content, fence + r"[^\n]*\n?", ""), r"\n?" + fence[1:] + r"[ \t]*\n?$", "")
+    head = F.regexp_extract(content, r"(?is)^<div\b[^>]*>", 0)
+    body = T.trim_ws(F.regexp_replace(F.substring(content, F.length(head) + 1, F.length(content)), r"(?i)</div\s*>$", ""))
+    said = (
+        F.when(F.col("kind") == "text", F.concat_ws("|", F.lit("text"), "block_type", T.normalize_ws(T.collapse_includes(content, primary, secondary)))).when(F.col("kind") == "code", F.concat_ws("|", F.lit("code"), language, inner))
+        .when(F.col("kind") == "callout", F.concat_ws("|", F.lit("callout"), F.when(_class(head, "note"), "note").otherwise("warning"), F.coalesce(_attribute(head, "data-title"), F.lit("")), body)).otherwise(F.concat_ws("|", "kind", content))
+    )
+    return nodes.withColumn("hash", F.sha2(said, 256))

@@ -105,3 +105,35 @@ _SELECTOR_VALUES = ", ".join(f"({v}, {_sql_text(want)})" for v, (_, want) in SEL
 @query(f"SELECT o_orderkey AS doc_id, replace(want, '§', CAST(o_orderkey AS VARCHAR)) AS text FROM orders JOIN (VALUES {_SELECTOR_VALUES}) v(variant, want) ON variant = o_orderkey % {len(SELECTORS)}")
 def drop_containers(spark, sf):
     return G.drop_containers(_orders(spark, sf, SELECTORS), "filter")
+
+
+ADMONITIONS = {
+    0: ('<Admonition type="Warning">\nText §\n</Admonition>', "warning", None, "Text §", None),
+    1: ('a <Admonition title="T &amp; u">x</Admonition>', "note", "T & u", "x", "titled"),
+    2: ('<Admonition type="note"><Admonition type="tip">in</Admonition> out</Admonition>', "note", None, '<Admonition type="tip">in</Admonition> out', "nested"),
+    3: ('<Admonition type="note">\nopen <Admonition/> §', "note", None, "open <Admonition/> §", "unclosed"),
+    4: ('```\n<Admonition type="note">\n```\n<Admonition/> plain', None, None, None, None),
+}
+_ADMONITION_VALUES = ", ".join(f"({v}, {1 if v == 1 else 0}, '{kind}', {_sql_text(title)}, {_sql_text(body)}, {_sql_text(blocker)})" for v, (_, kind, title, body, blocker) in ADMONITIONS.items() if kind)
+
+
+@query(f"SELECT o_orderkey AS doc_id, seg, type, title, replace(body, '§', CAST(o_orderkey AS VARCHAR)) AS body, blocker FROM orders JOIN (VALUES {_ADMONITION_VALUES}) v(variant, seg, type, title, body, blocker) ON variant = o_orderkey % {len(ADMONITIONS)}")
+def component_admonitions(spark, sf):
+    return G.component_admonitions(_orders(spark, sf, ADMONITIONS))
+
+
+def _said(kind: str, block: str, content: str) -> str:
+    """What a node of the fixture is hashed by, told by hand for code and callouts."""
+    given = {"```py\n<table>\n```\n": "code|py|<table>", "~~~\nopen": "code||open", '<div class="alert note">x<div>y</div></div>': "callout|note||x<div>y</div>"}
+    return given.get(content, f"text|{block}|{content}" if kind == "text" else f"{kind}|{content}")
+
+
+_SAID_VALUES = ", ".join(f"({v}, {i}, {_sql_text(_said(kind, block, content))})" for v, (_, nodes) in NODES.items() for i, (kind, block, _, _, content) in enumerate(nodes))
+
+
+@query(f"SELECT o_orderkey AS doc_id, node_no, sha256(replace(said, '§', CAST(o_orderkey AS VARCHAR))) AS hash FROM orders JOIN (VALUES {_SAID_VALUES}) v(variant, node_no, said) ON variant = o_orderkey % {len(NODES)}")
+def semantic_hashes(spark, sf):
+    from pyspark.sql import Window
+
+    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("seg", "block_no")) - 1
+    return G.semantic_hashes(G.local_nodes(_orders(spark, sf, NODES)), "alpha", "beta").select("doc_id", no.alias("node_no"), "hash")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import linkrewrite as W
 from textloom.queries import query
+from textloom.queries.transform import _CANON, _FILTERED
 from textloom.sources import derived as D
 
 #: Slugs end in a digit: 0 is in no index, 1 twice, the others once.
@@ -33,3 +34,11 @@ def rewrite_links(spark, sf):
     SELECT doc_id, line_no + 1 AS line, url, before + instr(line, '](' || url) + 1 AS start, before + instr(line, '](' || url) + 1 + length(url) AS stop FROM m""")
 def document_links(spark, sf):
     return W.document_links(D.rich(spark, sf)).select("doc_id", "line", "url", "start", "stop")
+
+
+@query(f"""{_LINKED}, d AS (SELECT doc_id, {_CANON.format(c=_FILTERED.format(c="string_agg(written, chr(10) ORDER BY line_no)"))} AS draft, coalesce(string_agg(blocker, '|' ORDER BY line_no) FILTER (WHERE slug <> ''), '') AS blockers FROM r GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN blockers = '' THEN sha256(draft) END AS draft_hash, blockers FROM d""")
+def link_drafts(spark, sf):
+    docs = D.rich(spark, sf)
+    out = W.link_drafts(docs, "alpha", ["alpha", "beta"], _index(spark, W.document_links(docs)), spark.createDataFrame([], "alias string, target string"), _SITE)
+    return out.select("doc_id", "draft_hash", F.array_join("blockers", "|").alias("blockers"))

@@ -9,7 +9,8 @@ boundaries and kinds jointly. Segments that touch a base span are not added.
 
 The field learns by likelihood on at most ``TRAIN_DOCS`` documents that hold base spans, shared out evenly
 among the kinds; of each at most ``TRAIN_SPANS`` spans of its kind, drawn over the whole text. The spans are
-also rewritten into the forms the patterns miss; it needs no labels. The sample is fixed by a hash of the
+also rewritten into the forms the patterns miss, with addresses and groupings made up at random, and set against numbers of the same shapes that
+something else announces (part, order and reference numbers, ISBNs); it needs no labels. The sample is fixed by a hash of the
 text. A kind without a base span anywhere can't be learnt, which is reported as a warning.
 
 Offsets are code points, ends exclusive. Null texts are empty, very long ones are taken whole. Of segmentations
@@ -112,6 +113,10 @@ def tokens_of(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text, lo, hi)]
 
 
+#: A host's parts: labels, with hyphens, between dots.
+_HOST = re.compile(r"w(?:-w)*(?:\.w(?:-w)*)+")
+
+
 def _bucket(n: int) -> str:
     return str(n) if n < 20 else "20+"
 
@@ -136,21 +141,42 @@ def candidates(text: str, toks: list[tuple[int, int]]) -> dict[int, list[tuple[i
     for at in ats:
         for i in range(max(0, at - 6), at):
             if words[i].isalnum() and all(address[i:at]) and all(toks[k + 1][0] == toks[k][1] for k in range(i, at - 2)):
-                for j in range(at + 1, min(at + 8, len(words))):
+                host = ""
+                for j in range(at + 1, min(at + 18, len(words))):
                     if not address[j]:
                         break
-                    if words[j].isalnum() and j > at + 1:
+                    w = words[j]
+                    if w.isalnum() and w.lower() != "dot":  # letters and digits that touch are one label
+                        host += "" if host[-1:] == "w" and toks[j][0] == toks[j - 1][1] else "w"
+                    else:
+                        host += "" if w in "()[]{}" else "." if w == "." or w.lower() == "dot" else "-"
+                    if w.isalnum() and _HOST.fullmatch(host):
                         out[j + 1].append((i, [("email", _address_features(text, toks, words, i, at, j + 1))]))
     return out
 
 
+def _goes_on(sign: str, further: str) -> bool:
+    """Whether a word goes on: with the sign beside, or behind a dot or hyphen."""
+    return sign.isalnum() or sign in ".-" and further.isalnum()
+
+
 def _left_word(text: str, at: int) -> str:
-    m = re.search(r"([^\W\d_]+)[\s:=#]*$", text[max(0, at - 24) : at])
+    m = re.search(r"([^\W\d_]+)[\s:=#.]*$", text[max(0, at - 24) : at])
     return m[1].lower() if m else ""
 
 
+#: How many rewritten forms of a span the field learns from.
+REWRITES = {"email": 4, "ip": 1, "card": 1, "phone": 4}
 #: Words that announce a kind.
-_CUES = {"phone", "tel", "call", "mobile", "fax", "card", "visa", "credit", "account", "ip", "host", "server", "address", "email", "mail", "contact", "telefon", "téléphone", "teléfono", "token", "key", "id", "order", "version"}
+_CUES = {"phone", "tel", "call", "mobile", "fax", "card", "visa", "credit", "account", "ip", "host", "server", "address", "email", "mail", "contact", "telefon", "téléphone", "teléfono", "token", "key", "id", "order", "version"} | {
+    "ref", "reference", "part", "no", "nr", "number", "invoice", "isbn", "tracking", "serial", "sku", "article", "item", "case", "ticket", "batch", "lot", "parcel",
+}
+
+
+#: What those words say of a number.
+_TOLD = {w: "call" for w in ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono")} | {
+    w: "count" for w in ("token", "key", "id", "order", "version", "ref", "reference", "part", "no", "nr", "number", "invoice", "isbn", "tracking", "serial", "sku", "article", "item", "case", "ticket", "batch", "lot", "parcel")
+}
 
 
 def _number_features(text, toks, i, j) -> list[tuple[str, tuple[str, ...]]]:
@@ -162,19 +188,23 @@ def _number_features(text, toks, i, j) -> list[tuple[str, tuple[str, ...]]]:
     cue = _left_word(text, a)
     shape = "-".join(map(str, groups)) if len(groups) < 6 else "many"
     signs = "".join(sorted(set(re.sub("[0-9]", "", span))))
+    beyond = bool(re.search(r"[0-9][ ./-]$", text[max(0, a - 2) : a]) or re.match(r"[ ./-][0-9]", text[b : b + 2]))  # the sequence goes on
     octets = len(groups) == 4 and signs == "." and all(int(g) <= 255 for g in span.split(".") if g)
-    common = ("bias", f"n={_bucket(len(digits))}", f"groups={len(groups)}", f"shape={shape}", f"signs={signs}", f"plus={span[0] == '+'}", f"open={span.count('(') == span.count(')')}", f"cut={left.isalnum() or right.isalnum() or left in '.-' and left != ''}", f"cue={cue if cue in _CUES else ''}", f"year={len(digits) == 8 and digits[:2] in ('19', '20')}")
+    common = ("bias", f"n={_bucket(len(digits))}", f"groups={len(groups)}", f"shape={shape}", f"signs={signs}", f"plus={span[0] == '+'}", f"open={span.count('(') == span.count(')')}", f"cut={_goes_on(left, text[a - 2 : a - 1] if a > 1 else '') or _goes_on(right, text[b + 1 : b + 2])}", f"cue={cue if cue in _CUES else ''}", f"told={_TOLD.get(cue, '')}", f"beyond={beyond}", f"trunk={digits[:1] == '0'}", f"year={len(digits) == 8 and digits[:2] in ('19', '20')}")
     return [("ip", (*common, f"octets={octets}")), ("card", (*common, f"luhn={luhn(digits)}", f"size={13 <= len(digits) <= 19}")), ("phone", (*common, f"size={9 <= len(digits) <= 15}"))]
 
 
 def _address_features(text, toks, words, i, at, j) -> tuple[str, ...]:
-    dots = sum(w == "." or w.lower() == "dot" for w in words[at + 1 : j])
+    host = [w for w in words[at + 1 : j] if w not in "()[]{}"]
+    is_dot = [w == "." or w.lower() == "dot" for w in host]
     spelled = words[at] != "@"
     ends = words[j - 1]
     right = text[toks[j - 1][1] : toks[j - 1][1] + 1]
+    shut = all(words[i:j].count(x) == words[i:j].count(y) for x, y in ("()", "[]", "{}"))
     return (
-        "bias", f"after_dot={min(next((k for k, w in enumerate(reversed(words[at + 1 : j])) if w == '.' or w.lower() == 'dot'), 9), 9)}", f"local={min(at - i, 5)}", f"spelled={spelled}", f"dots={min(dots, 3)}", f"bracketed={spelled and at > 0 and words[at - 1] in '([{'}", f"tld={2 <= len(ends) <= 6 and ends.isalpha()}", f"dot_word={any(w.lower() == 'dot' for w in words[at + 1 : j])}",
-        f"alternate={all((w == '.' or w.lower() == 'dot') == bool(k % 2) for k, w in enumerate(words[at + 1 : j]))}", f"cut={right.isalnum() or right in '.-@' and right != ''}", f"cue={cue if (cue := _left_word(text, toks[i][0])) in _CUES else ''}",
+        "bias", f"after_dot={min(next((k for k, d in enumerate(reversed(is_dot)) if d), 9), 9)}", f"local={min(at - i, 5)}", f"spelled={spelled}", f"dots={min(sum(is_dot), 3)}", f"bracketed={spelled and at > 0 and words[at - 1] in '([{'}", f"tld={2 <= len(ends) <= 6 and ends.isalpha()}", f"dot_word={any(w.lower() == 'dot' for w in host)}",
+        f"alternate={all(d == bool(k % 2) for k, d in enumerate(is_dot))}", f"shut={shut}", f"cut={right == '@' or _goes_on(right, text[toks[j - 1][1] + 1 : toks[j - 1][1] + 2])}", f"goes_on={bool(re.match(r'(?: dot |[ ]?[(\[{]dot[)\]}]|[.])[A-Za-z]', text[toks[j - 1][1] : toks[j - 1][1] + 8], re.IGNORECASE))}",
+        f"from_start={i == 0 or toks[i][0] > toks[i - 1][1]}", f"cue={cue if (cue := _left_word(text, toks[i][0])) in _CUES else ''}",
     )
 
 
@@ -222,20 +252,60 @@ class Field:
         return [(float(np.exp(ahead[i] + s + behind[j] - ahead[n])), kind, feats, i, j) for i, j, kind, feats, s in items]
 
 
+def _word(rng: np.random.Generator, low: int = 3, high: int = 9) -> str:
+    return "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(low, high))))
+
+
+def _pick(rng: np.random.Generator, some):
+    return some[int(rng.integers(len(some)))]
+
+
+def _address(rng: np.random.Generator) -> tuple[str, str]:
+    """Local part and host of an address like those that people have."""
+    local = _pick(rng, (_word(rng), f"{_word(rng)}.{_word(rng)}", f"{_word(rng)}_{_word(rng)}", f"{_word(rng)}{int(rng.integers(1, 99))}", f"{_word(rng, 1, 2)}.{_word(rng)}", f"{_word(rng)}-{_word(rng)}"))
+    labels = [_word(rng, 2, 10) for _ in range(int(rng.integers(1, 3)))]
+    return local, ".".join([*labels, _pick(rng, ("com", "org", "net", "edu", "de", "fr", "io", "info", "co.uk", "com.br"))])
+
+
+#: How an address is spelt: what stands for the @, and for dots of its host.
+_AT_FORMS = (" at ", " AT ", " (at) ", " [at] ", "(at)", "[at]", " {at} ")
+_DOT_FORMS = (" dot ", " DOT ", " (dot) ", " [dot] ", "(dot)", "[dot]")
+
+
 def rewritten(kind: str, value: str, rng: np.random.Generator) -> str | None:
-    """A base value in a form that the patterns miss."""
+    """A base value, or one made up in its place, in a form that the patterns miss."""
     digits = _digits(value)
     if kind == "email":
-        local, _, host = value.partition("@")
-        return (f"{local} at {host.replace('.', ' dot ')}", f"{local} (at) {host}", f"{local} [at] {host.replace('.', ' dot ')}")[int(rng.integers(3))]
+        local, host = value.rsplit("@", 1) if rng.integers(2) else _address(rng)
+        at = _pick(rng, _AT_FORMS)
+        # without brackets a plain dot is too little to tell an address
+        dot = _pick(rng, _DOT_FORMS[:2] if at.strip(" ").isalpha() else (*_DOT_FORMS, ".", "."))
+        return local + at + host.replace(".", dot)
     if kind == "phone" and len(digits) >= 10:
         d = digits[-10:]
-        return (f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}")[int(rng.integers(3))]
+        n = d.lstrip("0") or d
+        forms = (
+            f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"{d[:3]} {d[3:6]} {d[6:]}", f"0{n[:2]}/{n[2:9]}", f"0{n[:3]}/{n[3:9]}", f"0{n[:3]} {n[3:10]}", f"0{n[:4]}-{n[4:9]}",
+            f"(0{n[:2]}) {n[2:6]} {n[6:9]}", f"00{n[:2]} {n[2:4]} {n[4:]}", f"00{n[:2]}-{n[2:5]}-{n[5:]}", f"0{n[0]} {d[1:3]} {d[3:5]} {d[5:7]} {d[7:9]}", f"0{n[:3]} {d[3:5]} {d[5:7]} {d[7:9]}",
+        )
+        return _pick(rng, forms)
     if kind == "card" and len(digits) == 16:
         return ".".join(digits[k : k + 4] for k in range(0, 16, 4))
     return None
 
 
+#: What announces a number that is no phone, and what stands before one (a word that says nothing too).
+_COUNTED = ("Part no. ", "Ref ", "Ref. ", "Order ", "order no. ", "Invoice ", "ISBN ", "Tracking ", "Serial ", "SKU ", "Case ", "Ticket #", "Lot ", "article nr. ", "Item ")
+_CALLED = ("", "or ", "and ", "then ", "with ", "Tel. ", "Tel: ", "phone ", "Phone: ", "call ", "mobile ", "Fax ")
+
+
+def _counted(rng: np.random.Generator) -> str:
+    """A number of a phone's length and shape that something else is known by."""
+    d = "".join(map(str, rng.integers(0, 10, 13)))
+    shape = _pick(rng, (f"{d[:3]}-{d[3:6]}-{d[6:10]}", f"{d[:3]}.{d[3:6]}.{d[6:10]}", f"{d[:3]} {d[3:6]} {d[6:10]}", f"978-{d[0]}-{d[1:3]}-{d[3:9]}-{d[9]}", f"{d[:10]}", f"{d[:4]} {d[4:8]} {d[8:12]}", f"{d[:3]}-{d[3:6]}-{d[6:10]}-{d[10:12]}", f"{d[:2]}/{d[2:9]}", f"0{d[:3]} {d[3:10]}"))
+    return _pick(rng, _COUNTED) + shape
+
+
 def contexts(text: str, base: list[Span], kind: str, most: int = TRAIN_SPANS) -> list[Context]:
     """Spans of the kind from anywhere in the text, with what lies around them. No base span is cut at an edge."""
     out = []
@@ -259,8 +329,13 @@ def _examples(context: Context, rng: np.random.Generator) -> list[tuple[str, lis
         return left + middle + right, spans + [(kind, a, b + grown)] * entity
 
     out = [put(value, True)]
-    if other := rewritten(kind, value, rng):
-        out.append(put(other, True))
+    for _ in range(REWRITES[kind]):
+        if other := rewritten(kind, value, rng):
+            cue = _pick(rng, _CALLED) if kind == "phone" else ""
+            text, spans = put(cue + other, True)
+            out.append((text, [*spans[:-1], (kind, a + len(cue), a + len(cue) + len(other))]))
+    if kind == "phone":
+        out += [put(_counted(rng)) for _ in range(3)]
     if kind == "card":  # a number that fails its checksum is no card
         spoilt = value[:-1] + str((int(value[-1]) + 1 + int(rng.integers(8))) % 10)
         if not luhn(_digits(spoilt)):

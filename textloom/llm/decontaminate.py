@@ -76,10 +76,10 @@ def places(rows: DataFrame, keys: DataFrame, lengths: list[int], max_broadcast_r
     wanted = materialize(keys.unionByName(keys.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"))).distinct(), "wanted-shingles")
     n = wanted.count()
     if n > max_broadcast_rows:
-        rolled, wanted = may_hold(rolled, *filter_of(wanted, n, MAX_FILTER_BITS)), wanted
-    else:
-        wanted = F.broadcast(wanted)
-    return rolled.join(wanted, "key", "left_semi").select("uid", "doc_id", "n_words", "at", "key")
+        held = materialize(may_hold(rolled, *filter_of(wanted, n, MAX_FILTER_BITS)).select("uid", "doc_id", "n_words", "at", "key"), "shingle-candidates")
+        # the rows that stand for documents share a key; they need no join
+        return held.filter("at < n_words").join(wanted, "key", "left_semi").select(*held.columns).unionByName(held.filter("at = n_words"))
+    return rolled.join(F.broadcast(wanted), "key", "left_semi").select("uid", "doc_id", "n_words", "at", "key")
 
 
 def _found(rows: DataFrame, benchmark: DataFrame, window: int, shingle: int, max_broadcast_rows: int) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,8 @@ so no merge of the whole text crosses such a place, and what a chunk's own edge
 two chunks share no such place, the document is cut anew with chunks and overlaps eight times as long, at
 last whole; so the count never depends on the cut.
 
-Null and empty texts have no tokens. Repeated rows each get their row. An empty table gives none.
+Null and empty texts have no tokens. Repeated rows each get their row. An empty table gives none. Other columns are ignored,
+whatever their names; rows with one doc_id are told apart.
 """
 
 from __future__ import annotations

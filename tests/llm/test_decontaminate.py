@@ -73,9 +73,8 @@ def test_many_shingles_never_take_the_words_along(spark, docs):
     rows = docs.select(decontaminate._row_key(F.col("doc_id"), F.col("text")).alias("uid"), "doc_id", "text")
     keys = decontaminate.windows_of(bench, 13, 4).select("key")
     plan = decontaminate.places(rows, keys, [4], 0)._jdf.queryExecution().executedPlan().toString()
-    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    below = [line for line in plan.splitlines() if "Project" in line and "words" in line]
-    assert dealt and below and all("words#" not in line.replace("n_words#", "") for line in dealt)
+    # what is joined was written without the words
+    assert "Scan parquet" in plan and "words#" not in plan.replace("n_words#", "")
     found = decontaminate.places(rows, keys, [4], 0)
     assert set(found.columns) == {"uid", "doc_id", "n_words", "at", "key"} and found.filter("at = n_words").count() == docs.count()
 

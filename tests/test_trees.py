@@ -32,7 +32,8 @@ OP_CASES = [
 
 
 def test_op_faults(spark):
-    ops = spark.createDataFrame([(f"x{i}", i, *op) for i, (op, _) in enumerate(OP_CASES)], OPS)
+    own = lambda i, op: (op[0], f"new{i}" if op[1] == "new" else op[1], *op[2:])  # noqa: E731  new blocks of different ops
+    ops = spark.createDataFrame([(f"x{i}", i, *own(i, op)) for i, (op, _) in enumerate(OP_CASES)], OPS)
     got = {(r.op_seq, r.fault) for r in audits.validate_ops(ops, nodes(spark)).collect()}
     assert got == {(i, fault) for i, (_, want) in enumerate(OP_CASES) for fault in want}
 
@@ -92,7 +93,7 @@ def test_snapshot_faults(spark):
         want |= {(named(b), f) for b, f in faults}
     refs = spark.createDataFrame(lists, "parent_id string, child_id string")
     df = spark.createDataFrame(blocks, "block_id string, parent_id string, pos long")
-    assert {(r.block_id, r.fault) for r in trees.validate_snapshot(df, refs).collect()} == want
+    assert {(r.block_id, r.fault) for r in trees.validate_snapshot(df.withColumn("snapshot", trees.F.substring("block_id", 1, 1)), refs, snapshot="snapshot").collect()} == want
     assert trees.validate_snapshot(df.limit(0), refs).isEmpty()
 
 

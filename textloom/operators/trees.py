@@ -66,7 +66,7 @@ def siblings(blocks: DataFrame) -> DataFrame:
     return j.select("block_id", "parent_id", (F.col("start") + F.col("at")).alias("ordinal"), F.coalesce("before", "run_before").alias("previous"), F.coalesce("after", "run_after").alias("following"))
 
 
-def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None, snapshot: str | None = None) -> DataFrame:
     """Faults of a snapshot as rows (block_id, fault), each once.
 
     ``blocks`` declare their parent (null: a root); ``refs`` (parent_id, child_id) are the children that blocks list.
@@ -75,7 +75,8 @@ def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None) -> DataF
     duplicate-id; missing-parent (declared, not there); missing-child, duplicate-child (of the block that lists it);
     conflicting-parents (listed by several blocks); root-referenced; unreferenced (no root, in no list);
     parent-disagrees (declared and listing block differ); unreachable (orphans below those, or cycles);
-    several-roots (each of them), no-root (a row without a block): a snapshot has exactly one.
+    several-roots (each of them), no-root (a row without a block): a snapshot has exactly one. ``snapshot`` names the column that tells
+    those of ``blocks`` apart, where there are several; ids differ between them. An empty table has no faults.
     """
     fault = lambda df, name: df.select("block_id", F.lit(name).alias("fault")).distinct()
     if refs is None:
@@ -87,7 +88,13 @@ def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None) -> DataF
     there = listed.join(known("child_id"), "child_id", "left_semi").select("parent_id", F.col("child_id").alias("block_id"))
     by = there.groupBy("block_id").agg(F.count(F.lit(1)).alias("parents"), F.min("parent_id").alias("lister"))
     roots = blocks.filter("parent_id IS NULL").select("block_id").distinct()
-    n_roots = roots.limit(2).count()
+    of = [F.col(snapshot)] if snapshot else []
+    per_snapshot = materialize(blocks.groupBy(*of).agg(F.count_distinct(F.when(F.col("parent_id").isNull(), F.col("block_id"))).alias("roots"), F.count(F.lit(1)).alias("blocks")).filter("blocks > 0"), "root-counts")
+    crowded = per_snapshot.filter("roots > 1")
+    if snapshot:
+        several = blocks.filter("parent_id IS NULL").join(crowded, snapshot, "left_semi")
+    else:
+        several = roots if not crowded.isEmpty() else roots.limit(0)
     declared = blocks.filter("parent_id IS NOT NULL").select("block_id", "parent_id").distinct().join(by, "block_id", "left")
     below = there.join(roots, "block_id", "left_anti").unionByName(roots.withColumn("parent_id", F.lit(None).cast("string")))
     found = reached(below, roots)
@@ -101,8 +108,8 @@ def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None) -> DataF
         fault(declared.filter("parents IS NULL"), "unreferenced"),
         fault(declared.filter("parents = 1 AND lister <> parent_id"), "parent-disagrees"),
         fault(ids.join(found, "block_id", "left_anti"), "unreachable"),
-        *([fault(roots, "several-roots")] if n_roots > 1 else []),
-        *([fault(blocks.sparkSession.range(1).select(F.lit(None).cast(blocks.schema["block_id"].dataType).alias("block_id")), "no-root")] if n_roots == 0 else []),
+        fault(several, "several-roots"),
+        fault(per_snapshot.filter("roots = 0").select(F.lit(None).cast(blocks.schema["block_id"].dataType).alias("block_id")), "no-root"),
     ])
 
 

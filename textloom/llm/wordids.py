@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 #: Entries a worker remembers before it forgets all; the ids are the same, only found again.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 500_000
 #: A longer piece is encoded each time.
 MEMO_CHARS = 64
 #: Words encoded in one call.

@@ -14,3 +14,14 @@ def test_matches_are_counted_to_the_last(spark):
     source = spark.createDataFrame([(1, 1, "x"), (1, 2, "x"), (2, 2, "x"), (3, 9, "x"), (4, None, "y")], schema)
     remote = spark.createDataFrame([(t, k, "x") for t in (11, 12, 13) for k in (1, 2)] + [(14, 2, "x"), (15, None, "y"), (16, 1, "z")], schema)
     assert {r.table_key: (r.n, r.state) for r in B.match_tables(source, remote, "name").collect()} == {1: (4, "ambiguous"), 2: (4, "ambiguous"), 3: (0, "missing"), 4: (1, "matched")}
+
+
+def test_rows_move_once_to_be_matched(spark):
+    base = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (1, 2, "c"), (2, 1, "a"), (2, 5, "b")], ROWS)
+    cur = spark.createDataFrame([(1, 1, "x"), (1, 1, "y"), (1, 3, "z"), (2, 1, "a"), (2, 6, "b")], ROWS)
+    got = B.match_rows(base, cur, ["c"])
+    assert sorted((r.table_key, r.base_row, r.current_row, r.how) for r in got.collect()) == [*[(1, 1, 1, "key")] * 4, (2, 1, 1, "key"), (2, 5, 6, "rename")]
+    diff = B.table_diff(base, cur, ["c"], allow_rename=True)
+    want = [*[(1, 1, "updated", "c")] * 4, (1, 2, "deleted", ""), (1, 3, "added", ""), (2, 6, "updated", "row_key")]
+    assert sorted((r.table_key, r.row_key, r.change, r.cells) for r in diff.collect()) == want
+    assert moves(B.match_rows(base, cur, ["c"])) == moves(B.table_diff(base, cur, ["c"], allow_rename=True)) == 1

@@ -1,6 +1,10 @@
 """Keyed tables: whole counts, repeated keys, and how often rows move."""
 
+import glob
+
 from textloom.operators import tables as B
+from textloom.runtime import shared_dir
+from textloom.sources import derived as D
 
 ROWS = "table_key long, row_key long, c string"
 
@@ -25,3 +29,15 @@ def test_rows_move_once_to_be_matched(spark):
     want = [*[(1, 1, "updated", "c")] * 4, (1, 2, "deleted", ""), (1, 3, "added", ""), (2, 6, "updated", "row_key")]
     assert sorted((r.table_key, r.row_key, r.change, r.cells) for r in diff.collect()) == want
     assert moves(B.match_rows(base, cur, ["c"])) == moves(B.table_diff(base, cur, ["c"], allow_rename=True)) == 1
+
+
+def test_blockers_need_two_tables_of_keys_and_no_windows_of_changed_copies(spark):
+    written = lambda: {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in glob.glob(f"{shared_dir(spark)}/textloom-*")}
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1), (2, "b", 2)], "table_key long, row_key string, pos long")
+    source = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 1), (2, "b", 2)], "table_key long, row_key string, pos long")
+    heads = spark.createDataFrame([(1, ["k"]), (2, ["k"])], "table_key long, headers array<string>")
+    before = written()
+    assert [tuple(r) for r in B.table_blockers(rows, source, heads, heads).collect()] == [(1, "reorders-rows", None)]
+    assert written() - before <= {"textloom-table-keys", "textloom-running"}
+    base, cur, _ = D.tables(spark, "/root/testdata/sf0.001")
+    assert "Window" not in cur._jdf.queryExecution().optimizedPlan().toString() and base.count() > 0

@@ -28,9 +28,22 @@ def shared_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys).intersect(b.select(*keys))
 
 
-def unrelated_changes(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
+def two_sided_changes(base: DataFrame, local: DataFrame, remote: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys with ``local`` and ``remote``: whether that side added, removed or updated them. All three versions meet behind one shuffle."""
+    sides = (base, local, remote)
+    rows = reduce(DataFrame.unionByName, (df.select(*keys, F.lit(i).cast("byte").alias("_side"), F.col(value).alias("_v")) for i, df in enumerate(sides)))
+    of = lambda i, c: F.when(F.col("_side") == i, c)
+    seen = [f(of(i, c)).alias(f"_{name}{i}") for i in range(3) for name, f, c in (("min", F.min, F.col("_v")), ("max", F.max, F.col("_v")), ("n", F.count, F.lit(1)), ("known", F.count, F.col("_v")))]
+    met = rows.repartition(*keys).groupBy(*keys).agg(*seen)
+    low, high, n, known = (lambda i, name=name: F.col(f"_{name}{i}") for name in ("min", "max", "n", "known"))
+    one = lambda i: low(i).eqNullSafe(high(i)) & ((known(i) == 0) | (known(i) == n(i)))  # noqa: E731  a key that stands there twice is the same only with one value
+    same = lambda i: ((n(0) == 0) & (n(i) == 0)) | ((n(0) > 0) & (n(i) > 0) & one(0) & one(i) & low(0).eqNullSafe(low(i)))
+    return met.select(*keys, (~same(1)).alias("local"), (~same(2)).alias("remote"))
+
+
+def unrelated_changes(base: DataFrame, local: DataFrame, remote: DataFrame, keys: list[str], value: str = "hash") -> DataFrame:
     """Keys changed remotely and not locally."""
-    return remote.select(*keys).exceptAll(local.select(*keys).distinct()).distinct()
+    return two_sided_changes(base, local, remote, keys, value).filter("remote AND NOT local").select(*keys)
 
 
 def correspond_nodes(base: DataFrame, current: DataFrame, group: list[str], key: str, value: str, order: str = "pos") -> DataFrame:
@@ -69,11 +82,10 @@ def divergence(local: DataFrame, remote: DataFrame, keys: list[str], value: str,
     return j.groupBy(*by).agg(F.count_if(both & same).alias("matching"), F.count_if(both & ~same).alias("changed"), F.count_if(F.col("in_b").isNull()).alias("local_only"), F.count_if(F.col("in_a").isNull()).alias("remote_only"))
 
 
-def scope_summary(local: DataFrame, remote: DataFrame, group: list[str], key: str) -> DataFrame:
-    """Per group, from the two sides' changed keys: how many changed locally, remotely, on both, and remotely only."""
-    a, b = local.select(*group, key, F.lit(True).alias("l")).distinct(), remote.select(*group, key, F.lit(True).alias("r")).distinct()
-    j = a.join(b, [*group, key], "full_outer")
-    l, r = F.col("l").isNotNull(), F.col("r").isNotNull()  # noqa: E741
+def scope_summary(base: DataFrame, local: DataFrame, remote: DataFrame, group: list[str], key: str, value: str = "hash") -> DataFrame:
+    """Per group with a change: how many keys changed locally, remotely, on both, and remotely only."""
+    j = two_sided_changes(base, local, remote, [*group, key], value).filter("local OR remote")
+    l, r = F.col("local"), F.col("remote")  # noqa: E741
     return j.groupBy(*group).agg(F.count_if(l).alias("local_changed"), F.count_if(r).alias("remote_changed"), F.count_if(l & r).alias("overlapping"), F.count_if(r & ~l).alias("unrelated"))
 
 

@@ -16,8 +16,13 @@ _FOUR = D.with_ctes("four")
 _ROWH = "sha256(concat_ws('|', CAST(CAST(c1 AS BIGINT) AS VARCHAR), CAST(CAST(round(c2 * 100) AS BIGINT) AS VARCHAR), c3))"
 
 
+def _said(df):
+    """Rows as short texts: where only their equality counts, these shuffle instead of their hashes."""
+    return df.select(*B.KEYS, F.concat_ws("|", F.col("c1").cast("long").cast("string"), F.round(F.col("c2") * 100).cast("long").cast("string"), "c3").alias("said"))
+
+
 def _hashed(df):
-    return df.select(*B.KEYS, F.sha2(F.concat_ws("|", F.col("c1").cast("long").cast("string"), F.round(F.col("c2") * 100).cast("long").cast("string"), "c3"), 256).alias("hash"))
+    return _said(df).select(*B.KEYS, F.sha2("said", 256).alias("hash"))
 
 
 _CHANGES = f"""{_TBL}, b AS (SELECT table_key, row_key, {_ROWH} AS hash FROM tbl_base), c AS (SELECT table_key, row_key, {_ROWH} AS hash FROM tbl_cur), r AS (SELECT table_key, row_key, {_ROWH} AS hash FROM tbl_remote),
@@ -25,14 +30,10 @@ _CHANGES = f"""{_TBL}, b AS (SELECT table_key, row_key, {_ROWH} AS hash FROM tbl
     rc AS (SELECT table_key, row_key FROM b FULL JOIN r USING (table_key, row_key) WHERE b.hash IS DISTINCT FROM r.hash)"""
 
 
-def _changes(spark, sf):
-    base, cur, remote = (_hashed(t) for t in D.tables(spark, sf))
-    return C.changed_nodes(base, cur, B.KEYS), C.changed_nodes(base, remote, B.KEYS)
-
-
 @query(f"{_CHANGES} SELECT * FROM lc")
 def changed_nodes(spark, sf):
-    return _changes(spark, sf)[0]
+    base, cur, _ = (_hashed(t) for t in D.tables(spark, sf))
+    return C.changed_nodes(base, cur, B.KEYS)
 
 
 @query(f"{_CHANGES} SELECT table_key, row_key FROM b UNION SELECT table_key, row_key FROM c")
@@ -49,12 +50,12 @@ def shared_keys(spark, sf):
 
 @query(f"{_CHANGES} SELECT table_key, row_key FROM rc EXCEPT SELECT table_key, row_key FROM lc")
 def unrelated_changes(spark, sf):
-    return C.unrelated_changes(*_changes(spark, sf), B.KEYS)
+    return C.unrelated_changes(*map(_said, D.tables(spark, sf)), B.KEYS, "said")
 
 
 @query(f"{_CHANGES}, j AS (SELECT coalesce(lc.table_key, rc.table_key) AS table_key, lc.row_key AS l, rc.row_key AS r FROM lc FULL JOIN rc ON lc.table_key = rc.table_key AND lc.row_key = rc.row_key) SELECT table_key, count(l) AS local_changed, count(r) AS remote_changed, count(*) FILTER (WHERE l IS NOT NULL AND r IS NOT NULL) AS overlapping, count(*) FILTER (WHERE l IS NULL) AS unrelated FROM j GROUP BY table_key")
 def scope_summary(spark, sf):
-    return C.scope_summary(*_changes(spark, sf), ["table_key"], "row_key")
+    return C.scope_summary(*map(_said, D.tables(spark, sf)), ["table_key"], "row_key", "said")
 
 
 @query(f"{_CHANGES} SELECT table_key % 100 AS bucket, count(*) FILTER (WHERE c.hash = r.hash) AS matching, count(*) FILTER (WHERE c.hash <> r.hash) AS changed, count(*) FILTER (WHERE r.hash IS NULL) AS local_only, count(*) FILTER (WHERE c.hash IS NULL) AS remote_only FROM c FULL JOIN r USING (table_key, row_key) GROUP BY table_key % 100")

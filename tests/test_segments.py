@@ -49,3 +49,13 @@ def test_links_are_rewritten_in_place_and_never_in_code(spark):
     assert (got[2].text, got[2].blockers) == ("", []) and got[3].blockers == ["unresolved-link index.md 1:1"]
     drafts = {r.doc_id: r.draft for r in W.link_drafts(docs, "p", ["p"], index, aliases).collect()}
     assert drafts == {1: None, 2: "", 3: None}
+
+
+def test_segments_are_read_in_one_pass(spark):
+    text = "a\r```x\n<div>\n``` <TABLE><tr><td>1<table></table></TABLE> <divx><div/></div>b\n    ~~~\n</div>\n    ~~~~\n</table><div class='alert  note'>\n```\n</div>"
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    found = G.segments(docs)
+    got = [tuple(r) for r in found.orderBy("seg").collect()]
+    assert [r[2] for r in got] == ["markdown", "code", "table", "markdown", "div", "markdown", "indented", "markdown", "callout"]
+    assert "".join(r[4] for r in got) == text and got[2][3] == "<TABLE>" and got[4][4] == "<div/></div>" and got[6][4] == "    ~~~\n</div>\n    ~~~~\n"
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no fold row by row in the plan

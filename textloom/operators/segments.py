@@ -1,28 +1,36 @@
 """Documents cut into segments by one scanner, and what the segments hold: tables, callouts, code, images, text.
 
-A document's marks (fence lines, ``<table>`` and ``<div>`` tags) are found by one pattern and folded in its own row. The earliest mark that opens
+A document's marks (fence lines, ``<table>`` and ``<div>`` tags) are found by one pattern and read once, text by text, in Arrow batches. The earliest mark that opens
 something wins; what it opens ends at its own close, tags counted, whatever stands between. So a table in a table, a div in a div and tags in code
-never end or begin anything outside. Segments are ranges of the pieces between marks and are cut from them, in linear time.
+never end or begin anything outside. Segments are cut from the text as they end, in linear time.
 
 Null texts are empty; an empty text has no segments. What stays open at the end is opaque.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.lines import bind, extract_blocks, fold, ordinals, section_path
+from textloom.operators.lines import bind, extract_blocks, ordinals, section_path
 
 HTML = ("table", "div")
 
 
-def _mark(names: tuple[str, ...]) -> str:
-    return r"(?im)^ *(?:`{3,}|~{3,})[^\n]*\n?|</?(?:" + "|".join(names) + r")\b[^>]*>"
+#: Before it a line begins, and after it no word goes on, as Java's patterns have it.
+_LINE, _WORD_ENDS = r"(?:\A|(?<=[\n\x85\u2028\u2029])|(?<=\r)(?!\n))", r"(?![\w\u0300-\u036f])"
+_BARE_FENCE = re.compile(r" *(?:`+|~+)[ \t\r]*\n?(?:\r\n|[\r\x85\u2028\u2029])?\Z")
 
 
-_RANGE = "struct<kind:string,first:int,last:int>"
+def _tags(names: tuple[str, ...]) -> str:
+    """Tags of these elements, ASCII letters in either case; the name is the pattern's group ``tag``."""
+    either = "|".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else re.escape(c) for c in name) for name in names)
+    return rf"</?(?P<tag>{either}){_WORD_ENDS}[^>]*>"
 
 
 def _pieces(text: Column, mark: str) -> Column:
@@ -36,32 +44,33 @@ def _class(tag: Column, name: str) -> Column:
     return F.regexp_like(tag, F.lit(rf"""(?is)\bclass\s*=\s*(?:"(?:[^"]*\s)?(?:{name})(?:\s[^"]*)?"|'(?:[^']*\s)?(?:{name})(?:\s[^']*)?')"""))
 
 
-def _ranges(pieces: Column) -> Column:
-    """Segments other than text as (kind, first piece, last piece): code, indented (a fence that deep), table, callout, div, open-table, open-div."""
-    none = F.array().cast(f"array<{_RANGE}>")
-    state = lambda what, mark, depth, first: F.struct(what.alias("what"), mark.alias("mark"), depth.alias("depth"), first.alias("first"))
-    idle = state(F.lit(""), F.lit(""), F.lit(0), F.lit(-1))
-    marks = F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("text"), i.alias("at"), F.regexp_extract(p, r"^ *(`{3,}|~{3,})", 1).alias("fence"), F.length(F.regexp_extract(p, "^ *", 0)).alias("deep"), F.lower(F.regexp_extract(p, r"^</?(\w+)", 1)).alias("tag"), F.startswith(p, F.lit("</")).alias("closing"))), lambda x: x["at"] % 2 == 1)
-    callout = lambda tag: _class(tag, "alert") & _class(tag, "note|warning")
-
-    def step(s: Column, x: Column) -> tuple[Column, Column]:
-        is_fence = x["fence"] != ""
-        opened = F.when(is_fence, F.when(x["deep"] >= 4, "indented").otherwise("code")).when(x["closing"], "").when((x["tag"] != "div") & F.endswith(x["text"], F.lit("/>")) & (x["tag"] != "table"), "").when(x["tag"] != "div", x["tag"]).otherwise(F.when(callout(x["text"]), "callout").otherwise("div"))
-        start = F.when(opened == "", idle).otherwise(state(opened, F.when(is_fence, x["fence"]).otherwise(x["tag"]), F.lit(1), x["at"]))
-        in_fence = s["what"].isin("code", "indented")
-        ends_fence = is_fence & F.startswith(x["fence"], s["mark"]) & ((x["deep"] >= 4) == (s["what"] == "indented")) & F.regexp_like(x["text"], F.lit(r"^ *(?:`+|~+)[ \t\r]*\n?$"))
-        alone = F.endswith(x["text"], F.lit("/>")) & ~x["tag"].isin(*HTML)  # a component without a body
-        depth = s["depth"] + F.when(is_fence | alone | (x["tag"] != s["mark"]), 0).when(x["closing"], -1).otherwise(1)
-        ends = F.when(in_fence, ends_fence).otherwise(depth == 0)
-        going = state(s["what"], s["mark"], F.when(in_fence, s["depth"]).otherwise(depth), s["first"])
-        found = F.array(F.struct(s["what"].alias("kind"), s["first"].alias("first"), x["at"].alias("last")))
-        return F.when(s["what"] == "", start).when(ends, idle).otherwise(going), F.when((s["what"] != "") & ends, found).otherwise(none)
-
-    def rest(s: Column) -> Column:
-        kind = F.when(s["what"].isin("code", "indented"), s["what"]).otherwise(F.concat(F.lit("open-"), s["mark"]))
-        return F.when(s["what"] != "", F.array(F.struct(kind.alias("kind"), s["first"].alias("first"), (F.size(pieces) - 1).alias("last")))).otherwise(none)
-
-    return fold(marks, idle, _RANGE, step, rest)
+def _cut(text: str, mark: re.Pattern[str]) -> Iterator[tuple[str, str, str]]:
+    """Segments of a text as (kind, head, content) in one pass: markdown, code, indented (a fence that deep), the elements' names, open- and a name."""
+    what = own = head = ""  # what is open, by which fence or name
+    depth = start = done = 0
+    for m in mark.finditer(text):
+        piece, fence, tag = m[0], m["fence"] or "", (m["tag"] or "").lower()
+        deep, closing = len(piece) - len(piece.lstrip(" ")) >= 4, piece.startswith("</")
+        alone = not fence and tag not in HTML and piece.endswith("/>")  # a component without a body
+        if not what:
+            if not closing and not alone:
+                what, own, depth, start, head = ("indented" if deep else "code") if fence else tag, fence or tag, 1, m.start(), piece
+            continue
+        if what in ("code", "indented"):
+            ends = fence.startswith(own) and deep == (what == "indented") and _BARE_FENCE.match(piece)
+        else:
+            depth += 0 if alone or tag != own else -1 if closing else 1
+            ends = depth == 0
+        if ends:
+            if done < start:
+                yield "markdown", "", text[done:start]
+            yield what, head, text[start : m.end()]
+            what, done = "", m.end()
+    stop = start if what else len(text)
+    if done < stop:
+        yield "markdown", "", text[done:stop]
+    if what:
+        yield what if what in ("code", "indented") else f"open-{own}", head, text[start:]
 
 
 def segments(docs: DataFrame, names: tuple[str, ...] = HTML) -> DataFrame:
@@ -69,48 +78,53 @@ def segments(docs: DataFrame, names: tuple[str, ...] = HTML) -> DataFrame:
 
     With other ``names`` their elements are the containers, and kinds are the names in lower case.
     """
-    cut = lambda pieces, first, last: F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+    pattern = _LINE + r" *(?P<fence>`{3,}|~{3,})[^\n]*\n?|" + _tags(names)
 
-    def every(pieces: Column) -> Column:
-        def with_text_before(ranges: Column) -> Column:
-            def pair(r: Column, i: Column) -> Column:
-                before = F.when(i == 0, F.lit(0)).otherwise(F.get(ranges, i - 1)["last"] + 1)
-                text = F.struct(F.lit("markdown").alias("kind"), F.lit("").alias("head"), F.when(before < r["first"], cut(pieces, before, r["first"] - 1)).otherwise("").alias("content"))
-                return F.array(text, F.struct(r["kind"].alias("kind"), F.get(pieces, r["first"]).alias("head"), cut(pieces, r["first"], r["last"]).alias("content")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = re.compile(pattern)
+        for batch in batches:
+            found = [(row, seg, *s) for row, text in enumerate(batch.column(1).to_pylist()) for seg, s in enumerate(_cut(text, mark))]
+            row, *columns = zip(*found) if found else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.string()] * 3)))], names=["doc_id", "seg", "kind", "head", "content"])
 
-            last = F.coalesce(F.get(ranges, F.size(ranges) - 1)["last"] + 1, F.lit(0))
-            tail = F.struct(F.lit("markdown").alias("kind"), F.lit("").alias("head"), F.when(last < F.size(pieces), cut(pieces, last, F.size(pieces) - 1)).otherwise("").alias("content"))
-            return F.concat(F.flatten(F.transform(ranges, pair)), F.array(tail))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, seg int, kind string, head string, content string")
+    callout = _class(F.col("head"), "alert") & _class(F.col("head"), "note|warning")
+    return found.withColumn("kind", F.when((F.col("kind") == "div") & callout, "callout").otherwise(F.col("kind")))
 
-        return F.filter(bind(_ranges(pieces), with_text_before), lambda s: s["content"] != "")
 
-    return docs.select("doc_id", F.posexplode(bind(_pieces(F.coalesce("text", F.lit("")), _mark(names)), every)).alias("seg", "s")).select("doc_id", "seg", "s.*")
+_ELEMENT = _tags(("table", "tr", "th", "td"))
+_CELL = "struct<row:int,header:boolean,head:string,nested:boolean,html:string>"
 
 
-_ELEMENT = r"(?i)</?(?:table|tr|th|td)\b[^>]*>"
-_CELL = "struct<row:int,col:int,header:boolean,head:string,nested:boolean,first:int,last:int>"
+def _cells(content: str, element: re.Pattern[str]) -> Iterator[tuple[int, bool, str, bool, str]]:
+    """Cells of a table's own rows (row, header, head, nested, html). A cell ends at its close or where the next cell, row or the table's end stands."""
+    depth, row, first, head, header, nested = 0, -1, -1, "", False, False
+    for m in element.finditer(content):
+        tag, closing = m["tag"].lower(), m[0].startswith("</")
+        table, cell = tag == "table", tag in ("th", "td")
+        above, depth = depth, depth + ((-1 if closing else 1) if table else 0)
+        own = depth == 0 if table else above == 1  # marks of the table itself
+        if own and first >= 0:
+            yield row, header, head, nested, content[first : m.start()]
+        row += own and tag == "tr" and not closing
+        if own and cell and not closing:
+            first, head, header, nested = m.end(), m[0], tag == "th", False
+        else:
+            first, nested = -1 if own else first, nested or (table and depth > 1)
 
 
-def _cells(pieces: Column) -> Column:
-    """Cells of a table's own rows as ranges of pieces. A cell ends at its close or where the next cell, row or the table's end stands."""
-    none = F.array().cast(f"array<{_CELL}>")
-    state = lambda depth, row, col, first, header, head, nested: F.struct(depth.alias("depth"), row.alias("row"), col.alias("col"), first.alias("first"), header.alias("header"), head.alias("head"), nested.alias("nested"))
-    lit = F.lit
-    marks = F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("text"), i.alias("at"), F.lower(F.regexp_extract(p, r"^</?(\w+)", 1)).alias("tag"), F.startswith(p, lit("</")).alias("closing"))), lambda x: x["at"] % 2 == 1)
+def _with_cells(tables: DataFrame) -> DataFrame:
+    """doc_id, seg, cells of tables (doc_id, seg, content)."""
+    kind = pa.list_(pa.struct([("row", pa.int32()), ("header", pa.bool_()), ("head", pa.string()), ("nested", pa.bool_()), ("html", pa.string())]))
 
-    def step(s: Column, x: Column) -> tuple[Column, Column]:
-        table, cell = x["tag"] == "table", x["tag"].isin("th", "td")
-        depth = s["depth"] + F.when(table, F.when(x["closing"], -1).otherwise(1)).otherwise(0)
-        own = F.when(table, depth == 0).otherwise(s["depth"] == 1)  # marks of the table itself
-        begins = own & cell & ~x["closing"]
-        row = s["row"] + F.when(own & (x["tag"] == "tr") & ~x["closing"], 1).otherwise(0)
-        col = F.when(own & (x["tag"] == "tr"), lit(-1)).otherwise(s["col"] + F.when(begins, 1).otherwise(0))
-        nested = F.when(begins, lit(False)).otherwise(s["nested"] | (table & (depth > 1)))
-        new = state(depth, row, col, F.when(begins, x["at"]).when(own, lit(-1)).otherwise(s["first"]), F.when(begins, x["tag"] == "th").otherwise(s["header"]), F.when(begins, x["text"]).otherwise(s["head"]), nested)
-        out = F.array(F.struct(s["row"].alias("row"), s["col"].alias("col"), s["header"].alias("header"), s["head"].alias("head"), s["nested"].alias("nested"), (s["first"] + 1).alias("first"), (x["at"] - 1).alias("last")))
-        return new, F.when(own & (s["first"] >= 0), out).otherwise(none)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        element = re.compile(_ELEMENT)
+        for batch in batches:
+            cells = [[dict(zip(("row", "header", "head", "nested", "html"), c)) for c in _cells(content, element)] for content in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, kind)], names=["doc_id", "seg", "cells"])
 
-    return fold(marks, state(lit(0), lit(-1), lit(-1), lit(-1), lit(False), lit(""), lit(False)), _CELL, step)
+    return tables.select("doc_id", "seg", "content").mapInArrow(run, f"doc_id {tables.schema['doc_id'].dataType.simpleString()}, seg int, cells array<{_CELL}>")
 
 
 def plain_cell(html: Column) -> Column:
@@ -127,9 +141,7 @@ def html_table_nodes(docs: DataFrame) -> DataFrame:
     Issues, sorted: ``no-rows``, ``no-header-cells``, ``ragged``, ``empty-key``, ``duplicate-key:`` and the key, ``merged-cells`` (a span of several),
     ``nested-table``, ``relative-link``.
     """
-    tables = segments(docs).filter("kind = 'table'")
-    cut = lambda pieces: F.transform(_cells(pieces), lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), c["header"].alias("header"), c["head"].alias("head"), c["nested"].alias("nested"), F.array_join(F.slice(pieces, c["first"] + 1, F.greatest(c["last"] - c["first"] + 1, F.lit(0))), "").alias("html")))
-    found = tables.select("doc_id", "seg", bind(_pieces(F.col("content"), _ELEMENT), cut).alias("cells"))
+    found = _with_cells(segments(docs).filter("kind = 'table'"))
     relative = F.lit(r"""(?i)<a\b[^>]*\bhref\s*=\s*["'](?!https?://|mailto:|#)""")
     span = F.lit(r"""(?i)\b(?:row|col)span\s*=\s*["']?(?!1\b)\d""")
     flag = lambda test, name: F.when(F.exists("cells", test), F.lit(name))

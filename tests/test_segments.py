@@ -52,7 +52,7 @@ def test_links_are_rewritten_in_place_and_never_in_code(spark):
 
 
 def test_segments_are_read_in_one_pass(spark):
-    text = "a\r```x\n<div>\n``` <TABLE><tr><td>1<table></table></TABLE> <divx><div/></div>b\n    ~~~\n</div>\n    ~~~~\n</table><div class='alert  note'>\n```\n</div>"
+    text = "a\r```x\n<div>\n```\n<TABLE><tr><td>1<table></table></TABLE> <divx><div/></div>b\n    ~~~\n</div>\n    ~~~~\n</table><div class='alert  note'>\n```\n</div>"
     docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
     found = G.segments(docs)
     got = [tuple(r) for r in found.orderBy("seg").collect()]

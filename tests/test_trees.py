@@ -38,6 +38,12 @@ def test_op_faults(spark):
     assert got == {(i, fault) for i, (_, want) in enumerate(OP_CASES) for fault in want}
 
 
+def test_expected_hashes_go_no_further_than_their_targets(spark):
+    ops = spark.createDataFrame([("x", 1, "delete", "b", "old", "root", None, None)], OPS)
+    plan = audits.validate_ops(ops, nodes(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("expected_hash")].count("Join ") >= 4  # the joins with parents, first children, anchors and copies lie above
+
+
 def test_ops_without_places_and_empty_logs(spark):
     ops = spark.createDataFrame([("x", 1, "delete", "b", "hb"), ("x", 2, "move", "c", None)], "op_id string, op_seq long, kind string, target_id string, expected_hash string")
     assert {(r.op_seq, r.fault) for r in audits.validate_ops(ops, nodes(spark)).collect()} == {(1, "duplicate-op"), (2, "duplicate-op")}

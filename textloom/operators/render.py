@@ -7,14 +7,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.fold import fold_up
+from textloom.operators.fold import STRETCH, fold_up
+from textloom.operators.lines import bind
 from textloom.operators.ranges import numbered
+from textloom.runtime import materialize
 
 #: Fixed values of the block format.
 PAGE, TEXT, HEADINGS, BULLET, ORDERED, CODE, CALLOUT, TABLE, SYNCED = 1, 2, range(3, 9), 12, 13, 14, 19, 31, 49
 _BREAK = "\x1f"
 
 
+def _children(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """(doc_id, parent_id, below): the children's texts in order. Only those of parents with more than a stretch are numbered, and put together in stretches."""
+    keys = ["doc_id", "parent_id"]
+    in_order = lambda *at: F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct(*at, "folded"))), lambda x: x["folded"]))
+    listed = lambda some: some.groupBy(*keys).agg(in_order("ordinal", "block_id").alias("below"))
+    many = materialize(level.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > STRETCH).select(*keys), "render-many")
+    if many.isEmpty():
+        return listed(rows)
+    large = numbered(rows.join(F.broadcast(many), keys, "left_semi"), keys, ["ordinal", "block_id"], "at")
+    parts = large.groupBy(*keys, F.floor(F.col("at") / STRETCH).alias("stretch")).agg(in_order("at").alias("folded"))
+    return listed(rows.join(F.broadcast(many), keys, "left_anti")).unionByName(parts.groupBy(*keys).agg(F.flatten(in_order("stretch")).alias("below")))
+
+
 def render_tree(blocks: DataFrame, callout_titles: dict[str, str] | None = None) -> DataFrame:
     """doc_id, text of each page: blocks (doc_id, block_id, parent_id, pos, block_type, text, language, columns), children in order of pos.
 
@@ -23,13 +38,13 @@ def render_tree(blocks: DataFrame, callout_titles: dict[str, str] | None = None)
     comment. Blank parts vanish. Text is taken as it is, without the control character 0x1F.
     """
     titles = callout_titles or {"note": "note", "warning": "warning"}
-    held = numbered(blocks.withColumn("text", F.translate(F.coalesce("text", F.lit("")), _BREAK, "")), ["doc_id", "parent_id"], ["pos", "block_id"])
+    held = blocks.withColumn("text", F.translate(F.coalesce("text", F.lit("")), _BREAK, "")).withColumnRenamed("pos", "ordinal")
     kind, text, wide = F.col("block_type"), F.col("text"), F.col("columns")
 
     def own(below: Column) -> Column:
-        cells = F.when(below.isNotNull(), F.split(below, _BREAK, -1)).otherwise(F.array().cast("array<string>"))
-        parts = F.filter(cells, lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")
-        joined = F.array_join(parts, "\n\n")
+        return bind(F.coalesce(below, F.array().cast("array<string>")), lambda cells: bind(F.filter(cells, lambda p: p.rlike(r"\S")), lambda parts: bind(F.array_join(parts, "\n\n"), lambda joined: whole(cells, parts, joined))))
+
+    def whole(cells: Column, parts: Column, joined: Column) -> Column:
         item = lambda mark: F.concat(F.lit(mark), text, F.when(joined != "", F.concat(F.lit("\n\n"), F.regexp_replace(joined, "(?m)^(?=.)", "    "))).otherwise(""))
         row = lambda values: F.concat(F.lit("| "), F.array_join(values, " | "), F.lit(" |"))
         n_rows = F.when(wide > 0, F.ceil(F.size(cells) / wide)).otherwise(0).cast("int")
@@ -48,5 +63,5 @@ def render_tree(blocks: DataFrame, callout_titles: dict[str, str] | None = None)
             .otherwise(F.concat(F.lit("<!-- block type "), kind.cast("string"), F.lit(" omitted -->")))
         )
 
-    folded = fold_up(held, own, lambda values: F.array_join(values, _BREAK))
-    return folded.filter("depth = 0").select("doc_id", F.col("folded").alias("text"))
+    folded = fold_up(held, own, children=_children, below_type="array<string>", roots_only=True)
+    return folded.select("doc_id", F.col("folded").alias("text"))

@@ -26,11 +26,12 @@ def rolled_up_hashes(spark, sf):
 
 
 #: Pages of customers: a heading, their orders as a list with lines below, a table of orders, a callout, code and an unknown block.
+#: A line's order is never null after the join; coalesce says so, and a search for roots needn't read the lines.
 _PAGES = """
     SELECT c_custkey AS doc_id, 'page' AS block_id, CAST(NULL AS STRING) AS parent_id, CAST(0 AS BIGINT) AS pos, 1 AS block_type, '' AS text, 0 AS columns FROM {c}
     UNION ALL SELECT c_custkey, 'head', 'page', 1, 4, c_name, 0 FROM {c}
     UNION ALL SELECT o_custkey, 'o' || o_orderkey, 'page', 10 + o_orderkey, 12, 'order ' || o_orderkey, 0 FROM {o}
-    UNION ALL SELECT o_custkey, 'l' || table_key || '.' || row_key, 'o' || o_orderkey, row_key, 13, 'line ' || row_key || c3, 0 FROM {l} JOIN {o} ON table_key = o_orderkey
+    UNION ALL SELECT o_custkey, 'l' || table_key || '.' || row_key, 'o' || coalesce(o_orderkey, 0), row_key, 13, 'line ' || row_key || c3, 0 FROM {l} JOIN {o} ON table_key = o_orderkey
     UNION ALL SELECT c_custkey, 'table', 'page', 1000000001, 31, '', 2 FROM {c}
     UNION ALL SELECT o_custkey, 'cell' || n || '.' || o_orderkey, 'table', o_orderkey * 2 + n, 2, CASE n WHEN 0 THEN o_orderpriority ELSE o_orderstatus END, 0 FROM {o} CROSS JOIN (VALUES (0), (1)) v(n)
     UNION ALL SELECT c_custkey, 'call', 'page', 1000000002, 19, '', 0 FROM {c}
@@ -49,5 +50,5 @@ _NL, _GAP = "chr(10)", "chr(10) || chr(10)"
         || {_GAP} || '```sh' || {_NL} || 'run ' || c_custkey || {_NL} || '```' || CASE WHEN c_custkey % 5 = 0 THEN {_GAP} || '<!-- block type 99 omitted -->' ELSE '' END || {_NL}) AS text_hash
     FROM customer LEFT JOIN o ON o.o_custkey = c_custkey LEFT JOIN r ON r.o_custkey = c_custkey""")
 def render_pages(spark, sf):
-    blocks = spark.sql(_PAGES, c=table(spark, sf, "customer"), o=table(spark, sf, "orders"), l=D.tables(spark, sf)[0]).withColumn("language", F.when(F.col("block_type") == 14, "sh"))
+    blocks = spark.sql(_PAGES, c=table(spark, sf, "customer"), o=table(spark, sf, "orders"), l=D.base_table(spark, sf)).withColumn("language", F.when(F.col("block_type") == 14, "sh"))
     return render_tree(blocks).select("doc_id", F.sha2("text", 256).alias("text_hash"))

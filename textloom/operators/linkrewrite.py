@@ -13,6 +13,7 @@ from textloom.runtime import materialize
 
 #: Fence lines, code spans and links; an image is none.
 _MARK = r"(?m)^ {0,3}(?:`{3,}|~{3,})[^\n]*$|`+[^`\n]+`+|(?<!!)\[[^\]]+\]\([^)\s]+\)"
+_ANY_LINK = r"(?<!!)\[[^\]]+\]\([^)\s]+\)"
 _LINK = "struct<piece:int,start:int,line:int,column:int,label:string,url:string>"
 
 
@@ -35,7 +36,8 @@ def _links(pieces: Column) -> Column:
 
 def document_links(docs: DataFrame) -> DataFrame:
     """doc_id, piece, start, stop, line, column, label, url: links outside code in order; [start, stop) is the destination in the text."""
-    found = docs.select("doc_id", F.explode(bind(_pieces(F.coalesce("text", F.lit("")), _MARK), _links)).alias("l")).select("doc_id", "l.*")
+    some = docs.filter(F.regexp_like("text", F.lit(_ANY_LINK)))  # most texts without a link needn't be cut
+    found = some.select("doc_id", F.explode(bind(_pieces(F.coalesce("text", F.lit("")), _MARK), _links)).alias("l")).select("doc_id", "l.*")
     return found.select("doc_id", "piece", "start", (F.col("start") + F.length("url")).alias("stop"), "line", "column", "label", "url")
 
 
@@ -44,7 +46,7 @@ def resolved_links(docs: DataFrame, index: DataFrame, aliases: DataFrame, public
 
     A fragment goes along to the public site, the index has none. A link without a slug is unresolved.
     """
-    links = document_links(docs).filter(T.is_relative_doc(F.col("url"))).withColumn("slug", T.link_slug(F.col("url")))
+    links = materialize(document_links(docs).filter(T.is_relative_doc(F.col("url"))).withColumn("slug", T.link_slug(F.col("url"))), "found-links")
     found = resolve_links(links.filter("slug IS NOT NULL"), index, aliases, public_base)
     fragment = F.when(F.contains("url", F.lit("#")), F.concat(F.lit("#"), F.split_part("url", F.lit("#"), F.lit(2)))).otherwise("")
     found = found.withColumn("resolved", F.when(F.col("source") == "public", F.concat("resolved", fragment)).otherwise(F.col("resolved")))
@@ -73,7 +75,7 @@ def rewrite_links(docs: DataFrame, index: DataFrame, aliases: DataFrame, public_
 
 def link_drafts(docs: DataFrame, profile: str, known: list[str], index: DataFrame, aliases: DataFrame, public_base: str | None = None) -> DataFrame:
     """doc_id, draft, draft_hash, blockers, warnings: profile applied, links rewritten, canonical text. A document with blockers has no draft."""
-    shown = docs.select("doc_id", T.filter_profile(F.col("text"), profile, known).alias("text"))
+    shown = materialize(docs.select("doc_id", T.filter_profile(F.col("text"), profile, known).alias("text")), "shown")
     linked = rewrite_links(shown, index, aliases, public_base)
     draft = F.when(F.size("blockers") == 0, T.canonical_markdown(F.col("text")))
     return linked.select("doc_id", draft.alias("draft"), "blockers", "warnings").select("doc_id", "draft", F.sha2("draft", 256).alias("draft_hash"), "blockers", "warnings")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.operators import linkrewrite as W
 from textloom.queries import query
 from textloom.queries.transform import _CANON, _FILTERED
+from textloom.runtime import materialize
 from textloom.sources import derived as D
 
 #: Slugs end in a digit: 0 is in no index, 1 twice, the others once.
@@ -18,6 +19,7 @@ _LINKED = f"""{D.with_ctes('lines')}, s AS (SELECT doc_id, line_no, line, regexp
 
 def _index(spark, links):
     slugs = links.filter("url LIKE './%'").select(F.regexp_extract("url", r"\./(.*)\.md#part", 1).alias("slug")).distinct().filter("slug NOT LIKE '%0'")
+    slugs = materialize(slugs, "slugs")
     one = slugs.select("slug", F.concat(F.lit("https://docs.example.com/wiki/"), "slug").alias("url"))
     return one.union(slugs.filter("slug LIKE '%1'").select("slug", F.concat(F.lit("https://docs.example.com/other/"), "slug")))
 
@@ -39,6 +41,6 @@ def document_links(spark, sf):
 @query(f"""{_LINKED}, d AS (SELECT doc_id, {_CANON.format(c=_FILTERED.format(c="string_agg(written, chr(10) ORDER BY line_no)"))} AS draft, coalesce(string_agg(blocker, '|' ORDER BY line_no) FILTER (WHERE slug <> ''), '') AS blockers FROM r GROUP BY doc_id)
     SELECT doc_id, CASE WHEN blockers = '' THEN sha256(draft) END AS draft_hash, blockers FROM d""")
 def link_drafts(spark, sf):
-    docs = D.rich(spark, sf)
+    docs = materialize(D.rich(spark, sf), "rich")
     out = W.link_drafts(docs, "alpha", ["alpha", "beta"], _index(spark, W.document_links(docs)), spark.createDataFrame([], "alias string, target string"), _SITE)
     return out.select("doc_id", "draft_hash", F.array_join("blockers", "|").alias("blockers"))

@@ -1,8 +1,8 @@
-"""Jobs that need their input several times derive it once."""
+"""Jobs that need their input several times derive it once, and blocks meet as tables of ids."""
 
 from pyspark.sql import functions as F
 
-from textloom.operators import linkrewrite
+from textloom.operators import linkrewrite, trees
 
 
 def counting(spark, df, column):
@@ -21,3 +21,11 @@ def test_link_drafts_derive_each_text_once(spark):
     index, aliases = spark.createDataFrame([("one", "https://i/1")], "slug string, url string"), spark.createDataFrame([], "alias string, target string")
     got = {r.doc_id: r.draft for r in linkrewrite.link_drafts(docs, "p", ["p"], index, aliases).collect()}
     assert got == {1: "[a](https://i/1) ![i](./one.md)", 2: "![i](./one.md)", 3: ""} and seen.value == 3
+
+
+def test_snapshot_faults_derive_blocks_few_times(spark):
+    blocks, seen = counting(spark, spark.createDataFrame([("r", None, 0), ("a", "r", 0), ("b", "a", 0), ("c", "b", 0), ("c", "zz", 0), ("d", "zz", 0), ("d", "yy", 0)], "block_id string, parent_id string, pos long"), "parent_id")
+    refs = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "c"), ("b", "c"), ("a", "gone"), ("a", "hence")], "parent_id string, child_id string")
+    got = sorted(tuple(r) for r in trees.validate_snapshot(blocks, refs).collect())
+    assert got == [("a", "missing-child"), ("b", "duplicate-child"), ("c", "duplicate-id"), ("c", "missing-parent"), ("c", "parent-disagrees"), ("d", "duplicate-id"), ("d", "missing-parent"), ("d", "unreachable"), ("d", "unreferenced")]
+    assert seen.value <= 5 * 7

@@ -78,39 +78,37 @@ def validate_snapshot(blocks: DataFrame, refs: DataFrame | None = None, snapshot
     several-roots (each of them), no-root (a row without a block): a snapshot has exactly one. ``snapshot`` names the column that tells
     those of ``blocks`` apart, where there are several; ids differ between them. An empty table has no faults.
     """
-    fault = lambda df, name: df.select("block_id", F.lit(name).alias("fault")).distinct()
     if refs is None:
         refs = blocks.filter("parent_id IS NOT NULL").select("parent_id", F.col("block_id").alias("child_id")).distinct()
-    ids = blocks.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
-    known = lambda c: ids.select(F.col("block_id").alias(c))
-    listed = refs.join(known("parent_id"), "parent_id", "left_semi").groupBy("parent_id", "child_id").agg(F.count(F.lit(1)).alias("n"))
-    listed = materialize(listed, "listed-children")
-    there = listed.join(known("child_id"), "child_id", "left_semi").select("parent_id", F.col("child_id").alias("block_id"))
+    # each table of ids is written once: what follows joins two of them at a time, and no stage sorts more
+    ids = materialize(blocks.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("parent_id").isNull()).alias("root")), "snapshot-ids")
+    parents = ids.select(F.col("block_id").alias("parent_id"))
+    listed = materialize(refs.groupBy("parent_id", "child_id").agg(F.count(F.lit(1)).alias("n")).join(parents, "parent_id", "left_semi"), "listed-children")
+    listed = materialize(listed.join(ids.select(F.col("block_id").alias("child_id"), F.col("root").alias("child_root")), "child_id", "left"), "listed-children")
+    there = listed.filter("child_root IS NOT NULL").select("parent_id", F.col("child_id").alias("block_id"), "child_root")
     by = there.groupBy("block_id").agg(F.count(F.lit(1)).alias("parents"), F.min("parent_id").alias("lister"))
-    roots = blocks.filter("parent_id IS NULL").select("block_id").distinct()
+    placed = materialize(ids.join(by, "block_id", "left"), "listed-blocks")
     of = [F.col(snapshot)] if snapshot else []
     per_snapshot = materialize(blocks.groupBy(*of).agg(F.count_distinct(F.when(F.col("parent_id").isNull(), F.col("block_id"))).alias("roots"), F.count(F.lit(1)).alias("blocks")).filter("blocks > 0"), "root-counts")
-    crowded = per_snapshot.filter("roots > 1")
+    crowded, roots = per_snapshot.filter("roots > 1"), ids.filter("root").select("block_id")
     if snapshot:
         several = blocks.filter("parent_id IS NULL").join(crowded, snapshot, "left_semi")
     else:
         several = roots if not crowded.isEmpty() else roots.limit(0)
-    declared = blocks.filter("parent_id IS NOT NULL").select("block_id", "parent_id").distinct().join(by, "block_id", "left")
-    below = there.join(roots, "block_id", "left_anti").unionByName(roots.withColumn("parent_id", F.lit(None).cast("string")))
-    found = reached(below, roots)
+    found = reached(there.filter("NOT child_root").select("block_id", "parent_id"), roots)
+    declared = materialize(blocks.filter("parent_id IS NOT NULL").select("block_id", "parent_id").distinct().join(placed.select("block_id", "parents", "lister"), "block_id", "left"), "declared-parents")
+    fault = lambda test, name: F.when(test, F.lit(name))
+    told = lambda df, c, *faults: df.select(F.col(c).alias("block_id"), F.explode(F.array_compact(F.array(*faults))).alias("fault"))
+    listers = F.col("parents")
     return reduce(DataFrame.unionByName, [
-        fault(ids.filter("n > 1"), "duplicate-id"),
-        fault(declared.join(known("parent_id"), "parent_id", "left_anti"), "missing-parent"),
-        fault(listed.join(known("child_id"), "child_id", "left_anti").select(F.col("parent_id").alias("block_id")), "missing-child"),
-        fault(listed.filter("n > 1").select(F.col("parent_id").alias("block_id")), "duplicate-child"),
-        fault(by.filter("parents > 1"), "conflicting-parents"),
-        fault(roots.join(by, "block_id", "left_semi"), "root-referenced"),
-        fault(declared.filter("parents IS NULL"), "unreferenced"),
-        fault(declared.filter("parents = 1 AND lister <> parent_id"), "parent-disagrees"),
-        fault(ids.join(found, "block_id", "left_anti"), "unreachable"),
-        fault(several, "several-roots"),
-        fault(per_snapshot.filter("roots = 0").select(F.lit(None).cast(blocks.schema["block_id"].dataType).alias("block_id")), "no-root"),
-    ])
+        told(placed, "block_id", fault(F.col("n") > 1, "duplicate-id"), fault(listers > 1, "conflicting-parents"), fault(F.col("root") & (listers > 0), "root-referenced")),
+        told(declared, "block_id", fault(listers.isNull(), "unreferenced"), fault((listers == 1) & (F.col("lister") != F.col("parent_id")), "parent-disagrees")),
+        told(declared.join(parents, "parent_id", "left_anti"), "block_id", F.lit("missing-parent")),
+        told(listed, "parent_id", fault(F.col("child_root").isNull(), "missing-child"), fault(F.col("n") > 1, "duplicate-child")),
+        told(ids.join(found, "block_id", "left_anti"), "block_id", F.lit("unreachable")),
+        told(several, "block_id", F.lit("several-roots")),
+        per_snapshot.filter("roots = 0").select(F.lit(None).cast(blocks.schema["block_id"].dataType).alias("block_id"), F.lit("no-root").alias("fault")),
+    ]).distinct()
 
 
 def flatten_snapshot(blocks: DataFrame, kinds: dict[str, str]) -> DataFrame:

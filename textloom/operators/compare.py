@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from textloom.runtime import materialize
 
 
 def _on(a: str, b: str, keys: list[str]) -> Column:
@@ -52,16 +55,20 @@ def correspond_nodes(base: DataFrame, current: DataFrame, group: list[str], key:
     First values that occur once on both sides of a group; of the rest, equal keys. A value whose number
     of copies differs on the two sides is ambiguous, and its rows are reported so instead of being paired.
     """
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        n = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias(f"{name}_n"))
-        return df.select(*group, F.col(key).alias(f"{name}_key"), value).join(n, [*group, value])
-
-    a, b = counted(base, "base"), counted(current, "current")
-    first = a.filter("base_n = 1").join(b.filter("current_n = 1"), [*group, value]).select(*group, "base_key", "current_key", F.lit("value").alias("how"))
-    rest_a = a.join(first.select(*group, "base_key"), [*group, "base_key"], "left_anti")
-    rest_b = b.join(first.select(*group, "current_key"), [*group, "current_key"], "left_anti")
-    sizes = a.select(*group, value, "base_n").distinct().join(b.select(*group, value, "current_n").distinct(), [*group, value]).filter("base_n <> current_n").select(*group, value, F.lit(True).alias("uneven"))
-    second = rest_a.join(sizes, [*group, value], "left").select(*group, "base_key", F.coalesce("uneven", F.lit(False)).alias("uneven")).join(rest_b.select(*group, "current_key"), group).filter("base_key = current_key")
+    # texts are hashed where they lie; each side is read once
+    text = isinstance(base.schema[value].dataType, StringType) and isinstance(current.schema[value].dataType, StringType)
+    said = F.unhex(F.sha2(value, 256)) if text else F.col(value)
+    known = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*group, value)))
+    side = lambda df, name: df.filter(known).select(*group, said.alias("_said"), F.col(key).alias(f"{name}_key"), F.lit(name == "base").alias("_base"))
+    rows = materialize(side(base, "base").unionByName(side(current, "current"), allowMissingColumns=True), "said")
+    met = rows.groupBy(*group, "_said").agg(F.count_if("_base").alias("_n"), F.count_if(~F.col("_base")).alias("_m"), F.min("current_key").alias("_other"))
+    once, uneven = (F.col("_n") == 1) & (F.col("_m") == 1), (F.col("_n") > 0) & (F.col("_m") > 0) & (F.col("_n") != F.col("_m"))
+    placed = rows.join(met, [*group, "_said"]).select(*group, "_base", "base_key", F.when(once, F.col("_other")).otherwise(F.col("current_key")).alias("current_key"), once.alias("_once"), uneven.alias("uneven"))
+    placed = materialize(placed.filter("_base OR NOT _once"), "met")
+    first = placed.filter("_once").select(*group, "base_key", "current_key", F.lit("value").alias("how"))
+    rest_a = placed.filter("_base AND NOT _once").select(*group, "base_key", "uneven").join(first.select(*group, "base_key"), [*group, "base_key"], "left_anti")
+    rest_b = placed.filter("NOT _base").select(*group, "current_key").join(first.select(*group, "current_key"), [*group, "current_key"], "left_anti")
+    second = rest_a.join(rest_b.withColumn("base_key", F.col("current_key")), [*group, "base_key"])
     return first.unionByName(second.select(*group, "base_key", "current_key", F.when(F.col("uneven"), "ambiguous").otherwise("key").alias("how")))
 
 

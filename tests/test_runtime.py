@@ -1,6 +1,8 @@
 import glob
+import time
 
 import pytest
+from pyspark.sql import functions as F
 from textloom import runtime
 
 
@@ -25,3 +27,18 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         runtime.shared_dir(Cluster)
+
+
+def test_what_a_table_shuffled_goes_with_its_write(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {f for folder in folders for f in glob.glob(f"{folder}/*/shuffle_*.data")}
+    before = shuffled()
+    table = runtime.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartitionByRange(3, "k"), "shuffled")
+    kept = shuffled() - before
+    assert table.count() == 7
+    for _ in range(50):
+        if not (left := kept & shuffled()):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

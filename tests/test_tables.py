@@ -1,7 +1,9 @@
 """Keyed tables: whole counts, repeated keys, and how often rows move."""
 
 import glob
+import random
 
+import pytest
 from textloom.operators import tables as B
 from textloom.runtime import shared_dir
 from textloom.sources import derived as D
@@ -41,3 +43,26 @@ def test_blockers_need_two_tables_of_keys_and_no_windows_of_changed_copies(spark
     assert written() - before <= {"textloom-table-keys", "textloom-running"}
     base, cur, _ = D.tables(spark, "/root/testdata/sf0.001")
     assert "Window" not in cur._jdf.queryExecution().optimizedPlan().toString() and base.count() > 0
+
+
+@pytest.mark.parametrize("few", [0, 5, 64])
+def test_tables_meet_whether_their_identity_has_few_rows_or_many(spark, monkeypatch, few):
+    monkeypatch.setattr(B, "FEW_ROWS", few)
+    rng = random.Random(few)
+    made = lambda tables: [(t, rng.choice([None, 1, 2, 3, 4, 5]), name if rng.random() < 0.9 else rng.choice(["x", "y", None])) for t in tables for name in [rng.choice(["x", "y", *"abcdefgh"])] for _ in range(rng.randint(1, 4))]
+    source, remote = made(range(40)), made(range(100, 140))
+    source, remote = source + [(90, k, i) for t, k, i in source if t == 3] + [(None, 1, "x")], remote + [(190 + n, k, i) for t, k, i in remote if t < 110 for n in (0, 10)] + [(None, 1, "x")]
+    met = lambda s: len({r for r, k, i in remote for t, l, j in source if t == s and r is not None and i is not None and (k, i) == (l, j)})
+    frame = lambda rows: spark.createDataFrame(rows, "table_key long, row_key long, name string").repartition(3)
+    got = B.match_tables(frame(source), frame(remote), "name").collect()
+    assert sorted((r.table_key or -1, r.n) for r in got) == sorted((t or -1, met(t) if t is not None else 0) for t in {t for t, _, _ in source})
+    assert all(r.state == ("missing", "matched", "ambiguous")[min(r.n, 2)] for r in got)
+
+
+def test_tables_of_few_rows_meet_without_pairs_of_rows(spark):
+    rows = spark.createDataFrame([(t, k, f"n{t // 2}") for t in range(20) for k in range(4)], "table_key long, row_key long, name string")
+    before = glob.glob(f"{shared_dir(spark)}/textloom-*")
+    got = B.match_tables(rows, rows, "name")
+    names = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{shared_dir(spark)}/textloom-*")) - set(before)}
+    assert names == {"textloom-table-sizes", "textloom-many-rows"}
+    assert {(r.table_key, r.n) for r in got.collect()} == {(t, 2) for t in range(20)}
